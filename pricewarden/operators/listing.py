@@ -89,14 +89,20 @@ def with_distance(rows: DataFrame, origin: Origin) -> DataFrame:
     )
 
 
-def within_radius(rows: DataFrame, origin: Origin, radius_km: float) -> DataFrame:
-    """Rows no farther than the radius; the enclosing box is tested first and reaches the scan."""
+def check_radius(radius_km: float) -> None:
     if not radius_km > 0 or radius_km == float("inf"):
         raise ValueError("the radius must be a positive number")
-    near = rows.where(
-        box_around(F.col("latitude"), F.col("longitude"), origin.latitude, origin.longitude, radius_km)
-    )
-    return with_distance(near, origin).where(F.col("distance_km") <= radius_km)
+
+
+def near(origin: Origin, radius_km: float) -> Column:
+    """The box that encloses the radius: plain comparisons that reach the scan."""
+    return box_around(F.col("latitude"), F.col("longitude"), origin.latitude, origin.longitude, radius_km)
+
+
+def within_radius(rows: DataFrame, origin: Origin, radius_km: float) -> DataFrame:
+    """Rows no farther than the radius; the enclosing box is tested before any trigonometry."""
+    check_radius(radius_km)
+    return with_distance(rows.where(near(origin, radius_km)), origin).where(F.col("distance_km") <= radius_km)
 
 
 def order_keys(criterion: str, price: Column | None = None) -> list[Column]:
@@ -128,29 +134,41 @@ def initial_radius(rows: DataFrame, target: int = PAGE_SIZE) -> DataFrame:
     )
 
 
+def inert_counts() -> list[Column]:
+    return [
+        F.count_if(F.col("distance_km") <= RADIUS_MIN_KM).alias("near"),
+        F.count_if(F.col("distance_km") <= RADIUS_MAX_KM).alias("far"),
+    ]
+
+
 def radius_is_inert(rows: DataFrame) -> DataFrame:
     """Does the radius filter change nothing between its two bounds?"""
-    near = F.count_if(F.col("distance_km") <= RADIUS_MIN_KM)
-    far = F.count_if(F.col("distance_km") <= RADIUS_MAX_KM)
-    return rows.agg(near.alias("near"), far.alias("far"), (near == far).alias("inert"))
+    return rows.agg(*inert_counts()).withColumn("inert", F.col("near") == F.col("far"))
 
 
 def districts(rows: DataFrame) -> DataFrame:
     return rows.select("district").distinct().orderBy("district")
 
 
+def tag_folds(price: Column, member: Column) -> list[Column]:
+    """Cheapest and nearest member of the pool as two folds: no sort."""
+    cheap = F.struct(price.alias("price"), F.col("distance_km"), F.col("site_id"))
+    return [
+        F.min(F.when(member & price.isNotNull(), cheap)).alias("_cheapest"),
+        F.min(F.when(member, F.struct("distance_km", "site_id"))).alias("_nearest"),
+    ]
+
+
 def cheapest_tag(pool: DataFrame, price: Column) -> DataFrame:
-    """The cheapest row of the pool, and whether it is also the nearest. Two folds, no sort."""
-    cheap = F.min(F.when(price.isNotNull(), F.struct(price.alias("price"), "distance_km", "site_id")))
-    near = F.min(F.struct("distance_km", "site_id"))
+    """The cheapest row of the pool by (price, distance, site), and whether it is also the nearest."""
     return (
-        pool.agg(cheap.alias("_c"), near.alias("_n"))
-        .where(F.col("_c").isNotNull())
+        pool.agg(*tag_folds(price, F.lit(True)))
+        .where(F.col("_cheapest").isNotNull())
         .select(
-            F.col("_c.site_id").alias("site_id"),
-            F.col("_c.price").alias("price"),
-            F.col("_c.distance_km").alias("distance_km"),
-            (F.col("_c.site_id") == F.col("_n.site_id")).alias("also_nearest"),
+            F.col("_cheapest.site_id").alias("site_id"),
+            F.col("_cheapest.price").alias("price"),
+            F.col("_cheapest.distance_km").alias("distance_km"),
+            (F.col("_cheapest.site_id") == F.col("_nearest.site_id")).alias("also_nearest"),
         )
     )
 

@@ -43,38 +43,48 @@ def start(rows: DataFrame, search: Search) -> Search:
     return replace(search, radius_km=radius, sort="distance", visible=listing.PAGE_SIZE)
 
 
-def pool_of(rows: DataFrame, search: Search) -> DataFrame:
-    if search.origin is not None:
-        return listing.within_radius(rows, search.origin, search.radius_km)
-    return rows.where(F.col("district") == F.lit(search.district))
-
-
 def run(rows: DataFrame, search: Search) -> Results:
-    """One page of ordered rows plus the flags the page shows.
+    """One page of ordered rows plus the flags the page shows, in two passes over the site rows.
 
-    Only counts and the page itself leave the cluster; the page is a top-k, never a full sort.
+    The first folds everything the flags need into one row; the second is a top-k. Only that row and
+    the page, whose size the caller chose, reach the driver.
     """
     around = search.origin is not None
     price = F.col(f"price_{search.product}")["price"]
-    pool = pool_of(rows, search)
-    has_prices = rows.where("has_price").limit(1).count() > 0
+    if around:
+        located = listing.with_distance(rows, search.origin)
+        listing.check_radius(search.radius_km)
+        member = F.col("distance_km") <= search.radius_km
+    else:
+        located = rows.withColumn("distance_km", F.lit(None).cast("double"))
+        member = F.coalesce(F.col("district") == F.lit(search.district), F.lit(False))
+    facts = located.agg(
+        F.coalesce(F.bool_or("has_price"), F.lit(False)).alias("has_prices"),
+        F.count_if(member).alias("total"),
+        *listing.inert_counts(),
+        *listing.tag_folds(price, member),
+    ).first()
+    has_prices, total = facts["has_prices"], facts["total"]
     by_price = not around or (has_prices and search.sort == "price")
-    total = pool.count()
     size = listing.shown(search.visible, total)
     keys = listing.order_keys("price" if by_price else "distance", price)
-    page = pool.orderBy(*keys).limit(size)
-    comparable = page.where("has_price").count()
-    items = page.withColumns({"cheapest": F.lit(False), "also_nearest": F.lit(False)})
-    if around and comparable > 1:
-        tag = listing.cheapest_tag(pool, price).first()
-        if tag is not None:
-            mine = F.col("site_id") == F.lit(tag["site_id"])
-            items = page.withColumns({"cheapest": mine, "also_nearest": mine & F.lit(tag["also_nearest"])})
-    inert = None
+    pool = located.where(member)
     if around:
-        inert = listing.radius_is_inert(listing.with_distance(rows, search.origin)).first()["inert"]
+        pool = pool.where(listing.near(search.origin, search.radius_km))
+    page = pool.orderBy(*keys).limit(size)
+    taken = page.collect()
+    comparable = sum(row["has_price"] for row in taken)
+    items = rows.sparkSession.createDataFrame(taken, page.schema).withColumns(
+        {"cheapest": F.lit(False), "also_nearest": F.lit(False)}
+    )
+    if around and comparable > 1 and facts["_cheapest"] is not None:
+        best = facts["_cheapest"]["site_id"]
+        mine = F.col("site_id") == F.lit(best)
+        nearest = facts["_nearest"]["site_id"] == best
+        items = items.withColumns({"cheapest": mine, "also_nearest": mine & F.lit(nearest)})
+    criterion = "price" if search.sort == "price" or not around else "distance"
     return Results(
-        items.orderBy(*keys),
+        items,
         {
             "total": total,
             "shown": size,
@@ -84,9 +94,9 @@ def run(rows: DataFrame, search: Search) -> Results:
             "comparable": comparable,
             "sort_toggle": around and comparable >= 2,
             "product_toggle": len(search.products) > 1 and by_price and comparable >= 2,
-            "radius_inert": inert,
+            "radius_inert": facts["near"] == facts["far"] if around else None,
             "radius_empty": around and size == 0,
             "district_empty": not around and total == 0,
-            "criterion": "none" if not has_prices else ("price" if search.sort == "price" or not around else "distance"),
+            "criterion": criterion if has_prices else "none",
         },
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 # Settings that change results or the physical plan; everything else is the cluster's business.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
