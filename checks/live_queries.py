@@ -110,7 +110,7 @@ def unit_accepted_rows(spark, sf_dir):
 
 _STATE_SQL = """
 prev AS (SELECT user_id % 43 AS d, event_type AS product, max(ts) AS observed_at, count(*) AS total FROM events
-         WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2 HAVING max(value) > 430),
+         WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2 HAVING max(value) > 120),
 att AS (SELECT user_id % 43 AS d, event_type AS product, day(ts) AS seq, max(ts) AS observed_at, count(*) AS total,
                CASE WHEN (user_id % 43 + day(ts)) % 4 = 0 THEN 'sin_tabla' ELSE 'ok' END AS status
         FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1, 2, 3, 6),
@@ -139,7 +139,7 @@ def _previous(spark, sf_dir):
         .agg(
             F.max("ts").alias("observed_at"), F.count(F.lit(1)).alias("announced_total"), F.max("value").alias("_top")
         )
-        .where("_top > 430")
+        .where("_top > 120")
         .select(
             "district_code",
             "product",
