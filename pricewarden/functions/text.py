@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -41,6 +42,11 @@ def _folding_pairs() -> tuple[str, str]:
     return "".join(composed), "".join(bases)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times in `body`; keeps long text rules linear in size."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_accents(col: Column) -> Column:
     composed, bases = _folding_pairs()
     return F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), composed, bases), COMBINING_MARKS, "")
