@@ -267,7 +267,8 @@ links AS (SELECT v.product, v.key_hash, CASE WHEN v.n > 1 OR o.n > 1 THEN 'ambig
 
 
 def _links(spark, sf_dir):
-    keyed = S.table(spark, sf_dir, "documents").select(
+    docs = S.documents(spark, sf_dir, "doc_id", "lang", "source", "text", "n_chars")
+    keyed = docs.select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("product"),
         F.col("n_chars").cast("double").alias("price"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.registry import query
 from pricewarden.operators import matching
+from pricewarden.plans.identity import match_places
 
 STREETS = ("JAVIER PRADO", "TUPAC AMARU", "UNIVERSITARIA", "LA MARINA", "BENAVIDES")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -91,7 +92,7 @@ def neighbour_count(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    return matching.corroborate(matching.spatial_pairs(_places(spark, sf_dir), _sites(spark, sf_dir)))
+    return matching.scored_pairs(_places(spark, sf_dir), _sites(spark, sf_dir))
 
 
 @query(
@@ -133,8 +134,7 @@ def match_assign(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
-    return matching.match_status(matching.with_margin(scored, matching.greedy_assign(scored)))
+    return match_places(_places(spark, sf_dir), _sites(spark, sf_dir))
 
 
 @query(

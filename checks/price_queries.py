@@ -50,14 +50,13 @@ SELECT id::BIGINT AS id, eff_price::DOUBLE AS price, source, eff_us::BIGINT AS a
        reason FROM evaluated""",
 )
 def effective_price(spark, sf_dir):
-    chosen = S.offers(spark, sf_dir).select("id", pricing.effective_price(pricing.instant_lit(NOW)).alias("e"))
-    return chosen.select(
+    return pricing.effective_price(S.offers(spark, sf_dir), NOW).select(
         "id",
-        "e.price",
-        "e.source",
-        F.unix_micros("e.at").alias("at_us"),
-        F.round("e.age_days", 6).alias("age_days"),
-        "e.reason",
+        F.col("effective_price").alias("price"),
+        F.col("price_source").alias("source"),
+        F.unix_micros("price_at").alias("at_us"),
+        F.round("age_days", 6).alias("age_days"),
+        F.col("price_reason").alias("reason"),
     )
 
 

@@ -153,7 +153,7 @@ SELECT doc_id, unnest([
 SELECT doc_id::BIGINT AS doc_id, kind FROM f WHERE kind IS NOT NULL""",
 )
 def sensitive_scan(spark, sf_dir):
-    return quality.sensitive_scan(S.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return quality.sensitive_scan(S.documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
 
 
 # --- versions -----------------------------------------------------------------------------------

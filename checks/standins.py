@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewarden.config import GALLONS, ProductRule
-from pricewarden.session import prepare
+from pricewarden.session import prepare, spread
 
 PRODUCTS = ("click", "error", "purchase", "signup", "view")
 CUTOFF = "2024-01-28 00:00:00"
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Whole texts, spread over the cores if the file is one split."""
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def cutoff():
     return F.lit(CUTOFF).cast("timestamp")
 

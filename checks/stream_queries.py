@@ -13,7 +13,7 @@ from checks.registry import query
 from pricewarden.functions import addresses
 from pricewarden.functions.address_parts import PARTS, address_parts
 from pricewarden.operators import directories
-from pricewarden.session import checkpoint_root
+from pricewarden.session import checkpoint_root, cut_lineage
 from pricewarden.streaming import daily, state
 
 RUN_AT = datetime(2024, 1, 30, 12)
@@ -88,7 +88,7 @@ def streaming_daily(spark, sf_dir):
 
 
 def _lines(spark, sf_dir):
-    docs = S.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    docs = S.documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return docs.where("text <> ''")
 
 
@@ -108,7 +108,7 @@ def display_address(spark, sf_dir):
 @query("display_name")
 def display_name(spark, sf_dir):
     name = F.concat(F.col("source"), F.lit(" "), F.substring_index("text", " ", 3), F.lit(" GLP"))
-    docs = S.table(spark, sf_dir, "documents")
+    docs = S.documents(spark, sf_dir, "doc_id", "source", "text")
     return docs.select("doc_id", addresses.display_name(name, F.lit(False)).alias("public_site_name"))
 
 
@@ -189,8 +189,8 @@ SELECT 'd#' || w.p::VARCHAR AS entry_key, w.s::BIGINT AS site_id FROM w JOIN tol
 WHERE lat_m <= 1000 AND lon_m <= 1000""",
 )
 def window_pairs(spark, sf_dir):
-    entries = directories.entry_features(_entries(spark, sf_dir))
-    sites = directories.site_features(_directory_sites(spark, sf_dir))
+    entries = cut_lineage(directories.entry_features(_entries(spark, sf_dir)))
+    sites = cut_lineage(directories.site_features(_directory_sites(spark, sf_dir)))
     return directories.window_pairs(entries, sites).select("entry_key", "site_id")
 
 
@@ -202,6 +202,6 @@ SELECT 'd#' || w.p::VARCHAR AS entry_key,
 FROM w GROUP BY 1""",
 )
 def window_presence(spark, sf_dir):
-    entries = directories.entry_features(_entries(spark, sf_dir))
-    sites = directories.site_features(_directory_sites(spark, sf_dir))
+    entries = cut_lineage(directories.entry_features(_entries(spark, sf_dir)))
+    sites = cut_lineage(directories.site_features(_directory_sites(spark, sf_dir)))
     return directories.window_presence(entries, sites)

@@ -8,9 +8,11 @@ that is merely a reference) and whether a number read now would be a door.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,6 +268,10 @@ def read_words(text: str | None) -> dict[str, list[str]]:
     return _Reader((text or "").split()).read()
 
 
+# Workers need not have this package installed: the reader travels with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @F.pandas_udf(PARTS_SCHEMA)
 def _parts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for words in batches:

@@ -69,27 +69,46 @@ def _pack(band: Column, cell: Column) -> Column:
 
 def grid_cell(lat: Column, lon: Column, height_deg: Column | float) -> Column:
     height = F.lit(height_deg) if isinstance(height_deg, float) else height_deg
-    band = F.floor(lat / height)
-    count = _cells_in_band(band, height)
+    count = _cells_in_band(F.floor(lat / height), height)
     cell = F.floor((lon + 180.0) / 360.0 * count)
-    return _pack(band, F.pmod(cell, count))
+    return _pack(F.floor(lat / height), F.pmod(cell, count))
 
 
 def grid_probe(
     lat: Column, lon: Column, half_lat_deg: Column, half_lon_deg: Column, height_deg: Column | float
 ) -> Column:
-    """Ids of every cell that the box around a point touches, each once."""
-    height = F.lit(height_deg) if isinstance(height_deg, float) else height_deg
-    low = F.floor((lat - half_lat_deg) / height)
-    high = F.floor((lat + half_lat_deg) / height)
+    """Ids of every cell that the box around a point touches, each once.
 
-    def in_band(band: Column) -> Column:
-        count = _cells_in_band(band, height)
-        west = F.floor((lon - half_lon_deg + 180.0) / 360.0 * count)
-        east = F.least(F.floor((lon + half_lon_deg + 180.0) / 360.0 * count), west + count - 1)
-        return F.transform(F.sequence(west, east), lambda cell: _pack(band, F.pmod(cell, count)))
+    The box is computed once per row and named, so the nested loops over bands and cells only refer to it.
+    """
+    height = F.lit(height_deg) if isinstance(height_deg, float) else height_deg
+    box = F.struct(
+        height.alias("height"),
+        F.floor((lat - half_lat_deg) / height).alias("low"),
+        F.floor((lat + half_lat_deg) / height).alias("high"),
+        ((lon - half_lon_deg + 180.0) / 360.0).alias("west"),
+        ((lon + half_lon_deg + 180.0) / 360.0).alias("east"),
+    )
 
-    return F.array_distinct(F.flatten(F.transform(F.sequence(low, high), in_band)))
+    def cells(b: Column) -> Column:
+        bands = F.transform(
+            F.sequence(b["low"], b["high"]),
+            lambda band: F.struct(band.alias("band"), _cells_in_band(band, b["height"]).alias("count")),
+        )
+        return F.flatten(
+            F.transform(
+                bands,
+                lambda n: F.transform(
+                    F.sequence(
+                        F.floor(b["west"] * n["count"]),
+                        F.least(F.floor(b["east"] * n["count"]), F.floor(b["west"] * n["count"]) + n["count"] - 1),
+                    ),
+                    lambda cell: _pack(n["band"], F.pmod(cell, n["count"])),
+                ),
+            )
+        )
+
+    return F.array_distinct(F.get(F.transform(F.array(box), cells), F.lit(0)))
 
 
 def grid_height(metres: float) -> float:

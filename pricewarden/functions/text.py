@@ -10,8 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 COMBINING_MARKS = "[\\u0300-\\u036f]"
-# The characters the source system counts as white space.
-WHITE_SPACE = "[\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+# The characters the source system counts as white space besides the plain blank.
+ODD_SPACE = "\\t\\n\\x0B\\f\\r\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+# Runs of white space that are not already one plain blank: most texts have few, so little is replaced.
+BLANK_RUNS = f" [ {ODD_SPACE}]+|[{ODD_SPACE}][ {ODD_SPACE}]*"
 LINK_SCHEME = "facilito-link-v1"
 MOJIBAKE = (
     ("Ã‘", "Ñ"),
@@ -53,7 +55,7 @@ def strip_accents(col: Column) -> Column:
 
 
 def squeeze(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, WHITE_SPACE + "+", " "))
+    return F.trim(F.regexp_replace(col, BLANK_RUNS, " "))
 
 
 def fold(col: Column) -> Column:
@@ -68,10 +70,12 @@ def link_text(col: Column) -> Column:
 
 def link_key(legal_name: Column, address: Column, district: Column, scheme: str = LINK_SCHEME) -> Column:
     """32 hex digits of the normalised triple, or null if any part is empty."""
-    parts = [link_text(part) for part in (legal_name, address, district)]
-    body = F.concat(F.lit(f"{scheme}|"), F.to_json(F.array(*parts)))
-    complete = (parts[0] != "") & (parts[1] != "") & (parts[2] != "")
-    return F.when(complete, F.substring(F.sha2(body, 256), 1, 32))
+
+    def key(parts: Column) -> Column:
+        body = F.concat(F.lit(f"{scheme}|"), F.to_json(parts))
+        return F.when(~F.array_contains(parts, F.lit("")), F.substring(F.sha2(body, 256), 1, 32))
+
+    return let(F.array(*[link_text(part) for part in (legal_name, address, district)]), key)
 
 
 def repair_mojibake(col: Column) -> Column:
@@ -86,8 +90,10 @@ def plain_upper(col: Column) -> Column:
 
 
 def canonical_region(col: Column) -> Column:
-    name = squeeze(plain_upper(col))
-    expr = name
-    for alias, target in REGION_ALIASES.items():
-        expr = F.when(name == alias, F.lit(target)).otherwise(expr)
-    return expr
+    def known(name: Column) -> Column:
+        expr = name
+        for alias, target in REGION_ALIASES.items():
+            expr = F.when(name == alias, F.lit(target)).otherwise(expr)
+        return expr
+
+    return let(squeeze(plain_upper(col)), known)

@@ -66,10 +66,10 @@ def tolerance_m(places: Column) -> Column:
     )
 
 
-def stratum(entry_district: Column, latitude: Column, longitude: Column) -> Column:
-    precision = F.least(decimals(latitude), decimals(longitude))
+def stratum(region: Column, precision: Column) -> Column:
+    """How an entry is sampled: by its declared district, else by how precise its coordinate is."""
     return (
-        F.when(canonical_region(entry_district) != "", F.lit(R.STRATUM_DISTRICT))
+        F.when(region != "", F.lit(R.STRATUM_DISTRICT))
         .when(precision >= 3, F.lit(R.STRATUM_PRECISE))
         .when(precision == 2, F.lit(R.STRATUM_APPROXIMATE))
         .otherwise(F.lit(R.STRATUM_USELESS))
@@ -101,17 +101,25 @@ def name_words(col: Column) -> Column:
 def entry_features(entries: DataFrame) -> DataFrame:
     lat, lon = F.col("latitude"), F.col("longitude")
     finite = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
-    return entries.select(
+    read = entries.withColumns(
+        {
+            "located": finite,
+            "_lat_d": decimals(lat),
+            "_lon_d": decimals(lon),
+            "region": canonical_region(F.col("district")),
+        }
+    )
+    return read.select(
         "entry_key",
         "directory",
         "brand",
         "latitude",
         "longitude",
-        finite.alias("located"),
-        F.when(finite, tolerance_m(decimals(lat))).alias("lat_m"),
-        F.when(finite, tolerance_m(decimals(lon))).alias("lon_m"),
-        canonical_region(F.col("district")).alias("region"),
-        stratum(F.col("district"), lat, lon).alias("stratum"),
+        "located",
+        F.when(F.col("located"), tolerance_m(F.col("_lat_d"))).alias("lat_m"),
+        F.when(F.col("located"), tolerance_m(F.col("_lon_d"))).alias("lon_m"),
+        "region",
+        stratum(F.col("region"), F.least("_lat_d", "_lon_d")).alias("stratum"),
         address_parts(F.col("address")).alias("parts"),
         name_words(F.col("name")).alias("names"),
         plain_upper(F.col("brand")).alias("brand_key"),

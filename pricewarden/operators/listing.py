@@ -21,34 +21,53 @@ def site_rows(evaluated: DataFrame, products: Sequence[str], attributes: Sequenc
     """One row per site from visible offers of every product.
 
     Attributes come from the first offer in (fresh before expired, product order, offer id); a product's
-    price from its last fresh offer by id. Everything folds in one hash aggregation, so a site with any
-    number of offers is combined before the shuffle.
+    price from its last fresh offer by id. Offers fold per (site, product) first, so the wide pivot only
+    sees one row per product and a site with any number of offers is combined before the shuffle.
     """
     position = F.array_position(F.array(*[F.lit(p) for p in products]), F.col("product"))
     fresh = F.col("state") == "fresh"
-    order = F.struct((~fresh).alias("late"), position.alias("position"), F.col("id").alias("id"))
-    rows = evaluated.where(F.col("state") != "hidden").withColumns({"_order": order, "_fresh": fresh})
     attributes = [a for a in attributes if a in evaluated.columns]
-
-    def price_of(product: str) -> Column:
-        cell = F.struct(
-            "id",
-            "price",
-            "reported_at",
-            "age_days",
-            F.col("price_source").alias("source"),
-            F.col("price_at").alias("at"),
+    cell = F.struct(
+        "id", "price", "reported_at", "age_days", F.col("price_source").alias("source"), F.col("price_at").alias("at")
+    )
+    per_product = (
+        evaluated.where(F.col("state") != "hidden")
+        .groupBy("site_id", "product")
+        .agg(
+            F.max(F.when(fresh, cell)).alias("_cell"),
+            F.min(F.struct((~fresh).alias("late"), "id", *attributes)).alias("_first"),
+            F.min(F.when(fresh, F.struct("age_days", "id", "price_source"))).alias("_age"),
+            F.min(F.struct("reported_age_days", (~fresh).alias("late"), "id", "reported_at")).alias("_silence"),
+            F.max("live_observed_at").alias("last_observed_at"),
         )
-        return F.max_by(cell, F.when(F.col("_fresh") & (F.col("product") == product), F.col("id")))
-
-    age = F.struct("age_days", "_order", "price_source")
-    silence = F.struct("reported_age_days", "_order", "reported_at")
-    folded = rows.groupBy("site_id").agg(
-        F.min(F.struct("_order", *attributes)).alias("_first"),
-        *[price_of(p).alias(f"price_{p}") for p in products],
-        F.min(F.when(F.col("_fresh"), age)).alias("_age"),
-        F.min(F.when(F.col("reported_age_days").isNotNull(), silence)).alias("_silence"),
-        F.max("live_observed_at").alias("last_observed_at"),
+        .withColumn("_position", position)
+    )
+    silence = F.col("_silence")
+    folded = per_product.groupBy("site_id").agg(
+        F.min(
+            F.struct(
+                F.col("_first.late"), F.col("_position"), *[F.col(f"_first.{c}").alias(c) for c in ("id", *attributes)]
+            )
+        ).alias("_first"),
+        *[F.max(F.when(F.col("product") == p, F.col("_cell"))).alias(f"price_{p}") for p in products],
+        F.min(
+            F.when(
+                F.col("_age").isNotNull(), F.struct("_age.age_days", "_position", "_age.id", "_age.price_source")
+            )
+        ).alias("_age"),
+        F.min(
+            F.when(
+                silence["reported_age_days"].isNotNull(),
+                F.struct(
+                    silence["reported_age_days"].alias("days"),
+                    silence["late"].alias("late"),
+                    F.col("_position"),
+                    silence["id"].alias("id"),
+                    silence["reported_at"].alias("at"),
+                ),
+            )
+        ).alias("_silence"),
+        F.max("last_observed_at").alias("last_observed_at"),
     )
     has_price = F.lit(False)
     for product in products:
@@ -59,8 +78,8 @@ def site_rows(evaluated: DataFrame, products: Sequence[str], attributes: Sequenc
         *[f"price_{p}" for p in products],
         F.col("_age.age_days").alias("age_days"),
         F.col("_age.price_source").alias("age_source"),
-        F.col("_silence.reported_age_days").alias("silent_days"),
-        F.col("_silence.reported_at").alias("last_reported_at"),
+        F.col("_silence.days").alias("silent_days"),
+        F.col("_silence.at").alias("last_reported_at"),
         "last_observed_at",
         has_price.alias("has_price"),
     )

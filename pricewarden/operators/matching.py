@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricewarden.functions import addresses as A
 from pricewarden.functions import geo
 from pricewarden.functions.skew import split_join
+from pricewarden.functions.text import fold
 from pricewarden.session import cut_lineage
 
 CANDIDATE_M = 150.0
@@ -145,32 +146,64 @@ def neighbour_counts(sites: DataFrame, metres: float, radius: float = geo.EARTH_
 # --- corroboration ------------------------------------------------------------------------------
 
 
-def corroborate(pairs: DataFrame) -> DataFrame:
-    """Text signals of a pair, their weights and the score: nearness plus everything that agrees.
+def place_features(places: DataFrame) -> DataFrame:
+    """What a place says of itself, computed once per place and carried into its pairs.
 
-    pairs  place_address, place_name, place_brand, site_address, legal_name, distance_m
+    places  place_id, place_address, place_name, place_brand, latitude, longitude
     """
-    doors = F.array_intersect(A.door_numbers(F.col("place_address")), A.door_numbers(F.col("site_address")))
-    street = F.array_intersect(A.street_words(F.col("place_address")), A.street_words(F.col("site_address")))
-    name = F.array_intersect(A.street_words(F.col("place_name")), A.street_words(F.col("legal_name")))
-    operator = A.operator_brand(F.col("legal_name"))
-    weights = {
-        "door_weight": F.when(F.size(doors) > 0, F.lit(50)).otherwise(F.lit(0)),
-        "street_weight": F.when(F.size(street) >= 2, F.lit(20))
-        .when(F.size(street) == 1, F.lit(8))
-        .otherwise(F.lit(0)),
-        "name_weight": F.when(F.size(name) > 0, F.lit(45)).otherwise(F.lit(0)),
-        "brand_weight": F.when(A.same_name(operator, F.col("place_brand")), F.lit(25)).otherwise(F.lit(0)),
-    }
-    weighed = pairs.withColumns(weights)
-    total = F.col("door_weight") + F.col("street_weight") + F.col("name_weight") + F.col("brand_weight")
-    strongest = F.greatest(*[F.col(name) for name in weights])
-    return weighed.withColumns(
+    return places.select(
+        "place_id",
+        "latitude",
+        "longitude",
+        A.door_numbers(F.col("place_address")).alias("place_doors"),
+        A.street_words(F.col("place_address")).alias("place_streets"),
+        A.street_words(F.col("place_name")).alias("place_names"),
+        fold(F.col("place_brand")).alias("place_brand_key"),
+    )
+
+
+def site_features(sites: DataFrame) -> DataFrame:
+    """sites  site_id, site_address, legal_name, latitude, longitude"""
+    return sites.select(
+        "site_id",
+        "latitude",
+        "longitude",
+        A.door_numbers(F.col("site_address")).alias("site_doors"),
+        A.street_words(F.col("site_address")).alias("site_streets"),
+        A.street_words(F.col("legal_name")).alias("site_names"),
+        fold(A.operator_brand(F.col("legal_name"))).alias("operator_key"),
+    )
+
+
+def corroborate(pairs: DataFrame) -> DataFrame:
+    """Text signals of a pair of features, their weights and the score: nearness plus all that agrees."""
+    shared = F.size(F.array_intersect("place_streets", "site_streets"))
+    weighed = pairs.withColumn("_shared", shared).withColumns(
         {
-            "score": F.greatest(F.lit(0.0), 100 - F.col("distance_m") / 2) + total,
-            "confirmed": strongest >= CONFIRMING_WEIGHT,
+            "door_weight": F.when(F.arrays_overlap("place_doors", "site_doors"), F.lit(50)).otherwise(F.lit(0)),
+            "street_weight": F.when(F.col("_shared") >= 2, F.lit(20))
+            .when(F.col("_shared") == 1, F.lit(8))
+            .otherwise(F.lit(0)),
+            "name_weight": F.when(F.arrays_overlap("place_names", "site_names"), F.lit(45)).otherwise(F.lit(0)),
+            "brand_weight": F.when(
+                (F.col("operator_key") != "") & (F.col("operator_key") == F.col("place_brand_key")), F.lit(25)
+            ).otherwise(F.lit(0)),
         }
     )
+    weights = ["door_weight", "street_weight", "name_weight", "brand_weight"]
+    total = F.col("door_weight") + F.col("street_weight") + F.col("name_weight") + F.col("brand_weight")
+    return weighed.select(
+        "place_id",
+        "site_id",
+        "distance_m",
+        *weights,
+        (F.greatest(F.lit(0.0), 100 - F.col("distance_m") / 2) + total).alias("score"),
+        (F.greatest(*weights) >= CONFIRMING_WEIGHT).alias("confirmed"),
+    )
+
+
+def scored_pairs(places: DataFrame, sites: DataFrame) -> DataFrame:
+    return corroborate(spatial_pairs(place_features(places), site_features(sites)))
 
 
 # --- assignment ---------------------------------------------------------------------------------

@@ -46,39 +46,53 @@ def age_days(at: Column, as_of: Column) -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(float(DAY_MICROS))
 
 
-def effective_price(as_of: Column) -> Column:
-    """struct<price, source, at, age_days, reason> for one offer row. Both windows are inclusive."""
-    reported, observed = F.col("reported_at"), F.col("live_observed_at")
-    csv_age = F.when(positive(F.col("price")), age_days(reported, as_of))
-    csv_ok = F.coalesce(csv_age.between(0, MAX_REPORT_DAYS), F.lit(False))
-    live_age = F.when(positive(F.col("live_price")), age_days(observed, as_of))
-    live_ok = F.coalesce((live_age >= 0) & (live_age * 24 <= MAX_LIVE_HOURS), F.lit(False))
-
-    def answer(price: Column, source: str | None, at: Column, age: Column, reason: str) -> Column:
-        return F.struct(
-            price.cast("double").alias("price"),
-            F.lit(source).cast("string").alias("source"),
-            at.cast("timestamp").alias("at"),
-            age.cast("double").alias("age_days"),
-            F.lit(reason).alias("reason"),
-        )
-
-    nothing = F.lit(None)
-
-    def from_csv(reason: str) -> Column:
-        return answer(F.col("price"), CSV, reported, csv_age, reason)
-
-    def none(reason: str) -> Column:
-        return answer(nothing, None, nothing, nothing, reason)
-
-    return (
-        F.when(csv_ok & F.coalesce(reported > observed, F.lit(False)), from_csv(R.CSV_AFTER_LIVE))
-        .when(live_ok, answer(F.col("live_price"), LIVE, observed, live_age, R.LIVE_CURRENT))
-        .when(csv_ok, from_csv(R.CSV_CURRENT))
-        .when(F.coalesce(csv_age < 0, F.lit(False)), none(R.CSV_FUTURE))
-        .when(csv_age.isNotNull(), none(R.CSV_EXPIRED))
-        .otherwise(none(R.NO_PRICE))
+def choose(offers: DataFrame, as_of: Column) -> DataFrame:
+    """Add `_csv_age`, `_live_age` and `price_reason`, which says which price holds and why.
+
+    Both windows are inclusive. Everything is arithmetic on the row, so it stays in generated code.
+    """
+    aged = offers.withColumns(
+        {
+            "_csv_age": F.when(positive(F.col("price")), age_days(F.col("reported_at"), as_of)),
+            "_live_age": F.when(positive(F.col("live_price")), age_days(F.col("live_observed_at"), as_of)),
+        }
+    )
+    csv_ok = F.col("_csv_age").between(0, MAX_REPORT_DAYS)
+    live_ok = (F.col("_live_age") >= 0) & (F.col("_live_age") * 24 <= MAX_LIVE_HOURS)
+    reason = (
+        F.when(csv_ok & (F.col("reported_at") > F.col("live_observed_at")), F.lit(R.CSV_AFTER_LIVE))
+        .when(live_ok, F.lit(R.LIVE_CURRENT))
+        .when(csv_ok, F.lit(R.CSV_CURRENT))
+        .when(F.col("_csv_age") < 0, F.lit(R.CSV_FUTURE))
+        .when(F.col("_csv_age").isNotNull(), F.lit(R.CSV_EXPIRED))
+        .otherwise(F.lit(R.NO_PRICE))
     )
+    return aged.withColumn("price_reason", reason)
+
+
+def _from_live() -> Column:
+    return F.col("price_reason") == R.LIVE_CURRENT
+
+
+def _from_csv() -> Column:
+    return F.col("price_reason").isin(R.CSV_AFTER_LIVE, R.CSV_CURRENT)
+
+
+def effective_source() -> Column:
+    return F.when(_from_live(), F.lit(LIVE)).when(_from_csv(), F.lit(CSV))
+
+
+def effective_price(offers: DataFrame, as_of: datetime) -> DataFrame:
+    """Each offer with `effective_price`, `price_source`, `price_at`, `age_days` and `price_reason`."""
+    chosen = choose(offers, instant_lit(as_of))
+    return chosen.withColumns(
+        {
+            "effective_price": F.when(_from_live(), F.col("live_price")).when(_from_csv(), F.col("price")),
+            "price_source": effective_source(),
+            "price_at": F.when(_from_live(), F.col("live_observed_at")).when(_from_csv(), F.col("reported_at")),
+            "age_days": F.when(_from_live(), F.col("_live_age")).when(_from_csv(), F.col("_csv_age")),
+        }
+    ).drop("_csv_age", "_live_age")
 
 
 def evaluate(offers: DataFrame, as_of: datetime, cutoff_at: datetime) -> DataFrame:
@@ -87,58 +101,51 @@ def evaluate(offers: DataFrame, as_of: datetime, cutoff_at: datetime) -> DataFra
     Expired rows keep the reported price, because a site that stopped reporting still exists.
     """
     check_clock(as_of, cutoff_at)
-    now = instant_lit(as_of)
-    priced = offers.withColumn("_e", effective_price(now)).withColumn(
-        "reported_age_days", age_days(F.col("reported_at"), now)
-    )
+    reported_age = age_days(F.col("reported_at"), instant_lit(as_of))
+    priced = effective_price(offers, as_of).withColumn("reported_age_days", reported_age)
     state = (
-        F.when(F.col("_e.price").isNotNull(), F.lit("fresh"))
+        F.when(F.col("price_source").isNotNull(), F.lit("fresh"))
         .when(F.col("reported_age_days") > MAX_REPORT_DAYS, F.lit("expired"))
         .otherwise(F.lit("hidden"))
     )
     return priced.withColumns(
         {
             "state": state,
-            "price": F.coalesce(F.col("_e.price"), F.col("price")),
-            "price_source": F.col("_e.source"),
-            "price_at": F.col("_e.at"),
-            "age_days": F.coalesce(F.col("_e.age_days"), F.col("reported_age_days")),
-            "price_reason": F.col("_e.reason"),
+            "price": F.coalesce(F.col("effective_price"), F.col("price")),
+            "age_days": F.coalesce(F.col("age_days"), F.col("reported_age_days")),
         }
-    ).drop("_e")
+    ).drop("effective_price")
 
 
 def visible(evaluated: DataFrame) -> DataFrame:
     return evaluated.where(F.col("state") != "hidden")
 
 
-def micros_until_change(as_of: Column) -> Column:
-    """Microseconds until the answer for an offer may change; null when it never will."""
-    now = F.unix_micros(as_of)
-    live_left = F.when(
-        effective_price(as_of)["source"] == LIVE,
-        F.unix_micros("live_observed_at") + MAX_LIVE_HOURS * HOUR_MICROS - now,
-    )
+def micros_until_change(offers: DataFrame, as_of: datetime) -> DataFrame:
+    """Add `until_change`: microseconds until an offer's answer may change; null when it never will."""
+    now = instant_lit(as_of)
+    moment = F.unix_micros(now)
+    live_left = F.when(_from_live(), F.unix_micros("live_observed_at") + MAX_LIVE_HOURS * HOUR_MICROS - moment)
     report_left = F.when(
-        F.col("reported_at") <= as_of, F.unix_micros("reported_at") + MAX_REPORT_DAYS * DAY_MICROS - now
+        F.col("reported_at") <= now, F.unix_micros("reported_at") + MAX_REPORT_DAYS * DAY_MICROS - moment
     )
     # least() skips nulls in Spark, so an expired or missing bound simply does not take part.
-    return F.least(F.when(live_left > 0, live_left), F.when(report_left > 0, report_left))
+    left = F.least(F.when(live_left > 0, live_left), F.when(report_left > 0, report_left))
+    return choose(offers, now).withColumn("until_change", left).drop("_csv_age", "_live_age", "price_reason")
 
 
 def next_change(offers: DataFrame, as_of: datetime, cutoff_at: datetime) -> DataFrame:
     """The first instant after `as_of` at which any offer's answer may change."""
     check_clock(as_of, cutoff_at)
-    now = instant_lit(as_of)
-    soonest = F.min(micros_until_change(now))
-    return offers.agg(F.timestamp_micros(F.unix_micros(now) + soonest).alias("refresh_at"))
+    soonest = F.unix_micros(instant_lit(as_of)) + F.min("until_change")
+    return micros_until_change(offers, as_of).agg(F.timestamp_micros(soonest).alias("refresh_at"))
 
 
 def effective_source_counts(offers: DataFrame, by: Sequence[str], now: datetime, cutoff_at: datetime) -> DataFrame:
     """Offers by effective source at the later of the clock and the cutoff."""
     at = instant_lit(max(instant(now), instant(cutoff_at)))
-    source = F.coalesce(effective_price(at)["source"], F.lit("none"))
-    return offers.groupBy(*by, source.alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    source = F.coalesce(effective_source(), F.lit("none")).alias("source")
+    return choose(offers, at).groupBy(*by, source).agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- comparing two versions ---------------------------------------------------------------------

@@ -16,7 +16,7 @@ def match_places(places: DataFrame, sites: DataFrame) -> DataFrame:
     sites   site_id, legal_name, site_address, latitude, longitude
     The scored pairs are read by every round, so they are materialised once.
     """
-    scored = cut_lineage(matching.corroborate(matching.spatial_pairs(places, sites)))
+    scored = cut_lineage(matching.scored_pairs(places, sites))
     taken = matching.greedy_assign(scored)
     return matching.match_status(matching.with_margin(scored, taken))
 

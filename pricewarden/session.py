@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise on reliable storage, so a lost executor never replays the whole history."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few unsplittable files over all cores, before work that is heavy per row.
+
+    Nothing moves when the scan already has a task for every core, as any large input does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
