@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.registry import query
 from pricewarden.operators import live
+from pricewarden.session import cut_lineage
 
 RUN_AT = datetime(2024, 1, 25, 6)
 NOW = datetime(2024, 1, 30, 12)
@@ -268,13 +269,14 @@ links AS (SELECT v.product, v.key_hash, CASE WHEN v.n > 1 OR o.n > 1 THEN 'ambig
 
 def _links(spark, sf_dir):
     docs = S.documents(spark, sf_dir, "doc_id", "lang", "source", "text", "n_chars")
-    keyed = docs.select(
+    keyed = docs.select(  # keys are stored beside their rows, so whole texts are read once
         F.col("doc_id").alias("id"),
         F.col("lang").alias("product"),
         F.col("n_chars").cast("double").alias("price"),
         F.lit("2024-01-30 00:00:00").cast("timestamp").alias("observed_at"),
         live.link_key(F.col("text"), F.col("source"), F.col("lang")).alias("key_hash"),
     )
+    keyed = cut_lineage(keyed)
     labelled = S.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     offers = keyed.join(labelled, "id", "left_semi").select("id", "product", "key_hash")
     return live.link_keys(keyed.drop("id"), offers, NOW)

@@ -68,7 +68,7 @@ SELECT id::BIGINT AS id, state, coalesce(eff_price, price)::DOUBLE AS price, sou
 FROM evaluated WHERE state <> 'hidden'""",
 )
 def fresh_expired(spark, sf_dir):
-    rows = pricing.visible(pricing.evaluate(S.offers(spark, sf_dir), NOW, CUTOFF))
+    rows = pricing.evaluate(S.offers(spark, sf_dir), NOW, CUTOFF)
     return rows.select(
         "id",
         "state",

@@ -73,18 +73,26 @@ def row_sha256(df: DataFrame, exclude: tuple[str, ...] = ()) -> Column:
     return F.sha2(canonical_json(**fields), 256)
 
 
-def content_lanes(digest: Column) -> list[Column]:
-    """Sums of the eight 32-bit words of the row hashes.
+def content_digest(df: DataFrame, by: list[str], digest: Column, rows: str = "rows") -> DataFrame:
+    """Rows and hash of the content of each group, whatever its order and file layout.
 
-    A sum ignores order and counts repeats, and partial sums leave one row per task, so hashing a
-    table of any size needs no sort and no concatenation in one place.
+    The eight 32-bit words of the row hashes are added up: a sum ignores order, counts repeats and
+    leaves one row per task, so a table of any size needs no sort and no concatenation in one place.
+    Words add up as longs within 256 buckets and only then as decimals, which keeps the pass over the
+    rows in generated code and exact up to 2^31 rows per bucket; beyond that the sum fails, never wraps.
     """
-    return [
-        F.sum(F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("decimal(28,0)")).alias(f"lane_{lane}")
-        for lane in range(LANES)
+    names = [f"_lane_{lane}" for lane in range(LANES)]
+    words = [
+        F.sum(F.conv(F.substring("_sha", 1 + 8 * lane, 8), 16, 10).cast("long")).alias(name)
+        for lane, name in enumerate(names)
     ]
-
-
-def lanes_sha256(rows: Column) -> Column:
-    words = [F.col(f"lane_{lane}").cast("decimal(38,0)").cast("string") for lane in range(LANES)]
-    return F.sha2(F.concat_ws("|", rows.cast("string"), *words), 256)
+    bucketed = (
+        df.withColumn("_sha", digest)
+        .groupBy(*by, F.substring("_sha", 1, 2).alias("_bucket"))
+        .agg(F.count(F.lit(1)).alias("_rows"), *words)
+    )
+    totals = bucketed.groupBy(*by).agg(
+        F.sum("_rows").alias(rows), *[F.sum(F.col(n).cast("decimal(28,0)")).alias(n) for n in names]
+    )
+    texts = [F.col(n).cast("decimal(38,0)").cast("string") for n in names]
+    return totals.select(*by, rows, F.sha2(F.concat_ws("|", F.col(rows).cast("string"), *texts), 256).alias("sha256"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # The shapes the feeds use.
 NUMBER_SHAPE = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|Infinity)$"
 CAPTURED_PRICE = r"^(?:S/\s*)?(\d+(?:[.,]\d{1,4})?)$"
-INSTANT_SHAPE = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[ T](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?)?$"
+INSTANT_SHAPE = (
+    r"^\d{4}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])"
+    r"(?:[ T](?:(?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d|24:00:00)(?:\.\d+)?)?$"
+)
 SOURCE_OFFSET_SECONDS = 5 * 3600  # the feeds print local time at UTC-05:00
 
 
@@ -42,25 +45,17 @@ def parse_instant(col: Column) -> Column:
     """
     text = clean(col)
 
-    def part(index: int) -> Column:
-        found = F.regexp_extract(text, INSTANT_SHAPE, index)
-        return F.when(found == "", F.lit(0)).otherwise(found.try_cast("int"))
-
-    year, month, day, hour, minute, second = (part(i) for i in range(1, 7))
-    valid = (
-        text.rlike(INSTANT_SHAPE)
-        & month.between(1, 12)
-        & day.between(1, 31)
-        & ((hour <= 23) | ((hour == 24) & (minute == 0) & (second == 0)))
-        & (minute <= 59)
-        & (second <= 59)
-    )
-    first_day = F.make_date(
-        F.when(valid, year).otherwise(F.lit(1970)), F.when(valid, month).otherwise(F.lit(1)), F.lit(1)
-    )
-    days = F.unix_date(first_day).cast("long") + day - 1
-    seconds = days * 86400 + hour * 3600 + minute * 60 + second + SOURCE_OFFSET_SECONDS
-    return F.when(valid, F.timestamp_seconds(seconds))
+    def number(start: int, width: int) -> Column:
+        return F.substring(text, start, width).try_cast("int")
+
+    def clock(start: int) -> Column:
+        return F.coalesce(number(start, 2), F.lit(0))
+
+    # The shape fixes every position, so fields are cut out by place.
+    month_start = F.try_to_date(F.concat(F.substring(text, 1, 4), F.substring(text, 6, 2)), "yyyyMM")
+    days = F.unix_date(month_start).cast("long") + number(9, 2) - 1
+    seconds = days * 86400 + clock(12) * 3600 + clock(15) * 60 + clock(18) + SOURCE_OFFSET_SECONDS
+    return F.when(text.rlike(INSTANT_SHAPE), F.timestamp_seconds(seconds))
 
 
 def positive(col: Column) -> Column:

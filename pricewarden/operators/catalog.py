@@ -19,7 +19,7 @@ from pricewarden.functions.ids import brand_claim_sha256, name_claim_sha256
 from pricewarden.functions.stats import wilson_lower_bound
 from pricewarden.functions.text import fold
 from pricewarden.operators.matching import tier
-from pricewarden.operators.pricing import instant_lit, visible
+from pricewarden.operators.pricing import instant_lit
 
 EVIDENCE_DAYS = 365
 BRAND_THRESHOLD = 0.9
@@ -97,8 +97,7 @@ def stale_evidence(catalog: DataFrame, now: datetime) -> DataFrame:
 def brand_coverage(evaluated: DataFrame) -> DataFrame:
     """Per brand: sites, sites with a current price, sites with only an expired one. No distinct is expanded."""
     sites = (
-        visible(evaluated)
-        .groupBy("brand", "site_id")
+        evaluated.groupBy("brand", "site_id")
         .agg(
             F.bool_or(F.col("state") == "fresh").alias("_current"),
             F.count_if(F.col("state") == "fresh").alias("_fresh"),
@@ -116,7 +115,7 @@ def brand_coverage(evaluated: DataFrame) -> DataFrame:
 
 def coverage_totals(evaluated: DataFrame) -> DataFrame:
     """Sites seen, and sites with a brand on any of their offers."""
-    sites = visible(evaluated).groupBy("site_id").agg(F.bool_or(F.col("brand").isNotNull()).alias("_branded"))
+    sites = evaluated.groupBy("site_id").agg(F.bool_or(F.col("brand").isNotNull()).alias("_branded"))
     return sites.agg(
         F.count(F.lit(1)).alias("sites"),
         F.count_if("_branded").alias("with_brand"),

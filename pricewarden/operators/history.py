@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricewarden.functions.parse import positive
 from pricewarden.operators import pricing
 
 ZONE = "America/Lima"
@@ -30,10 +29,10 @@ def local_date(instant: Column, zone: str = ZONE) -> Column:
 def vote_per_site(evaluated: DataFrame, by: Sequence[str] = ("product",)) -> DataFrame:
     """One vote per site: its first offer by id, how many repeat it and how many contradict it.
 
-    Equal offers are counted together before sites are, so a site with a million copies is one row
+    A fresh offer has a usable price by definition; one without a site is a problem, not a vote. Equal offers are counted together before sites are, so a site with a million copies is one row
     per distinct statement after the first shuffle.
     """
-    usable = (F.col("state") == "fresh") & positive(F.col("price")) & F.col("site_id").isNotNull()
+    usable = (F.col("state") == "fresh") & F.col("site_id").isNotNull()
     said = (
         evaluated.where(usable)
         .groupBy(*by, "site_id", "price", "reported_at")
@@ -68,9 +67,7 @@ def daily_mean(evaluated: DataFrame, by: Sequence[str] = ("product",)) -> DataFr
         )
     )
     skipped = evaluated.groupBy(*by).agg(
-        F.count_if((F.col("state") == "fresh") & (F.col("site_id").isNull() | ~positive(F.col("price")))).alias(
-            "problems"
-        )
+        F.count_if((F.col("state") == "fresh") & F.col("site_id").isNull()).alias("problems")
     )
     zero = F.lit(0).cast("long")
     bad = F.coalesce(F.col("contradictions"), zero)

@@ -31,8 +31,7 @@ def site_rows(evaluated: DataFrame, products: Sequence[str], attributes: Sequenc
         "id", "price", "reported_at", "age_days", F.col("price_source").alias("source"), F.col("price_at").alias("at")
     )
     per_product = (
-        evaluated.where(F.col("state") != "hidden")
-        .groupBy("site_id", "product")
+        evaluated.groupBy("site_id", "product")
         .agg(
             F.max(F.when(fresh, cell)).alias("_cell"),
             F.min(F.struct((~fresh).alias("late"), "id", *attributes)).alias("_first"),

@@ -46,28 +46,45 @@ def age_days(at: Column, as_of: Column) -> Column:
     return (F.unix_micros(as_of) - F.unix_micros(at)) / F.lit(float(DAY_MICROS))
 
 
-def choose(offers: DataFrame, as_of: Column) -> DataFrame:
-    """Add `_csv_age`, `_live_age` and `price_reason`, which says which price holds and why.
+def csv_holds(as_of: Column) -> Column:
+    """The reported price counts: usable, not from the future and at most thirty days old.
 
-    Both windows are inclusive. Everything is arithmetic on the row, so it stays in generated code.
+    Plain comparisons of stored columns, so a filter on it reaches the scan instead of dragging the
+    whole price rule down with it.
     """
-    aged = offers.withColumns(
-        {
-            "_csv_age": F.when(positive(F.col("price")), age_days(F.col("reported_at"), as_of)),
-            "_live_age": F.when(positive(F.col("live_price")), age_days(F.col("live_observed_at"), as_of)),
-        }
+    at = F.col("reported_at")
+    return positive(F.col("price")) & F.coalesce(
+        at.between(as_of - F.expr(f"INTERVAL {MAX_REPORT_DAYS} DAYS"), as_of), F.lit(False)
     )
-    csv_ok = F.col("_csv_age").between(0, MAX_REPORT_DAYS)
-    live_ok = (F.col("_live_age") >= 0) & (F.col("_live_age") * 24 <= MAX_LIVE_HOURS)
-    reason = (
-        F.when(csv_ok & (F.col("reported_at") > F.col("live_observed_at")), F.lit(R.CSV_AFTER_LIVE))
-        .when(live_ok, F.lit(R.LIVE_CURRENT))
+
+
+def live_holds(as_of: Column) -> Column:
+    at = F.col("live_observed_at")
+    return positive(F.col("live_price")) & F.coalesce(
+        at.between(as_of - F.expr(f"INTERVAL {MAX_LIVE_HOURS} HOURS"), as_of), F.lit(False)
+    )
+
+
+def report_expired(as_of: Column) -> Column:
+    return F.coalesce(F.col("reported_at") < as_of - F.expr(f"INTERVAL {MAX_REPORT_DAYS} DAYS"), F.lit(False))
+
+
+def price_reason(as_of: Column) -> Column:
+    """Which price holds and why; the first rule that applies. Both windows are inclusive."""
+    csv_ok = csv_holds(as_of)
+    usable = positive(F.col("price")) & F.col("reported_at").isNotNull()
+    return (
+        F.when(csv_ok & F.coalesce(F.col("reported_at") > F.col("live_observed_at"), F.lit(False)), F.lit(R.CSV_AFTER_LIVE))
+        .when(live_holds(as_of), F.lit(R.LIVE_CURRENT))
         .when(csv_ok, F.lit(R.CSV_CURRENT))
-        .when(F.col("_csv_age") < 0, F.lit(R.CSV_FUTURE))
-        .when(F.col("_csv_age").isNotNull(), F.lit(R.CSV_EXPIRED))
+        .when(usable & (F.col("reported_at") > as_of), F.lit(R.CSV_FUTURE))
+        .when(usable, F.lit(R.CSV_EXPIRED))
         .otherwise(F.lit(R.NO_PRICE))
     )
-    return aged.withColumn("price_reason", reason)
+
+
+def choose(offers: DataFrame, as_of: Column) -> DataFrame:
+    return offers.withColumn("price_reason", price_reason(as_of))
 
 
 def _from_live() -> Column:
@@ -84,43 +101,38 @@ def effective_source() -> Column:
 
 def effective_price(offers: DataFrame, as_of: datetime) -> DataFrame:
     """Each offer with `effective_price`, `price_source`, `price_at`, `age_days` and `price_reason`."""
-    chosen = choose(offers, instant_lit(as_of))
-    return chosen.withColumns(
+    now = instant_lit(as_of)
+    chosen = choose(offers, now).withColumns(
         {
             "effective_price": F.when(_from_live(), F.col("live_price")).when(_from_csv(), F.col("price")),
             "price_source": effective_source(),
             "price_at": F.when(_from_live(), F.col("live_observed_at")).when(_from_csv(), F.col("reported_at")),
-            "age_days": F.when(_from_live(), F.col("_live_age")).when(_from_csv(), F.col("_csv_age")),
         }
-    ).drop("_csv_age", "_live_age")
+    )
+    return chosen.withColumn("age_days", age_days(F.col("price_at"), now))
 
 
 def evaluate(offers: DataFrame, as_of: datetime, cutoff_at: datetime) -> DataFrame:
-    """Offers with their effective price and `state`: fresh, expired or hidden.
+    """Offers that may be shown, with their effective price and `state`: fresh or expired.
 
-    Expired rows keep the reported price, because a site that stopped reporting still exists.
+    Fresh rows have a price that holds. Expired rows keep the reported price, because a site that
+    stopped reporting still exists. Future and unreadable reports without a price are left out.
     """
     check_clock(as_of, cutoff_at)
-    reported_age = age_days(F.col("reported_at"), instant_lit(as_of))
-    priced = effective_price(offers, as_of).withColumn("reported_age_days", reported_age)
-    state = (
-        F.when(F.col("price_source").isNotNull(), F.lit("fresh"))
-        .when(F.col("reported_age_days") > MAX_REPORT_DAYS, F.lit("expired"))
-        .otherwise(F.lit("hidden"))
+    now = instant_lit(as_of)
+    fresh = csv_holds(now) | live_holds(now)
+    shown = offers.where(fresh | report_expired(now)).withColumn(
+        "state", F.when(fresh, F.lit("fresh")).otherwise(F.lit("expired"))
     )
+    priced = effective_price(shown, as_of).withColumn("reported_age_days", age_days(F.col("reported_at"), now))
     return priced.withColumns(
         {
-            "state": state,
             "price": F.coalesce(F.col("effective_price"), F.col("price")),
             "age_days": F.coalesce(F.col("age_days"), F.col("reported_age_days")),
         }
     ).drop("effective_price")
 
 
-def visible(evaluated: DataFrame) -> DataFrame:
-    return evaluated.where(F.col("state") != "hidden")
-
-
 def micros_until_change(offers: DataFrame, as_of: datetime) -> DataFrame:
     """Add `until_change`: microseconds until an offer's answer may change; null when it never will."""
     now = instant_lit(as_of)
@@ -131,7 +143,7 @@ def micros_until_change(offers: DataFrame, as_of: datetime) -> DataFrame:
     )
     # least() skips nulls in Spark, so an expired or missing bound simply does not take part.
     left = F.least(F.when(live_left > 0, live_left), F.when(report_left > 0, report_left))
-    return choose(offers, now).withColumn("until_change", left).drop("_csv_age", "_live_age", "price_reason")
+    return choose(offers, now).withColumn("until_change", left).drop("price_reason")
 
 
 def next_change(offers: DataFrame, as_of: datetime, cutoff_at: datetime) -> DataFrame:

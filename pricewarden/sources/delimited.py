@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricewarden.functions.ids import content_lanes, lanes_sha256
+from pricewarden.functions.ids import content_digest
 from pricewarden.functions.parse import clean, parse_instant, parse_price
 from pricewarden.schemas import Feed
 
@@ -103,12 +103,10 @@ def minimise(rows: DataFrame, feed: Feed) -> DataFrame:
 def profile(spark: SparkSession, path: str) -> DataFrame:
     """Bytes, lines and content hash of every file, without bringing a file together in one place."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_size").alias("bytes"),
-        F.sha2("value", 256).alias("_sha"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"), "value"
     )
-    folded = lines.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("lines"), *content_lanes(F.col("_sha")))
-    return folded.select("file", "bytes", "lines", lanes_sha256(F.col("lines")).alias("content_sha256"))
+    digests = content_digest(lines, ["file", "bytes"], F.sha2("value", 256), rows="lines")
+    return digests.withColumnRenamed("sha256", "content_sha256")
 
 
 # --- typed views --------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewarden.functions.ids import content_lanes, lanes_sha256, row_sha256
+from pricewarden.functions.ids import content_digest, row_sha256
 
 MANIFEST = "manifest"
 OFFERS = "offers"
@@ -14,12 +14,7 @@ OFFERS = "offers"
 
 def product_digests(offers: DataFrame, by: str = "product", exclude: tuple[str, ...] = ("revision_id",)) -> DataFrame:
     """Rows and content hash per product. Order and file layout do not matter; every value does."""
-    folded = (
-        offers.withColumn("_sha", row_sha256(offers, exclude))
-        .groupBy(by)
-        .agg(F.count(F.lit(1)).alias("rows"), *content_lanes(F.col("_sha")))
-    )
-    return folded.select(by, "rows", lanes_sha256(F.col("rows")).alias("sha256"))
+    return content_digest(offers, [by], row_sha256(offers, exclude))
 
 
 def revision_id(digests: DataFrame, prefix: str, snapshot_id: str, by: str = "product") -> DataFrame:
@@ -84,12 +79,8 @@ def manifest_errors(offers: DataFrame, manifest: DataFrame) -> DataFrame:
 
     offers  revision_id, product, ...        manifest  revision_id, product, rows, sha256
     """
-    actual = (
-        offers.withColumn("_sha", row_sha256(offers, ("revision_id",)))
-        .groupBy("revision_id", "product")
-        .agg(F.count(F.lit(1)).alias("_rows"), *content_lanes(F.col("_sha")))
-        .select("revision_id", "product", "_rows", lanes_sha256(F.col("_rows")).alias("_actual"))
-    )
+    digests = content_digest(offers, ["revision_id", "product"], row_sha256(offers, ("revision_id",)))
+    actual = digests.withColumnsRenamed({"rows": "_rows", "sha256": "_actual"})
     joined = manifest.select("revision_id", "product", "rows", "sha256").join(
         actual, ["revision_id", "product"], "full"
     )
