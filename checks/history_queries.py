@@ -140,9 +140,9 @@ def period_mean(spark, sf_dir):
 @query(
     "stale_hours",
     f"""WITH {_DAILY_SQL},
-h AS (SELECT product, greatest(0, (epoch_us(TIMESTAMP '2024-01-31 12:00:00') - epoch_us(max(observed_at))) / 3.6e9::DOUBLE) AS h
-      FROM framed GROUP BY 1)
-SELECT product, round(h, 6)::DOUBLE AS stale_hours, h >= 36 AS stale FROM h""",
+h AS (SELECT product, CASE WHEN max(observed_at) IS NOT NULL THEN greatest(0, (epoch_us(TIMESTAMP '2024-01-31 12:00:00')
+      - epoch_us(max(observed_at))) / 3.6e9::DOUBLE) END AS h FROM framed GROUP BY 1)
+SELECT product, round(h, 6)::DOUBLE AS stale_hours, coalesce(h >= 36, FALSE) AS stale FROM h""",
 )
 def stale_hours(spark, sf_dir):
     found = history.stale_hours(_framed(spark, sf_dir), ["product"], datetime(2024, 1, 31, 12))

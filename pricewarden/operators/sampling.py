@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pricewarden.functions.ordering import global_index
 
 MAX_TURNS = 200
+# Up to this many rows per group the optimizer limits a ranked window inside every task.
+PARTIAL_LIMIT = 1000
 # Shares of an audit sheet, and how many tight margins it draws from.
 AUDIT_SHARES = (("verified", 0.62, "random_sample"), ("conflict", 0.25, "risk_sample"), ("tight", 0.13, "risk_sample"))
 TIGHT_MARGINS = 40
@@ -28,8 +30,9 @@ def stratified_sample(rows: DataFrame, targets: Mapping[str, int | None], key: s
     rows  stratum, reviewed, risk and the key. A target of None takes the whole stratum; a stratum
     without a target only contributes its reviewed and risky rows.
 
-    Random rows are ranked with the largest finite target as a literal limit, so every task keeps
-    only that many rows of a stratum before the exchange, however large the stratum is.
+    Small targets are ranked with the largest one as a literal limit, so every task keeps only that
+    many rows of a stratum before the exchange. Larger ones are cut by the hash itself: counts per
+    hash prefix say which prefixes are taken whole, and only the one at the edge is ranked.
     """
     spark = rows.sparkSession
     drawn = F.when(F.col("reviewed"), F.lit("reviewed")).when(F.col("risk"), F.lit("risk")).otherwise(F.lit("random"))
@@ -48,22 +51,40 @@ def stratified_sample(rows: DataFrame, targets: Mapping[str, int | None], key: s
     everything = [name for name, size in targets.items() if size is None]
     picked = sure.unionByName(chance.where(F.col("stratum").isin(everything)))
     if finite:
-        w = W.partitionBy("stratum").orderBy(hash_order(salt, key), F.col(key))
         quota = done.where("_target IS NOT NULL").select(
             "stratum", F.greatest(F.lit(0), F.col("_target") - F.col("_done")).alias("_quota")
         )
-        some = (
-            chance.where(F.col("stratum").isin([n for n, s in targets.items() if s is not None]))
-            .withColumn("_rank", F.row_number().over(w))
-            .where(F.col("_rank") <= max(finite))
-            .join(quota, "stratum")
-            .where("_rank <= _quota")
-            .drop("_rank", "_quota")
-        )
-        picked = picked.unionByName(some)
+        named = chance.where(F.col("stratum").isin([n for n, s in targets.items() if s is not None]))
+        hashed = named.withColumn("_hash", hash_order(salt, key))
+        if max(finite) <= PARTIAL_LIMIT:
+            w = W.partitionBy("stratum").orderBy("_hash", key)
+            ranked = hashed.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(finite))
+            some = ranked.join(quota, "stratum").where("_rank <= _quota")
+        else:
+            some = _by_hash_prefix(hashed, quota, key)
+        picked = picked.unionByName(some.select(*picked.columns))
     return picked
 
 
+def _by_hash_prefix(hashed: DataFrame, quota: DataFrame, key: str) -> DataFrame:
+    """The first `_quota` rows of each stratum in hash order, ranking only inside one prefix of 65,536."""
+    prefixed = hashed.withColumn("_prefix", F.substring("_hash", 1, 4))
+    running = W.partitionBy("stratum").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    counts = (
+        prefixed.groupBy("stratum", "_prefix")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
+        .join(quota, "stratum")
+        .withColumn("_left", F.col("_quota") - F.col("_before"))
+        .where("_left > 0")
+        .select("stratum", "_prefix", "_n", "_left")
+    )
+    near = prefixed.join(counts, ["stratum", "_prefix"])
+    w = W.partitionBy("stratum", "_prefix").orderBy("_hash", key)
+    edge = near.where("_n > _left").withColumn("_rank", F.row_number().over(w)).where("_rank <= _left")
+    return near.where("_n <= _left").unionByName(edge.drop("_rank"))
+
+
 def systematic_sample(rows: DataFrame, size: int, order: Sequence[Column]) -> DataFrame:
     """Every (N/size)-th row of the whole order; all rows if there are no more than `size`."""
     indexed = global_index(rows, order)

@@ -20,6 +20,8 @@ def build_session(app_name: str = "pricewarden", master: str | None = None, **co
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    # Checkpoints of finished rounds are removed once nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

@@ -26,16 +26,17 @@ def _batches(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def load_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    """Headers as of the newest batch, or the newest one before a given batch."""
+    """Headers as of the newest batch, or as the batch before a given one left them.
+
+    Micro-batches are numbered without gaps, so a running stream opens exactly one folder.
+    """
+    if before is not None:
+        stored = _batches(spark, f"{root}/state/batch={before - 1}") if before > 0 else None
+        return spark.createDataFrame([], STATE_SCHEMA) if stored is None else stored
     stored = _batches(spark, f"{root}/state")
     if stored is None:
         return spark.createDataFrame([], STATE_SCHEMA)
-    known = stored.select("batch").distinct()
-    if before is not None:
-        known = known.where(F.col("batch") < before)
-    newest = known.agg(F.max("batch").alias("b")).first()["b"]
-    if newest is None:
-        return spark.createDataFrame([], STATE_SCHEMA)
+    newest = stored.agg(F.max("batch").alias("b")).scalar()
     return stored.where(F.col("batch") == newest).drop("batch")
 
 

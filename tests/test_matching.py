@@ -153,3 +153,13 @@ def test_price_differences_pick_elements(spark):
         )
         assert got[scope]["equal"] == sum(x == 0 for x in d)
         assert got[scope]["within_ten_cents"] == sum(x <= 0.1 for x in d)
+
+
+def test_large_targets_equal_small_ones(spark, monkeypatch):
+    frame = spark.range(3000).selectExpr(
+        "id", "if(id % 3 = 0, 'a', 'b') AS stratum", "id % 50 = 0 AS reviewed", "id % 70 = 1 AS risk"
+    )
+    ranked = sampling.stratified_sample(frame, {"a": 300, "b": 900}, "id", "x").select("id", "drawn").collect()
+    monkeypatch.setattr(sampling, "PARTIAL_LIMIT", 10)
+    by_prefix = sampling.stratified_sample(frame, {"a": 300, "b": 900}, "id", "x").select("id", "drawn").collect()
+    assert sorted(ranked) == sorted(by_prefix) and len(ranked) > 1000
