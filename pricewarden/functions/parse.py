@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricewarden.functions.text import let
+
 # The shapes the feeds use.
 NUMBER_SHAPE = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|Infinity)$"
 CAPTURED_PRICE = r"^(?:S/\s*)?(\d+(?:[.,]\d{1,4})?)$"
@@ -22,12 +24,15 @@ def clean(col: Column) -> Column:
 
 def parse_price(col: Column) -> Column:
     """Decimal point or comma. Empty text is 0 and unreadable text NaN, so neither is ever > 0."""
-    text = F.trim(F.regexp_replace(col, "^([^,]*),", "$1."))
-    return (
-        F.when(text == "", F.lit(0.0))
-        .when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
-        .otherwise(F.lit(float("nan")))
-    )
+
+    def number(text: Column) -> Column:
+        return (
+            F.when(text == "", F.lit(0.0))
+            .when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+            .otherwise(F.lit(float("nan")))
+        )
+
+    return let(F.trim(F.regexp_replace(col, "^([^,]*),", "$1.")), number)
 
 
 def parse_captured_price(col: Column) -> Column:
@@ -43,19 +48,23 @@ def parse_instant(col: Column) -> Column:
 
     Days 29 to 31 that the month lacks roll into the next month, as the source system reads them.
     """
-    text = clean(col)
 
-    def number(start: int, width: int) -> Column:
-        return F.substring(text, start, width).try_cast("int")
+    def instant(text: Column) -> Column:
+        def number(start: int, width: int) -> Column:
+            return F.substring(text, start, width).cast("int")
+
+        def clock(start: int) -> Column:
+            return F.when(F.length(text) > 10, number(start, 2)).otherwise(F.lit(0))
 
-    def clock(start: int) -> Column:
-        return F.coalesce(number(start, 2), F.lit(0))
+        # The shape fixes every position, so fields are cut out by place. It is tested first: a cast that
+        # fails costs far more than the test.
+        first = F.concat(F.substring(text, 1, 4), F.lit("-"), F.substring(text, 6, 2), F.lit("-01"))
+        month_start = first.cast("date")
+        days = F.unix_date(month_start).cast("long") + number(9, 2) - 1
+        seconds = days * 86400 + clock(12) * 3600 + clock(15) * 60 + clock(18) + SOURCE_OFFSET_SECONDS
+        return F.when(text.rlike(INSTANT_SHAPE), F.timestamp_seconds(seconds))
 
-    # The shape fixes every position, so fields are cut out by place.
-    month_start = F.try_to_date(F.concat(F.substring(text, 1, 4), F.substring(text, 6, 2)), "yyyyMM")
-    days = F.unix_date(month_start).cast("long") + number(9, 2) - 1
-    seconds = days * 86400 + clock(12) * 3600 + clock(15) * 60 + clock(18) + SOURCE_OFFSET_SECONDS
-    return F.when(text.rlike(INSTANT_SHAPE), F.timestamp_seconds(seconds))
+    return let(clean(col), instant)
 
 
 def positive(col: Column) -> Column:

@@ -54,6 +54,12 @@ def strip_accents(col: Column) -> Column:
     return F.regexp_replace(F.translate(F.coalesce(col, F.lit("")), composed, bases), COMBINING_MARKS, "")
 
 
+def fold_text(value: str) -> str:
+    """What `fold` makes of a constant, computed while the plan is built."""
+    plain = unicodedata.normalize("NFD", value)
+    return "".join(c for c in plain if not 0x0300 <= ord(c) <= 0x036F).upper()
+
+
 def squeeze(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, BLANK_RUNS, " "))
 

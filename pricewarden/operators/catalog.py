@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pricewarden.functions import addresses as A
 from pricewarden.functions.ids import brand_claim_sha256, name_claim_sha256
 from pricewarden.functions.stats import wilson_lower_bound
-from pricewarden.functions.text import fold
+from pricewarden.functions.text import fold, fold_text, let
 from pricewarden.operators.matching import tier
 from pricewarden.operators.pricing import instant_lit
+from pricewarden.session import cut_lineage
 
 EVIDENCE_DAYS = 365
 BRAND_THRESHOLD = 0.9
@@ -293,9 +294,13 @@ def brand_accreditation(catalog: DataFrame, tiers: DataFrame, verdicts: DataFram
 
 def brands_named(text: Column) -> Column:
     """Brands whose word occurs in a text, each once."""
-    folded = fold(text)
-    found = [F.when(folded.rlike(rf"\b{word}\b"), F.lit(brand)) for word, brand in BRAND_WORDS]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
+    def found(folded: Column) -> Column:
+        named = [F.when(folded.rlike(rf"\b{word}\b"), F.lit(brand)) for word, brand in BRAND_WORDS]
+        return F.array_distinct(F.array_compact(F.array(*named)))
+
+    return let(fold(text), found)
 
 
 def clashing_brand(place_name: Column, legal_name: Column, brand: Column) -> Column:
@@ -383,9 +388,14 @@ def judge_observations(
     matches       site_id, place_id, status, distance_m
     known         site_id, evidence_brand, base_brand, pending_brand, pending_reason; one row per site
     """
-    known_brand = F.lit(None).cast("string")
-    for brand in reversed(OBSERVABLE_BRANDS):
-        known_brand = F.when(A.same_name(F.col("brand"), F.lit(brand)), F.lit(brand)).otherwise(known_brand)
+
+    def observable(folded: Column) -> Column:
+        expr = F.lit(None).cast("string")
+        for brand in reversed(OBSERVABLE_BRANDS):
+            expr = F.when(folded == fold_text(brand), F.lit(brand)).otherwise(expr)
+        return expr
+
+    known_brand = let(fold(F.col("brand")), observable)
     dated = F.coalesce(F.col("image_month"), F.lit("")).rlike(r"^\d{4}-(0[1-9]|1[0-2])$")
     month = F.when(dated, F.concat(F.col("image_month"), F.lit("-01T00:00:00-05:00"))).try_cast("timestamp")
     m = matches.select(
@@ -446,12 +456,21 @@ def named_entries(matches: DataFrame, evidence: DataFrame, base: DataFrame) -> D
     )
     by_directory = A.same_name(F.col("_named"), F.col("evidence_brand"))
     by_operator = A.same_name(F.col("_named"), F.col("_operator"))
-    rows = rows.withColumn(
-        "_backed", F.when(by_directory, F.col("evidence_brand")).when(by_operator, F.col("_operator"))
+    rows = rows.withColumns(
+        {
+            "_backed": F.when(by_directory, F.col("evidence_brand")).when(by_operator, F.col("_operator")),
+            "_by_operator": by_operator,
+        }
     ).withColumn("public_site_name", A.display_name(F.col("place_name"), F.col("_backed").isNotNull()))
+    # Names are long text rules; once written down, no filter or join below repeats them.
+    rows = cut_lineage(
+        rows.select(
+            "site_id", "confidence", "public_site_name", "_backed", "_by_operator", "evidence_brand", "base_name"
+        )
+    )
     nameless = (
         A.same_name(F.col("_backed"), F.col("evidence_brand"))
-        & ~by_operator
+        & ~F.col("_by_operator")
         & F.col("base_name").isNull()
         & A.only_generic(F.col("public_site_name"))
     )
@@ -494,7 +513,7 @@ def brand_only_entries(evidence: DataFrame, entries: DataFrame) -> DataFrame:
 def _bare_name(name: Column) -> Column:
     text = fold(name)
     for brand in A.NAME_BRANDS:
-        text = F.regexp_replace(text, F.concat(F.lit(r"\b"), fold(F.lit(brand)), F.lit(r"\b")), F.lit(" "))
+        text = F.regexp_replace(text, rf"\b{fold_text(brand)}\b", " ")
     return F.trim(F.regexp_replace(text, "[^A-Z0-9]+", " "))
 
 

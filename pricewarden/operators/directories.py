@@ -17,7 +17,7 @@ from pricewarden.functions import geo
 from pricewarden.functions.address_parts import ROAD, address_parts
 from pricewarden.functions.addresses import DIRECTORY_OPERATOR_BRANDS, operator_brand
 from pricewarden.functions.skew import split_join
-from pricewarden.functions.text import canonical_region, let, plain_upper
+from pricewarden.functions.text import canonical_region, fold_text, let, plain_upper
 from pricewarden.session import cut_lineage
 
 MIN_MARGIN = 15
@@ -442,7 +442,7 @@ def match_directories(entries: DataFrame, sites: DataFrame, active_brands: Seque
             F.max(F.when(F.col("_place") == 2, F.col("evidence_score"))).alias("_second"),
         )
     )
-    active = F.array(*[plain_upper(F.lit(b)) for b in active_brands]) if active_brands else None
+    active = F.array(*[F.lit(fold_text(b)) for b in active_brands]) if active_brands else None
     operator = F.col("_best.operator_key")
     clash = F.lit(False)
     if active is not None:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pricewarden import reasons as R
 from pricewarden.functions.parse import parse_captured_price, positive
-from pricewarden.functions.text import link_key, link_text
+from pricewarden.functions.text import fold_text, link_key, link_text
 from pricewarden.operators.pricing import HOUR_MICROS, MAX_LIVE_HOURS, instant_lit
 
 UNIT = ("district_code", "product")
@@ -43,7 +43,7 @@ def accept_units(units: DataFrame, rows: DataFrame, *, width: int, unit_name: st
     bad_width = F.coalesce(F.col("width") != width, F.lit(True))
     own = F.when(bad_width, _fault(0, R.BAD_WIDTH))
     if unit_name:
-        other_unit = F.coalesce(link_text(F.col("unit_text")) != link_text(F.lit(unit_name)), F.lit(True))
+        other_unit = F.coalesce(link_text(F.col("unit_text")) != F.lit(" ".join(fold_text(unit_name).split())), F.lit(True))
         own = own.when(other_unit, _fault(2, R.WRONG_UNIT))
     own = own.when(~positive(parse_captured_price(F.col("price_text"))), _fault(3, R.BAD_PRICE))
     spelled = rows.groupBy(*UNIT, "district_text").agg(

@@ -47,4 +47,5 @@ def build_entries(
         F.lit(True).alias("kept_published"),
     )
     entries = named.unionByName(only).unionByName(restored)
-    return catalog.apply_verdicts(catalog.protect_names(entries, base), verdicts, matches), withheld
+    protected = cut_lineage(catalog.protect_names(entries, base))
+    return catalog.apply_verdicts(protected, verdicts, matches), withheld
