@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricewarden.llm.common import BLANKS, let, texts
+from pricewarden.llm.common import BLANKS, let, stored, texts
 
 MIN_CHARS = 10  # shorter keys are never dropped
 MIN_DOCS = 2  # documents that must hold a key
@@ -47,7 +47,7 @@ def drop_repeated_lines(
         held = held.agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
         shared = held.where(F.col("docs") >= min_docs).drop("docs")
     dropped = (
-        keyed.join(shared, ["h1", "h2"])
+        keyed.join(stored(shared, "shared-lines"), ["h1", "h2"])  # from a table, so that the join may split hot keys
         .where("doc > first_doc")
         .select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "pos")
         .groupBy("_doc", "_mark")  # at most the lines of one text; rows that repeat a document name each position once

@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewarden.llm.bpe import encode_decode
 from pricewarden.llm.common import documents
+from pricewarden.llm.fingerprints import edit_stability
 from pricewarden.llm.line_dedup import drop_repeated_lines
+from pricewarden.llm.near_dups import near_duplicate_classes
+from pricewarden.llm.packing import pack_documents
+from pricewarden.llm.ppm import score_documents
 from pricewarden.llm.quality_rules import apply_quality_rules
+from pricewarden.llm.secret_scan import scan_secrets
+from pricewarden.llm.token_counts import count_tokens
+
+END_ID = 2  # closes each packed document
+TOKEN_LIMIT = 2048
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +30,23 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def tokenizer(name: str) -> str:
+    """Where the installation keeps a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), end_id=END_ID)
+
+
+@query
+def op2_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(documents(spark, sf_dir))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = apply_quality_rules(documents(spark, sf_dir))
@@ -29,6 +56,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_lines(documents(spark, sf_dir))
@@ -50,3 +83,33 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(documents(spark, sf_dir))
+    kinds = ("assign", "access", "hex")
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_stability(documents(spark, sf_dir))
