@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import blocks_for, stored, texts
 from pricewarden.llm.pieces import sliced
 from pricewarden.llm.words import HASHER, LOWER, SPACE, joined, words
 
-ORDER = 4  # bytes of context
+ORDER = 5  # bytes of context
+ESCAPE = 0.3  # what every symbol of a context gives up of its count, for the escape from it
 SYMBOLS = 256
 BLANK, END = 0x20, 0x0A  # after a word; after a text, and before its first byte as context
-BLOCK_BYTES = 24 << 20  # text of the documents that look up the model together
-WORD, GRAM = 0, 1
+BLOCK_BYTES = 48 << 20  # text of the documents that look up the model together
+WORD, GRAM, TEXT = 0, 1, 2
+PACK_ENTRIES = 1 << 20  # looked-up values a task holds before it sends them
+ROWS_OUT = 100_000  # rows of an Arrow batch
 END_KEY = 10  # stands for the end of a text among the word hashes
 FOLDS, HELD_OUT = 7, 2
 
@@ -65,11 +70,38 @@ def _folded(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
 
 
-def _postings(table: pa.Table, order: int) -> pa.Table:
-    """The distinct words and grams of a block, each with its count in the block's training texts."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a stream sorted by block; none holds rows of two blocks."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        bounds = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1), len(blocks)]
+        for begin, end in zip(bounds, bounds[1:], strict=False):
+            if end > begin:
+                yield int(blocks[begin]), batch.slice(begin, end - begin)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words and grams of each block, each with its count in the block's training texts."""
     kept: dict[int, tuple[list, list]] = {WORD: ([], []), GRAM: ([], [])}
-    for batch in table.combine_chunks().to_batches():
-        for part in sliced(batch, "text"):
+
+    def rows(block: int) -> Iterator[pa.RecordBatch]:
+        for kind, (keys, counts) in kept.items():
+            found, total = _folded(keys, counts)
+            for i in range(0, len(found), ROWS_OUT):
+                own = found[i : i + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), block, np.int32)), pa.array(np.full(len(own), kind, np.int32)), pa.array(own), pa.array(total[i : i + ROWS_OUT])],
+                    ["block", "kind", "key", "n"],
+                )
+            keys.clear()
+            counts.clear()
+
+    current = None
+    for block, rest in _parts(batches):
+        if current is not None and block != current:
+            yield from rows(current)
+        current = block
+        for part in sliced(rest, "text"):
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
             hashes, owner, grams, text_of = _stream(part.column("text"), order)
             hashes = np.concatenate([hashes, np.full(part.num_rows, END_KEY, np.int64)])
@@ -78,12 +110,36 @@ def _postings(table: pa.Table, order: int) -> pa.Table:
                 found, counts = _folded([keys], [train[of].astype(np.int64)])
                 kept[kind][0].append(found)
                 kept[kind][1].append(counts)
-    block = table.column("block")[0].as_py()
-    parts = []
-    for kind, (keys, counts) in kept.items():
-        found, total = _folded(keys, counts)
-        parts.append(pa.table({"block": np.full(len(found), block, np.int64), "kind": np.full(len(found), kind, np.int32), "key": found, "n": total}))
-    return pa.concat_tables(parts)
+    if current is not None:
+        yield from rows(current)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and values dealt out to the blocks that hold the keys: a row for each block, kind and flush of a task."""
+    held, size = [], 0
+
+    def rows() -> pa.RecordBatch:
+        block, kind, key, value = (np.concatenate(c) for c in zip(*held, strict=True))
+        by = np.lexsort((kind, block))
+        block, kind, key, value = block[by], kind[by], key[by], value[by]
+        bounds = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1), len(block)]
+        spans = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(block[[a for a, _ in spans]].astype(np.int32)), pa.array(kind[[a for a, _ in spans]].astype(np.int32)),
+             pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())],
+            ["block", "kind", "keys", "values"],
+        )
+
+    for batch in batches:
+        lists = batch.column("blocks")
+        lengths = pc.list_value_length(lists).to_numpy()
+        held.append((lists.flatten().to_numpy(), *(np.repeat(batch.column(c).to_numpy(), lengths) for c in ("kind", "key", "value"))))
+        size += len(held[-1][0])
+        if size >= PACK_ENTRIES:
+            yield rows()
+            held, size = [], 0
+    if size:
+        yield rows()
 
 
 def train_ppm(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -91,8 +147,8 @@ def train_ppm(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
     `grams` holds (key, n): distinct grams of order + 1 bytes with their count in training texts, 0 for those to be scored
     only. The trie's level k is the table of the last k + 1 bytes, summed up. Where a context was seen, a symbol it
-    was seen with has probability n / (T + D), T being the counts and D the number of its symbols, and the escape to the next
-    shorter context has D / (T + D) (method C). Symbols of the longer context are excluded from T and D of the shorter. Below
+    was seen with has probability (n - ESCAPE) / T and the escape to the next shorter context has ESCAPE x D / T, T being
+    the counts and D the number of its symbols. Symbols of the longer context are excluded from T and D of the shorter. Below
     level 0 the symbols never seen share the rest evenly.
 
     Levels join by context; only those of at most two bytes, 65,536 contexts at most, are sent to all tasks.
@@ -129,18 +185,14 @@ def train_ppm(grams: DataFrame, order: int = ORDER) -> DataFrame:
         t, d = F.col(f"t{k}"), F.col(f"d{k}")
         if k < order:  # without the symbols of the longer context, if that was seen
             t, d = t - F.coalesce(F.col(f"x{k + 1}"), F.lit(0)), d - F.coalesce(F.col(f"d{k + 1}"), F.lit(0))
-        escape = F.when(F.coalesce(d, F.lit(0)) > 0, F.log10(d / (t + d)) + value).otherwise(value)
-        value = F.when(F.col(f"n{k}") > 0, F.log10(F.col(f"n{k}") / (t + d))).otherwise(escape)
+        escape = F.when(F.coalesce(d, F.lit(0)) > 0, F.log10(ESCAPE * d / t) + value).otherwise(value)
+        value = F.when(F.col(f"n{k}") > 0, F.log10((F.col(f"n{k}") - ESCAPE) / t)).otherwise(escape)
     return rows.select("key", value.alias("value"))
 
 
-def _scored(docs: pa.Table, looked: pa.Table, order: int, total: int, distinct: int) -> pa.Table:
-    kinds, keys, values = (looked.column(c).to_numpy() for c in ("kind", "key", "value"))
-    tables = []
-    for kind in (WORD, GRAM):
-        own = kinds == kind
-        by = np.argsort(keys[own], kind="stable")
-        tables.append((keys[own][by], values[own][by]))
+def _scored(batches: Iterator[pa.RecordBatch], order: int, total: int, distinct: int) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts of each block, whose packed values come before its texts."""
+    current, packs, tables = None, {}, {}
 
     def find(kind: int, wanted: np.ndarray) -> np.ndarray:
         known, value = tables[kind]
@@ -149,29 +201,39 @@ def _scored(docs: pa.Table, looked: pa.Table, order: int, total: int, distinct:
         at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
         return np.where(known[at] == wanted, value[at], 0.0)
 
-    out = []
-    for batch in docs.combine_chunks().to_batches():
-        for part in sliced(batch, "text"):
+    for block, rest in _parts(batches):
+        if block != current:
+            current, packs, tables = block, {WORD: [], GRAM: []}, {}
+        kinds = rest.column("kind").to_numpy()
+        for i in np.flatnonzero(kinds != TEXT):
+            keys, values = (np.frombuffer(rest.column(c)[int(i)].as_py(), kind) for c, kind in (("keys", np.int64), ("values", np.float64)))
+            packs[int(kinds[i])].append((keys, values))
+        docs = rest.filter(pa.array(kinds == TEXT))
+        if docs.num_rows and not tables:
+            for kind, held in packs.items():
+                keys = np.concatenate([k for k, _ in held] or [np.zeros(0, np.int64)])
+                by = np.argsort(keys, kind="stable")
+                tables[kind] = keys[by], np.concatenate([v for _, v in held] or [np.zeros(0)])[by]
+            packs = {}
+        for part in sliced(docs, "text"):
             n = part.num_rows
             hashes, owner, grams, text_of = _stream(part.column("text"), order)
             hashes = np.concatenate([hashes, np.full(n, END_KEY, np.int64)])
             owner = np.concatenate([owner, np.arange(n)])
-            counts = find(WORD, hashes)
-            base = np.log10((counts + 1) / (total + distinct + 1))
-            # Equal grams are looked up once.
-            unique, at = np.unique(grams, return_inverse=True)
-            columns = {
-                "doc_id": part.column("doc_id"),
-                "held_out": part.column("held_out"),
-                "n_tokens": pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
-                "n_known": pa.array(np.bincount(owner, counts > 0, n).astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, total, np.int64)),
-                "base_score": pa.array(np.bincount(owner, base, n)),
-                "score": pa.array(np.bincount(text_of, find(GRAM, unique)[at], n)),
-                "n_bytes": pa.array(np.bincount(text_of, minlength=n).astype(np.int64)),
-            }
-            out.append(pa.table(columns))
-    return pa.concat_tables(out)
+            words_at, word_of = np.unique(hashes, return_inverse=True)
+            counts = find(WORD, words_at)[word_of]
+            grams_at, gram_of = np.unique(grams, return_inverse=True)
+            columns = [
+                part.column("doc_id"),
+                part.column("held_out"),
+                pa.array(np.bincount(owner, minlength=n).astype(np.int64)),
+                pa.array(np.bincount(owner, counts > 0, n).astype(np.int64)),
+                pa.array(np.full(n, total, np.int64)),
+                pa.array(np.bincount(owner, np.log10((counts + 1) / (total + distinct + 1)), n)),
+                pa.array(np.bincount(text_of, find(GRAM, grams_at)[gram_of], n)),
+                pa.array(np.bincount(text_of, minlength=n).astype(np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
@@ -190,24 +252,22 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     source = texts(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     blocks = blocks_for(source, BLOCK_BYTES)
-    blocked = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long"))
-    postings = stored(
-        blocked.groupBy("block").applyInArrow(lambda table: _postings(table, order), "block long, kind int, key long, n long"), "postings"
-    )
-    word_rows, gram_rows = (postings.where(F.col("kind") == kind) for kind in (WORD, GRAM))
-    # A key has at most one row for each block, so its group is narrow and never holds texts.
-    counted = stored(
-        word_rows.select("block", "kind", "key", F.sum("n").over(W.partitionBy("key")).alias("c"), F.row_number().over(W.partitionBy("key").orderBy("block")).alias("first")),
-        "word-counts",
+    blocked = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    postings = (
+        blocked.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _postings(it, order), "block int, kind int, key long, n long")
     )
-    sums = counted.where("first = 1 AND c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("words")).first()
-    grams = stored(gram_rows.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    values = stored(train_ppm(grams, order), "gram-values")
-    looked = counted.where("c > 0").select("block", "kind", "key", F.col("c").cast("double").alias("value")).unionByName(
-        gram_rows.join(values, "key").select("block", "kind", "key", "value")
+    # A key has one entry for each block at most, so its list is as short as the table has blocks.
+    counted = stored(postings.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "counts")
+    word_rows, gram_rows = (counted.where(F.col("kind") == kind) for kind in (WORD, GRAM))
+    sums = word_rows.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("words")).first()
+    values = train_ppm(gram_rows.select("key", "n"), order)
+    valued = word_rows.where("n > 0").select("kind", "key", F.col("n").cast("double").alias("value"), "blocks").unionByName(
+        gram_rows.join(values, "key").select("kind", "key", "value", "blocks")
     )
+    packed = valued.mapInArrow(_packed, "block int, kind int, keys binary, values binary")
+    together = packed.unionByName(blocked.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True)
     return (
-        blocked.groupBy("block")
-        .cogroup(looked.groupBy("block"))
-        .applyInArrow(lambda left, right: _scored(left, right, order, sums.total, sums.words), SCHEMA)
+        together.repartition("block")
+        .sortWithinPartitions("block", "kind")
+        .mapInArrow(lambda it: _scored(it, order, sums.total, sums.words), SCHEMA)
     )

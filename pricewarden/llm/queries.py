@@ -17,6 +17,7 @@ from pricewarden.llm.ppm import score_documents
 from pricewarden.llm.quality_rules import apply_quality_rules
 from pricewarden.llm.secret_scan import scan_secrets
 from pricewarden.llm.token_counts import count_tokens
+from pricewarden.llm.toxicity import score_toxicity
 
 END_ID = 2  # closes each packed document
 TOKEN_LIMIT = 2048
@@ -110,6 +111,11 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_stability(documents(spark, sf_dir))
