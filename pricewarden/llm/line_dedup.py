@@ -29,10 +29,46 @@ def drop_repeated_lines(
     Null or empty text: one empty line, kept. Null doc_id: larger than every other, all such rows are one document to the count. Repeated
     rows of one doc_id: one document to the count; each keeps the lines its doc_id may keep. Further columns are left out.
     """
-    source = texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    lines = source.select(
-        F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")
+    source = _marked(texts(docs, id_col, text_col))
+    joined = source.join(_dropped(source, min_chars, min_docs), ["__doc", "__mark"], "left")
+    n_lines = F.size(F.split("text", "\n"))
+    return joined.select(
+        "doc_id",
+        _rest(F.col("text")).alias("text"),
+        n_lines.cast("long").alias("n_lines"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"),
     )
+
+
+def keep_new_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """The same rows and columns, each text without the lines it loses. Null text stays null."""
+    source = _marked(texts(docs, id_col, text_col))
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumns({"__doc": _doc(F.col(f"`{id_col}`").cast("long")), "__mark": F.xxhash64(F.coalesce(text, F.lit("")))})
+    joined = keyed.join(_dropped(source, min_chars, min_docs), ["__doc", "__mark"], "left")
+    return joined.select(*[_rest(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def _doc(doc_id: Column) -> Column:
+    """Null is larger than every other id."""
+    return F.coalesce(doc_id, F.lit((1 << 63) - 1))
+
+
+def _marked(source: DataFrame) -> DataFrame:
+    return source.withColumns({"__doc": _doc(F.col("doc_id")), "__mark": F.xxhash64("text")})
+
+
+def _rest(text: Column) -> Column:
+    """The text without its lines at the positions `__gone`; array_except keeps the others in order."""
+    n_lines = F.size(F.split(text, "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("__gone"))
+    rest = let(F.split(text, "\n"), lambda lines: F.transform(stay, lambda i: F.get(lines, i)))
+    return F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(rest, "\n"))
+
+
+def _dropped(source: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(__doc, __mark, __gone): the positions of the lines that a document loses."""
+    lines = source.select(F.col("__doc").alias("doc"), F.col("__mark").alias("mark"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     keyed = (
         lines.where(F.char_length("line") >= min_chars)
         .select("doc", "mark", "pos", line_key(F.col("line")).alias("key"))
@@ -46,23 +82,10 @@ def drop_repeated_lines(
         held = keyed.select("h1", "h2", "doc").distinct().groupBy("h1", "h2")
         held = held.agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("docs"))
         shared = held.where(F.col("docs") >= min_docs).drop("docs")
-    dropped = (
+    return (
         keyed.join(stored(shared, "shared-lines"), ["h1", "h2"])  # from a table, so that the join may split hot keys
         .where("doc > first_doc")
-        .select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "pos")
-        .groupBy("_doc", "_mark")  # at most the lines of one text; rows that repeat a document name each position once
-        .agg(F.collect_set("pos").alias("gone"))
-    )
-    joined = source.withColumn("_key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(
-        dropped, (F.col("_key") == F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left"
-    )
-    n_lines = F.size(F.split("text", "\n"))
-    # array_except keeps the positions in order; each then names its line.
-    stay = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("gone"))
-    rest = let(F.split("text", "\n"), lambda lines: F.transform(stay, lambda i: F.get(lines, i)))
-    return joined.select(
-        "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text"),
-        n_lines.cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+        .select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), "pos")
+        .groupBy("__doc", "__mark")  # at most the lines of one text; rows that repeat a document name each position once
+        .agg(F.collect_set("pos").alias("__gone"))
     )

@@ -263,6 +263,6 @@ def keep_first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Rows without doc_id stay: they belong to no class.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__first"), "left_semi").dropDuplicates([id_col])
+    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

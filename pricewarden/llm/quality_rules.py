@@ -67,7 +67,10 @@ def repeated_words(words: Column) -> Column:
 
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per document: the counts of the rules, the class histogram and the common-word histogram, as long arrays."""
+    """Per document: the counts of the rules, the class histogram and the common-word histogram, as long arrays.
+
+    `mark` is a hash of the text; with the id it tells rows of different texts apart.
+    """
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     source = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), lang.alias("lang")
@@ -95,12 +98,13 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return source.select(
         "doc_id",
         "lang",
+        F.xxhash64(text).alias("mark"),
         counted.alias("c"),
         _length_without(text, rf"[{SPACES}]").cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found))).cast("long").alias("n_dup_lines"),
         F.array(*inside, F.char_length(text)).cast("array<long>").alias("class_bins"),
-    ).select("doc_id", "lang", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "class_bins", "c.word_bins")
+    ).select("doc_id", "lang", "mark", "c.n_words", "word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", "class_bins", "c.word_bins")
 
 
 def _shares(counts: Column) -> Column:
@@ -199,3 +203,12 @@ def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     first = judge(measured, learn_references(measured))
     trimmed = first.where("kept").select(*measured.columns)  # references once more, without what they reject
     return judge(measured, learn_references(trimmed))
+
+
+def reject_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that the rules keep, all columns. Rows of one id, text and language are kept or go together."""
+    judged = apply_quality_rules(docs, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.col("lang").alias("__lang")).distinct()
+    own = F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__mark"))
+    return docs.join(rejected, same & own.eqNullSafe(F.col("__lang")), "left_anti")
