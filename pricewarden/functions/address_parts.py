@@ -1,283 +1,144 @@
 """Parts of a written address: streets, doors, kilometres, blocks, lots and localities.
 
-A reader walks the words of one address. Every word belongs to a kind, every kind has one small
-rule, and the only memory is what is being named (a street, a locality, the rest, or a landmark
-that is merely a reference) and whether a number read now would be a door.
+An address is cut before every word that opens something: a street, a road, a crossing, a locality, a kilometre, a block, a
+lot. Each piece is then read by itself with patterns, all inside the JVM. What follows a landmark word is only a reference,
+so streets, doors, localities and kilometres are read before the first of them; blocks and lots are read everywhere.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pricewarden.functions.text import plain_upper
+from pricewarden.functions.text import let, plain_upper
 
 # --- fixed values: vocabulary of the addresses ---------------------------------------------------
 STREET_PREFIXES = (
-    "AV AVENIDA AVDA JR JIRON CA CAL CALLE PSJE PASAJE PJE PROL PROLONGACION MALECON OVALO BLVD BOULEVARD VIA"
-).split()
-ROAD_PREFIXES = "CARR CAR CARRET CARRETERA AUTOPISTA PAN PANAM PANAMERICANA".split()
+    "AV", "AVENIDA", "AVDA", "JR", "JIRON", "CA", "CAL", "CALLE", "PSJE", "PASAJE", "PJE", "PROL", "PROLONGACION", "MALECON",
+    "OVALO", "BLVD", "BOULEVARD", "VIA",
+)
+ROAD_PREFIXES = ("CARR", "CAR", "CARRET", "CARRETERA", "AUTOPISTA", "PAN", "PANAM", "PANAMERICANA")
 LOCALITY_WORDS = (
-    "URB URBANIZACION AAHH AH ASOC ASOCIACION COOP COOPERATIVA PJ PUEBLO PROGRAMA RES RESIDENCIAL CONJ CONJUNTO CH "
-    "HABILITACION HABILIT LOTIZACION FUNDO FDO PREDIO PARCELA PARC PARCELACION SECTOR ZONA GRUPO ETAPA COMUNIDAD CP "
-    "ANEXO BARRIO APV UNIDAD UNID SECCION CASERIO"
-).split()
-CROSSING_WORDS = "ESQ ESQUINA CON CRUCE INTERSECCION INTERSEC INTER Y ENTRE ANTES EX".split()
-LANDMARK_WORDS = "ALT ALTURA FRENTE REF REFERENCIA PARADERO COSTADO ESPALDA CERCA".split()
+    "URB", "URBANIZACION", "AAHH", "AH", "ASOC", "ASOCIACION", "COOP", "COOPERATIVA", "PJ", "PUEBLO", "PROGRAMA", "RES",
+    "RESIDENCIAL", "CONJ", "CONJUNTO", "CH", "HABILITACION", "HABILIT", "LOTIZACION", "FUNDO", "FDO", "PREDIO", "PARCELA",
+    "PARC", "PARCELACION", "SECTOR", "ZONA", "GRUPO", "ETAPA", "COMUNIDAD", "CP", "ANEXO", "BARRIO", "APV", "UNIDAD", "UNID",
+    "SECCION", "CASERIO",
+)
+CROSSING_WORDS = ("ESQ", "ESQUINA", "CON", "CRUCE", "INTERSECCION", "INTERSEC", "INTER", "Y", "ENTRE", "ANTES", "EX")
+LANDMARK_WORDS = ("ALT", "ALTURA", "FRENTE", "REF", "REFERENCIA", "PARADERO", "COSTADO", "ESPALDA", "CERCA")
 NUMBERED_INSIDE = (
-    "INT INTERIOR PISO DPTO DEPARTAMENTO OF OFICINA TIENDA LOCAL PUESTO CDRA CUADRA UC SUB"
-).split()
-BLOCK_WORDS = "MZ MZA MANZANA".split()
-LOT_WORDS = "LT LTS LTE LOTE LOTES LOT SUBLOTE".split()
+    "INT", "INTERIOR", "PISO", "DPTO", "DEPARTAMENTO", "OF", "OFICINA", "TIENDA", "LOCAL", "PUESTO", "CDRA", "CUADRA", "UC",
+    "SUB",
+)
+BLOCK_WORDS = ("MZ", "MZA", "MANZANA")
+LOT_WORDS = ("LT", "LTS", "LTE", "LOTE", "LOTES", "LOT", "SUBLOTE")
 MONTHS = (
-    "ENERO FEBRERO MARZO ABRIL MAYO JUNIO JULIO AGOSTO SETIEMBRE SEPTIEMBRE OCTUBRE NOVIEMBRE DICIEMBRE"
-).split()
-EMPTY_WORDS = "DE DEL LA LAS LOS EL AL EN SIN NOMBRE".split()
-GENERIC_STREET_WORDS = "NORTE SUR ESTE OESTE CENTRAL ANTIGUA NUEVA NUEVO PRINCIPAL".split()
+    "ENERO", "FEBRERO", "MARZO", "ABRIL", "MAYO", "JUNIO", "JULIO", "AGOSTO", "SETIEMBRE", "SEPTIEMBRE", "OCTUBRE",
+    "NOVIEMBRE", "DICIEMBRE",
+)
+EMPTY_WORDS = ("DE", "DEL", "LA", "LAS", "LOS", "EL", "AL", "EN", "SIN", "NOMBRE")
+GENERIC_STREET_WORDS = ("NORTE", "SUR", "ESTE", "OESTE", "CENTRAL", "ANTIGUA", "NUEVA", "NUEVO", "PRINCIPAL")
 GENERIC_LOCALITY_WORDS = (
-    "JOVEN PROYECTO ESPECIAL VIVIENDA VIVIENDAS POBLADO ASENTAMIENTO HUMANO AGRUPACION FAMILIAR PRODUCTORES "
-    "AGROPECUARIA AGRICOLA INDUSTRIAL INDUSTRIALES PECUARIOS INMOBILIARIA RUSTICO SEMI MIXTA NUEVO NUEVA VILLA "
-    "RESIDENCIAL CAMPESINA CAMPESINO UNIDAD VECINAL SUBLOTE PARCELA LOTIZACION HABILITACION URBANA COMERCIAL TALLER CASA"
-).split() + LOCALITY_WORDS
+    "JOVEN", "PROYECTO", "ESPECIAL", "VIVIENDA", "VIVIENDAS", "POBLADO", "ASENTAMIENTO", "HUMANO", "AGRUPACION", "FAMILIAR",
+    "PRODUCTORES", "AGROPECUARIA", "AGRICOLA", "INDUSTRIAL", "INDUSTRIALES", "PECUARIOS", "INMOBILIARIA", "RUSTICO", "SEMI",
+    "MIXTA", "NUEVO", "NUEVA", "VILLA", "RESIDENCIAL", "CAMPESINA", "CAMPESINO", "UNIDAD", "VECINAL", "SUBLOTE", "PARCELA",
+    "LOTIZACION", "HABILITACION", "URBANA", "COMERCIAL", "TALLER", "CASA",
+)
 ROAD = "CARRETERA"
-# How abbreviations are spelled out before the words are read, in this order.
-SPELLINGS = (
-    (r"\bA\s*\.?\s*A\s*\.?\s*H\s*\.?\s*H\b\.?", " AAHH "),
-    (r"\bA\s*\.\s*H\s*\.", " AAHH "),
-    (r"\bP\s*\.\s*J\s*\.", " PJ "),
-    (r"\bC\s*\.\s*H\s*\.", " CH "),
-    (r"\bC\s*\.\s*P\s*\.", " CP "),
-    (r"\bU\s*\.\s*C\s*\.", " UC "),
-    (r"\bS\s*/\s*N\b\.?", " SN "),
-    (r"([A-Z]{3,})KM(?=[\s.\d])", "$1 KM "),
-    (r"\bN\s*[°º]", " NRO "),
-    (r"[°º]", " "),
-    (r"\b(?:NRO|NUMERO|NO|N)\b\.?(?=\s*\d)", " NRO "),
-)
 
 PARTS = ("streets", "generics", "locality", "doors", "km", "blocks", "lots")
-PARTS_SCHEMA = T.StructType([T.StructField(name, T.ArrayType(T.StringType())) for name in PARTS])
+# Words that open a piece, and so end the one before.
+_NAMING = (*STREET_PREFIXES, *ROAD_PREFIXES, *CROSSING_WORDS)
+_NUMBER = r"\d+(?:\.\d+)?(?:[A-Z]{1,4})?"
+_OPENING = (*_NAMING, *LOCALITY_WORDS, *BLOCK_WORDS, *LOT_WORDS, "SN")
 
-_KINDS: dict[str, str] = {}
-for _kind, _vocabulary in (
-    ("generic", GENERIC_STREET_WORDS),
-    ("empty", EMPTY_WORDS),
-    ("inside", NUMBERED_INSIDE),
-    ("landmark", LANDMARK_WORDS),
-    ("crossing", CROSSING_WORDS),
-    ("locality", LOCALITY_WORDS),
-    ("lot", LOT_WORDS),
-    ("block", BLOCK_WORDS),
-    ("road", ROAD_PREFIXES),
-    ("street", STREET_PREFIXES),
-):
-    _KINDS.update(dict.fromkeys(_vocabulary, _kind))
-_KINDS.update({"SN": "unnumbered", "NRO": "number_sign", "KM": "km"})
 
-_GLUED_LOT = re.compile(r"(?:LOTE?S?|LTS?|LTE)(\d{1,3})", re.ASCII)
-_GLUED_KM = re.compile(r"KM(\d+(?:\.\d+)?)", re.ASCII)
-_DECIMAL = re.compile(r"\d+(?:\.\d+)?", re.ASCII)
-_NUMBER = re.compile(r"(\d+)(?:\.\d+)?(?:[A-Z]{1,4})?", re.ASCII)
-_BLOCK_ID = re.compile(r"[A-Z0-9]{1,4}", re.ASCII)
-_LOT_ID = re.compile(r"\d{1,3}[A-Z]?|[A-Z]", re.ASCII)
+def _any(words: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
 
 
 def spelled(col: Column) -> Column:
-    """Words of an address, upper case and without accents, separated by single blanks."""
+    """Words of an address, upper case and without accents, separated by single blanks; numbers keep their decimals."""
     text = plain_upper(col)
-    for pattern, replacement in SPELLINGS:
-        text = F.regexp_replace(text, pattern, replacement)
-    text = F.regexp_replace(text, r"(\d)\.(?=\d)", "$1§")
-    return F.trim(F.replace(F.regexp_replace(text, r"[^A-Z0-9§]+", " "), F.lit("§"), F.lit(".")))
-
-
-def _number_text(value: str) -> str:
-    """Shortest decimal form: 012 is 12 and 4.50 is 4.5."""
-    number = float(value)
-    return str(int(number)) if number == int(number) else repr(number)
-
-
-class _Reader:
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.found: dict[str, set[str]] = {name: set() for name in PARTS}
-        self.naming = "street"
-        self.street_words = 0
-        self.door_next = False
-
-    def ahead(self, position: int) -> str:
-        return self.words[position] if position < len(self.words) else ""
-
-    def read(self) -> dict[str, list[str]]:
-        position = 0
-        while position < len(self.words):
-            word = self.words[position]
-            position = getattr(self, f"_{self._kind(word)}")(position, word)
-        return {name: sorted(values) for name, values in self.found.items()}
-
-    @staticmethod
-    def _kind(word: str) -> str:
-        known = _KINDS.get(word)
-        if known not in (None, "empty", "generic"):
-            return known
-        if _GLUED_LOT.fullmatch(word):
-            return "lot"
-        if _GLUED_KM.fullmatch(word):
-            return "km"
-        if _NUMBER.fullmatch(word):
-            return "number"
-        return known if known and len(word) >= 3 else "word"
-
-    def _start_street(self) -> None:
-        self.door_next = False
-        if self.naming != "landmark":
-            self.naming, self.street_words = "street", 0
-
-    def _leave(self) -> None:
-        self.door_next = False
-        if self.naming != "landmark":
-            self.naming = "rest"
-
-    # Each rule returns the position to go on from.
-
-    def _street(self, at: int, word: str) -> int:
-        self._start_street()
-        return at + 1
-
-    def _road(self, at: int, word: str) -> int:
-        self.found["generics"].add(ROAD)
-        self._start_street()
-        return at + 1
-
-    def _crossing(self, at: int, word: str) -> int:
-        self._start_street()
-        return at + 1
-
-    def _unnumbered(self, at: int, word: str) -> int:
-        self._leave()
-        return at + 1
-
-    def _landmark(self, at: int, word: str) -> int:
-        self.naming, self.door_next = "landmark", False
-        return at + 1
-
-    def _locality(self, at: int, word: str) -> int:
-        self.door_next = False
-        if self.naming != "landmark":
-            self.naming = "locality"
-        return at + 1
-
-    def _inside(self, at: int, word: str) -> int:
-        self.door_next = False
-        return at + 2 if self.ahead(at + 1)[:1].isdigit() else at + 1
-
-    def _number_sign(self, at: int, word: str) -> int:
-        self.door_next = self.naming != "landmark"
-        return at + 1
-
-    def _block(self, at: int, word: str) -> int:
-        self._leave()
-        name = self.ahead(at + 1)
-        if _KINDS.get(name) in ("block", "lot", "locality") or not _BLOCK_ID.fullmatch(name):
-            return at + 1
-        number, after = self.ahead(at + 2), self.ahead(at + 3)
-        split_name = re.fullmatch(r"[A-Z]{1,2}", name) and re.fullmatch(r"[0-9]{1,2}", number)
-        if split_name and (not after or _KINDS.get(after) == "lot" or re.match(r"(?:LOTE?S?|LTS?|LTE)[0-9]", after)):
-            self.found["blocks"].add(f"{name}{int(number)}")
-            return at + 3
-        self.found["blocks"].add(str(int(name)) if re.fullmatch(r"[0-9]+", name) else name)
-        return at + 2
-
-    def _lot(self, at: int, word: str) -> int:
-        self._leave()
-        glued = _GLUED_LOT.fullmatch(word)
-        if glued:
-            self.found["lots"].add(str(int(glued[1])))
-        at += 1
-        while at < len(self.words):
-            name = self.words[at]
-            if name not in ("Y", "NRO", "SUB"):
-                if self.ahead(at + 1) == "ETAPA" or not _LOT_ID.fullmatch(name):
-                    break
-                self.found["lots"].add(re.sub(r"^0+(?=[0-9])", "", name))
-            at += 1
-        return at
-
-    def _km(self, at: int, word: str) -> int:
-        glued = _GLUED_KM.fullmatch(word)
-        following = self.ahead(at + 1)
-        value = glued[1] if glued else (following if _DECIMAL.fullmatch(following) else None)
-        if value and self.naming != "landmark":
-            self.found["km"].add(_number_text(value))
-        self._leave()
-        return at + 2 if value and not glued else at + 1
-
-    def _number(self, at: int, word: str) -> int:
-        digits = _NUMBER.fullmatch(word)[1]
-        following = self.ahead(at + 1)
-        skip = 2 if following == "DE" else 1
-        month = self.ahead(at + skip)
-        if month in MONTHS:  # a date names a street: 28 DE JULIO
-            if self.naming == "street":
-                self.found["streets"].add(f"{int(digits)}{month}")
-                self.street_words += 1
-            return at + skip + 1
-        if not self.door_next and following == "ETAPA":
-            return at + 1
-        named = self.naming == "street" and self.street_words > 0
-        if self.naming in ("landmark", "locality") or not (self.door_next or named):
-            if self.naming == "street":
-                self.street_words = max(self.street_words, 1)
-            return at + 1
-        door = str(int(digits))
-        if 2 <= len(door) <= 5:
-            self.found["doors"].add(door)
-        self.naming, self.door_next = "rest", True
-        return at + 1
-
-    def _empty(self, at: int, word: str) -> int:
-        self.door_next = False
-        return at + 1
-
-    def _generic(self, at: int, word: str) -> int:
-        self.door_next = False
-        if self.naming == "street":
-            self.found["generics"].add(word)
-            self.street_words += 1
-        return at + 1
-
-    def _word(self, at: int, word: str) -> int:
-        self.door_next = False
-        if len(word) >= 3:
-            if self.naming == "street":
-                self.found["streets"].add(word)
-                self.street_words += 1
-            elif self.naming == "locality" and word not in GENERIC_LOCALITY_WORDS:
-                self.found["locality"].add(word)
-        return at + 1
-
-
-def read_words(text: str | None) -> dict[str, list[str]]:
-    return _Reader((text or "").split()).read()
-
-
-# Workers need not have this package installed: the reader travels with the job.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@F.pandas_udf(PARTS_SCHEMA)
-def _parts_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for words in batches:
-        yield pd.DataFrame([read_words(text) for text in words], columns=list(PARTS))
+    text = F.regexp_replace(text, r"(?<![A-Z0-9])([A-Z])\s*[./]\s*(?=[A-Z](?![A-Z0-9]))", "$1")  # A.H., S/N
+    text = F.regexp_replace(text, r"\bAA\W*HH\b", "AAHH")
+    text = F.regexp_replace(text, r"\b(?:NUMERO|NRO|NO|N)\b\W*(?=\d)|\bN\s*[°º]", " NRO ")
+    text = F.regexp_replace(text, r"(?<=[A-Z]{3})KM(?=[\s.\d])", " KM ")
+    text = F.regexp_replace(text, rf"\b(KM|{_any(LOT_WORDS)})\.?(?=\d)", "$1 ")
+    text = F.regexp_replace(text, r"(?<!\d)\.|\.(?!\d)|[^A-Z0-9.]", " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _unpadded(numbers: Column) -> Column:
+    return F.transform(numbers, lambda n: F.regexp_replace(n, r"^0+(?=\d)", ""))
+
+
+def _sorted(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(values))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def _named(piece: Column) -> Column:
+    """Name words, generic words and doors of one piece that names a street.
+
+    The name ends at the first number or number sign; the numbers from there on, without a gap, are doors. A number that
+    stands where the name should is part of it, as in CALLE 3, unless a number sign says otherwise.
+    """
+    body = F.regexp_replace(piece, rf"^{_any(_NAMING)}(?: |$)", "")
+    leads = body.rlike(rf"^{_NUMBER}(?: |$)")
+    name = F.regexp_extract(F.regexp_replace(body, rf"^{_NUMBER}(?: |$)", ""), rf"^((?:(?!NRO(?: |$)|{_NUMBER}(?: |$))\S+ ?)*)", 1)
+    rest = F.regexp_replace(body, rf"^(?:{_NUMBER}(?: |$))?(?:(?!NRO(?: |$)|{_NUMBER}(?: |$))\S+ ?)*", "")
+    words = F.filter(_words(name), lambda w: (F.length(w) >= 3) & ~w.isin(*EMPTY_WORDS))
+    run = F.regexp_extract(rest, rf"^((?:(?:NRO|{_NUMBER})(?: |$))*)", 1)
+    doors = F.regexp_extract_all(run, F.lit(r"(\d+)(?:\.\d+)?(?:[A-Z]{1,4})?(?: |$)"), F.lit(1))
+    return F.struct(
+        F.filter(words, lambda w: ~w.isin(*GENERIC_STREET_WORDS)).alias("names"),
+        F.filter(words, lambda w: w.isin(*GENERIC_STREET_WORDS)).alias("generics"),
+        F.when(leads | (F.size(words) > 0) | rest.startswith("NRO"), doors).otherwise(F.array().cast("array<string>")).alias("doors"),
+    )
+
+
+def _parts(text: Column) -> Column:
+    head = F.regexp_replace(text, rf"(?:^| ){_any(LANDMARK_WORDS)}(?: .*|$)", "")
+    # Dates are names, numbers inside a building or of a stage are no doors.
+    head = F.regexp_replace(head, rf"\b0*(\d+) (?:DE )?({'|'.join(MONTHS)})\b", "$1_$2")
+    head = F.regexp_replace(head, rf"\b{_any(NUMBERED_INSIDE)}\b(?: \d\S*)?", " / ")
+    head = F.regexp_replace(head, r"\b\d+\S* (?=ETAPA\b)", "")
+    pieces = F.split(F.trim(F.regexp_replace(head, " +", " ")), rf" (?={_any((*_OPENING, 'KM'))}(?: |$))")
+    opens = lambda words: lambda p: F.split(p, " ")[0].isin(*words)
+    other = tuple(w for w in (*_OPENING, "KM") if w not in _NAMING)
+    naming = F.transform(F.filter(pieces, lambda p: ~opens(other)(p)), _named)
+    settled = F.flatten(F.transform(F.filter(pieces, opens(LOCALITY_WORDS)), _words))
+    generic = (*GENERIC_LOCALITY_WORDS, *LOCALITY_WORDS, *GENERIC_STREET_WORDS, *EMPTY_WORDS)
+    km = F.regexp_extract_all(head, F.lit(r"\bKM (\d+(?:\.\d+)?)\b"), F.lit(1))
+    blocks = F.regexp_extract_all(
+        text, F.lit(rf"\b{_any(BLOCK_WORDS)} (?!{_any((*BLOCK_WORDS, *LOT_WORDS, *LOCALITY_WORDS))}\b)([A-Z]{{1,2}} \d{{1,2}}(?= {_any(LOT_WORDS)}\b|$)|[A-Z0-9]{{1,4}}\b)"), F.lit(1)
+    )
+    lots = F.regexp_extract_all(
+        F.regexp_replace(text, r"\b\d+\S* (?=ETAPA\b)", "/ "), F.lit(rf"\b{_any(LOT_WORDS)}((?: (?:Y|NRO|SUB|\d{{1,3}}[A-Z]?|[A-Z])\b)+)"), F.lit(1)
+    )
+    return let(
+        naming,
+        lambda streets: F.struct(
+            _sorted(F.flatten(F.transform(streets, lambda s: F.transform(s["names"], lambda w: F.replace(w, F.lit("_"), F.lit("")))))).alias("streets"),
+            _sorted(
+                F.concat(
+                    F.flatten(F.transform(streets, lambda s: s["generics"])),
+                    F.when(F.exists(pieces, opens(ROAD_PREFIXES)), F.array(F.lit(ROAD))).otherwise(F.array().cast("array<string>")),
+                )
+            ).alias("generics"),
+            _sorted(F.filter(settled, lambda w: (F.length(w) >= 3) & ~w.isin(*generic) & ~w.rlike(r"^\d|[_/.]"))).alias("locality"),
+            _sorted(F.filter(_unpadded(F.flatten(F.transform(streets, lambda s: s["doors"]))), lambda n: F.length(n).between(2, 5))).alias("doors"),
+            _sorted(F.transform(_unpadded(km), lambda n: F.regexp_replace(n, r"\.0+$|(\.\d*?)0+$", "$1"))).alias("km"),
+            _sorted(F.transform(blocks, lambda b: F.regexp_replace(F.replace(b, F.lit(" "), F.lit("")), r"^([A-Z]*)0+(?=\d)", "$1"))).alias("blocks"),
+            _sorted(_unpadded(F.filter(F.flatten(F.transform(lots, _words)), lambda w: ~w.isin("Y", "NRO", "SUB")))).alias("lots"),
+        ),
+    )
 
 
 def address_parts(col: Column) -> Column:
-    """Parts of an address as a struct of sorted arrays. Spelling is JVM work; only words reach Python."""
-    return _parts_of(spelled(col))
+    """Parts of an address as a struct of sorted arrays."""
+    return let(spelled(col), _parts)
