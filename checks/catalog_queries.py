@@ -340,9 +340,9 @@ def brand_accreditation(spark, sf_dir):
 
 @query(
     "claim_conflicts",
-    """WITH c AS (SELECT l_partkey % 500 AS site, l_orderkey::VARCHAR || '#' || l_linenumber::VARCHAR AS entry, l_returnflag AS brand,
+    """WITH c AS (SELECT l_orderkey AS site, concat_ws('#', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS entry, l_returnflag AS brand,
                         round(l_quantity)::BIGINT AS score, l_tax > 0.079 AND l_discount > 0.099 AS clash
-                 FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01' AND l_linestatus = 'O'),
+                 FROM lineitem),
 f AS (SELECT site, min(brand) AS b0, max(brand) AS b1, bool_or(clash) AS clash, min((-score, entry)) AS best FROM c GROUP BY 1)
 SELECT outcome, count(*)::BIGINT AS n FROM (
 SELECT CASE WHEN b0 <> b1 THEN 'conflicto_entre_directorios' WHEN f.clash THEN 'choque_con_operador'
@@ -350,12 +350,10 @@ SELECT CASE WHEN b0 <> b1 THEN 'conflicto_entre_directorios' WHEN f.clash THEN '
 FROM c JOIN f ON f.site = c.site) GROUP BY 1""",
 )
 def claim_conflicts(spark, sf_dir):
-    lines = S.table(spark, sf_dir, "lineitem").where(
-        (F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp")) & (F.col("l_linestatus") == "O")
-    )
+    lines = S.table(spark, sf_dir, "lineitem")
     claims = lines.select(
-        (F.col("l_partkey") % 500).alias("site_id"),
-        F.concat_ws("#", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("entry_key"),
+        F.col("l_orderkey").alias("site_id"),
+        F.concat_ws("#", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("entry_key"),
         F.col("l_returnflag").alias("brand_key"),
         F.round("l_quantity").cast("long").alias("claim_score"),
         ((F.col("l_tax") > 0.079) & (F.col("l_discount") > 0.099)).alias("clash"),

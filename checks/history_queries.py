@@ -23,7 +23,7 @@ fresh AS (SELECT *, first_value(eff_price) OVER w AS p0, first_value(rep_us) OVE
           FROM evaluated WHERE state = 'fresh' WINDOW w AS (PARTITION BY product, site_id ORDER BY id)),
 site AS (SELECT product, site_id, any_value(p0) AS price, count(*) FILTER (eff_price = p0 AND rep_us = r0) - 1 AS dup,
                 count(*) FILTER (NOT (eff_price = p0 AND rep_us = r0)) AS bad FROM fresh GROUP BY 1, 2)
-SELECT product, round(avg(price), 4)::DOUBLE AS mean, count(*)::BIGINT AS n, sum(dup)::BIGINT AS duplicates_ignored,
+SELECT product, CASE WHEN sum(bad) = 0 THEN round(avg(price), 4)::DOUBLE END AS mean, count(*)::BIGINT AS n, sum(dup)::BIGINT AS duplicates_ignored,
        sum(bad)::BIGINT AS contradictions, 0::BIGINT AS problems,
        CASE WHEN sum(bad) > 0 THEN 'invalid' ELSE 'ok' END AS status FROM site GROUP BY 1""",
 )
@@ -32,7 +32,7 @@ def daily_mean(spark, sf_dir):
 
 
 def _observations(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("value > 100")
+    e = S.table(spark, sf_dir, "events")
     return e.select(
         F.col("event_type").alias("product"),
         F.col("event_id").alias("observation_id"),
@@ -45,7 +45,7 @@ def _observations(spark, sf_dir):
     "last_of_day",
     f"""WITH o AS (SELECT *, {LOCAL_SQL} AS d,
                          row_number() OVER (PARTITION BY event_type, {LOCAL_SQL} ORDER BY ts DESC, event_id DESC) AS r
-                  FROM events WHERE value > 100)
+                  FROM events)
 SELECT event_type AS product, d AS local_date, event_id::BIGINT AS observation_id, epoch_us(ts)::BIGINT AS observed_us,
        value::DOUBLE AS value FROM o WHERE r = 1""",
 )
@@ -54,11 +54,11 @@ def last_of_day(spark, sf_dir):
     return last.withColumn("observed_us", F.unix_micros("observed_at")).drop("observed_at")
 
 
-# Few events are this dear, so days without any occur and the series has gaps.
+# A user reports a type on some days only, so every series has gaps.
 _DAILY_SQL = f"""
-daily AS (SELECT event_type AS product, {LOCAL_SQL} AS date, avg(value) AS mean, count(*) AS n, max(ts) AS observed_at,
+daily AS (SELECT event_type || '-' || user_id::VARCHAR AS product, {LOCAL_SQL} AS date, avg(value) AS mean, count(*) AS n, max(ts) AS observed_at,
                  max(event_id) AS observation_id
-          FROM events WHERE value > 220 GROUP BY 1, 2),
+          FROM events GROUP BY 1, 2),
 spine AS (SELECT p.product, d.date, x.mean, x.n, x.observed_at, x.observation_id
           FROM (SELECT DISTINCT product FROM daily) p
           CROSS JOIN (SELECT CAST(range AS DATE) AS date FROM range(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) d
@@ -67,9 +67,13 @@ framed AS (SELECT * FROM spine WHERE date > DATE '2024-01-30' - 21)
 """
 
 
+def _series():
+    return F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("product")
+
+
 def _daily(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("value > 220")
-    return e.groupBy(F.col("event_type").alias("product"), history.local_date(F.col("ts")).alias("date")).agg(
+    e = S.table(spark, sf_dir, "events")
+    return e.groupBy(_series(), history.local_date(F.col("ts")).alias("date")).agg(
         F.avg("value").alias("mean"),
         F.count(F.lit(1)).alias("n"),
         F.max("ts").alias("observed_at"),
@@ -162,11 +166,11 @@ def date_adjacency(spark, sf_dir):
 # --- guards -------------------------------------------------------------------------------------
 
 _GUARD_SQL = f"""
-prev AS (SELECT event_type AS product, {LOCAL_SQL} AS date, max(event_id) AS oid, max(value)::VARCHAR AS content
-         FROM events WHERE value > 150 AND ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2),
-cand AS (SELECT event_type AS product, {LOCAL_SQL} AS date,
+prev AS (SELECT event_type || '-' || user_id::VARCHAR AS product, {LOCAL_SQL} AS date, max(event_id) AS oid, max(value)::VARCHAR AS content
+         FROM events WHERE ts < TIMESTAMP '2024-01-25' GROUP BY 1, 2),
+cand AS (SELECT event_type || '-' || user_id::VARCHAR AS product, {LOCAL_SQL} AS date,
                 max(CASE WHEN event_type <> 'error' OR value > 240 THEN event_id END) AS oid, max(value)::VARCHAR AS content
-         FROM events WHERE value > 150 AND (event_type <> 'view' OR ts < TIMESTAMP '2024-01-20')
+         FROM events WHERE (event_type <> 'view' OR ts < TIMESTAMP '2024-01-20')
            AND (event_type <> 'click' OR ts < TIMESTAMP '2024-01-25') GROUP BY 1, 2),
 b AS (SELECT coalesce(p.product, c.product) AS product, coalesce(p.date, c.date) AS date, p.oid AS po, c.oid AS co,
              p.content AS pc, c.content AS cc, p.product IS NOT NULL AS hp, c.product IS NOT NULL AS hc
@@ -179,9 +183,9 @@ t AS (SELECT product, bool_or(hp) AS known, max(CASE WHEN hp THEN date END) AS p
 
 
 def _summaries(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where("value > 150")
+    e = S.table(spark, sf_dir, "events")
     day = history.local_date(F.col("ts")).alias("date")
-    product, content = F.col("event_type").alias("product"), F.max("value").cast("string").alias("content")
+    product, content = _series(), F.max("value").cast("string").alias("content")
     previous = (
         e.where(F.col("ts") < F.lit("2024-01-25").cast("timestamp"))
         .groupBy(product, day)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.registry import query
 from pricewarden.operators import live
+from pricewarden.operators.pricing import instant_lit
 from pricewarden.session import cut_lineage
 
 RUN_AT = datetime(2024, 1, 25, 6)
@@ -96,7 +97,7 @@ def unit_accept(spark, sf_dir):
     "unit_accepted_rows",
     f"""WITH {_CAPTURE_SQL}
 SELECT c.d::BIGINT AS district_code, c.product, c.ord::BIGINT AS row_ordinal, substr(c.ptext, 4)::DOUBLE AS price,
-       substr(sha256('facilito-link-v1|["SITE ' || e.user_id::VARCHAR || '",' || to_json(upper(e.props))::VARCHAR
+       substr(sha256('link-v1|["SITE ' || e.user_id::VARCHAR || '",' || to_json(upper(e.props))::VARCHAR
               || ',"DISTRITO ' || c.d::VARCHAR || '"]'), 1, 32) AS key_hash
 FROM cap c JOIN unit u ON u.d = c.d AND u.product = c.product JOIN events e ON e.event_id = c.ord
 WHERE first_bad IS NULL AND c.d % 20 < 14""",
@@ -104,7 +105,7 @@ WHERE first_bad IS NULL AND c.d % 20 < 14""",
 def unit_accepted_rows(spark, sf_dir):
     rows = _captured(spark, sf_dir)
     judged = live.accept_units(_captured_units(rows), rows, width=6, unit_name="Galones")
-    return live.accepted_rows(rows, judged, keep=["row_ordinal"]).drop("observed_at")
+    return live.accepted_rows(rows, judged, S.LINK_SCHEME, keep=["row_ordinal"]).drop("observed_at")
 
 
 # --- state --------------------------------------------------------------------------------------
@@ -114,7 +115,7 @@ prev AS (SELECT user_id % 43 AS d, event_type AS product, max(ts) AS observed_at
          WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1, 2 HAVING max(value) > 120),
 att AS (SELECT user_id % 43 AS d, event_type AS product, day(ts) AS seq, max(ts) AS observed_at, count(*) AS total,
                CASE WHEN (user_id % 43 + day(ts)) % 4 = 0 THEN 'sin_tabla' ELSE 'ok' END AS status
-        FROM events WHERE ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1, 2, 3, 6),
+        FROM events WHERE ts >= TIMESTAMP '2024-01-12' GROUP BY 1, 2, 3, 6),
 good AS (SELECT *, row_number() OVER (PARTITION BY d, product ORDER BY observed_at DESC, seq) AS r
          FROM att WHERE status = 'ok'),
 last AS (SELECT *, row_number() OVER (PARTITION BY d, product ORDER BY seq DESC) AS r FROM att),
@@ -153,9 +154,7 @@ def _previous(spark, sf_dir):
 
 
 def _attempts(spark, sf_dir):
-    e = S.table(spark, sf_dir, "events").where(
-        (F.col("ts") >= F.lit("2024-01-12").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-19").cast("timestamp"))
-    )
+    e = S.table(spark, sf_dir, "events").where(F.col("ts") >= F.lit("2024-01-12").cast("timestamp"))
     d = F.col("user_id") % 43
     return (
         e.groupBy(d.alias("district_code"), F.col("event_type").alias("product"), F.dayofmonth("ts").alias("seq"))
@@ -222,7 +221,9 @@ def state_for_products(spark, sf_dir):
     "unit_regressions",
     """WITH pub AS (SELECT user_id % 43 AS d, event_type AS product, max(ts) AS at FROM events
                    WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2),
-cand AS (SELECT user_id % 43 AS d, event_type AS product, max(ts) AS at FROM events WHERE value > 200 GROUP BY 1, 2)
+cand AS (SELECT user_id % 43 AS d, event_type AS product,
+                max(CASE WHEN (user_id % 43) % 3 = 0 THEN ts - INTERVAL 15 DAY ELSE ts END) AS at FROM events
+         WHERE (user_id % 43) % 7 <> 0 OR event_type <> 'view' GROUP BY 1, 2)
 SELECT p.d::BIGINT AS district_code, p.product, epoch_us(p.at)::BIGINT AS published_us, epoch_us(c.at)::BIGINT AS candidate_us
 FROM pub p LEFT JOIN cand c ON c.d = p.d AND c.product = p.product
 WHERE p.product <> 'signup' AND (c.at IS NULL OR c.at < p.at)""",
@@ -233,7 +234,10 @@ def unit_regressions(spark, sf_dir):
     )
     newest = F.max("ts").alias("observed_at")
     published = e.where(F.col("ts") < F.lit("2024-01-20").cast("timestamp")).groupBy(*live.UNIT).agg(newest)
-    candidate = e.where("value > 200").groupBy(*live.UNIT).agg(newest)
+    # Every third district comes back fifteen days old, every seventh lacks a product.
+    older = F.when(F.col("district_code") % 3 == 0, F.col("ts") - F.expr("INTERVAL 15 DAYS")).otherwise(F.col("ts"))
+    there = e.where((F.col("district_code") % 7 != 0) | (F.col("product") != "view"))
+    candidate = there.withColumn("ts", older).groupBy(*live.UNIT).agg(newest)
     found = live.unit_regressions(candidate, published, ["click", "error", "purchase", "view"])
     return found.select(
         *live.UNIT,
@@ -255,10 +259,10 @@ def _norm_sql(column: str) -> str:
 _LINK_SQL = f"""
 texts AS (SELECT doc_id, lang, n_chars, {_norm_sql('text')} AS t, {_norm_sql('source')} AS s FROM documents),
 keyed AS (SELECT doc_id, lang, n_chars,
-                 CASE WHEN t <> '' AND s <> '' THEN substr(sha256('facilito-link-v1|' ||
+                 CASE WHEN t <> '' AND s <> '' THEN substr(sha256('link-v1|' ||
                       to_json([t, s, upper(lang)])::VARCHAR), 1, 32) END AS key_hash FROM texts),
 live AS (SELECT lang AS product, key_hash, count(*) AS n, min(n_chars) AS price FROM keyed
-         WHERE key_hash IS NOT NULL AND n_chars > 0 GROUP BY 1, 2),
+         WHERE key_hash IS NOT NULL AND n_chars > 0 AND doc_id % 30 <= 24 GROUP BY 1, 2),
 offers AS (SELECT k.lang AS product, key_hash, count(*) AS n, min(k.doc_id) AS id FROM keyed k
            JOIN labels l ON l.doc_id = k.doc_id WHERE key_hash IS NOT NULL GROUP BY 1, 2),
 links AS (SELECT v.product, v.key_hash, CASE WHEN v.n > 1 OR o.n > 1 THEN 'ambiguous' WHEN o.n IS NULL THEN 'unlinked'
@@ -267,19 +271,24 @@ links AS (SELECT v.product, v.key_hash, CASE WHEN v.n > 1 OR o.n > 1 THEN 'ambig
 """
 
 
-def _links(spark, sf_dir):
+def _keyed(spark, sf_dir):
+    """Documents as live rows, read up to 29 hours before the instant: those beyond 24 are expired."""
     docs = S.documents(spark, sf_dir, "doc_id", "lang", "source", "text", "n_chars")
     keyed = docs.select(  # keys are stored beside their rows, so whole texts are read once
         F.col("doc_id").alias("id"),
         F.col("lang").alias("product"),
         F.col("n_chars").cast("double").alias("price"),
-        F.lit("2024-01-30 00:00:00").cast("timestamp").alias("observed_at"),
-        live.link_key(F.col("text"), F.col("source"), F.col("lang")).alias("key_hash"),
+        (instant_lit(NOW) - F.make_dt_interval(hours=(F.col("doc_id") % 30).cast("int"))).alias("observed_at"),
+        F.col("source").alias("unit"),
+        live.link_key(F.col("text"), F.col("source"), F.col("lang"), S.LINK_SCHEME).alias("key_hash"),
     )
-    keyed = cut_lineage(keyed)
+    return cut_lineage(keyed)
+
+
+def _links(spark, sf_dir, keyed):
     labelled = S.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     offers = keyed.join(labelled, "id", "left_semi").select("id", "product", "key_hash")
-    return live.link_keys(keyed.drop("id"), offers, NOW)
+    return live.link_keys(keyed.drop("id", "unit"), offers, NOW)
 
 
 @query(
@@ -289,19 +298,22 @@ SELECT product, key_hash, status, CASE WHEN status = 'linked' THEN id END::BIGIN
        CASE WHEN status = 'linked' THEN price END::DOUBLE AS live_price FROM links""",
 )
 def link_unique(spark, sf_dir):
-    return _links(spark, sf_dir).drop("live_observed_at")
+    return _links(spark, sf_dir, _keyed(spark, sf_dir)).drop("live_observed_at")
 
 
 @query(
     "link_counts",
-    f"""WITH {_LINK_SQL}
-SELECT product, count(*) FILTER (status = 'linked')::BIGINT AS linked,
-       count(*) FILTER (status = 'ambiguous')::BIGINT AS ambiguous,
-       count(*) FILTER (status = 'unlinked')::BIGINT AS unlinked FROM links GROUP BY 1""",
+    f"""WITH {_LINK_SQL},
+k AS (SELECT product, count(*) FILTER (status = 'linked') AS linked, count(*) FILTER (status = 'ambiguous') AS ambiguous,
+             count(*) FILTER (status = 'unlinked') AS unlinked FROM links GROUP BY 1),
+u AS (SELECT lang, source, min(doc_id % 30) AS youngest FROM documents GROUP BY 1, 2),
+x AS (SELECT lang AS product, count(*) FILTER (youngest > 24) AS expired FROM u GROUP BY 1),
+r AS (SELECT lang AS product, count(*) FILTER (doc_id % 30 <= 24) AS n FROM documents GROUP BY 1)
+SELECT r.product, r.n::BIGINT AS rows, coalesce(linked, 0)::BIGINT AS linked, coalesce(ambiguous, 0)::BIGINT AS ambiguous,
+       coalesce(unlinked, 0)::BIGINT AS unlinked, expired::BIGINT AS expired_units
+FROM r JOIN x ON x.product = r.product LEFT JOIN k ON k.product = r.product""",
 )
 def link_counts(spark, sf_dir):
-    return (
-        _links(spark, sf_dir)
-        .groupBy("product")
-        .agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("linked", "ambiguous", "unlinked")])
-    )
+    keyed = _keyed(spark, sf_dir)
+    units = keyed.groupBy("product", "unit").agg(F.max("observed_at").alias("observed_at"))
+    return live.link_counts(_links(spark, sf_dir, keyed), keyed, units, NOW)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewarden.config import GALLONS, ProductRule
-from pricewarden.session import prepare, spread
+from pricewarden.session import prepare
 
 PRODUCTS = ("click", "error", "purchase", "signup", "view")
 CUTOFF = "2024-01-28 00:00:00"
+LINK_SCHEME = "link-v1"
 SCOPE = {"department": "D", "province": "P"}
 
 
@@ -18,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Whole texts, spread over the cores if the file is one split."""
-    return spread(table(spark, sf_dir, "documents").select(*columns))
+    """Whole texts, dealt out by document, which is what the queries over lines group by next."""
+    return table(spark, sf_dir, "documents").select(*columns).repartition(columns[0])
 
 
 def cutoff():

@@ -61,14 +61,21 @@ def streaming_state(spark, sf_dir):
 
 @query(
     "streaming_daily",
-    """SELECT event_type AS product, CAST(ts - INTERVAL 5 HOURS AS DATE) AS date, round(avg(value), 4)::DOUBLE AS mean,
-       count(*)::BIGINT AS n FROM events
-WHERE CAST(ts - INTERVAL 5 HOURS AS DATE) < (SELECT CAST(max(ts) - INTERVAL 11 HOURS AS DATE) FROM events) GROUP BY 1, 2""",
+    """WITH e AS (SELECT event_type AS product, CAST(ts - INTERVAL 5 HOURS AS DATE) AS date, user_id AS site,
+                   CASE WHEN user_id % 30 = 7 THEN value ELSE user_id % 50 + 1 END AS price FROM events),
+s AS (SELECT product, date, site, min(price) AS price, max(price) AS top FROM e GROUP BY 1, 2, 3)
+SELECT product, date, CASE WHEN bool_and(price = top) THEN round(avg(price), 4) END::DOUBLE AS mean, count(*)::BIGINT AS n,
+       count(*) FILTER (price <> top)::BIGINT AS contradictions, CASE WHEN bool_and(price = top) THEN 'ok' ELSE 'invalid' END AS status
+FROM s WHERE date < (SELECT CAST(max(ts) - INTERVAL 11 HOURS AS DATE) FROM events) GROUP BY 1, 2""",
 )
 def streaming_daily(spark, sf_dir):
-    """Days the watermark has closed by the end of the file; later days stay open."""
+    """Days the watermark has closed by the end of the file; later days stay open.
+
+    A user is a site that repeats its own price, apart from some that name another one each time.
+    """
+    price = F.when(F.col("user_id") % 30 == 7, F.col("value")).otherwise((F.col("user_id") % 50 + 1).cast("double"))
     prices = _event_stream(spark, sf_dir).select(
-        F.col("event_type").alias("product"), F.col("value").alias("price"), F.col("ts").alias("observed_at")
+        F.col("event_type").alias("product"), F.col("user_id").alias("site_id"), price.alias("price"), F.col("ts").alias("observed_at")
     )
     root = f"{checkpoint_root(spark)}/daily-{uuid.uuid4().hex}"
     written = (
@@ -107,7 +114,7 @@ def display_address(spark, sf_dir):
 
 @query("display_name")
 def display_name(spark, sf_dir):
-    name = F.concat(F.col("source"), F.lit(" "), F.substring_index("text", " ", 3), F.lit(" GLP"))
+    name = F.concat(F.col("source"), F.lit(" "), F.col("text"), F.lit(" GLP"))
     docs = S.documents(spark, sf_dir, "doc_id", "source", "text")
     return docs.select("doc_id", addresses.display_name(name, F.lit(False)).alias("public_site_name"))
 

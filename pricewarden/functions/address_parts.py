@@ -81,24 +81,48 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
+def _until(words: Column, stop) -> Column:
+    """The words before the first that passes `stop`; all if none does."""
+    at = F.array_position(F.transform(words, stop), F.lit(True))
+    return let(at, lambda i: F.when(i > 0, F.slice(words, 1, (i - 1).cast("int"))).otherwise(words))
+
+
+def _from(words: Column, start) -> Column:
+    """The words from the first that passes `start`; none if none does."""
+    at = F.array_position(F.transform(words, start), F.lit(True))
+    return let(at, lambda i: F.when(i > 0, F.slice(words, i.cast("int"), F.size(words))).otherwise(F.filter(words, lambda w: F.lit(False))))
+
+
+def _without_first(words: Column, when: Column) -> Column:
+    return F.when(when, F.slice(words, 2, F.size(words))).otherwise(words)
+
+
 def _named(piece: Column) -> Column:
     """Name words, generic words and doors of one piece that names a street.
 
     The name ends at the first number or number sign; the numbers from there on, without a gap, are doors. A number that
     stands where the name should is part of it, as in CALLE 3, unless a number sign says otherwise.
     """
-    body = F.regexp_replace(piece, rf"^{_any(_NAMING)}(?: |$)", "")
-    leads = body.rlike(rf"^{_NUMBER}(?: |$)")
-    name = F.regexp_extract(F.regexp_replace(body, rf"^{_NUMBER}(?: |$)", ""), rf"^((?:(?!NRO(?: |$)|{_NUMBER}(?: |$))\S+ ?)*)", 1)
-    rest = F.regexp_replace(body, rf"^(?:{_NUMBER}(?: |$))?(?:(?!NRO(?: |$)|{_NUMBER}(?: |$))\S+ ?)*", "")
-    words = F.filter(_words(name), lambda w: (F.length(w) >= 3) & ~w.isin(*EMPTY_WORDS))
-    run = F.regexp_extract(rest, rf"^((?:(?:NRO|{_NUMBER})(?: |$))*)", 1)
-    doors = F.regexp_extract_all(run, F.lit(r"(\d+)(?:\.\d+)?(?:[A-Z]{1,4})?(?: |$)"), F.lit(1))
-    return F.struct(
-        F.filter(words, lambda w: ~w.isin(*GENERIC_STREET_WORDS)).alias("names"),
-        F.filter(words, lambda w: w.isin(*GENERIC_STREET_WORDS)).alias("generics"),
-        F.when(leads | (F.size(words) > 0) | rest.startswith("NRO"), doors).otherwise(F.array().cast("array<string>")).alias("doors"),
-    )
+    number = lambda w: w.rlike(rf"^{_NUMBER}$")
+    opens = F.coalesce(F.split(piece, " ")[0].isin(*_NAMING), F.lit(False))
+
+    def read(body: Column) -> Column:
+        leads = F.coalesce(number(F.get(body, F.lit(0))), F.lit(False))
+        return let(_without_first(body, leads), lambda rest: parts(rest, leads))
+
+    def parts(rest: Column, leads: Column) -> Column:
+        words = F.filter(_until(rest, lambda w: number(w) | (w == "NRO")), lambda w: (F.length(w) >= 3) & ~w.isin(*EMPTY_WORDS))
+        tail = _from(rest, lambda w: number(w) | (w == "NRO"))
+        run = let(tail, lambda t: _until(t, lambda w: ~(number(w) | (w == "NRO"))))
+        doors = F.transform(F.filter(run, number), lambda w: F.regexp_extract(w, r"^\d+", 0))
+        told = leads | (F.size(words) > 0) | F.coalesce(F.get(tail, F.lit(0)) == "NRO", F.lit(False))
+        return F.struct(
+            F.filter(words, lambda w: ~w.isin(*GENERIC_STREET_WORDS)).alias("names"),
+            F.filter(words, lambda w: w.isin(*GENERIC_STREET_WORDS)).alias("generics"),
+            F.filter(doors, lambda w: told).alias("doors"),
+        )
+
+    return let(_without_first(_words(piece), opens), read)
 
 
 def _parts(text: Column) -> Column:
@@ -117,9 +141,10 @@ def _parts(text: Column) -> Column:
     blocks = F.regexp_extract_all(
         text, F.lit(rf"\b{_any(BLOCK_WORDS)} (?!{_any((*BLOCK_WORDS, *LOT_WORDS, *LOCALITY_WORDS))}\b)([A-Z]{{1,2}} \d{{1,2}}(?= {_any(LOT_WORDS)}\b|$)|[A-Z0-9]{{1,4}}\b)"), F.lit(1)
     )
-    lots = F.regexp_extract_all(
-        F.regexp_replace(text, r"\b\d+\S* (?=ETAPA\b)", "/ "), F.lit(rf"\b{_any(LOT_WORDS)}((?: (?:Y|NRO|SUB|\d{{1,3}}[A-Z]?|[A-Z])\b)+)"), F.lit(1)
-    )
+    # Lots that Y joins stay in one piece; a piece begins with the word for lot and lists them.
+    listed = F.regexp_replace(F.regexp_replace(text, r"\b\d+\S* (?=ETAPA\b)", "/ "), r"(?<= \d{1,3}[A-Z]?) Y (?=\d{1,3}[A-Z]?(?: |$))", " ")
+    lot_pieces = F.filter(F.split(listed, rf" (?={_any(_OPENING)}(?: |$))"), opens(LOT_WORDS))
+    lots = F.transform(lot_pieces, lambda p: let(F.slice(_words(p), 2, F.size(_words(p))), lambda found: _until(found, lambda w: ~w.rlike(r"^(?:NRO|SUB|\d{1,3}[A-Z]?|[A-Z])$"))))
     return let(
         naming,
         lambda streets: F.struct(
@@ -134,7 +159,7 @@ def _parts(text: Column) -> Column:
             _sorted(F.filter(_unpadded(F.flatten(F.transform(streets, lambda s: s["doors"]))), lambda n: F.length(n).between(2, 5))).alias("doors"),
             _sorted(F.transform(_unpadded(km), lambda n: F.regexp_replace(n, r"\.0+$|(\.\d*?)0+$", "$1"))).alias("km"),
             _sorted(F.transform(blocks, lambda b: F.regexp_replace(F.replace(b, F.lit(" "), F.lit("")), r"^([A-Z]*)0+(?=\d)", "$1"))).alias("blocks"),
-            _sorted(_unpadded(F.filter(F.flatten(F.transform(lots, _words)), lambda w: ~w.isin("Y", "NRO", "SUB")))).alias("lots"),
+            _sorted(_unpadded(F.filter(F.flatten(lots), lambda w: ~w.isin("NRO", "SUB")))).alias("lots"),
         ),
     )
 

@@ -29,19 +29,22 @@ COARSE_M = 6000.0
 # Weights of the evidence, words that prove nothing alone, and words names share.
 WEIGHTS = {"door": 45, "street": 35, "name": 40, "lot": 30, "locality": 10, "operator": 10, "district": 10}
 WEAK_WORDS = (
-    "SAN STA STO SANTA SANTO SENOR SENORA NUESTRA VIRGEN GENERAL GRAL MARISCAL MCAL PRESIDENTE CORONEL CAPITAN "
-    "ALMIRANTE DOCTOR INGENIERO PADRE JOSE JUAN MARIA MANUEL LUIS CARLOS REPUBLICA PASEO LIMA PERU INCA HEROES"
-).split()
+    "SAN", "STA", "STO", "SANTA", "SANTO", "SENOR", "SENORA", "NUESTRA", "VIRGEN", "GENERAL", "GRAL", "MARISCAL",
+    "MCAL", "PRESIDENTE", "CORONEL", "CAPITAN", "ALMIRANTE", "DOCTOR", "INGENIERO", "PADRE", "JOSE", "JUAN", "MARIA",
+    "MANUEL", "LUIS", "CARLOS", "REPUBLICA", "PASEO", "LIMA", "PERU", "INCA", "HEROES",
+)
 ORIENTATIONS = ("NORTE", "SUR", "ESTE", "OESTE")
 COMMON_NAME_WORDS = (
-    "CORPORATION COMPANY CLUB ASOCIACION COOPERATIVA GREMIO PARQUE ES EESS ESTACION ESTACIONES SERVICIO SERVICIOS "
-    "GRIFO GRIFOS GASOCENTRO SERVICENTRO CENTRO COMBUSTIBLE COMBUSTIBLES GAS GNV GLP SAC EIRL SRL SOCIEDAD ANONIMA "
-    "CERRADA EMPRESA EMPRESAS EMPRESARIAL INVERSIONES INVERSION CORPORACION GRUPO NEGOCIACIONES NEGOCIACION COMERCIAL "
-    "COMERCIALIZADORA DISTRIBUIDORA GENERALES MULTISERVICIOS AUTOSERVICIOS TRANSPORTES LIMITADA RESPONSABILIDAD "
-    "INDIVIDUAL IMPORTACIONES EXPORTACIONES HERMANOS HNOS CIA COMPANIA ASOCIADOS REPRESENTACIONES OPERACIONES "
-    "PETROLEOS PETROLEO ENERGY ENERGIA OIL TRADING SERVICE PERU LIMA PRIMAX REPSOL PETROPERU AVA COESTI DEL LAS LOS "
-    "SAN SANTA SANTO NORTE SUR ESTE OESTE"
-).split()
+    "CORPORATION", "COMPANY", "CLUB", "ASOCIACION", "COOPERATIVA", "GREMIO", "PARQUE", "ES", "EESS", "ESTACION",
+    "ESTACIONES", "SERVICIO", "SERVICIOS", "GRIFO", "GRIFOS", "GASOCENTRO", "SERVICENTRO", "CENTRO", "COMBUSTIBLE",
+    "COMBUSTIBLES", "GAS", "GNV", "GLP", "SAC", "EIRL", "SRL", "SOCIEDAD", "ANONIMA", "CERRADA", "EMPRESA",
+    "EMPRESAS", "EMPRESARIAL", "INVERSIONES", "INVERSION", "CORPORACION", "GRUPO", "NEGOCIACIONES", "NEGOCIACION",
+    "COMERCIAL", "COMERCIALIZADORA", "DISTRIBUIDORA", "GENERALES", "MULTISERVICIOS", "AUTOSERVICIOS", "TRANSPORTES",
+    "LIMITADA", "RESPONSABILIDAD", "INDIVIDUAL", "IMPORTACIONES", "EXPORTACIONES", "HERMANOS", "HNOS", "CIA",
+    "COMPANIA", "ASOCIADOS", "REPRESENTACIONES", "OPERACIONES", "PETROLEOS", "PETROLEO", "ENERGY", "ENERGIA", "OIL",
+    "TRADING", "SERVICE", "PERU", "LIMA", "PRIMAX", "REPSOL", "PETROPERU", "AVA", "COESTI", "DEL", "LAS", "LOS",
+    "SAN", "SANTA", "SANTO", "NORTE", "SUR", "ESTE", "OESTE",
+)
 
 
 # --- coordinates and their precision ------------------------------------------------------------

@@ -54,7 +54,7 @@ def vote_per_site(evaluated: DataFrame, by: Sequence[str] = ("product",)) -> Dat
 def daily_mean(evaluated: DataFrame, by: Sequence[str] = ("product",)) -> DataFrame:
     """Mean of the sites' prices per product. A contradicted product is invalid, not averaged away.
 
-    `status` tells apart a mean, an empty product (mean null, n 0) and an invalid one.
+    `status` tells apart a mean, an empty product (mean null, n 0) and an invalid one (mean null).
     """
     means = (
         vote_per_site(evaluated, by)
@@ -74,7 +74,7 @@ def daily_mean(evaluated: DataFrame, by: Sequence[str] = ("product",)) -> DataFr
     status = F.when(bad > 0, F.lit("invalid")).when(F.col("mean").isNull(), F.lit("empty")).otherwise(F.lit("ok"))
     return skipped.join(means, list(by), "left").select(
         *by,
-        "mean",
+        F.when(bad == 0, F.col("mean")).alias("mean"),
         F.coalesce("n", zero).alias("n"),
         F.coalesce("duplicates_ignored", zero).alias("duplicates_ignored"),
         bad.alias("contradictions"),

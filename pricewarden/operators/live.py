@@ -76,14 +76,14 @@ def accept_units(units: DataFrame, rows: DataFrame, *, width: int, unit_name: st
     )
 
 
-def accepted_rows(rows: DataFrame, accepted: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def accepted_rows(rows: DataFrame, accepted: DataFrame, scheme: str, keep: Sequence[str] = ()) -> DataFrame:
     """Link key and price of the rows of accepted units; names and addresses go no further."""
     good = accepted.where(F.col("status") == R.ATTEMPT_OK).select(*UNIT, "observed_at")
     return rows.join(good, list(UNIT)).select(
         *UNIT,
         *keep,
         "observed_at",
-        link_key(F.col("name_text"), F.col("address_text"), F.col("district_text")).alias("key_hash"),
+        link_key(F.col("name_text"), F.col("address_text"), F.col("district_text"), scheme).alias("key_hash"),
         parse_captured_price(F.col("price_text")).alias("price"),
     )
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pricewarden import reasons as R
 from pricewarden.functions.geo import in_published_box
 from pricewarden.functions.parse import positive
+from pricewarden.session import cut_lineage
 
 FRESH_DAYS = 30
 PRODUCT_KEY = ("group", "product")
@@ -75,9 +76,9 @@ def latest_per_key(
     """The rows at each key's newest instant, folded into one: smallest id, and whether they disagree.
 
     Two hash-partitioned aggregations, no window: the first folds the rows of one (key, instant),
-    the second keeps the newest instant. Both combine before the shuffle, so a key that holds a
-    third of the feed still sends one row per task. Unreadable instants are ignored, and a key with
-    nothing else disappears.
+    the second keeps the newest instant. Both combine before the shuffle, so a task sends one row for each
+    key and instant it holds, however many rows repeat them. Unreadable instants are ignored, and a key
+    with nothing else disappears.
     """
     rest = [c for c in rows.columns if c not in (*keys, id_col, instant)]
     where = F.struct(*[F.col(c) for c in territory])
@@ -212,7 +213,11 @@ def stage_reports(
 
 
 def attach_identities(staged: DataFrame, raw: DataFrame, id_col: str = "id") -> DataFrame:
-    """Legal name and address of the very report that is published; adds the last two stages."""
+    """Legal name and address of the very report that is published; adds the last two stages.
+
+    The staged rows are stored first: they say which reports to look up, and the answer is joined to them.
+    """
+    staged = cut_lineage(staged)
     identities = guarded_identities(raw, staged.where("located"), id_col, ["legal_name", "address"])
     joined = staged.join(identities, id_col, "left")
     complete = (F.coalesce(F.col("legal_name"), F.lit("")) != "") & (F.coalesce(F.col("address"), F.lit("")) != "")

@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from pricewarden.functions.ordering import global_index
 
-MAX_TURNS = 200
-# Up to this many rows per group the optimizer limits a ranked window inside every task.
-PARTIAL_LIMIT = 1000
-# Shares of an audit sheet, and how many tight margins it draws from.
+# Shares of an audit sheet.
 AUDIT_SHARES = (("verified", 0.62, "random_sample"), ("conflict", 0.25, "risk_sample"), ("tight", 0.13, "risk_sample"))
-TIGHT_MARGINS = 40
 CENTS = 0.1
 RECENT_HOURS = 72
 
@@ -30,9 +26,8 @@ def stratified_sample(rows: DataFrame, targets: Mapping[str, int | None], key: s
     rows  stratum, reviewed, risk and the key. A target of None takes the whole stratum; a stratum
     without a target only contributes its reviewed and risky rows.
 
-    Small targets are ranked with the largest one as a literal limit, so every task keeps only that
-    many rows of a stratum before the exchange. Larger ones are cut by the hash itself: counts per
-    hash prefix say which prefixes are taken whole, and only the one at the edge is ranked.
+    Targets of any size are cut by the hash itself: counts per hash prefix say which prefixes are taken
+    whole, and only the one at the edge is ranked.
     """
     spark = rows.sparkSession
     drawn = F.when(F.col("reviewed"), F.lit("reviewed")).when(F.col("risk"), F.lit("risk")).otherwise(F.lit("random"))
@@ -40,7 +35,6 @@ def stratified_sample(rows: DataFrame, targets: Mapping[str, int | None], key: s
     target = spark.createDataFrame(
         [(name, size) for name, size in targets.items()], "stratum string, _target int"
     )
-    finite = [size for size in targets.values() if size is not None]
     done = (
         marked.groupBy("stratum")
         .agg(F.count_if(F.col("drawn") == "reviewed").alias("_done"))
@@ -50,20 +44,12 @@ def stratified_sample(rows: DataFrame, targets: Mapping[str, int | None], key: s
     chance = marked.where("drawn = 'random'")
     everything = [name for name, size in targets.items() if size is None]
     picked = sure.unionByName(chance.where(F.col("stratum").isin(everything)))
-    if finite:
-        quota = done.where("_target IS NOT NULL").select(
-            "stratum", F.greatest(F.lit(0), F.col("_target") - F.col("_done")).alias("_quota")
-        )
-        named = chance.where(F.col("stratum").isin([n for n, s in targets.items() if s is not None]))
-        hashed = named.withColumn("_hash", hash_order(salt, key))
-        if max(finite) <= PARTIAL_LIMIT:
-            w = W.partitionBy("stratum").orderBy("_hash", key)
-            ranked = hashed.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= max(finite))
-            some = ranked.join(quota, "stratum").where("_rank <= _quota")
-        else:
-            some = _by_hash_prefix(hashed, quota, key)
-        picked = picked.unionByName(some.select(*picked.columns))
-    return picked
+    quota = done.where("_target IS NOT NULL").select(
+        "stratum", F.greatest(F.lit(0), F.col("_target") - F.col("_done")).alias("_quota")
+    )
+    named = chance.where(F.col("stratum").isin([n for n, s in targets.items() if s is not None]))
+    some = _by_hash_prefix(named.withColumn("_hash", hash_order(salt, key)), quota, key)
+    return picked.unionByName(some.select(*picked.columns))
 
 
 def _by_hash_prefix(hashed: DataFrame, quota: DataFrame, key: str) -> DataFrame:
@@ -97,14 +83,15 @@ def systematic_sample(rows: DataFrame, size: int, order: Sequence[Column]) -> Da
     return indexed.where((F.col("row_total") <= size) | chosen).drop("row_index", "row_total")
 
 
-def audit_sheet(matches: DataFrame, size: int) -> DataFrame:
+def audit_sheet(matches: DataFrame, size: int, tight_pool: int = 40) -> DataFrame:
     """Systematic shares of verified, conflicting and tight matches; a site drawn twice keeps the riskier reason.
 
-    matches  site_id, status, margin_m, and an order: district, distance_m
+    matches     site_id, status, margin_m, and an order: district, distance_m
+    tight_pool  how many verified matches of the smallest margins the tight share is drawn from
     """
     order = [F.col("district"), F.col("distance_m"), F.col("site_id")]
     verified = matches.where("status = 'verified'")
-    tight = verified.orderBy(F.coalesce("margin_m", F.lit(1e9)), *order).limit(TIGHT_MARGINS)
+    tight = verified.orderBy(F.coalesce("margin_m", F.lit(1e9)), *order).limit(tight_pool)
     pools = {
         "verified": (verified, order),
         "conflict": (matches.where("status = 'conflict'"), order),
@@ -121,24 +108,32 @@ def audit_sheet(matches: DataFrame, size: int) -> DataFrame:
     return drawn.groupBy("site_id").agg(F.max_by("reason", "_rank").alias("reason"))
 
 
-def round_robin(rows: DataFrame, size: int, reviewed: DataFrame | None = None, turns: int = MAX_TURNS) -> DataFrame:
+def round_robin(rows: DataFrame, size: int, reviewed: DataFrame | None = None) -> DataFrame:
     """One row per stratum and turn, biggest difference first, each site once, up to `size`.
 
     rows  id, site_id, stratum, difference. A row whose site was already taken still uses its turn,
-    so the turn is the row's rank in its stratum and a site keeps its first turn. The number of
-    turns is a literal limit on the rank, applied in every task before the exchange.
+    so the turn is the row's rank in its stratum and a site keeps its first turn.
+
+    The first turns are ranked alone, with their number as a literal limit that every task applies before
+    the exchange. Later turns can't come before them, so `size` sites found are the sample; as long as they are fewer
+    and a stratum has turns left, the number doubles.
     """
     w = W.partitionBy("stratum").orderBy(F.abs("difference").desc(), F.col("id"))
-    ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
-    if reviewed is not None:
-        ranked = ranked.join(reviewed.select("site_id"), "site_id", "left_anti")
-    rest = [c for c in ranked.columns if c not in ("site_id", "turn", "stratum")]
-    first = (
-        ranked.groupBy("site_id")
-        .agg(F.min(F.struct("turn", "stratum", *rest)).alias("_first"))
-        .select("site_id", "_first.*")
-    )
-    return first.orderBy("turn", "stratum").limit(size)
+    longest = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    turns = max(1, size)
+    while True:
+        ranked = rows.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns)
+        if reviewed is not None:
+            ranked = ranked.join(reviewed.select("site_id"), "site_id", "left_anti")
+        rest = [c for c in ranked.columns if c not in ("site_id", "turn", "stratum")]
+        first = (
+            ranked.groupBy("site_id")
+            .agg(F.min(F.struct("turn", "stratum", *rest)).alias("_first"))
+            .select("site_id", "_first.*")
+        )
+        if turns >= longest or first.limit(size).count() >= size:
+            return first.orderBy("turn", "stratum").limit(size)
+        turns *= 2
 
 
 def price_differences(rows: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewarden.operators import history, pricing
+from pricewarden.session import cut_lineage, exists
 from pricewarden.sources import versions
 
 
@@ -37,15 +38,21 @@ def observation(offers: DataFrame, as_of: datetime, cutoff_at: datetime, revisio
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{root}/observations")
-    except AnalysisException:
-        return None
+    path = f"{root}/observations"
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
-def append(observed: DataFrame, root: str) -> int:
-    """Append a complete and sound observation once; running again adds nothing."""
-    if not observed.where("status NOT IN ('ok', 'empty')").isEmpty():
+def append(observed: DataFrame, root: str, products: Sequence[str]) -> int:
+    """Append a complete and sound observation once; running again adds nothing.
+
+    Complete means that every configured product has its row; sound, that each is measured or empty.
+    """
+    observed = cut_lineage(observed)
+    states = {row["product"]: row["status"] for row in observed.select("product", "status").collect()}  # one row a product
+    missing = sorted(set(products) - set(states))
+    if missing:
+        raise ValueError(f"the observation lacks {', '.join(missing)}")
+    if not set(states.values()) <= {"ok", "empty"}:
         raise ValueError("the observation is blocked or contradicts itself")
     existing = stored(observed.sparkSession, root)
     keyed = observed.withColumn("row_id", F.concat_ws("|", "observation_id", "product"))

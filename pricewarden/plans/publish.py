@@ -13,6 +13,7 @@ from pricewarden.functions.addresses import display_address
 from pricewarden.functions.ids import offer_id, site_id
 from pricewarden.functions.text import link_key
 from pricewarden.operators import catalog, funnel, live, pricing, quality, reports
+from pricewarden.session import cut_lineage
 from pricewarden.sources import versions
 
 
@@ -22,6 +23,7 @@ class Namespaces:
 
     site: str
     offer: str
+    link: str
 
 
 @dataclass(frozen=True)
@@ -44,12 +46,12 @@ def build_products(
     snapshot_id: str,
     names: Namespaces,
 ) -> Built:
-    """Offers and explanations of every product of every group, from one scan of the feed.
+    """Offers and explanations of every product of every group. The feed is staged once and stored; all five read that.
 
     Each product is a key, so adding a group never changes what another one gets.
     """
-    staged = reports.attach_identities(
-        reports.stage_reports(feed, rules, registry, points, pricing.instant_lit(cutoff_at)), raw
+    staged = cut_lineage(
+        reports.attach_identities(reports.stage_reports(feed, rules, registry, points, pricing.instant_lit(cutoff_at)), raw)
     )
     offers = staged.where("ready").select(
         "group",
@@ -64,7 +66,7 @@ def build_products(
         "district",
         F.col("point_longitude").alias("longitude"),
         F.col("point_latitude").alias("latitude"),
-        link_key(F.col("legal_name"), F.col("address"), F.col("district")).alias("key_hash"),
+        link_key(F.col("legal_name"), F.col("address"), F.col("district"), names.link).alias("key_hash"),
     )
     return Built(
         staged,

@@ -6,19 +6,21 @@ from dataclasses import dataclass
 
 # Header names after normalisation, in file order.
 LIQUID_FIELDS = (
-    "ID3 ACTIVIDAD REGISTRO_DE_HIDROCARBUROS RUC RAZON_SOCIAL DEPARTAMENTO PROVINCIA DISTRITO DIRECCION "
-    "FECHA_DE_REGISTRO PRODUCTO PRECIO_DE_VENTA_SOLES UNIDAD"
-).split()
+    "ID3", "ACTIVIDAD", "REGISTRO_DE_HIDROCARBUROS", "RUC", "RAZON_SOCIAL", "DEPARTAMENTO", "PROVINCIA", "DISTRITO",
+    "DIRECCION", "FECHA_DE_REGISTRO", "PRODUCTO", "PRECIO_DE_VENTA_SOLES", "UNIDAD",
+)
 LPG_FIELDS = (
-    "ID4 ACTIVIDAD REGISTRO_DE_HIDROCARBUROS RUC RAZON_SOCIAL DEPARTAMENTO PROVINCIA DISTRITO DIRECCION "
-    "FECHA_DE_REGISTRO PRODUCTO TIPO_DE_CLIENTE MARCA PRECIO_DE_VENTA_SOLES UNIDAD"
-).split()
+    "ID4", "ACTIVIDAD", "REGISTRO_DE_HIDROCARBUROS", "RUC", "RAZON_SOCIAL", "DEPARTAMENTO", "PROVINCIA", "DISTRITO",
+    "DIRECCION", "FECHA_DE_REGISTRO", "PRODUCTO", "TIPO_DE_CLIENTE", "MARCA", "PRECIO_DE_VENTA_SOLES", "UNIDAD",
+)
 REGISTRY_FIELDS = (
-    "SOURCE_ACTIVITY REGISTRO CODIGO_OSINERGMIN CODIGO DEPARTAMENTO PROVINCIA DISTRITO ACTIVIDAD"
-).split()
+    "SOURCE_ACTIVITY", "REGISTRO", "CODIGO_OSINERGMIN", "CODIGO", "DEPARTAMENTO", "PROVINCIA", "DISTRITO",
+    "ACTIVIDAD",
+)
 POINT_FIELDS = (
-    "LAYER OBJECTID N COD_OSINERGMIN CODIGO_DGH DEPARTAMENTO PROVINCIA DISTRITO LONGITUDE LATITUDE"
-).split()
+    "LAYER", "OBJECTID", "N", "COD_OSINERGMIN", "CODIGO_DGH", "DEPARTAMENTO", "PROVINCIA", "DISTRITO", "LONGITUDE",
+    "LATITUDE",
+)
 PRIVATE_FIELDS = ("RUC", "RAZON_SOCIAL", "DIRECCION", "MARCA")
 
 

@@ -57,10 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few unsplittable files over all cores, before work that is heavy per row.
-
-    Nothing moves when the scan already has a task for every core, as any large input does.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names. Every other error of the store is raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

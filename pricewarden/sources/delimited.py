@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pricewarden.functions.ids import content_digest
 from pricewarden.functions.parse import clean, parse_instant, parse_price
 from pricewarden.schemas import Feed
+from pricewarden.session import exists
 
 CORRUPT = "_corrupt"
 CSV_OPTIONS = {"sep": ";", "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8"}
@@ -57,6 +58,9 @@ def read_feed(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
     return rows.select(*[clean(F.col(f)).alias(f) for f in feed.fields], CORRUPT)
 
 
+ROWS, RECORD = "rows", "record"
+
+
 @dataclass(frozen=True)
 class Landed:
     path: str
@@ -69,7 +73,12 @@ def land(spark: SparkSession, path: str, feed: Feed, out: str, instant_field: st
 
     Rows of the wrong width go to `malformed=true` and fail the landing. A compressed or quoted file
     cannot be split, so everything downstream reads the Parquet copy, spread over the cluster.
+
+    The rows are written first and the record of the run last. Only a landing with its record can be read;
+    one that failed has none, and landing again replaces its rows.
     """
+    if exists(spark, f"{out}/{RECORD}"):
+        raise ContractError(f"{feed.name}: landed at {out} before")
     rows = read_feed(spark, path, feed).withColumn("malformed", F.col(CORRUPT).isNotNull())
     newest = F.max(parse_instant(F.col(instant_field))) if instant_field else F.lit(None).cast("timestamp")
     seen = Observation(f"land-{feed.name}")
@@ -80,19 +89,24 @@ def land(spark: SparkSession, path: str, feed: Feed, out: str, instant_field: st
         newest.alias("newest"),
     )
     # A round-robin spread: rows of one unsplittable file leave their single reading task.
-    counted.repartition(spark.sparkContext.defaultParallelism).write.mode("errorifexists").partitionBy(
+    counted.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").partitionBy(
         "malformed"
-    ).parquet(out)
+    ).parquet(f"{out}/{ROWS}")
     totals = seen.get
     if totals["malformed"]:
         raise ContractError(f"{feed.name}: {totals['malformed']} rows of the wrong width")
     if not totals["rows"]:
         raise ContractError(f"{feed.name}: no rows")
+    record = spark.createDataFrame([(feed.name, totals["rows"], totals["newest"])], "feed string, rows long, newest timestamp")
+    record.coalesce(1).write.mode("errorifexists").parquet(f"{out}/{RECORD}")
     return Landed(out, totals["rows"], totals["newest"])
 
 
 def landed(spark: SparkSession, out: str, feed: Feed) -> DataFrame:
-    return spark.read.parquet(f"{out}/malformed=false").select(*feed.fields)
+    """The accepted rows of a landing; without the record of its run there are none to read."""
+    if not exists(spark, f"{out}/{RECORD}/_SUCCESS"):
+        raise ContractError(f"{feed.name}: no accepted landing at {out}")
+    return spark.read.parquet(f"{out}/{ROWS}/malformed=false").select(*feed.fields)
 
 
 def minimise(rows: DataFrame, feed: Feed) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewarden.functions.ids import content_digest, row_sha256
+from pricewarden.session import cut_lineage, exists
 
 MANIFEST = "manifest"
 OFFERS = "offers"
@@ -29,7 +29,11 @@ def revision_id(digests: DataFrame, prefix: str, snapshot_id: str, by: str = "pr
 
 
 def archive_hash(objects: DataFrame, prefix: str) -> DataFrame:
-    """Hash over 'name sha bytes' lines in name order, independent of where and when they were read."""
+    """Hash over 'name sha bytes' lines in name order, independent of where and when they were read.
+
+    One line per object of an archive: the published files of a release, one per product and kind, which
+    the configuration bounds. For rows or documents use `product_digests`, which never gathers a group.
+    """
     line = F.concat(
         F.col("name"), F.lit(" "), F.col("sha256"), F.lit(" "), F.col("bytes").cast("string"), F.lit("\n")
     )
@@ -37,33 +41,29 @@ def archive_hash(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.agg(F.sha2(body, 256).alias("archive_hash"))
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def write_version(offers: DataFrame, root: str, prefix: str, snapshot_id: str) -> str:
     """Write a version once. The same content gives the same revision and is not written again.
 
     Data first, manifest row last: readers go through the manifest, so a lost executor or a failed
-    job never shows half a version. Writing a revision whose folder holds other content fails.
+    job never shows half a version. A folder that a job finished is never written again: it must hold
+    exactly this content, product by product in both directions, or the write fails. A folder that no
+    job finished was never visible and is written anew.
     """
     spark = offers.sparkSession
-    digests = product_digests(offers)
+    offers = cut_lineage(offers)
+    digests = cut_lineage(product_digests(offers))
     revision = revision_id(digests, prefix, snapshot_id).first()["revision_id"]
-    manifest = _read(spark, f"{root}/{MANIFEST}")
-    if manifest is not None and not manifest.where(F.col("revision_id") == revision).isEmpty():
-        return revision
+    if exists(spark, f"{root}/{MANIFEST}"):
+        if not spark.read.parquet(f"{root}/{MANIFEST}").where(F.col("revision_id") == revision).isEmpty():
+            return revision
     path = f"{root}/{OFFERS}/revision_id={revision}"
-    stored = _read(spark, path)
-    if stored is not None:
-        differs = product_digests(stored).exceptAll(digests)
-        if not differs.isEmpty():
+    if exists(spark, f"{path}/_SUCCESS"):
+        held = product_digests(spark.read.parquet(path))
+        if not held.exceptAll(digests).isEmpty() or not digests.exceptAll(held).isEmpty():
             raise ValueError(f"{revision} exists with other content")
     else:
-        offers.drop("revision_id").write.mode("overwrite").parquet(path)
+        unfinished = exists(spark, path)
+        offers.drop("revision_id").write.mode("overwrite" if unfinished else "errorifexists").parquet(path)
     digests.withColumn("revision_id", F.lit(revision)).withColumn("snapshot_id", F.lit(snapshot_id)).coalesce(
         1
     ).write.mode("append").parquet(f"{root}/{MANIFEST}")

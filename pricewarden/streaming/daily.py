@@ -5,25 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricewarden.operators.history import local_date
+
 # The local day of a zone five hours behind UTC without daylight saving starts at 05:00 UTC.
 LOCAL_DAY_START = "5 hours"
 
 
 def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
-    """Mean and count per product and local day. Rows later than `delay` after a day's end are dropped
-    by the watermark; a run that must see them rebuilds the day from the stored observations.
+    """Mean of the sites' prices per product and local day: one vote per site, as the batch measure has it.
+
+    prices  product, site_id, price, observed_at
 
-    prices  product, price, observed_at
+    Equal repeats of a site count once. A site that names two prices on one day makes its product invalid: the mean is
+    null. Sites are folded to their smallest and largest price first, so state holds one row per site and day. Rows later than
+    `delay` after a day's end are dropped by the watermark; `late_rows` of the stored days finds them for a rebuild.
     """
     day = F.window("observed_at", "1 day", startTime=LOCAL_DAY_START)
-    return (
+    sites = (
         prices.withWatermark("observed_at", delay)
-        .groupBy(day.alias("day"), "product")
-        .agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"))
+        .groupBy(day.alias("day"), "product", "site_id")
+        .agg(F.min("price").alias("price"), F.max("price").alias("_top"))
+    )
+    return (
+        sites.groupBy("day", "product")
+        .agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") != F.col("_top")).alias("contradictions"))
         .select(
             "product",
-            F.to_date(F.col("day.start") - F.expr("INTERVAL 5 HOURS")).alias("date"),
-            F.round("mean", 4).alias("mean"),
+            local_date(F.col("day.start")).alias("date"),
+            F.when(F.col("contradictions") == 0, F.round("mean", 4)).alias("mean"),
             "n",
+            "contradictions",
+            F.when(F.col("contradictions") > 0, F.lit("invalid")).otherwise(F.lit("ok")).alias("status"),
         )
     )
+
+
+def late_rows(prices: DataFrame, closed: DataFrame) -> DataFrame:
+    """Statements of sites that a closed day doesn't count yet: sites it lacks make its stored number of sites too small.
+
+    prices  product, site_id, price, observed_at, everything received        closed  what `daily_windows` emitted
+    """
+    day = local_date(F.col("observed_at")).alias("date")
+    now = prices.groupBy("product", day).agg(F.count_distinct("site_id").alias("_now"))
+    return now.join(closed.select("product", "date", "n"), ["product", "date"]).where("_now > n").select("product", "date", F.col("_now").alias("sites"), "n")

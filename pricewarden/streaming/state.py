@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricewarden.operators import live
+from pricewarden.session import exists
 
 STATE_SCHEMA = (
     "district_code long, product string, observed_at timestamp, announced_total long, "
@@ -18,24 +18,19 @@ STATE_SCHEMA = (
 )
 
 
-def _batches(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def load_state(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
     """Headers as of the newest batch, or as the batch before a given one left them.
 
-    Micro-batches are numbered without gaps, so a running stream opens exactly one folder.
+    Micro-batches are numbered without gaps, so a running stream opens exactly one folder. Only batch 0
+    starts from nothing: a batch whose predecessor is lost fails, it never resets the units.
     """
     if before is not None:
-        stored = _batches(spark, f"{root}/state/batch={before - 1}") if before > 0 else None
-        return spark.createDataFrame([], STATE_SCHEMA) if stored is None else stored
-    stored = _batches(spark, f"{root}/state")
-    if stored is None:
+        if before == 0:
+            return spark.createDataFrame([], STATE_SCHEMA)
+        return spark.read.parquet(f"{root}/state/batch={before - 1}")
+    if not exists(spark, f"{root}/state"):
         return spark.createDataFrame([], STATE_SCHEMA)
+    stored = spark.read.parquet(f"{root}/state")
     newest = stored.agg(F.max("batch").alias("b")).scalar()
     return stored.where(F.col("batch") == newest).drop("batch")
 

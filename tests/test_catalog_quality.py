@@ -67,10 +67,10 @@ def test_folding_and_keys(spark):
     assert one(spark, "ñ é", link_text) == "N E"
     assert one(spark, "Jesús MarÃ­a", repair_mojibake) == "Jesús María"
     assert one(spark, "Cercado  de Lima", canonical_region) == "LIMA"
-    body = 'facilito-link-v1|' + json.dumps(["EL \"SOL\" SAC", "AV. LIMA 1/2", "ATE"], separators=(",", ":"))
+    body = 'link-v1|' + json.dumps(["EL \"SOL\" SAC", "AV. LIMA 1/2", "ATE"], separators=(",", ":"))
     expected = hashlib.sha256(body.encode()).hexdigest()[:32]
-    assert one(spark, 'El  "Sól" sac', lambda c: link_key(c, F.lit("av. lima 1/2"), F.lit("Ate"))) == expected
-    assert one(spark, " ", lambda c: link_key(c, F.lit("a"), F.lit("b"))) is None
+    assert one(spark, 'El  "Sól" sac', lambda c: link_key(c, F.lit("av. lima 1/2"), F.lit("Ate"), "link-v1")) == expected
+    assert one(spark, " ", lambda c: link_key(c, F.lit("a"), F.lit("b"), "link-v1")) is None
     assert one(spark, " 0001 ", lambda c: site_id(c, "ns")) == "est_" + hashlib.sha256(b"ns|0001").hexdigest()[:24]
     assert one(spark, " ", lambda c: site_id(c, "ns")) is None
 

@@ -80,7 +80,34 @@ def test_landing_counts_and_rejects_wrong_width(spark, tmp_path):
     bad = write(tmp_path / "bad.csv", line("1", "0001"), "2;only;three")
     with pytest.raises(delimited.ContractError, match="1 rows"):
         delimited.land(spark, bad, LPG, str(tmp_path / "bad"))
-    assert spark.read.parquet(str(tmp_path / "bad" / "malformed=true")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "bad" / "rows" / "malformed=true")).count() == 1
+    with pytest.raises(delimited.ContractError, match="no accepted landing"):
+        delimited.landed(spark, str(tmp_path / "bad"), LPG)
+    write(tmp_path / "bad.csv", line("1", "0001"))
+    assert delimited.land(spark, bad, LPG, str(tmp_path / "bad")).rows == 1
+    assert delimited.landed(spark, str(tmp_path / "bad"), LPG).count() == 1
+    with pytest.raises(delimited.ContractError, match="landed"):
+        delimited.land(spark, bad, LPG, str(tmp_path / "bad"))
+
+
+def test_version_folder_with_other_content_fails(spark, tmp_path):
+    rows = [(1, "regular", 5.0), (2, "premium", 6.0)]
+    offers = spark.createDataFrame(rows, "id int, product string, price double")
+    for held in (rows[:1], [*rows, (3, "diesel", 7.0)]):
+        root = str(tmp_path / f"held{len(held)}")
+        revision = versions.write_version(offers, str(tmp_path / f"scratch{len(held)}"), "p-", "s")
+        spark.createDataFrame(held, offers.schema).write.parquet(f"{root}/offers/revision_id={revision}")
+        with pytest.raises(ValueError, match="other content"):
+            versions.write_version(offers, root, "p-", "s")
+        assert not (tmp_path / f"held{len(held)}" / "manifest").exists()
+
+
+def test_state_after_a_lost_batch_fails(spark, tmp_path):
+    from pricewarden.streaming import state
+
+    assert state.load_state(spark, str(tmp_path), before=0).isEmpty()
+    with pytest.raises(Exception, match="(?i)path"):
+        state.load_state(spark, str(tmp_path), before=7).count()
 
 
 def test_minimised_feed_has_no_private_column(spark, tmp_path):
@@ -127,7 +154,7 @@ def build(spark, tmp_path, lines, registry=None, points=None):
     rules = rules_frame(spark, [rule for rule in RULES if rule.group == "glp"])
     return publish.build_products(
         delimited.as_reports(feed, LPG), delimited.as_identities(feed, LPG), r, p, rules,
-        cutoff_at=CUTOFF, snapshot_id="s1", names=publish.Namespaces("ns|site", "ns|offer"),
+        cutoff_at=CUTOFF, snapshot_id="s1", names=publish.Namespaces("ns|site", "ns|offer", "link-v1"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 
@@ -155,11 +156,25 @@ def test_price_differences_pick_elements(spark):
         assert got[scope]["within_ten_cents"] == sum(x <= 0.1 for x in d)
 
 
-def test_large_targets_equal_small_ones(spark, monkeypatch):
+def test_targets_are_cut_in_hash_order(spark):
     frame = spark.range(3000).selectExpr(
         "id", "if(id % 3 = 0, 'a', 'b') AS stratum", "id % 50 = 0 AS reviewed", "id % 70 = 1 AS risk"
     )
-    ranked = sampling.stratified_sample(frame, {"a": 300, "b": 900}, "id", "x").select("id", "drawn").collect()
-    monkeypatch.setattr(sampling, "PARTIAL_LIMIT", 10)
     by_prefix = sampling.stratified_sample(frame, {"a": 300, "b": 900}, "id", "x").select("id", "drawn").collect()
-    assert sorted(ranked) == sorted(by_prefix) and len(ranked) > 1000
+    hashed = lambda i: hashlib.sha256(f"x|{i}".encode()).hexdigest()
+    expected = []
+    for stratum, size in (("a", 300), ("b", 900)):
+        own = [i for i in range(3000) if (i % 3 == 0) == (stratum == "a")]
+        sure = {i: "reviewed" if i % 50 == 0 else "risk" for i in own if i % 50 == 0 or i % 70 == 1}
+        quota = max(0, size - sum(v == "reviewed" for v in sure.values()))
+        rest = sorted((i for i in own if i not in sure), key=hashed)[:quota]
+        expected += [*sure.items(), *((i, "random") for i in rest)]
+    assert sorted(map(tuple, by_prefix)) == sorted(expected)
+
+
+def test_round_robin_takes_as_many_turns_as_it_needs(spark):
+    # One site fills the first thousand turns of its stratum; the others come after it.
+    rows = [(i, "x", "a", 5000.0 - i) for i in range(1000)] + [(1000 + i, f"s{i}", "a", 10.0 - i) for i in range(5)]
+    frame = spark.createDataFrame(rows, "id int, site_id string, stratum string, difference double")
+    got = sampling.round_robin(frame, 4).orderBy("turn").collect()
+    assert [(r["site_id"], r["turn"]) for r in got] == [("x", 1), ("s0", 1001), ("s1", 1002), ("s2", 1003)]

@@ -167,10 +167,12 @@ def test_observation_run(spark, tmp_path):
     )
     root, now = str(tmp_path / "h"), datetime(2026, 9, 21, 3)
     seen = observe.observation(offers, now, datetime(2026, 9, 20), "rev")
-    assert observe.append(seen, root) == 1 and observe.append(seen, root) == 0
+    assert observe.append(seen, root, ["regular"]) == 1 and observe.append(seen, root, ["regular"]) == 0
+    with pytest.raises(ValueError, match="lacks premium"):
+        observe.append(seen, root, ["premium", "regular"])
     # 03:00 UTC still belongs to the day before in the local calendar.
     later = observe.observation(offers, now + timedelta(hours=1), datetime(2026, 9, 20), "rev")
-    observe.append(later, root)
+    observe.append(later, root, ["regular"])
     days = {r["date"]: r for r in observe.summary(spark, root, date(2026, 9, 21), 3).collect()}
     assert [days[d]["mean"] for d in sorted(days)] == [None, 5.75, None]
     assert days[date(2026, 9, 20)]["observation_id"] == later.first()["observation_id"]
