@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import stored, texts
-from pricewarden.llm.pieces import sliced
+from pricewarden.llm.pieces import pack_text, sliced, unpack
 from pricewarden.llm.words import mix, terms
 
 MIN_IDF, MAX_IDF = math.log(8), math.log(2000)  # terms in one document of 8 to one of 2000
@@ -111,16 +111,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(either == 0, 1.0, same / np.maximum(either, 1))
 
 
-def _hex(prints: np.ndarray) -> pa.Array:
-    size = HASH_BYTES
-    raw = prints.astype(">u8").view(np.uint8).reshape(len(prints), SUBSETS, 8)[:, :, 8 - size :]
-    flat = np.ascontiguousarray(raw).tobytes().hex()
-    width = 2 * size * SUBSETS
-    return pa.array([flat[i : i + width] for i in range(0, len(flat), width)], pa.string())
+def _bytes(prints: np.ndarray) -> pa.Array:
+    raw = prints.astype(">u8").view(np.uint8).reshape(len(prints), SUBSETS, 8)[:, :, 8 - HASH_BYTES :]
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(raw)], pa.binary())
 
 
-def _unhex(column: pa.Array) -> np.ndarray:
-    raw = np.frombuffer(bytes.fromhex("".join(column.to_pylist())), np.uint8).reshape(-1, SUBSETS, HASH_BYTES)
+def _numbers(column: pa.Array) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SUBSETS, HASH_BYTES)
     out = np.zeros(raw.shape[:2], np.uint64)
     for i in range(HASH_BYTES):
         out = out << np.uint64(8) | raw[:, :, i].astype(np.uint64)
@@ -133,9 +130,10 @@ def fingerprints(docs: DataFrame, lexicon: np.ndarray, *, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _hex(fingerprint(part.column("text"), lexicon))], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _bytes(fingerprint(part.column("text"), lexicon))], ["doc_id", "fingerprint"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
+    found = texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint binary")
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint")))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -143,7 +141,7 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(ids: pa.Array, own: list[str], following: list[str], prints: np.ndarray, next_prints: np.ndarray, lexicon: np.ndarray) -> list[pa.Array]:
@@ -152,9 +150,9 @@ def _compared(ids: pa.Array, own: list[str], following: list[str], prints: np.nd
     return [
         ids,
         pa.array([len(t) for t in own], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        _hex(prints),
-        _hex(edited_prints),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+        _bytes(prints),
+        _bytes(edited_prints),
         pa.array(likeness(prints, edited_prints)),
         pa.array(likeness(prints, next_prints)),
     ]
@@ -176,7 +174,8 @@ def edit_stability(docs: DataFrame, lexicon: np.ndarray | None = None, *, id_col
     bucketed = source.withColumn("bucket", F.shiftright(F.coalesce("doc_id", lowest), BUCKET_BITS))
 
     def neighbours(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("text", "ascending")]).combine_chunks()
+        column = unpack(table.column("packed"))
+        table = pa.table({"doc_id": table.column("doc_id"), "bucket": table.column("bucket"), "text": column}).sort_by([("text", "ascending")])
         order = pc.sort_indices(table, [("doc_id", "descending")], null_placement="at_end")
         table = table.take(order).combine_chunks()
         ids, column = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
@@ -184,22 +183,21 @@ def edit_stability(docs: DataFrame, lexicon: np.ndarray | None = None, *, id_col
         prints = fingerprint(column, lexicon)
         done = _compared(ids[: n - 1], own[: n - 1], own[1:], prints[: n - 1], prints[1:], lexicon)
         none = lambda kind: pa.nulls(1, kind)
-        last = [ids[n - 1 :], none(pa.int64()), none(pa.string()), _hex(prints[n - 1 :]), none(pa.string()), none(pa.float64()), none(pa.float64())]
+        last = [ids[n - 1 :], none(pa.int64()), none(pa.binary()), _bytes(prints[n - 1 :]), none(pa.binary()), none(pa.float64()), none(pa.float64())]
         whole = [pa.concat_arrays([a, b]) for a, b in zip(done, last, strict=True)]
-        ends = [t if i == n - 1 else None for i, t in enumerate(own)]
-        heads = [t if i == 0 else None for i, t in enumerate(own)]
-        names = [c.split()[0] for c in _COLUMNS.split(", ")]
-        return pa.Table.from_arrays([table.column("bucket"), *whole, pa.array(heads, pa.string()), pa.array(ends, pa.string()), pa.array([_hex(prints[:1])[0].as_py() if i == 0 else None for i in range(n)], pa.string())], ["bucket", *names, "head", "tail", "head_print"])
+        heads, tails = pa.array([own[0], *[None] * (n - 1)], pa.string()), pa.array([*[None] * (n - 1), own[-1]], pa.string())
+        return pa.Table.from_arrays([table.column("bucket"), *whole, heads, tails], ["bucket", *names, "head", "tail"])
 
-    met = stored(bucketed.groupBy("bucket").applyInArrow(neighbours, f"bucket long, {_COLUMNS}, head string, tail string, head_print string"), "neighbours")
     names = [c.split()[0] for c in _COLUMNS.split(", ")]
-    heads = met.where(F.col("head").isNotNull()).select("bucket", "head", "head_print")
+    packed = bucketed.mapInArrow(pack_text, "doc_id long, packed binary, bucket long")
+    met = stored(packed.groupBy("bucket").applyInArrow(neighbours, f"bucket long, {_COLUMNS}, head string, tail string"), "neighbours")
+    heads = met.where(F.col("head").isNotNull()).select("bucket", "head", F.col("fingerprint").alias("head_print"))
     below = _next_bucket(heads.select("bucket"))
     pairs = (
         met.where(F.col("tail").isNotNull())
         .select("bucket", "doc_id", "tail", "fingerprint")
         .join(below, "bucket")
-        .join(heads.select(F.col("bucket").alias("next_bucket"), "head", "head_print"), "next_bucket")
+        .join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket")
         .select("doc_id", "tail", "fingerprint", "head", "head_print")
     )
 
@@ -208,11 +206,13 @@ def edit_stability(docs: DataFrame, lexicon: np.ndarray | None = None, *, id_col
             for part in sliced(batch, "tail"):
                 arrays = _compared(
                     part.column("doc_id"), part.column("tail").to_pylist(), part.column("head").to_pylist(),
-                    _unhex(part.column("fingerprint")), _unhex(part.column("head_print")), lexicon,
+                    _numbers(part.column("fingerprint")), _numbers(part.column("head_print")), lexicon,
                 )
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return met.where(F.col("tail").isNull()).select(*names).unionByName(pairs.mapInArrow(across, _COLUMNS))
+    rows = met.where(F.col("tail").isNull()).select(*names).unionByName(pairs.mapInArrow(across, _COLUMNS))
+    written = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
+    return rows.withColumns(written)
 
 
 def _next_bucket(buckets: DataFrame) -> DataFrame:

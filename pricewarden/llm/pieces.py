@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 # White space as Unicode defines it, which is what the tokenizers' patterns mean by it.
 WHITE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -99,3 +100,19 @@ def per_worker(key: tuple, make) -> object:
             del _WORKER[other]
         _WORKER[key] = make()
     return _WORKER[key]
+
+
+def pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The column `text` compressed as `packed`: texts that Python reads next take half the room in a shuffle."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        place = batch.schema.names.index("text")
+        packed = pa.array([press(t.encode()) for t in batch.column(place).to_pylist()], pa.binary())
+        names = ["packed" if n == "text" else n for n in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:place], packed, *batch.columns[place + 1 :]], names)
+
+
+def unpack(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts of a packed column."""
+    open_up = zstandard.ZstdDecompressor().decompress
+    return pa.array([open_up(p).decode() for p in column.to_pylist()], pa.string())
