@@ -138,3 +138,57 @@ def edited(texts: dict) -> dict:
         half = len(text) // 2
         out[d] = text[: len(text) - half] + after[:half]
     return out
+
+
+def quality_verdicts(rows: list[tuple], rules) -> dict:
+    """doc_id -> kept, of (doc_id, text, lang): both histograms against references learned twice, in plain Python."""
+    import unicodedata
+
+    def classes(text: str) -> list[float]:
+        tests = (
+            lambda c: unicodedata.category(c) == "Ll", lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c) == "Nd",
+            lambda c: c in " \t\n\v\f\r", lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>{}[]\\^~_=+@/",
+        )
+        counts = [float(sum(map(t, text))) for t in tests]
+        return [*counts, len(text) - sum(counts)]
+
+    def bins(text: str) -> list[float]:
+        words = [w.rstrip(".,;:!?").lower() for w in WORD.findall(text)]
+        found = Counter(w for w in words if w in rules.BINS)
+        return [float(found[w]) for w in rules.BINS] + [float(len(words) - sum(found.values()))]
+
+    def shares(counts):
+        total = sum(counts)
+        return [c / total if total else 0.0 for c in counts]
+
+    def distance(p, q):
+        term = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum(term(a, b) + term(b, a) for a, b in zip(p, q, strict=True)) / 2))
+
+    measured = {}
+    for doc_id, text, lang in rows:
+        n, *_, repeated = quality_counts(text)
+        measured[doc_id] = (lang, n, n < 50 or 100 * repeated > 50 * n, classes(text), bins(text), len(text))
+
+    def learn(ids):
+        found = {}
+        for lang in rules.COMMON_WORDS:
+            own = [measured[d] for d in ids if measured[d][0] == lang and not measured[d][2]]
+            if len(own) >= rules.MIN_REFERENCE_DOCS:
+                weights = [min(1.0, rules.PSEUDO_DOC_CHARS / max(m[5], 1)) for m in own]
+                found[lang] = tuple(shares([sum(w * m[k][i] for w, m in zip(weights, own, strict=True)) for i in range(len(own[0][k]))]) for k in (3, 4))
+        return found
+
+    def judge(references):
+        kept = {}
+        for doc_id, (lang, n, failed, by_class, by_word, length) in measured.items():
+            refs = [references[lang]] if lang in references else list(references.values())
+            near = lambda counts, k: min((distance(shares(counts), r[k]) for r in refs), default=0.0)  # noqa: E731, B023
+            c = near(by_class, 0) if length >= rules.MIN_CLASS_CHARS else 0.0
+            w = near(by_word, 1) if n >= rules.MIN_HISTOGRAM_WORDS else 0.0
+            odd = c > rules.MAX_CLASS_DISTANCE or (c > rules.ODD_CLASS_DISTANCE and w > rules.ODD_WORD_DISTANCE)
+            kept[doc_id] = not failed and not odd
+        return kept
+
+    first = judge(learn(measured))
+    return judge(learn([d for d, k in first.items() if k]))
