@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from types import SimpleNamespace
 
-MODULES = ("report_queries", "price_queries", "live_queries", "history_queries", "match_queries", "catalog_queries", "quality_queries", "stream_queries", "contract_queries")
+MODULES = ("report_queries", "price_queries", "live_queries", "history_queries", "match_queries", "catalog_queries", "quality_queries", "stream_queries", "contract_queries", "feed_queries")
 
 
 def load() -> SimpleNamespace:
