@@ -455,3 +455,101 @@ def sign_observations(spark, sf_dir):
     reviewed = datetime(1999, 1, 1, tzinfo=timezone.utc)
     found = catalog.judge_observations(seen, matches, verdicts, known, reviewed)
     return found.select("observation_id", "outcome")
+
+
+# --- release gates ------------------------------------------------------------------------------
+
+
+@query(
+    "source_advance",
+    """WITH o AS (SELECT o_custkey AS k, max(o_orderdate) AS newest, max(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END) AS before,
+                  max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END) AS now FROM orders GROUP BY 1)
+SELECT k::BIGINT AS source, CASE WHEN now IS NULL THEN 'invalid_source_maximum' WHEN now < before THEN 'source_went_back'
+       WHEN now = before THEN 'source_did_not_advance' END AS reason,
+       CASE WHEN now IS NULL THEN 'invalid_source_maximum' WHEN now < before THEN 'source_went_back' END AS forced FROM o""",
+)
+def source_advance(spark, sf_dir):
+    """Each customer is a source: even orders are the candidate, those not divisible by three the previous feed."""
+    key = F.col("o_orderkey")
+    o = S.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("source")).agg(
+        F.max(F.when(key % 3 != 0, F.col("o_orderdate"))).alias("before"), F.max(F.when(key % 2 == 0, F.col("o_orderdate"))).alias("now")
+    )
+    now, before = F.col("now"), F.col("before")
+    return o.select("source", quality.source_advance(now, before).alias("reason"), quality.source_advance(now, before, True).alias("forced"))
+
+
+@query(
+    "first_release",
+    """WITH c AS (SELECT o_custkey AS k, count(*) AS fresh, count(*) FILTER (o_orderkey % 4 <> 0) AS ready, max(o_orderdate) AS newest,
+                  count(DISTINCT o_orderkey % 13) AS districts FROM orders GROUP BY 1),
+b AS (SELECT k, fresh + k % 7 AS fresh, 70.0::DOUBLE + k % 30 AS coverage, districts + k % 5 AS districts, newest + INTERVAL 1 DAY * (k % 3 - 1) AS newest FROM c),
+m AS (SELECT *, round(ready / fresh::DOUBLE * 100, 3) AS coverage FROM c),
+r AS (SELECT m.k, CASE WHEN ready < 1 THEN ['no_ready_offers'] ELSE [] END
+             || CASE WHEN m.districts < 1 THEN ['no_ready_districts'] ELSE [] END
+             || CASE WHEN NOT (m.coverage > 0 AND m.coverage <= 100) THEN ['invalid_coverage'] ELSE [] END
+             || CASE WHEN b.fresh > 0 AND m.fresh < b.fresh * (1 - 0.2) THEN ['offer_drop'] ELSE [] END
+             || CASE WHEN m.coverage < b.coverage - 5 THEN ['coverage_drop'] ELSE [] END
+             || CASE WHEN m.newest < b.newest THEN ['source_older_than_baseline'] ELSE [] END
+             || CASE WHEN m.districts < b.districts - 2 THEN ['district_loss'] ELSE [] END AS reasons FROM m JOIN b ON b.k = m.k)
+SELECT k::BIGINT AS product, CASE WHEN len(reasons) > 0 THEN 'needs_review' ELSE 'ready' END AS status,
+       array_to_string(list_sort(reasons), ',') AS reasons FROM r""",
+)
+def first_release(spark, sf_dir):
+    """Every customer's orders against a baseline that is somewhat better, older or newer by its key."""
+    key, product = F.col("o_orderkey"), F.col("o_custkey").alias("product")
+    c = S.table(spark, sf_dir, "orders").groupBy(product).agg(
+        F.count(F.lit(1)).alias("fresh_offers"), F.count_if(key % 4 != 0).alias("contract_ready_offers"),
+        F.max("o_orderdate").alias("source_max_reported_at"), F.count_distinct(key % 13).alias("published_districts"),
+    ).withColumns({
+        "contract_ready_districts": F.col("published_districts"),
+        "coverage_percent": F.round(F.col("contract_ready_offers") / F.col("fresh_offers") * 100, 3),
+        "latest_price_conflicts": F.lit(0), "latest_territory_conflicts": F.lit(0),
+    })
+    p = F.col("product")
+    baseline = c.select(
+        "product", (F.col("fresh_offers") + p % 7).alias("fresh_offers"), (F.lit(70.0) + p % 30).alias("coverage_percent"),
+        (F.col("published_districts") + p % 5).alias("published_districts"),
+        (F.col("source_max_reported_at") + F.make_dt_interval(days=(p % 3 - 1).cast("int"))).alias("source_max_reported_at"),
+    )
+    judged = quality.first_release(c, baseline)
+    return judged.select("product", "status", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
+@query(
+    "verdict_contract",
+    """WITH v AS (SELECT c_custkey AS k FROM customer)
+SELECT k::BIGINT AS k, 'establishment_id' AS rule FROM v WHERE k % 2 = 0
+UNION ALL SELECT k, 'entry_sha256' FROM v WHERE k % 3 = 0
+UNION ALL SELECT k, 'claim' FROM v WHERE k % 5 = 0
+UNION ALL SELECT k, 'selection_reason' FROM v WHERE k % 7 = 0
+UNION ALL SELECT k, 'result' FROM v WHERE k % 11 = 0
+UNION ALL SELECT k, 'reviewed' FROM v WHERE k % 13 = 0""",
+)
+def verdict_contract(spark, sf_dir):
+    key = F.col("c_custkey")
+    sha = F.sha2(key.cast("string"), 256)
+    spoilt = lambda n, good, bad: F.when(key % n != 0, good).otherwise(bad)
+    verdicts = S.table(spark, sf_dir, "customer").select(
+        key.alias("k"),
+        spoilt(2, F.concat(F.lit("est_"), F.substring(sha, 1, 24)), F.lit("est_?")).alias("establishment_id"),
+        spoilt(3, sha, F.upper(F.substring(sha, 1, 40))).alias("entry_sha256"),
+        spoilt(5, F.lit("brand"), F.lit("colour")).alias("claim"),
+        F.lit(quality.CONFIDENCES[0]).alias("confidence"),
+        spoilt(7, F.lit("risk_sample"), F.lit("")).alias("selection_reason"),
+        spoilt(11, F.lit("pending"), F.lit(None)).alias("result"),
+        spoilt(13, F.lit("r"), F.lit(" ")).alias("reviewer"),
+        F.current_timestamp().alias("reviewed_at"),
+    )
+    return quality.violations(verdicts, quality.verdict_rules(), "k")
+
+
+@query(
+    "summary_frame",
+    """WITH d AS (SELECT o_custkey % 50 AS k, CAST(o_orderdate AS DATE) AS date FROM orders)
+SELECT count(*) = 30 AS declared_days, max(date) - min(date) + 1 = count(*) AND count(DISTINCT date) = count(*) AS consecutive,
+       max(date) = DATE '1998-08-02' AS ends_today FROM (SELECT DISTINCT date FROM d)""",
+)
+def summary_frame(spark, sf_dir):
+    """All order dates as one summary of thirty days."""
+    days = S.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
+    return quality.summary_frame(days, F.lit("1998-08-02 12:00:00").cast("timestamp"), 30)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -31,6 +31,45 @@ def daily_mean(spark, sf_dir):
     return history.measure(S.offers(spark, sf_dir), NOW, CUTOFF)
 
 
+_STATES_SQL = """
+o AS (SELECT event_id, event_type AS product, user_id AS site, user_id % 40 + 1 AS price,
+             event_type = 'error' AND user_id % 9 = 0 AND event_id % 2 = 0 AS other, event_type = 'click' AND event_id % 5 = 0 AS lost FROM events),
+s AS (SELECT product, site, arg_min(price + other::INT, event_id) AS price,
+             count(*) AS n,
+             arg_min(other::INT, event_id) AS first_other, count(*) FILTER (other) AS n_other
+      FROM o WHERE NOT lost AND product <> 'signup' GROUP BY 1, 2),
+v AS (SELECT product, sum(CASE WHEN first_other = 1 THEN n_other ELSE n - n_other END - 1) AS dup,
+             sum(CASE WHEN first_other = 1 THEN n - n_other ELSE n_other END) AS bad, avg(price) AS mean, count(*) AS sites FROM s GROUP BY 1)
+"""
+
+
+@query(
+    "daily_mean_states",
+    f"""WITH {_STATES_SQL}
+SELECT t.product, CASE WHEN bad = 0 THEN round(mean, 4) END::DOUBLE AS mean, coalesce(sites, 0)::BIGINT AS n, coalesce(dup, 0)::BIGINT AS duplicates_ignored,
+       coalesce(bad, 0)::BIGINT AS contradictions, t.problems::BIGINT AS problems,
+       CASE WHEN bad > 0 THEN 'invalid' WHEN bad IS NULL THEN 'empty' ELSE 'ok' END AS status
+FROM (SELECT product, count(*) FILTER (lost) AS problems FROM o GROUP BY 1) t LEFT JOIN v ON v.product = t.product
+UNION ALL SELECT DISTINCT product || '!', NULL::DOUBLE, 0, 0, 0, 0, 'blocked' FROM o""",
+)
+def daily_mean_states(spark, sf_dir):
+    """Sites that repeat one price, some that contradict it, offers without a site, a product of old reports alone, a clock gone back."""
+    e = S.table(spark, sf_dir, "events")
+    user, key, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    price = user % 40 + 1 + ((kind == "error") & (user % 9 == 0) & (key % 2 == 0)).cast("int")
+    offers = e.select(
+        key.alias("id"),
+        F.when((kind != "click") | (key % 5 != 0), user).alias("site_id"),
+        kind.alias("product"),
+        price.cast("double").alias("price"),
+        F.when(kind == "signup", F.lit("2023-11-01 00:00:00")).otherwise(F.lit("2024-01-20 00:00:00")).cast("timestamp").alias("reported_at"),
+        F.lit(None).cast("double").alias("live_price"),
+        F.lit(None).cast("timestamp").alias("live_observed_at"),
+    )
+    before = offers.withColumn("product", F.concat("product", F.lit("!")))
+    return history.measure(offers, NOW, CUTOFF).unionByName(history.measure(before, CUTOFF - timedelta(days=1), CUTOFF))
+
+
 def _observations(spark, sf_dir):
     e = S.table(spark, sf_dir, "events")
     return e.select(

@@ -110,15 +110,15 @@ def _metrics(spark, sf_dir, late: bool):
     "metrics_contract",
     f"""WITH {_METRICS_SQL}
 SELECT product, grp::BIGINT AS grp, 'ready_offers' AS rule FROM m WHERE NOT contract_ready_offers >= 1
-UNION ALL SELECT product, grp, 'fresh_offers' FROM m WHERE NOT fresh_offers - 3 * (grp % 2) >= contract_ready_offers
-UNION ALL SELECT product, grp, 'coverage' FROM m WHERE NOT (coverage_percent + 10 * (grp // 4) > 0 AND coverage_percent + 10 * (grp // 4) <= 100)""",
+UNION ALL SELECT product, grp, 'fresh_offers' FROM m WHERE NOT fresh_offers - 30 * (grp % 2) >= contract_ready_offers
+UNION ALL SELECT product, grp, 'coverage' FROM m WHERE NOT (coverage_percent + 50 * (grp // 4) > 0 AND coverage_percent + 50 * (grp // 4) <= 100)""",
 )
 def metrics_contract(spark, sf_dir):
     """Metrics that some groups report too low or too high, under the real rules."""
     told = _metrics(spark, sf_dir, True).withColumns(
         {
-            "fresh_offers": F.col("fresh_offers") - 3 * (F.col("grp") % 2),
-            "coverage_percent": F.col("coverage_percent") + 10 * F.floor(F.col("grp") / 4),
+            "fresh_offers": F.col("fresh_offers") - 30 * (F.col("grp") % 2),
+            "coverage_percent": F.col("coverage_percent") + 50 * F.floor(F.col("grp") / 4),
         }
     )
     broken = quality.violations(told.withColumn("_key", F.struct("product", "grp")), quality.metrics_rules(), "_key")
@@ -265,11 +265,11 @@ def reference_build(spark, sf_dir):
 @query(
     "reference_coverage",
     """SELECT DISTINCT n_nationkey::INTEGER AS nationkey FROM nation
-WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)""",
+WHERE n_nationkey NOT IN (SELECT s_nationkey - s_nationkey % 3 FROM supplier)""",
 )
 def reference_coverage(spark, sf_dir):
     wanted = S.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nationkey"))
-    have = S.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"))
+    have = S.table(spark, sf_dir, "supplier").select((F.col("s_nationkey") - F.col("s_nationkey") % 3).alias("nationkey"))
     return reference.missing_references(wanted, have, ["nationkey"])
 
 

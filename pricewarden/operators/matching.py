@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,7 +215,8 @@ def greedy_assign(pairs: DataFrame) -> DataFrame:
 
     Under a strict total order a pair that is the best of both its place and its site is taken by
     the one-by-one rule too, so each round takes all of those at once and drops the pairs they
-    block. Rounds repeat until no pair is left; no candidate is ever cut off.
+    block. Rounds repeat until no pair is left; no candidate is ever cut off. What a round takes is
+    written once and never again.
     """
     rank = F.struct(
         (-F.col("score")).alias("worse"),
@@ -223,7 +225,7 @@ def greedy_assign(pairs: DataFrame) -> DataFrame:
         F.col("site_id").alias("site"),
     )
     remaining = cut_lineage(pairs.select("place_id", "site_id", rank.alias("rank")))
-    taken: DataFrame | None = None
+    rounds: list[DataFrame] = []
     while not remaining.isEmpty():
         by_place = remaining.groupBy("place_id").agg(F.min("rank").alias("rank"))
         by_site = remaining.groupBy("site_id").agg(F.min("rank").alias("rank"))
@@ -232,13 +234,13 @@ def greedy_assign(pairs: DataFrame) -> DataFrame:
                 by_site.select(F.col("rank.place").alias("place_id"), "site_id"), ["place_id", "site_id"]
             )
         )
-        taken = mutual if taken is None else cut_lineage(taken.unionByName(mutual))
+        rounds.append(mutual)
         remaining = cut_lineage(
             remaining.join(mutual.select("place_id"), "place_id", "left_anti").join(
                 mutual.select("site_id"), "site_id", "left_anti"
             )
         )
-    return remaining if taken is None else taken
+    return reduce(DataFrame.unionByName, rounds) if rounds else remaining
 
 
 def with_margin(pairs: DataFrame, taken: DataFrame) -> DataFrame:

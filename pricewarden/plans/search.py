@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pricewarden.operators import listing, pricing
 from pricewarden.operators.listing import Origin
+from pricewarden.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,8 @@ def start(rows: DataFrame, search: Search) -> Search:
 def run(rows: DataFrame, search: Search) -> Results:
     """One page of ordered rows plus the flags the page shows, in two passes over the site rows.
 
-    The first folds everything the flags need into one row; the second is a top-k. Only that row and
-    the page, whose size the caller chose, reach the driver.
+    The first folds everything the flags need into one row; the second is a top-k, stored once. Only that row
+    and the count of priced rows on the page reach the driver.
     """
     around = search.origin is not None
     price = F.col(f"price_{search.product}")["price"]
@@ -71,12 +72,9 @@ def run(rows: DataFrame, search: Search) -> Results:
     pool = located.where(member)
     if around:
         pool = pool.where(listing.near(search.origin, search.radius_km))
-    page = pool.orderBy(*keys).limit(size)
-    taken = page.collect()
-    comparable = sum(row["has_price"] for row in taken)
-    items = rows.sparkSession.createDataFrame(taken, page.schema).withColumns(
-        {"cheapest": F.lit(False), "also_nearest": F.lit(False)}
-    )
+    page = cut_lineage(pool.orderBy(*keys).limit(size))
+    comparable = page.where("has_price").count()
+    items = page.withColumns({"cheapest": F.lit(False), "also_nearest": F.lit(False)})
     if around and comparable > 1 and facts["_cheapest"] is not None:
         best = facts["_cheapest"]["site_id"]
         mine = F.col("site_id") == F.lit(best)
