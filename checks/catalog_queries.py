@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import standins as S
@@ -124,6 +126,28 @@ def name_problems(spark, sf_dir):
     return _backing(spark, sf_dir)[2]
 
 
+@query(
+    "audit_gates",
+    f"""WITH {_BACKING_SQL},
+n AS (SELECT count(*) FILTER (public AND name IS NOT NULL) AS affected FROM cat)
+SELECT gate AS "case", reason, affected::BIGINT AS affected FROM n, (VALUES ('none', 'audit_missing_or_catalog_mismatch'),
+       ('other', 'audit_missing_or_catalog_mismatch'), ('old', 'audit_schema_behind_catalog')) g(gate, reason)""",
+)
+def audit_gates(spark, sf_dir):
+    """No audit, one of another catalog, and one without claims: each takes every name of a catalog with evidence."""
+    entries = _catalog(spark, sf_dir).withColumn("evidence_method", F.when(F.col("brand").isNotNull(), F.lit("official_directory")))
+    tiers = spark.createDataFrame([], "confidence string, population long, lower_bound_95 double, threshold double")
+    verdicts = spark.createDataFrame([], "establishment_id string, claim string, result string, entry_sha256 string")
+    cases = {"none": None, "other": catalog.AuditHead("b"), "old": catalog.AuditHead("a", names_claims=False)}
+    found = []
+    for name, audit in cases.items():
+        approved, problems = catalog.name_backing(entries, tiers, verdicts, catalog.audit_gate(entries, "a", audit))
+        if not approved.isEmpty():
+            raise AssertionError("a name was backed by an audit that says nothing of it")
+        found.append(problems.select(F.lit(name).alias("case"), "reason", "affected"))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     "usable_catalog",
     f"""WITH {_BACKING_SQL},

@@ -547,9 +547,23 @@ def verdict_contract(spark, sf_dir):
     "summary_frame",
     """WITH d AS (SELECT o_custkey % 50 AS k, CAST(o_orderdate AS DATE) AS date FROM orders)
 SELECT count(*) = 30 AS declared_days, max(date) - min(date) + 1 = count(*) AND count(DISTINCT date) = count(*) AS consecutive,
-       max(date) = DATE '1998-08-02' AS ends_today FROM (SELECT DISTINCT date FROM d)""",
+       max(date) = DATE '1998-08-02' AS ends_today, sum(length('{"date":"' || date::VARCHAR || '"}') + 1) <= 65536 AS within_size FROM (SELECT DISTINCT date FROM d)""",
 )
 def summary_frame(spark, sf_dir):
     """All order dates as one summary of thirty days."""
     days = S.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
     return quality.summary_frame(days, F.lit("1998-08-02 12:00:00").cast("timestamp"), 30)
+
+
+@query(
+    "verdict_repeats",
+    """SELECT 'est_' || (l_partkey % 400)::VARCHAR AS establishment_id, CASE WHEN l_linenumber % 2 = 0 THEN 'brand' ELSE 'name' END AS claim,
+       count(*)::BIGINT AS verdicts FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""",
+)
+def verdict_repeats(spark, sf_dir):
+    """Lines as verdicts on parts; those of older audits name no claim and so speak of the name."""
+    lines = S.table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("est_"), (F.col("l_partkey") % 400).cast("string")).alias("establishment_id"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.lit("brand")).when(F.col("l_linenumber") % 3 == 0, F.lit("name")).alias("claim"),
+    )
+    return quality.repeated_verdicts(lines)

@@ -93,16 +93,21 @@ def feed_quarantine(spark, sf_dir):
 
 @query(
     "feed_profile",
-    """SELECT event_type AS activity, (count(*) + 1)::BIGINT AS lines,
-       (sum(length(event_id::VARCHAR) + length(props) + 2) + length('event_id;props') + 1)::BIGINT AS bytes FROM events GROUP BY 1""",
+    """SELECT event_type AS activity, (count(*) + 1 + count(*) FILTER (event_id % 4 = 0))::BIGINT AS lines, count(*)::BIGINT AS rows, 0::BIGINT AS malformed,
+       (epoch_us(date_trunc('second', max(ts))) // 1000000 + 5 * 3600)::BIGINT AS newest_epoch, 'ID4;ACTIVIDAD' AS header FROM events GROUP BY 1""",
 )
 def feed_profile(spark, sf_dir):
     """One file for each type of event, profiled as it lies there."""
     root = _root(spark, "profile")
-    e = S.table(spark, sf_dir, "events").select(F.col("event_id").cast("string"), "props", F.col("event_type").alias("part"))
-    e.repartition("part").write.partitionBy("part").options(sep=";", header=True, quote="", encoding="UTF-8").csv(root)
-    found = delimited.profile(spark, root)
-    return found.select(F.regexp_extract("file", "part=([a-z]+)", 1).alias("activity"), F.col("lines").cast("long").alias("lines"), F.col("bytes").cast("long").alias("bytes"))
+    rows = _feed(spark, sf_dir).withColumn("part", F.col("ACTIVIDAD")).repartition("part")
+    rows.write.partitionBy("part").options(sep=";", header=True, quote='"', escape='"', encoding="UTF-8").csv(root)
+    found = delimited.feed_profile(spark, f"{root}/part=*", LPG)
+    return found.select(
+        F.regexp_extract("file", "part=([a-z]+)", 1).alias("activity"),
+        *[F.col(c).cast("long").alias(c) for c in ("lines", "rows", "malformed")],
+        F.unix_seconds("newest").alias("newest_epoch"),
+        F.substring("header", 1, 13).alias("header"),
+    )
 
 
 @query(

@@ -9,6 +9,7 @@ Verdicts: establishment_id, claim (name or brand), result, selection_reason, ent
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -173,17 +174,40 @@ def name_verdicts(catalog: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
-def name_backing(catalog: DataFrame, tiers: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class AuditHead:
+    """What an audit says of itself: the catalog it describes, and whether its verdicts name their claim."""
+
+    catalog_id: str
+    names_claims: bool = True
+
+
+def audit_gate(catalog: DataFrame, catalog_id: str, audit: AuditHead | None) -> str | None:
+    """Why an audit can't back any name of this catalog, or None.
+
+    No audit, or one of another catalog; or one of verdicts without claims, for a catalog whose brands carry evidence.
+    """
+    if audit is None or audit.catalog_id != catalog_id:
+        return "audit_missing_or_catalog_mismatch"
+    if not audit.names_claims and not catalog.where(F.col("evidence_method").isNotNull()).isEmpty():
+        return "audit_schema_behind_catalog"
+    return None
+
+
+def name_backing(
+    catalog: DataFrame, tiers: DataFrame, verdicts: DataFrame, gate: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Names that stay approved, and the problems found with how many names each concerns.
 
-    A tier falls as a whole; inside a sound tier a name falls alone. A verdict on a site outside the
-    catalog invalidates the audit, so it takes every name with it.
+    A tier falls as a whole; inside a sound tier a name falls alone. A gate that the audit doesn't pass
+    (`audit_gate`), or a verdict on a site outside the catalog, takes every name with it.
     """
     named = catalog.where(is_public() & F.col("public_site_name").isNotNull())
     names = verdicts.where(F.coalesce("claim", F.lit("name")) == "name")
     outside = names.join(catalog.select("establishment_id"), "establishment_id", "left_anti")
-    if not outside.isEmpty():
-        problems = named.agg(F.lit("audit_entry_outside_catalog").alias("reason"), F.count(F.lit(1)).alias("affected"))
+    fallen = gate or (None if outside.isEmpty() else "audit_entry_outside_catalog")
+    if fallen:
+        problems = named.groupBy(F.lit(fallen).alias("reason")).agg(F.count(F.lit(1)).alias("affected"))
         return named.select("establishment_id").where(F.lit(False)), problems
     levels = name_tiers(catalog, tiers)
     faults = name_verdicts(catalog, verdicts)

@@ -16,7 +16,7 @@ from pricewarden.config import Guardrails
 from pricewarden.functions.geo import in_published_box
 from pricewarden.functions.parse import positive
 from pricewarden.functions.stats import wilson_lower_bound
-from pricewarden.operators.history import MAX_DAYS, ZONE, local_date
+from pricewarden.operators.history import MAX_DAYS, MAX_SUMMARY_BYTES, ZONE, local_date
 
 ADDRESS_MAX = 48
 SITE_PATTERN = r"^est_[a-f0-9]{24}$"
@@ -311,6 +311,13 @@ def verdict_rules() -> dict[str, Column]:
     }
 
 
+def repeated_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Claims that were judged more than once: a claim on a site has one verdict."""
+    claim = F.coalesce(F.col("claim"), F.lit("name")).alias("claim")
+    counted = verdicts.groupBy("establishment_id", claim).agg(F.count(F.lit(1)).alias("verdicts"))
+    return counted.where("verdicts > 1")
+
+
 def registry_rules(codes: Sequence[str], department: str, province: str) -> dict[str, Column]:
     texts = meaningful("code") & meaningful("registration") & meaningful("district")
     return {
@@ -354,7 +361,10 @@ def summary_day_rules(products: Sequence[str]) -> dict[str, Column]:
 
 
 def summary_frame(days: DataFrame, generated_at: Column, size: int) -> DataFrame:
-    """One row: does the summary have the days it declares, without holes, up to its own local day?"""
+    """One row: does the summary have the days it declares, without holes, up to its own local day, in its size?
+
+    The size is that of the days written as JSON lines, added up row by row.
+    """
     if not 1 <= size <= MAX_DAYS:
         raise ValueError(f"days out of range: {size}")
     first, last = F.min("date"), F.max("date")
@@ -364,6 +374,7 @@ def summary_frame(days: DataFrame, generated_at: Column, size: int) -> DataFrame
             "consecutive"
         ),
         (last == local_date(generated_at, ZONE)).alias("ends_today"),
+        (F.sum(F.octet_length(F.to_json(F.struct(*days.columns))) + 1) <= MAX_SUMMARY_BYTES).alias("within_size"),
     )
 
 

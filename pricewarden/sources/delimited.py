@@ -36,9 +36,11 @@ def check_header(names: list[str], feed: Feed) -> None:
         raise ContractError(f"{feed.name}: header {found} instead of {list(feed.fields)}")
 
 
-def read_feed(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, feed: Feed, file_col: str | None = None) -> DataFrame:
     """Rows of a feed as cleaned text, plus `_corrupt`: the raw line where the width is wrong.
 
+    `file_col` adds the path of each row's file under that name.
+
     The first file's header is normalised and compared here; Spark itself compares every other
     file's header with it, because the schema is not enforced over the header.
     """
@@ -53,9 +55,9 @@ def read_feed(spark: SparkSession, path: str, feed: Feed) -> DataFrame:
         spark.read.schema(schema)
         .options(header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **CSV_OPTIONS)
         .csv(path)
-        .toDF(*feed.fields, CORRUPT)
     )
-    return rows.select(*[clean(F.col(f)).alias(f) for f in feed.fields], CORRUPT)
+    cells = [clean(F.col(f"`{name}`")).alias(field) for name, field in zip(first.columns, feed.fields, strict=True)]
+    return rows.select(*cells, CORRUPT, *([F.col("_metadata.file_path").alias(file_col)] if file_col else []))
 
 
 ROWS, RECORD = "rows", "record"
@@ -123,6 +125,26 @@ def profile(spark: SparkSession, path: str) -> DataFrame:
     return digests.withColumnRenamed("sha256", "content_sha256")
 
 
+def feed_profile(spark: SparkSession, path: str, feed: Feed, instant_field: str = "FECHA_DE_REGISTRO") -> DataFrame:
+    """What `profile` says of every file of a feed, with its header, its rows of the right width and its newest instant.
+
+    Rows may span lines, so they are counted by the reader of the feed; every file is folded to one row before it moves.
+    """
+    heads = (
+        spark.read.text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"), "value")
+        .where("_start = 0")
+        .groupBy("file")
+        .agg(F.min_by("value", "_line").alias("header"))
+    )
+    rows = read_feed(spark, path, feed, "file").groupBy("file").agg(
+        F.count_if(F.col(CORRUPT).isNull()).alias("rows"),
+        F.count_if(F.col(CORRUPT).isNotNull()).alias("malformed"),
+        F.max(parse_instant(F.col(instant_field))).alias("newest"),
+    )
+    return profile(spark, path).join(heads, "file").join(rows, "file")
+
+
 # --- typed views --------------------------------------------------------------------------------
 
 
