@@ -399,3 +399,59 @@ SELECT CASE WHEN status = 'verified' THEN 'verified' WHEN status = 'candidate' A
 def match_tiers(spark, sf_dir):
     level = F.coalesce(catalog.tier(F.col("status"), F.col("distance_m")), F.lit("none"))
     return _matches(spark, sf_dir).groupBy(level.alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- what is published already ------------------------------------------------------------------
+
+
+@query(
+    "published_brands",
+    """SELECT c_custkey::BIGINT AS site_id, CASE WHEN c_custkey % 4 <> 0 THEN 'Primax' WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN 'Repsol' END AS brand,
+       c_custkey % 4 = 0 AND c_custkey % 3 = 0 AND c_custkey % 5 <> 0 AS kept_published FROM customer""",
+)
+def published_brands(spark, sf_dir):
+    """Every fourth entry lacks a brand; evidence is in conflict at every third site, the published brand known at most."""
+    key = F.col("c_custkey")
+    c = S.table(spark, sf_dir, "customer")
+    entries = c.select(key.alias("site_id"), F.when(key % 4 != 0, F.lit("Primax")).alias("brand"))
+    conflicts = c.where(key % 3 == 0).select(key.alias("site_id"))
+    base = c.select(key.alias("site_id"), F.when(key % 5 != 0, F.lit("Repsol")).alias("base_brand"))
+    return catalog.keep_published_brand(entries, conflicts, base).select("site_id", "brand", "kept_published")
+
+
+@query(
+    "protected_names",
+    """WITH e AS (SELECT c_custkey AS k, c_mktsegment AS seg, CASE WHEN c_custkey % 7 <> 0 THEN left(c_mktsegment, 1) || lower(substr(c_mktsegment, 2)) END AS name,
+                  CASE WHEN c_custkey % 8 = 4 THEN 'Repsol' WHEN c_custkey % 2 = 0 THEN 'Primax' END AS brand FROM customer),
+b AS (SELECT *, CASE k % 4 WHEN 0 THEN 'Primax ' || seg WHEN 1 THEN seg WHEN 3 THEN 'Otro' END AS base FROM e),
+r AS (SELECT *, base IS NOT NULL AND name IS NOT NULL AND (k % 4 = 1 OR (k % 4 = 0 AND k % 8 <> 4)) AS keep FROM b)
+SELECT k::BIGINT AS site_id, CASE WHEN keep THEN base ELSE name END AS public_site_name, base IS NOT NULL AND NOT keep AS name_changed FROM r""",
+)
+def protected_names(spark, sf_dir):
+    """Published names that differ by a brand word or by case alone stay; others, or those of another brand, change."""
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    c = S.table(spark, sf_dir, "customer")
+    entries = c.select(
+        key.alias("site_id"),
+        F.when(key % 7 != 0, F.concat(F.substring(segment, 1, 1), F.lower(F.regexp_replace(segment, "^.", "")))).alias("public_site_name"),
+        F.when(key % 8 == 4, F.lit("Repsol")).when(key % 2 == 0, F.lit("Primax")).alias("brand"),
+    )
+    published = F.when(key % 4 == 0, F.concat(F.lit("Primax "), segment)).when(key % 4 == 1, segment).when(key % 4 == 3, F.lit("Otro"))
+    base = c.select(key.alias("site_id"), published.alias("base_name"))
+    return catalog.protect_names(entries, base).select("site_id", "public_site_name", "name_changed")
+
+
+@query(
+    "inherited_verdicts",
+    """SELECT c_custkey::BIGINT AS site_id FROM customer
+WHERE c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 0""",
+)
+def inherited_verdicts(spark, sf_dir):
+    """Old verdicts on brands: odd keys are sound, every third speaks of the name, every fifth is branded again, every seventh was reviewed."""
+    key = F.col("c_custkey")
+    c = S.table(spark, sf_dir, "customer").withColumn("site_id", key)
+    claim = F.when(key % 3 == 0, F.lit("name")).otherwise(F.lit("brand")).alias("claim")
+    old = c.select("site_id", claim, F.when(key % 2 == 0, F.lit("incorrect")).otherwise(F.lit("verified")).alias("result"))
+    now = c.where(key % 7 == 0).select("site_id", F.lit("brand").alias("claim"), F.lit("verified").alias("result"))
+    entries = c.select("site_id", F.when(key % 5 == 0, F.lit("Primax")).alias("brand"))
+    return catalog.inherited_verdicts(old, now, entries).select("site_id")
