@@ -332,3 +332,11 @@ def test_clauses():
     assert read([tag.REPORT, *[tag.OTHER] * 9, tag.INSULT])["reported"] == 1
     assert read([tag.THREAT, tag.TARGET])["threat"] == 1
     assert read([tag.OTHER, tag.INSULT])["insult"] == 1
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql_twins(spark, given, name):
+    from checks.compare import compare
+
+    good, message = compare(spark, given, name, QUERIES[name], ORACLES[name])
+    assert good, message
