@@ -89,52 +89,54 @@ def spatial_pairs(
     return near.withColumn("distance_m", distance).where(F.col("distance_m") <= metres).drop("_cell")
 
 
+# How often a cell that a circle cuts is quartered before its spots are looked at one by one.
+QUARTERINGS = 2
+
+
 def neighbour_counts(sites: DataFrame, metres: float, radius: float = geo.EARTH_M_ROUND) -> DataFrame:
-    """Sites within `metres` of each site, itself included, without listing the pairs.
+    """Sites within `metres` of each site, itself included.
 
-    Sites on the same spot are counted once and weighted. Cells of half the radius that lie wholly
-    inside the circle add their total; only cells the circle cuts are looked at spot by spot.
+    Sites on the same spot are counted once and weighted. Cells that lie wholly inside the circle add their
+    total. A cell that the circle cuts is quartered, level by level, so only the narrow rim of the circle is
+    looked at spot by spot, however dense the sites lie.
     """
     spots = sites.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
     height = geo.grid_height(metres) / 2
-    cell = geo.grid_cell(F.col("latitude"), F.col("longitude"), height)
-    placed = spots.withColumn("_cell", cell)
-    totals = placed.groupBy("_cell").agg(
-        F.sum("n").alias("_cell_n"),
-        *[f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in ("latitude", "longitude")],
-    )
+    cells = {f"_c{k}": geo.grid_cell(F.col("latitude"), F.col("longitude"), height / 2**k) for k in range(QUARTERINGS + 1)}
+    placed = cut_lineage(spots.withColumns(cells))
     centre = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("centre")
     half = geo.grid_height(metres)
     half_lon = F.least(
         F.lit(180.0),
         F.lit(half * 1.001) / F.cos(F.radians(F.least(F.abs(F.col("latitude")) + half, F.lit(89.999)))),
     )
-    probes = spots.select(
+    asked = spots.select(
         centre,
-        F.explode(
-            geo.grid_probe(F.col("latitude"), F.col("longitude"), F.lit(half), half_lon, height)
-        ).alias("_cell"),
+        F.explode(geo.grid_probe(F.col("latitude"), F.col("longitude"), F.lit(half), half_lon, height)).alias("_c0"),
     )
-    corners = [
-        geo.haversine(F.col("centre.lat"), F.col("centre.lon"), F.col(f"_{a}_latitude"), F.col(f"_{b}_longitude"), radius)
-        for a in ("min", "max")
-        for b in ("min", "max")
-    ]
+    lat, lon = F.col("centre.lat"), F.col("centre.lon")
+    corners = [geo.haversine(lat, lon, F.col(f"_{a}_latitude"), F.col(f"_{b}_longitude"), radius) for a in ("min", "max") for b in ("min", "max")]
     # The farthest point of a small box is a corner; the slack keeps rounding on the careful side.
     inside = F.greatest(*corners) * (1 + 1e-9) + 1e-6 < metres
-    asked = probes.join(totals, "_cell").withColumn("_inside", inside)
-    whole = asked.where("_inside").select("centre", F.col("_cell_n").alias("n"))
-    cut = split_join(
-        asked.where("NOT _inside").select("centre", "_cell"),
-        placed.select("_cell", "latitude", "longitude", "n"),
-        ["_cell"],
-        ("centre", "latitude"),
-    )
-    distance = geo.haversine(
-        F.col("centre.lat"), F.col("centre.lon"), F.col("latitude"), F.col("longitude"), radius
-    )
+    clamp = lambda at, name: F.greatest(F.col(f"_min_{name}"), F.least(at, F.col(f"_max_{name}")))
+    outside = geo.haversine(lat, lon, clamp(lat, "latitude"), clamp(lon, "longitude"), radius) > metres * 1.01 + 1
+    path, whole = ["_c0"], []
+    for k in range(QUARTERINGS + 1):
+        totals = placed.groupBy(*path).agg(
+            F.sum("n").alias("_cell_n"),
+            *[f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in ("latitude", "longitude")],
+        )
+        # A cut cell meets its own quarters alone: four at most, and as many centres as it has neighbours.
+        met = cut_lineage(asked.join(totals, path if k == 0 else path[:-1]).where(~outside).withColumn("_inside", inside))
+        whole.append(met.where("_inside").select("centre", F.col("_cell_n").alias("n")))
+        asked = met.where("NOT _inside").select("centre", *path)
+        if k < QUARTERINGS:
+            path = [*path, f"_c{k + 1}"]
+    rim = split_join(asked, placed.select(*path, "latitude", "longitude", "n"), path, ("centre", "latitude"))
+    distance = geo.haversine(lat, lon, F.col("latitude"), F.col("longitude"), radius)
     counted = (
-        whole.unionByName(cut.where(distance <= metres).select("centre", "n"))
+        reduce(DataFrame.unionByName, whole)
+        .unionByName(rim.where(distance <= metres).select("centre", "n"))
         .groupBy("centre")
         .agg(F.sum("n").alias("neighbours"))
         .select(F.col("centre.lat").alias("latitude"), F.col("centre.lon").alias("longitude"), "neighbours")

@@ -42,6 +42,20 @@ def test_pairs_equal_brute_force_anywhere(spark, lat, lon):
     assert got == expected and expected
 
 
+def test_neighbours_in_a_dense_place(spark):
+    rng = random.Random(9)
+    points = cloud(rng, 600, -12.05, -77.03, 0.004)  # all within a few cells, most circles cut them
+    sites = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(points)], "site_id int, latitude double, longitude double")
+    got = {r["site_id"]: r["neighbours"] for r in matching.neighbour_counts(sites, 250.0).collect()}
+
+    def metres(p, q):
+        a, b, c, d = map(math.radians, (*p, *q))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * geo.EARTH_M_ROUND * math.asin(math.sqrt(h))
+
+    assert got == {i: sum(metres(p, q) <= 250.0 for q in points) for i, p in enumerate(points)}
+
+
 def test_neighbours_with_a_hot_spot(spark):
     rng = random.Random(3)
     points = cloud(rng, 120, -12.1, -77.0, 0.01) + [(-12.1, -77.0)] * 60
