@@ -57,6 +57,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names. Every other error of the store is raised."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pricewarden.operators import live
-from pricewarden.session import exists
+from pricewarden.session import exists, remove
 
 STATE_SCHEMA = (
     "district_code long, product string, observed_at timestamp, announced_total long, "
@@ -52,6 +52,8 @@ def upsert(root: str, to_attempts: Callable[[DataFrame], DataFrame], attempted_a
         held = previous.select(*live.UNIT, F.col("observed_at").alias("held_at"))
         late = attempts.join(held, list(live.UNIT)).where(F.col("observed_at") <= F.col("held_at"))
         late.write.mode("overwrite").parquet(f"{root}/late/batch={batch_id}")
+        # A repeated batch needs the one before it; nothing reads those before that.
+        remove(spark, f"{root}/state/batch={batch_id - 2}")
         attempts.unpersist()
 
     return run
