@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import standins as S
 from checks.match_queries import SEGMENTS, STREETS, _pick
 from checks.registry import query
+from pricewarden import reasons as R
 from pricewarden.functions import addresses
 from pricewarden.functions.address_parts import PARTS, address_parts
 from pricewarden.operators import directories
@@ -164,14 +165,6 @@ def _directory_sites(spark, sf_dir):
     )
 
 
-@query("directory_outcomes")
-def directory_outcomes(spark, sf_dir):
-    found = directories.match_directories(
-        _entries(spark, sf_dir), _directory_sites(spark, sf_dir), ["Primax", "Repsol"]
-    )
-    return directories.directory_summary(found)
-
-
 _WINDOW_SQL = f"""
 e AS (SELECT s_suppkey AS p, CASE s_suppkey % 4 + 1 WHEN 1 THEN round({S.PLACE_LAT_SQL}, 1) WHEN 2 THEN round({S.PLACE_LAT_SQL}, 2)
              WHEN 3 THEN round({S.PLACE_LAT_SQL}, 3) ELSE round({S.PLACE_LAT_SQL}, 5) END AS lat,
@@ -189,6 +182,58 @@ w AS (SELECT p, s, n FROM tol, s WHERE CASE WHEN lat_m = 200 AND lon_m = 200
 """
 
 
+# What the stand-ins share follows from their keys: street by nation, door and name by key, operator at every sixth site.
+_DIRECTORY_SQL = f"""{_WINDOW_SQL},
+seen AS (SELECT w.p, w.s, p2.s_nationkey % 5 = w.n % 5 AS street, w.p % 50 = w.s % 50 AS door,
+                w.s % 6 <> 0 AND c.c_mktsegment = ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][w.p % 5 + 1] AS name,
+                w.s % 6 = 0 AND w.p % 2 = 1 AS owner, w.p % 3 = 0 AS declared, w.s % 6 = 0 AND w.p % 2 = 0 AS clash,
+                CASE WHEN w.p % 2 = 0 THEN 'PRIMAX' ELSE 'REPSOL' END AS brand, w.p % 3 <> 0 OR p2.s_nationkey % 5 = w.n % 5 AS own
+         FROM w JOIN supplier p2 ON p2.s_suppkey = w.p JOIN customer c ON c.c_custkey = w.s),
+good AS (SELECT *, 45 * door::INT + 35 * street::INT + 40 * name::INT + 10 * owner::INT + 10 * declared::INT AS score FROM seen
+         WHERE own AND CASE WHEN declared THEN door OR street OR name ELSE (street AND (door OR name OR owner)) OR (door AND name) END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, s) AS place FROM good),
+top AS (SELECT a.p, a.s, a.score, a.brand, a.clash, a.score - b.score AS margin FROM placed a
+        LEFT JOIN placed b ON b.p = a.p AND b.place = 2 WHERE a.place = 1),
+claim AS (SELECT *, -score AS worse, 'd#' || p::VARCHAR AS entry FROM top WHERE margin IS NULL OR margin >= 15),
+folded AS (SELECT s, min(brand) <> max(brand) AS several, bool_or(clash) AS clash, min((worse, entry)) AS best FROM claim GROUP BY 1),
+settled AS (SELECT c.p, CASE WHEN several THEN '{R.DIRECTORY_CONFLICT}' WHEN f.clash THEN '{R.OPERATOR_CLASH}'
+                             WHEN (c.worse, c.entry) = f.best THEN 'accredited' ELSE '{R.LOST_ASSIGNMENT}' END AS outcome
+            FROM claim c JOIN folded f ON f.s = c.s),
+present AS (SELECT p, bool_or(own) AS own FROM seen GROUP BY 1),
+outcomes AS (SELECT e.s_suppkey AS p, CASE WHEN q.p IS NULL THEN '{R.NO_CANDIDATE}' WHEN NOT q.own THEN '{R.OTHER_DISTRICT}'
+                    WHEN t.p IS NULL THEN '{R.NO_EVIDENCE}' WHEN z.p IS NULL THEN '{R.THIN_MARGIN}' ELSE z.outcome END AS outcome
+             FROM supplier e LEFT JOIN present q ON q.p = e.s_suppkey LEFT JOIN top t ON t.p = e.s_suppkey LEFT JOIN settled z ON z.p = e.s_suppkey)
+"""
+
+
+@query(
+    "directory_outcomes",
+    f"""WITH {_DIRECTORY_SQL}
+SELECT 'd' AS directory, outcome, count(*)::BIGINT AS n FROM outcomes GROUP BY 2""",
+)
+def directory_outcomes(spark, sf_dir):
+    found = directories.match_directories(
+        _entries(spark, sf_dir), _directory_sites(spark, sf_dir), ["Primax", "Repsol"]
+    )
+    return directories.directory_summary(found)
+
+
+@query(
+    "directory_evidence",
+    f"""WITH {_DIRECTORY_SQL}
+SELECT 'd#' || p::VARCHAR AS entry_key, s::BIGINT AS site_id, score::BIGINT AS score FROM good""",
+)
+def directory_evidence(spark, sf_dir):
+    """Every confirmed pair of all windows, narrow and wide, with its score."""
+    e = cut_lineage(directories.entry_features(_entries(spark, sf_dir)))
+    s = cut_lineage(directories.site_features(_directory_sites(spark, sf_dir)))
+    far = directories.text_pairs(e, s).join(e, "entry_key").join(s, "site_id")
+    near = directories.window_pairs(e, s).select(*far.columns)
+    fits = (F.col("region") == "") | (F.col("region") == F.col("site_region"))
+    found = directories.evidence(near.unionByName(far).where(fits)).where("confirmed")
+    return found.select("entry_key", "site_id", F.col("evidence_score").cast("long").alias("score"))
+
+
 @query(
     "window_pairs",
     f"""WITH {_WINDOW_SQL}
