@@ -257,3 +257,65 @@ def window_presence(spark, sf_dir):
     entries = cut_lineage(directories.entry_features(_entries(spark, sf_dir)))
     sites = cut_lineage(directories.site_features(_directory_sites(spark, sf_dir)))
     return directories.window_presence(entries, sites)
+
+
+# --- texts whose parts are known by key ----------------------------------------------------------
+
+_WRITTEN_SQL = """
+a AS (SELECT c_custkey AS k, (c_custkey * 7 % 8900 + 100)::VARCHAR AS door, ['JAVIER PRADO', 'TUPAC AMARU', 'UNIVERSITARIA', 'LA MARINA', 'BENAVIDES'][c_custkey % 5 + 1] AS street,
+             c_mktsegment AS seg FROM customer)
+"""
+
+
+def _written(spark, sf_dir):
+    key = F.col("c_custkey")
+    door = (key * 7 % 8900 + 100).cast("string")
+    street, seg = _pick(STREETS, key), F.col("c_mktsegment")
+    letter = F.char(F.lit(65) + key % 20)
+    address = (
+        F.when(key % 5 == 0, F.concat(F.lit("Av. "), street, F.lit(" N° "), door, F.lit(", Urb. "), seg))
+        .when(key % 5 == 1, F.concat(F.lit("CARRETERA CENTRAL KM. "), (key % 90 + 1).cast("string"), F.lit(".5 MZ. A LOTE 3")))
+        .when(key % 5 == 2, F.concat(F.lit("MZ. "), letter, F.lit(" LOTE "), (key % 30 + 1).cast("string"), F.lit(" AA.HH. "), seg))
+        .when(key % 5 == 3, F.concat(F.lit("Jr. 28 de Julio "), door, F.lit(" (frente al parque 300)")))
+        .otherwise(F.concat(F.lit("ESQ. AV. "), street, F.lit(" CON JR. LIMA")))
+    )
+    name = (
+        F.when(key % 3 == 0, F.concat(F.lit("GRIFO PRIMAX "), seg))
+        .when(key % 3 == 1, F.concat(F.lit("grifo "), F.lower(seg), F.lit(" gnv")))
+        .otherwise(F.lit("ESTACION DE SERVICIO PRIMAX"))
+    )
+    return S.table(spark, sf_dir, "customer").select(key.alias("site_id"), address.alias("address"), name.alias("name"))
+
+
+@query(
+    "address_known",
+    f"""WITH {_WRITTEN_SQL}
+SELECT k::BIGINT AS site_id,
+       CASE k % 5 WHEN 0 THEN array_to_string(list_sort(list_filter(string_split(street, ' '), lambda w: w <> 'LA')), ',') WHEN 3 THEN '28JULIO'
+                  WHEN 4 THEN array_to_string(list_sort(list_append(list_filter(string_split(street, ' '), lambda w: w <> 'LA'), 'LIMA')), ',') ELSE '' END AS streets,
+       CASE k % 5 WHEN 1 THEN 'CARRETERA,CENTRAL' ELSE '' END AS generics,
+       CASE WHEN k % 5 IN (0, 2) THEN seg ELSE '' END AS locality,
+       CASE WHEN k % 5 IN (0, 3) THEN door ELSE '' END AS doors,
+       CASE k % 5 WHEN 1 THEN (k % 90 + 1)::VARCHAR || '.5' ELSE '' END AS km,
+       CASE k % 5 WHEN 1 THEN 'A' WHEN 2 THEN chr((65 + k % 20)::INTEGER) ELSE '' END AS blocks,
+       CASE k % 5 WHEN 1 THEN '3' WHEN 2 THEN (k % 30 + 1)::VARCHAR ELSE '' END AS lots FROM a""",
+)
+def address_known(spark, sf_dir):
+    parts = _written(spark, sf_dir).withColumn("p", address_parts(F.col("address")))
+    return parts.select("site_id", *[F.array_join(F.col("p")[name], ",").alias(name) for name in PARTS])
+
+
+@query(
+    "display_known",
+    f"""WITH {_WRITTEN_SQL},
+t AS (SELECT *, CASE k % 5 WHEN 0 THEN 'Av. ' || street || ' ' || door WHEN 4 THEN 'Av. ' || street ELSE '' END AS raw FROM a),
+c AS (SELECT *, array_to_string([CASE WHEN w = '' THEN w ELSE upper(left(w, 1)) || lower(substr(w, 2)) END for w in string_split(raw, ' ')], ' ') AS cased FROM t)
+SELECT k::BIGINT AS site_id, CASE k % 5 WHEN 0 THEN cased WHEN 1 THEN 'Carretera Central Km. ' || (k % 90 + 1)::VARCHAR || '.5'
+       WHEN 2 THEN 'Mz. ' || chr((65 + k % 20)::INTEGER) || ' Lote ' || (k % 30 + 1)::VARCHAR WHEN 3 THEN 'Jr. 28 de Julio ' || door
+       ELSE cased || ' con Jr. Lima' END AS address,
+       CASE k % 3 WHEN 2 THEN NULL ELSE 'Grifo ' || left(seg, 1) || lower(substr(seg, 2)) END AS name FROM c""",
+)
+def display_known(spark, sf_dir):
+    return _written(spark, sf_dir).select(
+        "site_id", addresses.display_address(F.col("address")).alias("address"), addresses.display_name(F.col("name"), F.lit(False)).alias("name")
+    )
