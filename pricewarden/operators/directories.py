@@ -153,7 +153,9 @@ def _half_degrees(metres: Column, lat: Column, lon_axis: bool) -> Column:
     return F.least(F.lit(180.0), half * 1.001 / F.cos(F.radians(F.least(F.abs(lat), F.lit(89.0)))))
 
 
-def _by_grid(entries: DataFrame, sites: DataFrame, divide: int = 1) -> tuple[DataFrame, DataFrame]:
+def _by_grid(
+    entries: DataFrame, sites: DataFrame, divide: int = 1, windows: Sequence[float] = (*GRID_M, COARSE_M)
+) -> tuple[DataFrame, DataFrame]:
     """Entries with the cells their window touches, and sites with their cell, one grid per window size."""
     size = F.greatest("lat_m", "lon_m")
     height = size / geo.METRES_PER_DEGREE * 1.001 / divide
@@ -165,7 +167,7 @@ def _by_grid(entries: DataFrame, sites: DataFrame, divide: int = 1) -> tuple[Dat
         height,
     )
     asked = entries.withColumn("_size", size).withColumn("_cell", F.explode(probe))
-    sizes = F.explode(F.array(*[F.lit(m) for m in (*GRID_M, COARSE_M)])).alias("_size")
+    sizes = F.explode(F.array(*[F.lit(m) for m in windows])).alias("_size")
     placed = sites.select("*", sizes).withColumn(
         "_cell",
         geo.grid_cell(
@@ -182,10 +184,17 @@ def _is_narrow() -> Column:
 
 
 def window_pairs(entries: DataFrame, sites: DataFrame) -> DataFrame:
-    """(entry, site) inside the entry's window, for windows that select by place."""
-    asked, placed = _by_grid(entries.where(_is_narrow()), sites)
-    near = split_join(asked, placed, ["_size", "_cell"], ("entry_key", "site_id"))
-    return near.where(in_window()).drop("_size", "_cell")
+    """(entry, site) inside the entry's window, for windows that select by place.
+
+    Only ids and coordinates meet on the grid; the features come back once a pair is known.
+    """
+    asked, placed = _by_grid(
+        entries.where(_is_narrow()).select("entry_key", "latitude", "longitude", "located", "lat_m", "lon_m"),
+        sites.select("site_id", "site_lat", "site_lon"),
+        windows=GRID_M,
+    )
+    near = split_join(asked, placed, ["_size", "_cell"], ("entry_key", "site_id")).where(in_window())
+    return near.select("entry_key", "site_id").join(entries, "entry_key").join(sites, "site_id")
 
 
 def _cross(a: Column, b: Column, tag: str) -> Column:
@@ -379,21 +388,35 @@ def _open_presence(entries: DataFrame, spots: DataFrame) -> DataFrame:
     banded = [free]
     for axis, other, site_axis in (("latitude", "lon_m", "site_lat"), ("longitude", "lat_m", "site_lon")):
         limit = "lat_m" if axis == "latitude" else "lon_m"
-        # One open axis: a band of the other one. Values are folded before bands are compared.
-        step = COARSE_M / geo.METRES_PER_DEGREE
+        # One open axis: a band of the other one. Sites are folded to bands of a quarter of the limit. A border of the
+        # window cuts a band on one side only, so the window holds a site of the band exactly if it holds an end of it.
         scale = F.lit(1.0) if axis == "latitude" else F.cos(F.radians(F.col("latitude")))
         half = F.col(limit) / geo.METRES_PER_DEGREE / scale * 1.001
-        some = open_.where(f"located AND {other} IS NULL AND {limit} IS NOT NULL").withColumn(
-            "_band",
+        step = lambda size: size / geo.METRES_PER_DEGREE / 4
+        some = open_.where(f"located AND {other} IS NULL AND {limit} IS NOT NULL").select(
+            "entry_key",
+            "region",
+            "latitude",
+            "longitude",
+            limit,
+            F.col(limit).alias("_size"),
             F.explode(
-                F.sequence(F.floor((F.col(axis) - half) / step), F.floor((F.col(axis) + half) / step))
-            ),
+                F.sequence(
+                    F.floor((F.col(axis) - half) / step(F.col(limit))), F.floor((F.col(axis) + half) / step(F.col(limit)))
+                )
+            ).alias("_band"),
+        )
+        sizes = F.explode(F.array(*[F.lit(m) for m in (*GRID_M, COARSE_M)])).alias("_size")
+        values = (
+            spots.select("site_region", site_axis, sizes)
+            .withColumn("_band", F.floor(F.col(site_axis) / step(F.col("_size"))))
+            .groupBy("_size", "_band", "site_region")
+            .agg(F.min(site_axis).alias("_low"), F.max(site_axis).alias("_high"))
         )
-        values = spots.select("site_region", site_axis).distinct().withColumn("_band", F.floor(F.col(site_axis) / step))
-        met = split_join(some, values, ["_band"], ("entry_key", site_axis))
-        near = F.abs(F.col(axis) - F.col(site_axis)) * geo.METRES_PER_DEGREE * scale <= F.col(limit)
+        met = some.join(values, ["_size", "_band"])
+        inside = lambda end: F.abs(F.col(axis) - F.col(end)) * geo.METRES_PER_DEGREE * scale <= F.col(limit)  # noqa: E731, B023
         banded.append(
-            met.where(near).select(
+            met.where(inside("_low") | inside("_high")).select(
                 "entry_key", ((F.col("region") == "") | (F.col("region") == F.col("site_region"))).alias("own")
             )
         )
