@@ -262,6 +262,28 @@ def reference_build(spark, sf_dir):
     return built.select("code", "registration", "district")
 
 
+@query(
+    "reference_points",
+    """SELECT CASE WHEN c_custkey % 3 = 0 THEN '35' ELSE '36' END AS layer, c_custkey::BIGINT AS registration,
+       CASE WHEN c_custkey % 11 <> 0 THEN round(c_acctbal, 2) END::DOUBLE AS longitude, c_custkey::DOUBLE AS latitude FROM customer
+WHERE c_custkey % 3 <> 2 AND c_nationkey < 15""",
+)
+def reference_points(spark, sf_dir):
+    """Points as texts: a third lies in another layer, some nations elsewhere, every eleventh coordinate is no number."""
+    key = F.col("c_custkey")
+    rows = S.table(spark, sf_dir, "customer").select(
+        F.element_at(F.array(F.lit("35"), F.lit("36"), F.lit("99")), (key % 3 + 1).cast("int")).alias("layer"),
+        key.alias("registration"),
+        F.when(F.col("c_nationkey") < 15, F.lit("D")).otherwise(F.lit("X")).alias("department"),
+        F.lit("P").alias("province"),
+        F.col("c_nationkey").alias("district"),
+        F.when(key % 11 != 0, F.round("c_acctbal", 2).cast("string")).otherwise(F.lit("s/n")).alias("longitude"),
+        key.cast("string").alias("latitude"),
+    )
+    built = reference.build_points(rows, ["35", "36"], "D", "P")
+    return built.select("layer", "registration", "longitude", "latitude")
+
+
 @query(
     "reference_coverage",
     """SELECT DISTINCT n_nationkey::INTEGER AS nationkey FROM nation

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_LAYER = "35"
 
@@ -90,6 +91,18 @@ FIRST_RELEASE_BASELINES = (
     ("gnv", "2026-09-24T04:59:31Z", 238, 36, 212, 36, 89.076, 244, 36),
 )
 
+BASELINE_SCHEMA = (
+    "product string, source_max_reported_at string, fresh_offers long, fresh_districts long, contract_ready_offers long, "
+    "contract_ready_districts long, coverage_percent double, published_offers long, published_districts long"
+)
+
+
+def baselines_frame(spark: SparkSession) -> DataFrame:
+    """One row per product whose first release is measured against an audited state."""
+    rows = spark.createDataFrame(list(FIRST_RELEASE_BASELINES), BASELINE_SCHEMA)
+    return rows.withColumn("source_max_reported_at", F.to_timestamp("source_max_reported_at"))
+
+
 RULE_SCHEMA = (
     "group string, product string, canonical string, unit string, client_type string, activity string, "
     "code string, layer string, department string, province string, id_prefix string"

@@ -45,7 +45,7 @@ def start(rows: DataFrame, search: Search) -> Search:
 
 
 def run(rows: DataFrame, search: Search) -> Results:
-    """One page of ordered rows plus the flags the page shows, in two passes over the site rows.
+    """One page of ordered rows plus the flags the page shows, in two passes over the site rows, computed once.
 
     The first folds everything the flags need into one row; the second is a top-k, stored once. Only that row
     and the count of priced rows on the page reach the driver.
@@ -59,6 +59,7 @@ def run(rows: DataFrame, search: Search) -> Results:
     else:
         located = rows.withColumn("distance_km", F.lit(None).cast("double"))
         member = F.coalesce(F.col("district") == F.lit(search.district), F.lit(False))
+    located = cut_lineage(located)
     facts = located.agg(
         F.coalesce(F.bool_or("has_price"), F.lit(False)).alias("has_prices"),
         F.count_if(member).alias("total"),

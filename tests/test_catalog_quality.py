@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from pricewarden.config import baselines_frame
 from pricewarden.functions import addresses as A
 from pricewarden.functions.ids import brand_claim_sha256, name_claim_sha256, site_id
 from pricewarden.functions.stats import wilson_lower_bound
@@ -328,6 +329,14 @@ def test_release_guards(spark):
     assert tuple(row) == (None, "source_did_not_advance", None, "source_went_back")
 
 
+def test_first_releases_start_from_the_audited_baselines(spark):
+    baselines = baselines_frame(spark)
+    same = baselines.withColumns({"latest_price_conflicts": F.lit(0), "latest_territory_conflicts": F.lit(0)})
+    assert {r["product"]: r["reasons"] for r in quality.first_release(same, baselines).collect()} == {"diesel": [], "glp": [], "gnv": []}
+    fewer = same.withColumn("fresh_offers", F.floor(F.col("fresh_offers") * 0.79)).withColumn("published_districts", F.lit(1).cast("long"))
+    assert {tuple(r["reasons"]) for r in quality.first_release(fewer, baselines).collect()} == {("offer_drop", "district_loss")}
+
+
 def test_older_formats_need_less():
     assert "live" not in quality.offer_rules("x", quality.flags_for("2.6.0"))
     assert set(quality.offer_rules("x", quality.flags_for("2.0.0"))) == {"id", "price", "reported_at", "district", "coordinates"}
