@@ -34,7 +34,7 @@ HEX_BYTES = np.zeros(256, bool)
 HEX_BYTES[np.frombuffer(b"0123456789abcdef", np.uint8)] = True
 
 MIN_RUN = 20  # characters a run must have to be judged
-MIN_RATIO = 0.8  # mean log-likelihood ratio a character, in nats
+MIN_RATIO = 1.7  # mean log-likelihood ratio a character, in nats
 SMOOTHING = 0.5
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
