@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import blocks_for, stored, texts
-from pricewarden.llm.pieces import sliced
+from pricewarden.llm.pieces import pack_text, sliced, unpack
 from pricewarden.llm.words import HASHER, LOWER, SPACE, joined, words
 
 ORDER = 5  # bytes of context
@@ -20,6 +20,8 @@ SYMBOLS = 256
 BLANK, END = 0x20, 0x0A  # after a word; after a text, and before its first byte as context
 BLOCK_BYTES = 48 << 20  # text of the documents that look up the model together
 WORD, GRAM, TEXT = 0, 1, 2
+SLICE_BYTES = 400 << 10  # compressed text read at a time, about a megabyte of it
+FOLD_SLICES = 16  # slices whose counts are held apart
 PACK_ENTRIES = 1 << 20  # looked-up values a task holds before it sends them
 ROWS_OUT = 100_000  # rows of an Arrow batch
 END_KEY = 10  # stands for the end of a text among the word hashes
@@ -101,15 +103,18 @@ def _postings(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Reco
         if current is not None and block != current:
             yield from rows(current)
         current = block
-        for part in sliced(rest, "text"):
+        for part in sliced(rest, "packed", SLICE_BYTES):
             train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            hashes, owner, grams, text_of = _stream(part.column("text"), order)
+            hashes, owner, grams, text_of = _stream(unpack(part.column("packed")), order)
             hashes = np.concatenate([hashes, np.full(part.num_rows, END_KEY, np.int64)])
             owner = np.concatenate([owner, np.arange(part.num_rows)])
             for kind, keys, of in ((WORD, hashes, owner), (GRAM, grams, text_of)):
                 found, counts = _folded([keys], [train[of].astype(np.int64)])
                 kept[kind][0].append(found)
                 kept[kind][1].append(counts)
+                if len(kept[kind][0]) >= FOLD_SLICES:
+                    found, counts = _folded(*kept[kind])
+                    kept[kind] = ([found], [counts])
     if current is not None:
         yield from rows(current)
 
@@ -215,9 +220,9 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int, total: int, distinct:
                 by = np.argsort(keys, kind="stable")
                 tables[kind] = keys[by], np.concatenate([v for _, v in held] or [np.zeros(0)])[by]
             packs = {}
-        for part in sliced(docs, "text"):
+        for part in sliced(docs, "packed", SLICE_BYTES):
             n = part.num_rows
-            hashes, owner, grams, text_of = _stream(part.column("text"), order)
+            hashes, owner, grams, text_of = _stream(unpack(part.column("packed")), order)
             hashes = np.concatenate([hashes, np.full(n, END_KEY, np.int64)])
             owner = np.concatenate([owner, np.arange(n)])
             words_at, word_of = np.unique(hashes, return_inverse=True)
@@ -252,7 +257,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     source = texts(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     blocks = blocks_for(source, BLOCK_BYTES)
-    blocked = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    blocked = placed.mapInArrow(pack_text, "doc_id long, packed binary, held_out boolean, block int")
     postings = (
         blocked.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _postings(it, order), "block int, kind int, key long, n long")
     )
