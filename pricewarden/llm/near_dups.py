@@ -203,7 +203,7 @@ def near_duplicate_classes(
     3. Links make components. Buckets that hold members of two or more components are compared in full, in blocks of bounded size inside tasks; only pairs that are estimated near and that no earlier band has seen come out, and are verified. No pair
        of a bucket is left out, and pairs already in one component cost nothing.
 
-    Null or empty text, or one without words: no shingles, a class of its own per doc_id. Null doc_id: a class of null. Repeated rows: each
+    Null or empty texts, and others without a word, are equal as words go: they are one class. Null doc_id: a class of null. Repeated rows: each
     has its row in the same class. Different texts of one doc_id: one document, linked by either text. Further columns are not read.
     """
     source = texts(docs, id_col, text_col)
@@ -251,9 +251,11 @@ def near_duplicate_classes(
     classes = connected_components(links.unionByName(more))
 
     of_text = reps.join(classes, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
+    wordless = signed.where(F.col("signature").isNull()).agg(F.min("doc_id")).first()[0]
     keyed = signed.select("doc_id", "h1", "h2", F.col("signature").isNotNull().alias("full"))
+    found = F.when(F.col("full"), F.col("class_id")).otherwise(F.lit(wordless).cast("long"))
     return keyed.join(stored(of_text, "text-classes"), ["h1", "h2"], "left").select(
-        "doc_id", F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
+        "doc_id", F.when(F.col("doc_id").isNotNull(), found).alias("class_id")
     )
 
 

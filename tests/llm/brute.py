@@ -90,7 +90,8 @@ def near_classes(texts: dict, threshold: float = 0.8) -> dict:
         if n >= 0.4 * max(len(sets[x]), len(sets[y])) and probability_jaccard(sets[x], sets[y]) >= threshold - 1e-12:
             a, b = find(x), find(y)
             parent[max(a, b)] = min(a, b)
-    return {d: find(d) for d in texts}
+    wordless = [d for d, s in sets.items() if not s]
+    return {d: min(wordless) if d in wordless else find(d) for d in texts}
 
 
 def word_scores(texts: dict, tokens) -> dict:
