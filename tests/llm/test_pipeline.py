@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pyarrow.parquet as pq
-import pytest
 
 import corpus_pipeline
 from pricewarden.llm import quality_rules
@@ -16,24 +15,21 @@ from .test_operators import check_packing
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def rows(given):
-    table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pydict()
+def rows_of(sf: str) -> list[tuple]:
+    table = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pydict()
     return list(zip(table["doc_id"], table["text"], table["lang"], strict=True))
 
 
-@pytest.fixture(scope="module")
-def verdicts(rows):
-    return brute.quality_verdicts(rows, quality_rules)
+def test_quality_verdicts(spark, given):
+    expected = brute.quality_verdicts(rows_of(SF), quality_rules)
+    assert {r.doc_id: r.kept for r in QUERIES["op3_quality_rules"](spark, SF).collect()} == expected
 
 
-def test_quality_verdicts(spark, rows, verdicts):
-    assert {r.doc_id: r.kept for r in QUERIES["op3_quality_rules"](spark, SF).collect()} == verdicts
-
-
-def test_run_equals_plain_stages(spark, rows, verdicts):
+def test_run_equals_plain_stages(spark, given):
     from tokenizers import Tokenizer
 
+    rows = rows_of(given)
+    verdicts = brute.quality_verdicts(rows, quality_rules)
     kept = [(d, t) for d, t, _ in rows if verdicts[d]]
     texts = {d: t for d, _, _, t in brute.dedup_lines(kept)}
     classes = brute.near_classes(texts)
@@ -49,7 +45,7 @@ def test_run_equals_plain_stages(spark, rows, verdicts):
             at = max(at, end)
         masked[d] = "".join([*out, text[at:]])
     known = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    packed = corpus_pipeline.run(spark, SF).toPandas()
+    packed = corpus_pipeline.run(spark, given).toPandas()
     assert set(packed.doc_id) == set(masked)
     check_packing(packed, {d: known.encode(t, add_special_tokens=False).ids + [2] for d, t in masked.items()})
 
