@@ -14,6 +14,7 @@ from pricewarden import reasons as R
 from pricewarden.functions import addresses
 from pricewarden.functions.address_parts import PARTS, address_parts
 from pricewarden.operators import directories
+from pricewarden.operators.history import local_date
 from pricewarden.session import checkpoint_root, cut_lineage
 from pricewarden.streaming import daily, state
 
@@ -92,6 +93,41 @@ def streaming_daily(spark, sf_dir):
     return spark.read.parquet(f"{root}/days")
 
 
+_LATE_SQL = """
+e AS (SELECT event_type AS product, CAST(ts - INTERVAL 5 HOURS AS DATE) AS date, user_id AS site_id, ts,
+             CASE WHEN user_id % 30 = 7 THEN value ELSE user_id % 50 + 1 END AS price,
+             event_id % 10 = 3 OR (event_type = 'error' AND CAST(ts - INTERVAL 5 HOURS AS DATE) = DATE '2024-01-10') AS second FROM events),
+edge AS (SELECT CAST(max(ts) FILTER (NOT second) - INTERVAL 11 HOURS AS DATE) AS first, CAST(max(ts) - INTERVAL 11 HOURS AS DATE) AS last FROM e),
+r AS (SELECT product, date, site_id, min(price) AS lowest, max(price) AS highest FROM e, edge WHERE date < last GROUP BY 1, 2, 3),
+s AS (SELECT product, date, site_id, min(price) AS lowest, max(price) AS highest FROM e, edge
+      WHERE date < last AND (NOT second OR date >= first) GROUP BY 1, 2, 3)
+"""
+
+
+@query(
+    "streaming_late",
+    f"""WITH {_LATE_SQL}
+SELECT r.product, r.date, r.site_id::BIGINT AS site_id, r.lowest::DOUBLE AS lowest, r.highest::DOUBLE AS highest,
+       s.lowest::DOUBLE AS stored_lowest, s.highest::DOUBLE AS stored_highest
+FROM r LEFT JOIN s ON s.product = r.product AND s.date = r.date AND s.site_id = r.site_id
+WHERE s.lowest IS DISTINCT FROM r.lowest OR s.highest IS DISTINCT FROM r.highest""",
+)
+def streaming_late(spark, sf_dir):
+    """What the stream of daily prices missed of a tenth of the rows, and of one product on one day, that came in a second delivery."""
+    price = F.when(F.col("user_id") % 30 == 7, F.col("value")).otherwise((F.col("user_id") % 50 + 1).cast("double"))
+    whole_day = (F.col("event_type") == "error") & (local_date(F.col("ts")) == F.lit("2024-01-10").cast("date"))
+    events = S.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("product"), F.col("user_id").alias("site_id"), price.alias("price"), F.col("ts").alias("observed_at"),
+        ((F.col("event_id") % 10 == 3) | whole_day).alias("second"),
+    )
+    root = f"{checkpoint_root(spark)}/late-{uuid.uuid4().hex}"
+    for delivery in (~F.col("second"), F.col("second")):
+        events.where(delivery).drop("second").write.mode("append").parquet(f"{root}/received")
+        received = spark.read.parquet(f"{root}/received")
+        daily.store_sites(spark.readStream.schema(received.schema).parquet(f"{root}/received"), root).awaitTermination()
+    return daily.late_rows(spark.read.parquet(f"{root}/received"), spark.read.parquet(f"{root}/sites"))
+
+
 # --- text features ------------------------------------------------------------------------------
 
 

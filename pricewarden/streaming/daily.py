@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from pricewarden.operators.history import local_date
 
@@ -11,6 +12,35 @@ from pricewarden.operators.history import local_date
 LOCAL_DAY_START = "5 hours"
 
 
+def _sites(prices: DataFrame, delay: str) -> DataFrame:
+    day = F.window("observed_at", "1 day", startTime=LOCAL_DAY_START)
+    return (
+        prices.withWatermark("observed_at", delay)
+        .groupBy(day.alias("day"), "product", "site_id")
+        .agg(F.min("price").alias("price"), F.max("price").alias("_top"))
+    )
+
+
+def site_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
+    """Smallest and largest price of each site per product and local day, once the day is closed: what `late_rows` compares."""
+    return _sites(prices, delay).select(
+        "product", local_date(F.col("day.start")).alias("date"), "site_id", F.col("price").alias("lowest"), F.col("_top").alias("highest")
+    )
+
+
+def store_sites(prices: DataFrame, root: str, delay: str = "6 hours") -> StreamingQuery:
+    """Append `site_windows` below `root` for what is available, then stop; call again to go on where it stopped."""
+    return (
+        site_windows(prices, delay)
+        .writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{root}/sites")
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
     """Mean of the sites' prices per product and local day: one vote per site, as the batch measure has it.
 
@@ -18,16 +48,10 @@ def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
 
     Equal repeats of a site count once. A site that names two prices on one day makes its product invalid: the mean is
     null. Sites are folded to their smallest and largest price first, so state holds one row per site and day. Rows later than
-    `delay` after a day's end are dropped by the watermark; `late_rows` of the stored days finds them for a rebuild.
+    `delay` after a day's end are dropped by the watermark; `late_rows` of the stored `site_windows` finds them for a rebuild.
     """
-    day = F.window("observed_at", "1 day", startTime=LOCAL_DAY_START)
-    sites = (
-        prices.withWatermark("observed_at", delay)
-        .groupBy(day.alias("day"), "product", "site_id")
-        .agg(F.min("price").alias("price"), F.max("price").alias("_top"))
-    )
     return (
-        sites.groupBy("day", "product")
+        _sites(prices, delay).groupBy("day", "product")
         .agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") != F.col("_top")).alias("contradictions"))
         .select(
             "product",
@@ -40,11 +64,30 @@ def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
     )
 
 
-def late_rows(prices: DataFrame, closed: DataFrame) -> DataFrame:
-    """Statements of sites that a closed day doesn't count yet: sites it lacks make its stored number of sites too small.
+def late_rows(prices: DataFrame, closed: DataFrame, delay: str = "6 hours") -> DataFrame:
+    """Sites of closed days whose prices, as received by now, differ from what was stored when the day closed.
+
+    prices  product, site_id, price, observed_at, everything the stream has received        closed  what `site_windows` emitted
 
-    prices  product, site_id, price, observed_at, everything received        closed  what `daily_windows` emitted
+    One row per product, date and site, with the smallest and largest price received and the stored ones, null where the site
+    wasn't counted at all; days of which every row came late are among them. A late row between the stored prices or equal to
+    one changes no day and isn't listed. Days still open at the newest instant less `delay` have nothing late.
     """
-    day = local_date(F.col("observed_at")).alias("date")
-    now = prices.groupBy("product", day).agg(F.count_distinct("site_id").alias("_now"))
-    return now.join(closed.select("product", "date", "n"), ["product", "date"]).where("_now > n").select("product", "date", F.col("_now").alias("sites"), "n")
+    until = prices.agg(local_date(F.max("observed_at") - F.expr(f"interval {delay}")).alias("_open"))
+    by = ["product", "date", "site_id"]
+    now = (
+        prices.where(F.col("observed_at").isNotNull())
+        .groupBy("product", local_date(F.col("observed_at")).alias("date"), "site_id")
+        .agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
+        .crossJoin(until)
+        .where("date < _open")
+        .alias("now")
+    )
+    then = closed.select(*by, F.col("lowest").alias("stored_lowest"), F.col("highest").alias("stored_highest"), F.lit(True).alias("_held")).alias("then")
+    same = [F.col(f"now.{c}").eqNullSafe(F.col(f"then.{c}")) for c in by]
+    unchanged = F.col("_held") & F.col("lowest").eqNullSafe(F.col("stored_lowest")) & F.col("highest").eqNullSafe(F.col("stored_highest"))
+    return (
+        now.join(then, same[0] & same[1] & same[2], "left")
+        .where(~F.coalesce(unchanged, F.lit(False)))
+        .select(*[f"now.{c}" for c in by], "lowest", "highest", "stored_lowest", "stored_highest")
+    )
