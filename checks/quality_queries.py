@@ -93,6 +93,11 @@ def _metrics(spark, sf_dir, late: bool):
             F.round(n * 1.1).alias("fresh_offers"),
             F.round(F.count_if(F.col("value") > 15) / n * 100, 3).alias("coverage_percent"),
         )
+    return _measures(e, by)
+
+
+def _measures(e, by):
+    n = F.count(F.lit(1))
     ready, district = F.col("value") > 20, F.col("user_id") % 7
     return e.groupBy(*by).agg(
         n.alias("fresh_offers"),
@@ -106,6 +111,17 @@ def _metrics(spark, sf_dir, late: bool):
     )
 
 
+def _broken_metrics(metrics, by):
+    told = metrics.withColumns(
+        {
+            "fresh_offers": F.col("fresh_offers") - 30 * (F.col("grp") % 2),
+            "coverage_percent": F.col("coverage_percent") + 50 * F.floor(F.col("grp") / 4),
+        }
+    )
+    broken = quality.violations(told.withColumn("_key", F.struct(*by)), quality.metrics_rules(), "_key")
+    return broken.select(*[F.col(f"_key.{c}").cast("long").alias(c) if c == "grp" else F.col(f"_key.{c}") for c in by], "rule")
+
+
 @query(
     "metrics_contract",
     f"""WITH {_METRICS_SQL}
@@ -115,14 +131,24 @@ UNION ALL SELECT product, grp, 'coverage' FROM m WHERE NOT (coverage_percent + 5
 )
 def metrics_contract(spark, sf_dir):
     """Metrics that some groups report too low or too high, under the real rules."""
-    told = _metrics(spark, sf_dir, True).withColumns(
-        {
-            "fresh_offers": F.col("fresh_offers") - 30 * (F.col("grp") % 2),
-            "coverage_percent": F.col("coverage_percent") + 50 * F.floor(F.col("grp") / 4),
-        }
-    )
-    broken = quality.violations(told.withColumn("_key", F.struct("product", "grp")), quality.metrics_rules(), "_key")
-    return broken.select("_key.product", F.col("_key.grp").cast("long").alias("grp"), "rule")
+    return _broken_metrics(_metrics(spark, sf_dir, True), ["product", "grp"])
+
+
+@query(
+    "metrics_by_half",
+    """WITH h AS (SELECT event_type AS product, user_id % 5 AS grp,
+              CAST(date_trunc('month', ts) AS DATE) + CASE WHEN day(ts) >= 15 THEN 14 ELSE 0 END AS half, count(*) AS fresh,
+              count(*) FILTER (value > 20) AS ready, round(count(*) FILTER (value > 20) / count(*)::DOUBLE * 100, 3) AS coverage
+       FROM events GROUP BY 1, 2, 3)
+SELECT product, grp::BIGINT AS grp, half, 'ready_offers' AS rule FROM h WHERE NOT ready >= 1
+UNION ALL SELECT product, grp, half, 'fresh_offers' FROM h WHERE NOT fresh - 30 * (grp % 2) >= ready
+UNION ALL SELECT product, grp, half, 'coverage' FROM h WHERE NOT (coverage + 50 * (grp // 4) > 0 AND coverage + 50 * (grp // 4) <= 100)""",
+)
+def metrics_by_half(spark, sf_dir):
+    """The rules of `metrics_contract` over all events: every group of a product in each half of a month, named by its first day."""
+    half = F.make_date(F.year("ts"), F.month("ts"), F.when(F.dayofmonth("ts") >= 15, F.lit(15)).otherwise(F.lit(1)))
+    by = [F.col("event_type").alias("product"), (F.col("user_id") % 5).alias("grp"), half.alias("half")]
+    return _broken_metrics(_measures(S.table(spark, sf_dir, "events"), by), ["product", "grp", "half"])
 
 
 @query(
