@@ -12,43 +12,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import stored, texts
-from pricewarden.llm.pieces import LibraryMemo, byte_level_pieces, per_worker, sliced, special_strings
+from pricewarden.llm.numbering import FlatMemo, byte_level_spans
+from pricewarden.llm.pieces import LibraryMemo, per_worker, sliced, special_strings
+from pricewarden.llm.words import joined
 
 CAPACITY = 1024
-MAX_DOCS = 256  # documents in a sequence
+MAX_DOCS = 1024  # documents in a sequence: as many as one-token pieces fit, so the limit never costs a sequence
 WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and attention cost, each as a share of its capacity
 RANK_ROWS = 2_000  # rows ranked in one group
-BROADCAST_SEGMENTS = 200_000  # placement rows (48 bytes each) up to which the table is sent to every task
 
 
-class _Ids(LibraryMemo):
-    """The ids of each piece, as little-endian unsigned 32-bit integers."""
+class _Ids(FlatMemo):
+    """The ids of each piece by the tokenizers library."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.library = LibraryMemo(path)
 
     def compute(self, pieces):
-        return [np.asarray(encoding.ids, "<u4").tobytes() for encoding in self.encoded(pieces)]
+        return [(encoding.ids, True) for encoding in self.library.encoded([p.decode() for p in pieces])]
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     memo = per_worker(("ids", path), lambda: _Ids(path))
-    specials = special_strings(memo.tokenizer)
-    end = np.asarray([end_id], "<u4").tobytes()
+    specials = special_strings(memo.library.tokenizer)
     for batch in batches:
         for part in sliced(batch, "text"):
-            found = [byte_level_pieces(text, specials) for text in part.column("text").to_pylist()]
-            ids_of = memo.of({p for pieces in found for p in pieces})
-            out: list[tuple] = []
-            for doc_id, pieces in zip(part.column("doc_id").to_pylist(), found, strict=True):
-                ids = b"".join(map(ids_of.__getitem__, pieces)) + end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                for k, begin in enumerate([0, *range(first, n, capacity)]):
-                    stop = first if k == 0 else begin + capacity
-                    own = ids[4 * begin : 4 * stop]
-                    out.append((doc_id, k, begin, stop - begin, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else None))
-            columns = list(zip(*out, strict=True))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=False)], names)
+            data, starts = joined(part.column("text"))
+            begins, ends, owner = byte_level_spans(data, starts, specials)
+            found, counts, _ = memo.encode(data, begins, ends)
+            n = np.bincount(owner, counts, part.num_rows).astype(np.int64) + 1
+            stops = np.cumsum(n)
+            ids = np.full(int(n.sum()), end_id, "<u4")
+            own = np.ones(len(ids), bool)
+            own[stops - 1] = False
+            ids[own] = found
+            first = (n - 1) % capacity + 1
+            many = 1 + (n - first) // capacity
+            doc = np.repeat(np.arange(part.num_rows), many)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[doc], capacity)
+            at = ((stops - n)[doc] + start).tolist()
+            raw = memoryview(ids).cast("B")
+            sums = [zlib.crc32(raw[4 * x : 4 * (x + y)]) for x, y in zip(at, length.tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:  # pieces follow each other as their ids do
+                offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def token_pieces(
@@ -162,8 +176,6 @@ def pack_pieces(
         schema=pa.schema([(n, pa.int64()) for n in ("_length", "_first", "_count", "_bin", "_each", "_offset")]),
     )
     segments = spark.createDataFrame(table)
-    if len(placed) <= BROADCAST_SEGMENTS:
-        segments = F.broadcast(segments)
     here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count"))
     step = F.col("_rank") - F.col("_first")
     return ranked.join(segments, here).select(
