@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewarden.llm.alignment import align_tokenizers
 from pricewarden.llm.bpe import encode_decode
 from pricewarden.llm.common import documents
 from pricewarden.llm.divergence import source_divergence
@@ -157,3 +158,8 @@ ranked AS (
   FROM (SELECT * FROM all_pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+
+@query
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
