@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricewarden.llm.bpe import Vocabulary
 from pricewarden.llm.common import stored, texts
-from pricewarden.llm.numbering import FlatMemo, byte_level_spans, positions
-from pricewarden.llm.pieces import LibraryMemo, per_worker, sliced
+from pricewarden.llm.numbering import FlatMemo, flattened, id_bytes, positions, same_bytes
+from pricewarden.llm.pieces import per_worker, sliced
+from pricewarden.llm.text_ids import TextIds
 from pricewarden.llm.words import joined
 
 BLOCK_BYTES = 16 << 20  # text of the documents that look up pair counts together
@@ -34,23 +34,6 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 RESULT_NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
-class _ByteIds(FlatMemo):
-    """Ids of a byte-level vocabulary, special strings read as plain text, and the bytes each id stands for."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.library = LibraryMemo(path)
-        self.library.tokenizer.encode_special_tokens = True
-        known = Vocabulary(path).bytes
-        self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
-        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
-
-    def compute(self, pieces):
-        known = self.bytes
-        found = (e.ids for e in self.library.encoded([p.decode() for p in pieces]))
-        return [(ids, b"".join(map(known.__getitem__, ids)) == p) for p, ids in zip(pieces, found, strict=True)]
-
-
 class _PieceIds(FlatMemo):
     """Ids of a sentence-piece model, which puts a blank before every text itself; no piece goes on after a blank."""
 
@@ -63,15 +46,15 @@ class _PieceIds(FlatMemo):
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of this model reaches over a blank, so texts cannot be cut at blanks")
         byte = re.compile(r"<0x([0-9A-F]{2})>")
-        self.bytes = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        known = [bytes([int(m[1], 16)]) if (m := byte.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
+        self.table, self.begin, self.sizes = id_bytes(known)
         self.blank = [self.model.piece_to_id("▁")]
 
     def compute(self, pieces):
-        known = self.bytes
         # The model leaves an empty text empty, so the one blank that ends a text is told by itself.
-        found = [ids or self.blank for ids in self.model.encode([p[1:].decode() for p in pieces], num_threads=1)]
-        return [(ids, b"".join(map(known.__getitem__, ids)) == p) for p, ids in zip(pieces, found, strict=True)]
+        ids, counts = flattened(ids or self.blank for ids in self.model.encode([p[1:].decode() for p in pieces], num_threads=1))
+        start = np.cumsum(counts) - counts
+        return ids, start, counts, same_bytes(pieces, ids, start, counts, self.table, self.begin, self.sizes)
 
 
 def _blank_spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,17 +121,22 @@ def _spelled(ids: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class _Aligned:
     """The tokens of a slice of texts under both vocabularies, and their groups."""
 
-    def __init__(self, column: pa.Array, a: _ByteIds, b: _PieceIds):
+    def __init__(self, column: pa.Array, a: TextIds, b: _PieceIds):
         n = len(column)
-        data, starts = joined(pa.array([" " + t if t else "" for t in column.to_pylist()], pa.string()))
+        spaced = [" " + t if t else "" for t in column.to_pylist()]
+        data, starts = joined(pa.array(spaced, pa.string()))
         empty = np.diff(starts) == 1
-        sides = []
-        for memo, spans in ((a, byte_level_spans), (b, _blank_spans)):
-            begins, ends, owner = spans(data, starts)
-            whole = ends > begins
-            begins, ends, owner = begins[whole], ends[whole], owner[whole]
-            ids, counts, good = memo.encode(data, begins, ends)
-            sides.append((ids.astype(np.int64), np.repeat(owner, counts), np.bincount(owner, ~good, n) > 0, memo.sizes))
+        ids, counts = a.of(spaced)
+        start = np.cumsum(counts) - counts
+        raw = data.tobytes()
+        whole = [raw[x : y - 1] for x, y in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        good = same_bytes(whole, ids, start, counts, a.table, a.begin, a.sizes)
+        sides = [(ids.astype(np.int64), np.repeat(np.arange(n), counts), ~good, a.sizes)]
+        begins, ends, owner = _blank_spans(data, starts)
+        some = ends > begins
+        begins, ends, owner = begins[some], ends[some], owner[some]
+        ids, counts, good = b.encode(data, begins, ends)
+        sides.append((ids.astype(np.int64), np.repeat(owner, counts), np.bincount(owner, ~good, n) > 0, b.sizes))
         odd = empty | sides[0][2] | sides[1][2]
         self.ids, self.owner, stops = [], [], []
         for ids, owner, _, sizes in sides:
@@ -227,7 +215,7 @@ def _folded(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np
 
 def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
     """A row for each document and, after the documents of a block, one for each pair they hold."""
-    a, b = per_worker(("align-a", path_a), lambda: _ByteIds(path_a)), per_worker(("align-b", path_b), lambda: _PieceIds(path_b))
+    a, b = per_worker(("align-a", path_a), lambda: TextIds(path_a, plain_specials=True)), per_worker(("align-b", path_b), lambda: _PieceIds(path_b))
     context, press = TaskContext.get(), zstandard.ZstdCompressor(level=1).compress
     block = (context.partitionId() if context else 0) << 24
     names = [c.split()[0] for c in FIRST.split(", ")]

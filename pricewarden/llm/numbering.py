@@ -1,22 +1,18 @@
-"""Pieces of whole slices of text: cut by byte classes, numbered exactly, and their ids gathered from one flat buffer."""
+"""Ranges of a buffer numbered exactly by their content, and ids gathered from flat buffers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
-from pricewarden.llm.pieces import byte_level_pieces
 from pricewarden.llm.words import HASHER
 
 PART_BYTES = 4 << 20  # bytes numbered or compared at a time, so that a long text takes no more room than a short one
 MEMO_PIECES = 400_000  # distinct pieces a worker remembers
 MEMO_IDS = 4_000_000  # ids it remembers for them
 
-ASCII_WHITE = np.zeros(256, bool)
-ASCII_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-
-
 def positions(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places begin, begin + 1, ... of all ranges, one after the other."""
     before = np.cumsum(sizes) - sizes
@@ -40,7 +36,8 @@ def numbered(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     """
     if not len(begins):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, which = np.unique(HASHER.ranges(data, begins, ends), return_index=True, return_inverse=True)
+    hashes = [HASHER.ranges(data[begins[a] : ends[b - 1]], begins[a:b] - begins[a], ends[a:b] - begins[a]) for a, b in parts(begins, ends)]
+    _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
     sizes, model = ends - begins, begins[first][which]
     same = bool((sizes == sizes[first][which]).all())
     for a, b in parts(begins, ends, PART_BYTES // 4) if same else ():
@@ -57,71 +54,17 @@ def numbered(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np
     return np.array(first, np.int64), which
 
 
-def _white(data: np.ndarray) -> np.ndarray:
-    """Bytes of white space as Unicode has it, by their UTF-8 forms."""
-    white = ASCII_WHITE[data]
-    lead = np.flatnonzero(data >= 0xC2)
-    lead = lead[np.isin(data[lead], (0xC2, 0xE1, 0xE2, 0xE3))]
-    if len(lead):
-        at = lambda k: data[np.minimum(lead + k, len(data) - 1)]
-        a, b, c = at(0), at(1), at(2)
-        two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
-        three = (a == 0xE1) & (b == 0x9A) & (c == 0x80)
-        three |= (a == 0xE2) & (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
-        three |= (a == 0xE2) & (b == 0x81) & (c == 0x9F)
-        three |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
-        for k in range(3):
-            white[lead[two | three if k < 2 else three] + k] = True
-    return white
-
-
-def byte_level_spans(data: np.ndarray, starts: np.ndarray, specials: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begins, ends and text of the pieces of a buffer that `joined` made, in which no token of a byte-level vocabulary crosses an end.
-
-    A piece is a word with the one blank before it, or a run of white space without that blank; the last character of a run is a
-    piece of its own before a word. Texts that hold a special string are cut there first.
-    """
-    n = len(starts) - 1
-    if not len(data):
-        return (np.zeros(0, np.int64),) * 3
-    stop = np.zeros(len(data), bool)
-    stop[starts[1:] - 1] = True
-    white = _white(data) & ~stop
-    after = np.concatenate([[True], stop[:-1]])  # first byte of a text
-    before_white = np.concatenate([[False], white[:-1]])
-    start = (data & 0xC0) != 0x80
-    begin = ~stop & start & (after | (white & ~before_white))
-    word = np.flatnonzero(~stop & start & ~white & before_white & ~after)
-    blank = data[word - 1] == 0x20
-    begin[word[~blank]] = True
-    last = word - 1
-    for _ in range(3):  # to the first byte of the last white character
-        last = np.where((data[last] & 0xC0) == 0x80, last - 1, last)
-    begin[last] = True
-    begins = np.flatnonzero(begin)
-    owner = np.searchsorted(starts, begins, "right") - 1
-    ends = np.minimum(np.concatenate([begins[1:], [len(data)]]), starts[owner + 1] - 1)
-    raw = data.tobytes() if specials else b""
-    found = {int(np.searchsorted(starts, at, "right")) - 1 for s in specials for at in _places(raw, s.encode())}
-    if found:
-        keep = ~np.isin(owner, list(found))
-        more = []
-        for text in sorted(found):
-            sizes = [len(p.encode()) for p in byte_level_pieces(raw[starts[text] : starts[text + 1] - 1].decode(), specials)]
-            stops = starts[text] + np.cumsum(sizes)
-            more.append((stops - sizes, stops, np.full(len(sizes), text)))
-        begins, ends, owner = (np.concatenate([own[keep], *[m[i] for m in more]]) for i, own in enumerate((begins, ends, owner)))
-        by = np.argsort(begins, kind="stable")
-        begins, ends, owner = begins[by], ends[by], owner[by]
-    assert n == 0 or len(starts) == n + 1
-    return begins, ends, owner
-
-
-def _places(raw: bytes, wanted: bytes) -> Iterator[int]:
-    at = raw.find(wanted)
-    while at >= 0:
-        yield at
-        at = raw.find(wanted, at + 1)
+def flattened(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids as one buffer, and their lengths."""
+    lists = list(lists)
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts
+
+
+def id_bytes(table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all ids as one buffer, where those of each begin, and how many they are."""
+    sizes = np.array([len(b) for b in table], np.int64)
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
 
 
 class FlatMemo:
@@ -136,17 +79,15 @@ class FlatMemo:
         self.start = self.count = np.zeros(0, np.int64)
         self.good = np.zeros(0, bool)
 
-    def compute(self, pieces: list[bytes]) -> Iterable[tuple[list[int], bool]]:
-        """For each piece its ids, and whether they stand for exactly its bytes."""
+    def compute(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A buffer of ids; for each piece where its ids begin, how many they are, and whether they stand for exactly its bytes."""
         raise NotImplementedError
 
     def _learn(self, pieces: list[bytes]) -> None:
-        found = list(self.compute(pieces))
-        counts = np.array([len(ids) for ids, _ in found], np.int64)
-        fresh = np.fromiter((i for ids, _ in found for i in ids), np.uint32, int(counts.sum()))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.good = np.concatenate([self.good, np.array([good for _, good in found], bool)])
+        fresh, start, count, good = self.compute(pieces)
+        self.start = np.concatenate([self.start, len(self.flat) + start])
+        self.count = np.concatenate([self.count, count])
+        self.good = np.concatenate([self.good, good])
         self.flat = np.concatenate([self.flat, fresh])
         self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
 
@@ -171,3 +112,18 @@ class FlatMemo:
             out.append((self.flat[positions(self.start[row], counts)], counts, self.good[row]))
         ids, counts, good = (np.concatenate(c) for c in zip(*out, strict=True))
         return ids, counts, good
+
+
+def same_bytes(pieces: list[bytes], ids: np.ndarray, start: np.ndarray, count: np.ndarray, table: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ids of each piece stand for exactly its bytes."""
+    own = ids[positions(start, count)]
+    of = np.repeat(np.arange(len(pieces)), count)
+    wanted = np.array([len(p) for p in pieces], np.int64)
+    good = np.bincount(of, sizes[own], len(pieces)).astype(np.int64) == wanted
+    fits = good[of]
+    given = table[positions(begin[own[fits]], sizes[own[fits]])]
+    expected = np.frombuffer(b"".join(p for p, g in zip(pieces, good.tolist(), strict=True) if g), np.uint8)
+    wrong = given != expected
+    if wrong.any():
+        good[np.unique(np.repeat(np.flatnonzero(good), wanted[good])[wrong])] = False
+    return good

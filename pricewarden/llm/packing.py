@@ -12,9 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import stored, texts
-from pricewarden.llm.numbering import FlatMemo, byte_level_spans
-from pricewarden.llm.pieces import LibraryMemo, per_worker, sliced, special_strings
-from pricewarden.llm.words import joined
+from pricewarden.llm.pieces import per_worker, sliced
+from pricewarden.llm.text_ids import TextIds
 
 CAPACITY = 1024
 MAX_DOCS = 1024  # documents in a sequence: as many as one-token pieces fit, so the limit never costs a sequence
@@ -22,26 +21,12 @@ WEIGHTS = (1.0, 0.05, 0.05)  # of tokens, documents and attention cost, each as
 RANK_ROWS = 2_000  # rows ranked in one group
 
 
-class _Ids(FlatMemo):
-    """The ids of each piece by the tokenizers library."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.library = LibraryMemo(path)
-
-    def compute(self, pieces):
-        return [(encoding.ids, True) for encoding in self.library.encoded([p.decode() for p in pieces])]
-
-
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    memo = per_worker(("ids", path), lambda: _Ids(path))
-    specials = special_strings(memo.library.tokenizer)
+    known = per_worker(("ids", path), lambda: TextIds(path))
     for batch in batches:
         for part in sliced(batch, "text"):
-            data, starts = joined(part.column("text"))
-            begins, ends, owner = byte_level_spans(data, starts, specials)
-            found, counts, _ = memo.encode(data, begins, ends)
-            n = np.bincount(owner, counts, part.num_rows).astype(np.int64) + 1
+            found, counts = known.of(part.column("text").to_pylist())
+            n = counts + 1
             stops = np.cumsum(n)
             ids = np.full(int(n.sum()), end_id, "<u4")
             own = np.ones(len(ids), bool)
