@@ -13,6 +13,7 @@ from pricewarden.llm.common import documents
 from pricewarden.llm.divergence import source_divergence
 from pricewarden.llm.fingerprints import edit_stability
 from pricewarden.llm.line_dedup import drop_repeated_lines
+from pricewarden.llm.main_text import extract_main_text
 from pricewarden.llm.near_dups import near_duplicate_classes
 from pricewarden.llm.packing import pack_documents
 from pricewarden.llm.ppm import score_documents
@@ -163,3 +164,8 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 @query
 def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
