@@ -20,6 +20,7 @@ from pricewarden.llm.pieces import per_worker, sliced
 from pricewarden.llm.text_ids import TextIds
 from pricewarden.llm.words import joined
 
+SLICE_BYTES = 1 << 20  # text aligned at a time inside a batch
 BLOCK_BYTES = 16 << 20  # text of the documents that look up pair counts together
 PIECE = 1 << 18  # token ends of both sides that one piece of the merge handles
 PAIRS = 1 << 21  # linked pairs spelled out at a time
@@ -233,7 +234,7 @@ def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Itera
             yield rows(len(own), {"block": np.full(len(own), block), "kind": np.full(len(own), PAIR, np.int32), "pair": own, "n": held[1][i : i + ROWS_OUT]})
 
     for batch in batches:
-        for part in sliced(batch, "text"):
+        for part in sliced(batch, "text", SLICE_BYTES):
             if size and size + part.column("text").nbytes > BLOCK_BYTES:
                 yield from close()
                 block, held, size = block + 1, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
