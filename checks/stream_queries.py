@@ -123,9 +123,10 @@ def streaming_late(spark, sf_dir):
     root = f"{checkpoint_root(spark)}/late-{uuid.uuid4().hex}"
     for delivery in (~F.col("second"), F.col("second")):
         events.where(delivery).drop("second").write.mode("append").parquet(f"{root}/received")
-        received = spark.read.parquet(f"{root}/received")
-        daily.store_sites(spark.readStream.schema(received.schema).parquet(f"{root}/received"), root).awaitTermination()
-    return daily.late_rows(spark.read.parquet(f"{root}/received"), spark.read.parquet(f"{root}/sites"))
+        schema = events.drop("second").schema
+        daily.store_site_days(spark.readStream.schema(schema).parquet(f"{root}/received"), root).awaitTermination()
+    late = daily.late_sites(spark.read.parquet(f"{root}/sites"))
+    return late.withColumnsRenamed({"counted_lowest": "stored_lowest", "counted_highest": "stored_highest"})
 
 
 # --- text features ------------------------------------------------------------------------------

@@ -2,42 +2,184 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
-from pricewarden.operators.history import local_date
+from pricewarden.operators.history import ZONE, local_date
 
-# The local day of a zone five hours behind UTC without daylight saving starts at 05:00 UTC.
-LOCAL_DAY_START = "5 hours"
+CLOSED, LATE = "closed", "late"
+MEASURES = ["lowest", "highest", "counted_lowest", "counted_highest"]
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTS = 4  # groups that the sites of one product and day are dealt over
 
 
-def _sites(prices: DataFrame, delay: str) -> DataFrame:
-    day = F.window("observed_at", "1 day", startTime=LOCAL_DAY_START)
-    return (
-        prices.withWatermark("observed_at", delay)
-        .groupBy(day.alias("day"), "product", "site_id")
-        .agg(F.min("price").alias("price"), F.max("price").alias("_top"))
-    )
+def _day_start(zone: str = ZONE) -> str:
+    """Where the local day begins in UTC, for windows; a zone whose clocks change has no such place."""
+    offsets = {datetime(2024, month, 1, tzinfo=ZoneInfo(zone)).utcoffset() for month in range(1, 13)}
+    if len(offsets) != 1:
+        raise ValueError(f"windows of a fixed length cannot follow the local days of {zone}")
+    return f"{int(-offsets.pop().total_seconds()) % 86_400} seconds"
+
+
+def _millis(interval: str) -> int:
+    number, unit = interval.split()
+    return int(number) * {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")]
+
 
+class _Days(StatefulProcessor):
+    """Smallest and largest price of each site of one product, day and part: counted while the day is open, watched while it is closed.
 
-def site_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
-    """Smallest and largest price of each site per product and local day, once the day is closed: what `late_rows` compares."""
-    return _sites(prices, delay).select(
-        "product", local_date(F.col("day.start")).alias("date"), "site_id", F.col("price").alias("lowest"), F.col("_top").alias("highest")
+    The watermark runs `lateness` behind the newest instant, so rows of closed days still arrive. A day closes `delay` after its
+    end; its sites then come out as they stand. A site whose prices change later comes out as late, beside the prices it was
+    counted with. The state goes when no row of the day can arrive any more.
+    """
+
+    def __init__(self, delay: int, lateness: int):
+        self.delay, self.lateness = delay, lateness
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sites = handle.getMapState("sites", "site string", "lowest double, highest double, counted_lowest double, counted_highest double, counted boolean, late boolean")
+
+    def _rows(self, key, kind: str, found: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(found, columns=["site", "lowest", "highest", "counted_lowest", "counted_highest"], dtype=object)
+        frame.insert(0, "kind", kind)
+        frame.insert(1, "product", key[0])
+        frame.insert(2, "date", key[1])
+        return frame
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        ends = key[3]
+        closes = ends + self.delay - self.lateness
+        closed = closes <= timerValues.getCurrentWatermarkInMs()
+        late: dict = {}
+        for frame in rows:
+            folded = frame.groupby("site")["price"].agg(["min", "max"])
+            for site, low, high in zip(folded.index, folded["min"], folded["max"], strict=True):
+                low, high = (None if pd.isna(x) else float(x) for x in (low, high))
+                held = self.sites.getValue((site,))
+                if held is None:
+                    value = (low, high, None, None, not closed, closed)
+                else:
+                    both = lambda f, a, b: f(a, b) if a is not None and b is not None else b if a is None else a
+                    least, most = both(min, held[0], low), both(max, held[1], high)
+                    if (least, most) == (held[0], held[1]):
+                        continue
+                    counted = (held[0], held[1]) if closed and not held[5] else (held[2], held[3])
+                    value = (least, most, *counted, held[4], held[5] or closed)
+                self.sites.updateValue((site,), value)
+                if closed:
+                    late[site] = (site, *value[:4])
+        # Timers fire once the watermark has passed them.
+        if not closed:
+            self.handle.registerTimer(closes - 1)
+        self.handle.registerTimer(ends - 1)
+        if late:
+            yield self._rows(key, LATE, list(late.values()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if expiredTimerInfo.getExpiryTimeInMs() >= key[3] - 1:
+            self.sites.clear()
+            return
+        found = []
+        for (site,), value in self.sites.iterator():
+            if value[4]:
+                low, high = (value[2], value[3]) if value[5] else (value[0], value[1])
+                found.append((site, low, high, low, high))
+                if len(found) >= 10_000:
+                    yield self._rows(key, CLOSED, found)
+                    found = []
+        if found:
+            yield self._rows(key, CLOSED, found)
+
+    def close(self) -> None:
+        pass
+
+
+def site_days(prices: DataFrame, delay: str = "6 hours", lateness: str = "35 days", parts: int = PARTS) -> DataFrame:
+    """A stream of `closed` and `late` rows: kind, product, date, site_id, lowest, highest, counted_lowest, counted_highest.
+
+    prices  product, site_id, price, observed_at
+
+    When a local day closes, `delay` after its end by the newest instant seen, each of its sites comes out once as `closed`, with the
+    smallest and largest price received. A row that arrives later and changes what is known of its site comes out as `late`: the
+    prices as received by now, and those the site was counted with, null where it wasn't counted at all. Days of which every
+    row comes late are among them; a late row between the known prices changes nothing. Closed days are watched until
+    `lateness` after the newest instant; rows older than that are dropped by the watermark, which the query's progress counts.
+
+    State holds a row per product, day and site, in RocksDB; a batch reads and writes those of its own rows only. The sites of a day
+    are dealt over `parts` groups. A row without an instant belongs to no day.
+    """
+    late_by, closes_by = _millis(lateness), _millis(delay)
+    if late_by <= closes_by:
+        raise ValueError("closed days must be watched for longer than it takes to close them")
+    day = local_date(F.col("observed_at"))
+    ends = F.unix_millis(F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp"), ZONE))
+    # State is keyed by the text of a site's id, which a missing id has none of.
+    site = F.coalesce(F.concat(F.lit("="), F.col("site_id").cast("string")), F.lit(""))
+    rows = (
+        prices.where(F.col("observed_at").isNotNull())
+        .withWatermark("observed_at", lateness)
+        .select("product", day.alias("date"), F.pmod(F.xxhash64("site_id"), F.lit(parts)).cast("int").alias("part"), ends.alias("ends"), site.alias("site"), F.col("price").cast("double").alias("price"), "observed_at")
     )
+    out = StructType([
+        StructField("kind", StringType()), StructField("product", prices.schema["product"].dataType), StructField("date", DateType()), StructField("site", StringType()),
+        *[StructField(c, DoubleType()) for c in MEASURES],
+    ])
+    found = rows.groupBy("product", "date", "part", "ends").transformWithStateInPandas(_Days(closes_by, late_by), out, "Append", "EventTime")
+    site_id = F.expr("CASE WHEN site <> '' THEN substring(site, 2) END").cast(prices.schema["site_id"].dataType)
+    return found.select("kind", "product", "date", site_id.alias("site_id"), *MEASURES)
+
+
+def store_site_days(prices: DataFrame, root: str, delay: str = "6 hours", lateness: str = "35 days") -> StreamingQuery:
+    """Append `site_days` below `root`, one folder for each kind, for what is available, then stop; call again to go on where it stopped."""
+    conf = prices.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)  # the query keeps what it was started with
+    try:
+        return (
+            site_days(prices, delay, lateness)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .partitionBy("kind")
+            .option("path", f"{root}/sites")
+            .option("checkpointLocation", f"{root}/progress")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(PROVIDER, before)
 
 
-def store_sites(prices: DataFrame, root: str, delay: str = "6 hours") -> StreamingQuery:
-    """Append `site_windows` below `root` for what is available, then stop; call again to go on where it stopped."""
+def late_sites(stored: DataFrame) -> DataFrame:
+    """The last word on each late site of a stored stream: product, date, site_id, the prices received and those counted.
+
+    Prices received only widen, so the widest are the newest; the counted ones never change.
+    """
+    return (
+        stored.where(F.col("kind") == LATE)
+        .groupBy("product", "date", "site_id")
+        .agg(
+            F.min("lowest").alias("lowest"), F.max("highest").alias("highest"),
+            F.max("counted_lowest").alias("counted_lowest"), F.max("counted_highest").alias("counted_highest"),
+        )
+    )
+
+
+def _sites(prices: DataFrame, delay: str) -> DataFrame:
+    day = F.window("observed_at", "1 day", startTime=_day_start())
     return (
-        site_windows(prices, delay)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{root}/sites")
-        .option("checkpointLocation", f"{root}/progress")
-        .trigger(availableNow=True)
-        .start()
+        prices.withWatermark("observed_at", delay)
+        .groupBy(day.alias("day"), "product", "site_id")
+        .agg(F.min("price").alias("price"), F.max("price").alias("_top"))
     )
 
 
@@ -48,7 +190,7 @@ def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
 
     Equal repeats of a site count once. A site that names two prices on one day makes its product invalid: the mean is
     null. Sites are folded to their smallest and largest price first, so state holds one row per site and day. Rows later than
-    `delay` after a day's end are dropped by the watermark; `late_rows` of the stored `site_windows` finds them for a rebuild.
+    `delay` after a day's end are dropped by the watermark; the stream `site_days` names their sites as late, for a rebuild.
     """
     return (
         _sites(prices, delay).groupBy("day", "product")
@@ -62,32 +204,3 @@ def daily_windows(prices: DataFrame, delay: str = "6 hours") -> DataFrame:
             F.when(F.col("contradictions") > 0, F.lit("invalid")).otherwise(F.lit("ok")).alias("status"),
         )
     )
-
-
-def late_rows(prices: DataFrame, closed: DataFrame, delay: str = "6 hours") -> DataFrame:
-    """Sites of closed days whose prices, as received by now, differ from what was stored when the day closed.
-
-    prices  product, site_id, price, observed_at, everything the stream has received        closed  what `site_windows` emitted
-
-    One row per product, date and site, with the smallest and largest price received and the stored ones, null where the site
-    wasn't counted at all; days of which every row came late are among them. A late row between the stored prices or equal to
-    one changes no day and isn't listed. Days still open at the newest instant less `delay` have nothing late.
-    """
-    until = prices.agg(local_date(F.max("observed_at") - F.expr(f"interval {delay}")).alias("_open"))
-    by = ["product", "date", "site_id"]
-    now = (
-        prices.where(F.col("observed_at").isNotNull())
-        .groupBy("product", local_date(F.col("observed_at")).alias("date"), "site_id")
-        .agg(F.min("price").alias("lowest"), F.max("price").alias("highest"))
-        .crossJoin(until)
-        .where("date < _open")
-        .alias("now")
-    )
-    then = closed.select(*by, F.col("lowest").alias("stored_lowest"), F.col("highest").alias("stored_highest"), F.lit(True).alias("_held")).alias("then")
-    same = [F.col(f"now.{c}").eqNullSafe(F.col(f"then.{c}")) for c in by]
-    unchanged = F.col("_held") & F.col("lowest").eqNullSafe(F.col("stored_lowest")) & F.col("highest").eqNullSafe(F.col("stored_highest"))
-    return (
-        now.join(then, same[0] & same[1] & same[2], "left")
-        .where(~F.coalesce(unchanged, F.lit(False)))
-        .select(*[f"now.{c}" for c in by], "lowest", "highest", "stored_lowest", "stored_highest")
-    )

@@ -1,38 +1,98 @@
-"""Rows that come after the stream has closed their day."""
+"""Rows that come after the stream has closed their day come out of the stream itself."""
 
 from __future__ import annotations
 
 from datetime import date, datetime
 
+import pytest
+from pyspark.sql import functions as F
+
+from pricewarden.operators.history import local_date
 from pricewarden.streaming import daily
 
 PRICES = "product string, site_id long, price double, observed_at timestamp"
 
 
-def test_late_rows_are_listed(spark, tmp_path):
-    root, noon = str(tmp_path), lambda day: datetime(2024, 1, day, 17)
-    deliveries = [
-        [("regular", 1, 5.0, noon(1)), ("regular", 2, 6.0, noon(1)), ("regular", 1, 5.0, noon(5))],
-        [
-            ("regular", 1, 5.0, noon(1)),  # says again what is stored
-            ("regular", 2, 7.0, noon(1)),  # a counted site names another price
-            ("regular", 3, 8.0, noon(1)),  # a site that isn't counted
-            ("premium", 1, 9.0, noon(1)),  # a product of which every row of the day is late
-            ("regular", 4, 9.0, noon(2)),  # a day of which every row is late
-            ("premium", None, None, noon(1)),
-            ("regular", 9, 1.0, noon(5)),  # an open day
-        ],
-        [("regular", 1, 5.0, noon(9))],
-    ]
+def noon(day, month=1):
+    return datetime(2024, month, day, 17)
+
+
+def deliver(spark, root, deliveries, **more):
+    """Each delivery is a run of its own, over what the runs before left in state."""
     for rows in deliveries:
         spark.createDataFrame(rows, PRICES).coalesce(1).write.mode("append").parquet(f"{root}/received")
-        daily.store_sites(spark.readStream.schema(PRICES).parquet(f"{root}/received"), root).awaitTermination()
-    found = daily.late_rows(spark.read.parquet(f"{root}/received"), spark.read.parquet(f"{root}/sites")).collect()
-    assert {tuple(r) for r in found} == {
-        ("regular", date(2024, 1, 1), 2, 6.0, 7.0, 6.0, 6.0),
-        ("regular", date(2024, 1, 1), 3, 8.0, 8.0, None, None),
-        ("premium", date(2024, 1, 1), 1, 9.0, 9.0, None, None),
-        ("premium", date(2024, 1, 1), None, None, None, None, None),
-        ("regular", date(2024, 1, 2), 4, 9.0, 9.0, None, None),
-    }
-    assert len(found) == 5
+        query = daily.store_site_days(spark.readStream.schema(PRICES).parquet(f"{root}/received"), root, **more)
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/sites")
+
+
+def late(stored):
+    found = daily.late_sites(stored).collect()
+    assert len({tuple(r)[:3] for r in found}) == len(found)
+    return {tuple(r) for r in found}
+
+
+DELIVERIES = [
+    [("regular", 1, 5.0, noon(1)), ("regular", 2, 6.0, noon(1)), ("regular", 1, 5.0, noon(5))],
+    [
+        ("regular", 1, 5.0, noon(1)),  # says again what is stored
+        ("regular", 2, 7.0, noon(1)),  # a counted site names another price
+        ("regular", 3, 8.0, noon(1)),  # a site that isn't counted
+        ("premium", 1, 9.0, noon(1)),  # a product of which every row of the day is late
+        ("regular", 4, 9.0, noon(2)),  # a day of which every row is late
+        ("premium", None, None, noon(1)),
+        ("regular", 9, 1.0, noon(5)),  # an open day
+        ("regular", 8, 1.0, None),  # no day at all
+    ],
+    [("regular", 1, 5.0, noon(9)), ("regular", 3, 7.5, noon(1)), ("regular", 2, 6.5, noon(1))],
+]
+LATE = {
+    ("regular", date(2024, 1, 1), 2, 6.0, 7.0, 6.0, 6.0),
+    ("regular", date(2024, 1, 1), 3, 7.5, 8.0, None, None),
+    ("premium", date(2024, 1, 1), 1, 9.0, 9.0, None, None),
+    ("premium", date(2024, 1, 1), None, None, None, None, None),
+    ("regular", date(2024, 1, 2), 4, 9.0, 9.0, None, None),
+}
+
+
+def test_late_rows_come_out_of_the_stream(spark, tmp_path):
+    stored = deliver(spark, str(tmp_path), DELIVERIES)
+    assert late(stored) == LATE
+    closed = stored.where("kind = 'closed'").select("product", "date", "site_id", "lowest", "highest").collect()
+    assert {tuple(r) for r in closed} == {
+        ("regular", date(2024, 1, 1), 1, 5.0, 5.0), ("regular", date(2024, 1, 1), 2, 6.0, 6.0),
+        ("regular", date(2024, 1, 5), 1, 5.0, 5.0), ("regular", date(2024, 1, 5), 9, 1.0, 1.0),
+    }
+    assert len(closed) == 4  # a day closes once, however many runs follow
+
+
+def test_the_stream_agrees_with_everything_received(spark, tmp_path):
+    """Closed and late rows together say what a look at all rows says."""
+    rows = [(f"p{i % 2}", i % 7, float(1 + i * 7 % 11), datetime(2024, 1, 1 + i % 12, i % 24, i % 60)) for i in range(400)]
+    deliveries = [[r for k, r in enumerate(rows) if k % 3 == n] for n in range(3)] + [[("p0", 0, 1.0, noon(20))]]
+    stored = deliver(spark, str(tmp_path), deliveries)
+    now = spark.createDataFrame(rows, PRICES).groupBy("product", local_date(F.col("observed_at")).alias("date"), "site_id")
+    expected = {tuple(r) for r in now.agg(F.min("price"), F.max("price")).collect()}
+    said = {tuple(r)[:3]: tuple(r) for r in stored.where("kind = 'closed'").select("product", "date", "site_id", "lowest", "highest").collect()}
+    late_ = {r[:3]: r for r in late(stored)}
+    for key, r in late_.items():
+        assert (r[5], r[6]) == (said[key][3:] if key in said else (None, None))
+        said[key] = r[:5]
+    assert set(said.values()) == expected
+
+
+def test_state_goes_after_the_lateness(spark, tmp_path):
+    stored = deliver(spark, str(tmp_path), [
+        [("regular", 1, 5.0, noon(1)), ("regular", 1, 5.0, noon(5))],
+        [("regular", 1, 6.0, noon(1)), ("regular", 1, 5.0, noon(20))],  # the day is watched still
+        [("regular", 1, 7.0, noon(1)), ("regular", 1, 5.0, noon(21))],  # no longer
+    ], lateness="10 days")
+    assert late(stored) == {("regular", date(2024, 1, 1), 1, 5.0, 6.0, 5.0, 5.0)}
+    with pytest.raises(ValueError, match="longer"):
+        daily.site_days(spark.readStream.schema(PRICES).parquet(f"{tmp_path}/received"), delay="6 hours", lateness="6 hours")
+
+
+def test_local_days_have_one_zone():
+    assert daily._day_start() == "18000 seconds"
+    with pytest.raises(ValueError, match="local days"):
+        daily._day_start("Europe/Paris")
