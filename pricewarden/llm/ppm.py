@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.llm.common import blocks_for, stored, texts
@@ -18,11 +19,12 @@ ORDER = 5  # bytes of context
 ESCAPE = 0.3  # what every symbol of a context gives up of its count, for the escape from it
 SYMBOLS = 256
 BLANK, END = 0x20, 0x0A  # after a word; after a text, and before its first byte as context
-BLOCK_BYTES = 48 << 20  # text of the documents that look up the model together
+BLOCK_BYTES = 24 << 20  # text of the documents that look up the model together
 WORD, GRAM, TEXT = 0, 1, 2
 SLICE_BYTES = 400 << 10  # compressed text read at a time, about a megabyte of it
 FOLD_SLICES = 16  # slices whose counts are held apart
-PACK_ENTRIES = 1 << 20  # looked-up values a task holds before it sends them
+PACK_ENTRIES = 1 << 18  # looked-up values a task holds before it sends them
+RANGE_BLOCKS = 256  # blocks that one row of a key names; a key of more blocks has more rows
 ROWS_OUT = 100_000  # rows of an Arrow batch
 END_KEY = 10  # stands for the end of a text among the word hashes
 FOLDS, HELD_OUT = 7, 2
@@ -136,13 +138,19 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        lists = batch.column("blocks")
-        lengths = pc.list_value_length(lists).to_numpy()
-        held.append((lists.flatten().to_numpy(), *(np.repeat(batch.column(c).to_numpy(), lengths) for c in ("kind", "key", "value"))))
-        size += len(held[-1][0])
-        if size >= PACK_ENTRIES:
-            yield rows()
-            held, size = [], 0
+        ends = np.cumsum(pc.list_value_length(batch.column("blocks")).to_numpy())
+        begin = 0
+        while begin < batch.num_rows:  # rows of about as many entries, however many blocks their keys have
+            reach = (ends[begin - 1] if begin else 0) + PACK_ENTRIES
+            end = max(begin + 1, int(np.searchsorted(ends, reach, "right")))
+            own = batch.slice(begin, end - begin)
+            lengths = pc.list_value_length(own.column("blocks")).to_numpy()
+            held.append((own.column("blocks").flatten().to_numpy(), *(np.repeat(own.column(c).to_numpy(), lengths) for c in ("kind", "key", "value"))))
+            size += len(held[-1][0])
+            begin = end
+            if size >= PACK_ENTRIES:
+                yield rows()
+                held, size = [], 0
     if size:
         yield rows()
 
@@ -220,6 +228,7 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int, total: int, distinct:
                 by = np.argsort(keys, kind="stable")
                 tables[kind] = keys[by], np.concatenate([v for _, v in held] or [np.zeros(0)])[by]
             packs = {}
+            del keys, by
         for part in sliced(docs, "packed", SLICE_BYTES):
             n = part.num_rows
             hashes, owner, grams, text_of = _stream(unpack(part.column("packed")), order)
@@ -250,7 +259,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The model learns from all documents that `held_out` leaves in, and scores all. Documents go to blocks of bounded size by
     a hash. A block sends its distinct words and grams with their training counts; these are summed up by key, which makes the
     model, and each block gets back the values of its own keys alone: nothing of the model is sent to all tasks, and
-    what travels grows with the text. A key comes once from a block, however often it occurs. Words travel as 64-bit hashes.
+    what travels grows with the text. A key comes once from a block, however often it occurs, and goes back in rows of at
+    most `RANGE_BLOCKS` blocks. Words travel as 64-bit hashes.
 
     Null or empty text: the end alone. Null doc_id: a training document. Repeated rows: each is learned and scored. An
     empty table gives an empty table. Further columns are not read.
@@ -259,21 +269,24 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     blocks = blocks_for(source, BLOCK_BYTES)
     placed = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     blocked = placed.mapInArrow(pack_text, "doc_id long, packed binary, held_out boolean, block int")
-    postings = (
-        blocked.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _postings(it, order), "block int, kind int, key long, n long")
+    tasks = min(blocks, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    together = lambda df, *order: df.repartitionById(tasks, F.col("block") % tasks).sortWithinPartitions(*order)
+    postings = together(blocked, "block").mapInArrow(lambda it: _postings(it, order), "block int, kind int, key long, n long")
+    # A key has one entry for each block at most; rows of a key name a bounded number of blocks each, and all have its total.
+    by_key = W.partitionBy("kind", "key")
+    ranged = (
+        postings.withColumn("range", F.floor(F.col("block") / RANGE_BLOCKS).cast("int"))
+        .repartition("kind", "key")
+        .groupBy("kind", "key", "range")
+        .agg(F.sum("n").alias("own"), F.collect_list("block").alias("blocks"))
     )
-    # A key has one entry for each block at most, so its list is as short as the table has blocks.
-    counted = stored(postings.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "counts")
+    counted = stored(ranged.select("kind", "key", F.sum("own").over(by_key).alias("n"), (F.col("range") == F.min("range").over(by_key)).alias("once"), "blocks"), "counts")
     word_rows, gram_rows = (counted.where(F.col("kind") == kind) for kind in (WORD, GRAM))
-    sums = word_rows.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("words")).first()
-    values = train_ppm(gram_rows.select("key", "n"), order)
+    sums = word_rows.where("n > 0 AND once").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("words")).first()
+    values = train_ppm(gram_rows.where("once").select("key", "n"), order)
     valued = word_rows.where("n > 0").select("kind", "key", F.col("n").cast("double").alias("value"), "blocks").unionByName(
         gram_rows.join(values, "key").select("kind", "key", "value", "blocks")
     )
     packed = valued.mapInArrow(_packed, "block int, kind int, keys binary, values binary")
-    together = packed.unionByName(blocked.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True)
-    return (
-        together.repartition("block")
-        .sortWithinPartitions("block", "kind")
-        .mapInArrow(lambda it: _scored(it, order, sums.total, sums.words), SCHEMA)
-    )
+    rows = packed.unionByName(blocked.withColumn("kind", F.lit(TEXT)), allowMissingColumns=True)
+    return together(rows, "block", "kind").mapInArrow(lambda it: _scored(it, order, sums.total, sums.words), SCHEMA)
