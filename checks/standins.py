@@ -18,9 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Whole texts, dealt out by document, which is what the queries over lines group by next."""
-    return table(spark, sf_dir, "documents").select(*columns).repartition(columns[0])
+def documents(spark: SparkSession, sf_dir: str, *columns: str, dealt: bool = True) -> DataFrame:
+    """Whole texts, as they lie in the table or, for queries that group them by it, dealt out by the first column."""
+    found = table(spark, sf_dir, "documents").select(*columns)
+    return found.repartition(columns[0]) if dealt else found
 
 
 def cutoff():

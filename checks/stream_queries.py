@@ -132,8 +132,8 @@ def streaming_late(spark, sf_dir):
 # --- text features ------------------------------------------------------------------------------
 
 
-def _lines(spark, sf_dir):
-    docs = S.documents(spark, sf_dir, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+def _lines(spark, sf_dir, dealt=True):
+    docs = S.documents(spark, sf_dir, "doc_id", "text", dealt=dealt).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return docs.where("text <> ''")
 
 
@@ -145,15 +145,56 @@ def address_features(spark, sf_dir):
     return parts.groupBy("doc_id").agg(*counts)
 
 
-@query("display_address")
+_BLANKS = r"[ \t\n\x0B\f\r\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+_NO_WORD = r"(?:[^\pL\pN]+|$)"
+
+
+@query(
+    "display_address",
+    rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, (generate_subscripts(lines, 1) - 1)::INTEGER AS line, unnest(lines) AS raw FROM d),
+a AS (SELECT doc_id, line, trim(regexp_replace(raw, '{_BLANKS}', ' ', 'g'), ' ') AS t FROM l WHERE raw <> ''),
+b AS (SELECT doc_id, line, regexp_replace(t, '(?i)^[^\pL\pN]*(?:ESQUINA|ESQ|FRENTE[^\pL\pN]+A|ALTURA[^\pL\pN]+DE|INTERSECCION[^\pL\pN]+DE){_NO_WORD}(?:DE{_NO_WORD})?(?:(?:LA|EL|LOS|LAS){_NO_WORD})?', '') AS t FROM a),
+c0 AS (SELECT *, rtrim(regexp_replace(t, '(?i)(?:,|\(|\b(?:ESQ|ESQUINA|URB|URBANIZACION|URBANIZACIÓN|ASOC|AA\.?HH|SUB ?LOTE|DENOMINADO|ANTES|SECTOR|ETAPA|COMITE|AGRUPAMIENTO|PARCELA|CON FRENTE|FRENTE A|CENTRO POBLADO)\b).*$', ''), ' ') AS kept FROM b),
+c AS (SELECT doc_id, line, regexp_replace(regexp_replace(CASE WHEN length(kept) >= 6 THEN kept ELSE t END, '(?i)\b(?:N[°º¿]|NRO\.?) *', '', 'g'),
+             '(?i)([0-9]+) *[-–] *[0-9A-Z]+(?: *[-–] *[0-9A-Z]+)*', '\1', 'g') AS t FROM c0),
+e AS (SELECT doc_id, line, CASE WHEN regexp_matches(regexp_replace(t, '(?i)\b(?:MZ|LOTE|LT\b).*$', ''), '[0-9]') THEN rtrim(regexp_replace(t, '(?i)\b(?:MZ|MZA|LOTE|LT)\b.*$', ''), ' ') ELSE t END AS t FROM c),
+f AS (SELECT doc_id, line, string_split(lower(trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)\bKM\.? *', 'Km. '), '[-–.,; ]+$', ''), ' +', ' ', 'g'), ' ')), ' ') AS w FROM e),
+g AS (SELECT doc_id, line, regexp_replace(array_to_string(list_transform(w, lambda x, i: CASE
+        WHEN i > 1 AND x IN ('de', 'del', 'y', 'con', 'en', 'a') THEN x WHEN i > 1 AND w[i - 1] IN ('de', 'del') AND x IN ('la', 'las', 'los', 'el') THEN x
+        WHEN regexp_full_match(x, 'aa\.?hh\.?') THEN 'AA.HH.' WHEN regexp_full_match(x, '(av|jr|mz|mza|lt|km|ca)\.?') THEN upper(left(x, 1)) || rtrim(substr(x, 2), '.') || '.'
+        ELSE replace(upper(left(x, 1)), 'ẞ', 'SS') || substr(x, 2) END), ' '), '[-–.,; ]+$', '') AS t FROM f)
+SELECT doc_id, line, nullif(CASE WHEN length(t) > 46 THEN regexp_replace(left(t, 45), '[ ,]+[^ ]*$', '') || '…' ELSE t END, '') AS address FROM g""",
+)
 def display_address(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "line", addresses.display_address(F.col("text")).alias("address"))
+    return _lines(spark, sf_dir, dealt=False).select("doc_id", "line", addresses.display_address(F.col("text")).alias("address"))
 
 
-@query("display_name")
+_TELLING_SQL = r"""len(list_filter(string_split_regex({0}, '[\s.,()"]+'), lambda w: lower(w) NOT IN ('', 'grifo', 'grifos', 'estacion', 'estación', 'estaciones', 'servicio',
+    'servicios', 'gasolinera', 'combustible', 'combustibles', 'gas', 'gnv', 'glp', 'de', 'del', 'la', 'el', 'y', 'ee.ss', 'eess')
+    AND NOT regexp_matches(w, '(?i)^(s\.?a\.?c?\.?|e\.?i\.?r\.?l\.?|s\.?r\.?l\.?|ltda\.?)$'))) > 0"""
+
+
+@query(
+    "display_name",
+    rf"""WITH a AS (SELECT doc_id, trim(regexp_replace(source || ' ' || text || ' GLP', '{_BLANKS}', ' ', 'g'), ' ') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, list_filter(['PRIMAX', 'REPSOL', 'PECSA', 'PETROPERU', 'TERPEL', 'COESTI'], lambda x: contains(upper(strip_accents(t)), x))[1] AS brand FROM a),
+c0 AS (SELECT *, regexp_replace(trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(t, '[\pL\pN]+|[^\pL\pN]'),
+             lambda x: CASE WHEN upper(strip_accents(x)) = brand THEN ' ' ELSE x END), ''), ' +', ' ', 'g'), ' '), '^[-·,( ]+|[-·,( ]+$', '', 'g') AS rest FROM b),
+c AS (SELECT doc_id, CASE WHEN brand IS NULL THEN t WHEN {_TELLING_SQL.format('rest')} THEN rest END AS t FROM c0),
+d0 AS (SELECT *, regexp_replace(t, '(?i)(?:[ ·,-]*)(?:gnv|glp)$', '') AS kept, regexp_matches(t, '(?i)(^|[^\pL\pN])(gnv|glp)$') AS fuel FROM c),
+d AS (SELECT doc_id, CASE WHEN fuel AND {_TELLING_SQL.format('kept')} THEN kept ELSE t END AS t FROM d0),
+e AS (SELECT *, t = upper(t) AND regexp_matches(t, '[A-ZÁÉÍÓÚÑ]') AS loud, t = lower(t) AS quiet FROM d),
+f AS (SELECT doc_id, CASE WHEN loud OR quiet THEN array_to_string(list_transform(list_filter(string_split(t, ' '), lambda x: x <> ''), lambda x, i: CASE
+        WHEN regexp_matches(x, '(?i)^(s\.?a\.?c?\.?|e\.?i\.?r\.?l\.?|s\.?r\.?l\.?|ltda\.?)$') THEN upper(x)
+        WHEN i > 1 AND lower(x) IN ('de', 'del', 'la', 'las', 'los', 'y', 'el', 'en', 'con', 'a') THEN lower(x)
+        WHEN loud AND length(x) <= 4 AND NOT contains(x, '.') AND lower(x) NOT IN ('de', 'del', 'la', 'las', 'los', 'y', 'el', 'en', 'con', 'a') THEN x
+        ELSE replace(upper(left(x, 1)), 'ẞ', 'SS') || lower(substr(x, 2)) END), ' ') ELSE t END AS t FROM e)
+SELECT doc_id, nullif(CASE WHEN length(t) > 44 THEN regexp_replace(left(t, 43), '[\s,]+[^\s]*$', '') || '…' ELSE t END, '') AS public_site_name FROM f""",
+)
 def display_name(spark, sf_dir):
     name = F.concat(F.col("source"), F.lit(" "), F.col("text"), F.lit(" GLP"))
-    docs = S.documents(spark, sf_dir, "doc_id", "source", "text")
+    docs = S.documents(spark, sf_dir, "doc_id", "source", "text", dealt=False).where("text IS NOT NULL")
     return docs.select("doc_id", addresses.display_name(name, F.lit(False)).alias("public_site_name"))
 
 

@@ -41,6 +41,30 @@ def one(spark, value, expr):
         ("   ", None),
         (None, None),
         ("AV. PROLONGACION INDEPENDENCIA DE LOS LIBERTADORES DEL NORTE 1200", "Av. Prolongacion Independencia de los…"),
+        # Words glued to marks and numbers.
+        ("AV. LIMA 100 MZ.A LT.5", "Av. Lima 100"),
+        ("AV. LIMA 100 URB.SANTA ROSA", "Av. Lima 100"),
+        ("JR. UNION 200(ALT. CDRA 2)", "Jr. Union 200"),
+        ("JR. UNION 200,SUB LOTE 3", "Jr. Union 200"),
+        ("FRENTE LA PLAZA 100", "Frente La Plaza 100"),
+        ("FRENTE A PLAZA 100", "Plaza 100"),
+        ("ALTURA DE LA PLAZA 100", "Plaza 100"),
+        ("ALTURA PLAZA 100", "Altura Plaza 100"),
+        ("ESQ.AV. GRAU/JR.LIMA", "Av. Grau/jr.lima"),
+        ("ESQUIVEL 120", "Esquivel 120"),
+        ("AV.GRAU Nº120-A-B", "Av.grau 120"),
+        ("AV GRAU N°120 - 130 – C", "Av. Grau 120"),
+        ("JR. X NRO.45", "Jr. X 45"),
+        ("AA.HH. LOS OLIVOS", "AA.HH. Los Olivos"),
+        ("AAHH LOS OLIVOS MZ A", "AA.HH. Los Olivos Mz. a"),
+        ("AV. A AA.HH.LOS", "Av. a Aa.hh.los"),
+        ("AV. GRANDE AA.HH.LOS", "Av. Grande"),
+        ("KM14.5 CARRETERA CENTRAL-", "Km. 14.5 Carretera Central"),
+        ("URB, X", "Urb, X"),
+        ("CALLE DEL EL SOL DE ORO, Y MAS", "Calle del el Sol de Oro"),
+        ("esquina", None),
+        ("A" * 60, "A" + "a" * 44 + "…"),
+        ("...", None),
     ],
 )
 def test_display_address(spark, raw, shown):
@@ -57,6 +81,20 @@ def test_display_address(spark, raw, shown):
         ("GNV", False, "GNV"),
         ("Grifo Petroperu - La Molina (Petroperu)", False, "Grifo - La Molina"),
         ("INVERSIONES Y SERVICIOS GENERALES DEL NORTE GRANDE S.A.C.", False, "Inversiones y Servicios Generales del…"),
+        # Letters and digits bound a brand, not blanks.
+        ("Primax-Norte", False, "Norte"),
+        ("Primax-Norte", True, "Primax-Norte"),
+        ("PRIMAX/REPSOL SUR", False, "/repsol SUR"),
+        ("El Cortijo-gnv", False, "El Cortijo"),
+        ("El Cortijo · GNV , glp", False, "El Cortijo · GNV"),
+        ("Primaxis Sur", False, "Primaxis Sur"),
+        ("(PETROPERÚ) SAN JUAN, GLP", False, "SAN JUAN"),
+        ("Los Andes (Primax)", False, "Los Andes"),
+        ("Grifo GNV", False, "Grifo GNV"),
+        ("GaSpetrol del Sur", False, "GaSpetrol del Sur"),
+        ("B" * 60, True, "B" + "b" * 42 + "…"),
+        ("   ", False, None),
+        (None, True, None),
     ],
 )
 def test_display_name(spark, raw, backed, shown):
