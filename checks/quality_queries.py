@@ -124,14 +124,16 @@ def _broken_metrics(metrics, by):
 
 @query(
     "metrics_contract",
-    f"""WITH {_METRICS_SQL}
-SELECT product, grp::BIGINT AS grp, 'ready_offers' AS rule FROM m WHERE NOT contract_ready_offers >= 1
-UNION ALL SELECT product, grp, 'fresh_offers' FROM m WHERE NOT fresh_offers - 30 * (grp % 2) >= contract_ready_offers
-UNION ALL SELECT product, grp, 'coverage' FROM m WHERE NOT (coverage_percent + 50 * (grp // 4) > 0 AND coverage_percent + 50 * (grp // 4) <= 100)""",
+    """WITH m AS (SELECT event_type AS product, user_id % 5 AS grp, count(*) AS fresh, count(*) FILTER (value > 20) AS ready,
+              round(count(*) FILTER (value > 20) / count(*)::DOUBLE * 100, 3) AS coverage FROM events GROUP BY 1, 2)
+SELECT product, grp::BIGINT AS grp, 'ready_offers' AS rule FROM m WHERE NOT ready >= 1
+UNION ALL SELECT product, grp, 'fresh_offers' FROM m WHERE NOT fresh - 30 * (grp % 2) >= ready
+UNION ALL SELECT product, grp, 'coverage' FROM m WHERE NOT (coverage + 50 * (grp // 4) > 0 AND coverage + 50 * (grp // 4) <= 100)""",
 )
 def metrics_contract(spark, sf_dir):
-    """Metrics that some groups report too low or too high, under the real rules."""
-    return _broken_metrics(_metrics(spark, sf_dir, True), ["product", "grp"])
+    """Metrics of all events that some groups report too low or too high, under the real rules."""
+    by = [F.col("event_type").alias("product"), (F.col("user_id") % 5).alias("grp")]
+    return _broken_metrics(_measures(S.table(spark, sf_dir, "events"), by), ["product", "grp"])
 
 
 @query(

@@ -362,9 +362,7 @@ def duplicate_id_guard(spark, sf_dir):
     targets = (
         S.table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     )
-    wanted = raw.join(targets, "l_orderkey", "left_semi").withColumn("id", F.struct("l_orderkey", "l_linenumber"))
-    found = reports.guarded_identities(wanted, wanted, "id", ["l_partkey", "l_extendedprice"])
-    return found.select("id.*", "repeated", "l_partkey", "l_extendedprice")
+    return reports.guarded_identities(raw, targets, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_extendedprice"])
 
 
 @query(

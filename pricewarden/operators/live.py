@@ -26,8 +26,13 @@ UNIT = ("district_code", "product")
 # --- acceptance ---------------------------------------------------------------------------------
 
 
-def _fault(rule: int, reason: str) -> Column:
-    return F.struct(F.col("row_ordinal"), F.lit(rule).alias("rule"), F.lit(reason).alias("reason"))
+# What can be wrong with a row, in the order in which its parts are judged.
+ROW_FAULTS = (R.BAD_WIDTH, R.WRONG_DISTRICT, R.WRONG_UNIT, R.BAD_PRICE)
+
+
+def _fault(reason: str) -> Column:
+    """Place and kind of a fault as one number, so that the first of a unit is a plain minimum."""
+    return F.col("row_ordinal").cast("long") * len(ROW_FAULTS) + ROW_FAULTS.index(reason)
 
 
 def accept_units(units: DataFrame, rows: DataFrame, *, width: int, unit_name: str | None = None) -> DataFrame:
@@ -38,18 +43,18 @@ def accept_units(units: DataFrame, rows: DataFrame, *, width: int, unit_name: st
 
     Rows are judged in order, and within a row: width, district, unit, price. They are folded by
     (unit, district text) before they meet the unit's own district name, so a unit of any size
-    reaches the join as one row per spelling.
+    reaches the join as one row per spelling. Faults are folded as numbers and named once per unit.
     """
     bad_width = F.coalesce(F.col("width") != width, F.lit(True))
-    own = F.when(bad_width, _fault(0, R.BAD_WIDTH))
+    own = F.when(bad_width, _fault(R.BAD_WIDTH))
     if unit_name:
         other_unit = F.coalesce(link_text(F.col("unit_text")) != F.lit(" ".join(fold_text(unit_name).split())), F.lit(True))
-        own = own.when(other_unit, _fault(2, R.WRONG_UNIT))
-    own = own.when(~positive(parse_captured_price(F.col("price_text"))), _fault(3, R.BAD_PRICE))
+        own = own.when(other_unit, _fault(R.WRONG_UNIT))
+    own = own.when(~positive(parse_captured_price(F.col("price_text"))), _fault(R.BAD_PRICE))
     spelled = rows.groupBy(*UNIT, "district_text").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(own).alias("_own"),
-        F.min(F.when(~bad_width, _fault(1, R.WRONG_DISTRICT))).alias("_district"),
+        F.min(F.when(~bad_width, _fault(R.WRONG_DISTRICT))).alias("_district"),
     )
     same = link_text(F.col("district_text")) == link_text(F.col("district_name"))
     folded = (
@@ -66,7 +71,7 @@ def accept_units(units: DataFrame, rows: DataFrame, *, width: int, unit_name: st
         .when(F.coalesce(F.col("state") != "ok", F.lit(True)), F.coalesce(F.col("state"), F.lit(R.NO_ANSWER)))
         .when(~F.coalesce(F.col("product_ok"), F.lit(True)), F.lit(R.WRONG_PRODUCT))
         .when(~F.col("headers_ok"), F.lit(R.UNKNOWN_HEADERS))
-        .when(F.col("_bad").isNotNull(), F.col("_bad.reason"))
+        .when(F.col("_bad").isNotNull(), F.get(F.array(*[F.lit(f) for f in ROW_FAULTS]), F.pmod(F.col("_bad"), F.lit(len(ROW_FAULTS))).cast("int")))
         .when(~F.coalesce(F.col("complete"), F.lit(False)), F.lit(R.INCOMPLETE))
         .when(F.col("announced_total") != n, F.lit(R.WRONG_TOTAL))
         .otherwise(F.lit(R.ATTEMPT_OK))

@@ -10,6 +10,7 @@ Column names used below
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,41 +76,34 @@ def latest_per_key(
 ) -> DataFrame:
     """The rows at each key's newest instant, folded into one: smallest id, and whether they disagree.
 
-    Two hash-partitioned aggregations, no window: the first folds the rows of one (key, instant),
-    the second keeps the newest instant. Both combine before the shuffle, so a task sends one row for each
-    key and instant it holds, however many rows repeat them. Unreadable instants are ignored, and a key
-    with nothing else disappears.
+    The newest instant of each key is one number, so the feed is folded by hashing alone, before the shuffle and after it. A
+    semi-join leaves the rows at that instant; only these, one for most keys, are folded with all their columns.
+    Unreadable instants are ignored, and a key with nothing else disappears. A missing key value is a value of its own.
     """
     rest = [c for c in rows.columns if c not in (*keys, id_col, instant)]
     where = F.struct(*[F.col(c) for c in territory])
-    tie = (
-        rows.where(F.col(instant).isNotNull())
-        .groupBy(*keys, instant)
+    read = rows.where(F.col(instant).isNotNull())
+    newest = read.groupBy(*keys).agg(F.max(instant).alias(instant))
+    same = reduce(lambda x, y: x & y, [F.col(f"_row.{c}").eqNullSafe(F.col(f"_new.{c}")) for c in (*keys, instant)])
+    tied = read.alias("_row").join(newest.alias("_new"), same, "left_semi")
+    return (
+        tied.groupBy(*keys)
         .agg(
+            F.first(instant).alias(instant),
             F.min(F.struct(F.col(id_col), *[F.col(c) for c in rest])).alias("_row"),
             F.min(price).alias("_p0"),
             F.max(price).alias("_p1"),
             F.min(where).alias("_t0"),
             F.max(where).alias("_t1"),
         )
-    )
-    newest = tie.groupBy(*keys).agg(
-        F.max(
-            F.struct(
-                F.col(instant),
-                F.col("_row"),
-                (~F.col("_p0").eqNullSafe(F.col("_p1"))).alias("price_conflict"),
-                (~F.col("_t0").eqNullSafe(F.col("_t1"))).alias("territory_conflict"),
-            )
-        ).alias("_top")
-    )
-    return newest.select(
-        *keys,
-        F.col(f"_top.{instant}").alias(instant),
-        F.col(f"_top._row.{id_col}").alias(id_col),
-        *[F.col(f"_top._row.{c}").alias(c) for c in rest],
-        "_top.price_conflict",
-        "_top.territory_conflict",
+        .select(
+            *keys,
+            instant,
+            F.col(f"_row.{id_col}").alias(id_col),
+            *[F.col(f"_row.{c}").alias(c) for c in rest],
+            (~F.col("_p0").eqNullSafe(F.col("_p1"))).alias("price_conflict"),
+            (~F.col("_t0").eqNullSafe(F.col("_t1"))).alias("territory_conflict"),
+        )
     )
 
 
@@ -160,17 +154,22 @@ def safe_lookup(
     )
 
 
-def guarded_identities(raw: DataFrame, target_ids: DataFrame, id_col: str, fields: Sequence[str]) -> DataFrame:
-    """Private columns of the selected ids. An id that occurs twice is reported as such, never resolved."""
-    wanted = raw.join(target_ids.select(id_col).distinct(), id_col, "left_semi")
+def guarded_identities(raw: DataFrame, targets: DataFrame, id_cols: str | Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Private columns of the selected ids. An id that occurs twice is reported as such, never resolved.
+
+    `targets` names ids by all their columns or by some of them; the raw table is read once.
+    """
+    ids = [id_cols] if isinstance(id_cols, str) else list(id_cols)
+    by = [c for c in ids if c in targets.columns]
+    wanted = raw.join(targets.select(*by), by, "left_semi")
     return (
-        wanted.groupBy(id_col)
+        wanted.groupBy(*ids)
         .agg(
             F.count(F.lit(1)).alias("raw_rows"),
             F.min(F.struct(*[F.col(f) for f in fields])).alias("_row"),
         )
         .select(
-            id_col,
+            *ids,
             (F.col("raw_rows") > 1).alias("repeated"),
             *[F.when(F.col("raw_rows") == 1, F.col(f"_row.{f}")).alias(f) for f in fields],
         )
@@ -215,10 +214,11 @@ def stage_reports(
 def attach_identities(staged: DataFrame, raw: DataFrame, id_col: str = "id") -> DataFrame:
     """Legal name and address of the very report that is published; adds the last two stages.
 
-    The staged rows are stored first: they say which reports to look up, and the answer is joined to them.
+    The staged rows are stored once: they say which reports to look up. The answers are stored by id alone and joined to them
+    where they are read.
     """
     staged = cut_lineage(staged)
-    identities = guarded_identities(raw, staged.where("located"), id_col, ["legal_name", "address"])
+    identities = cut_lineage(guarded_identities(raw, staged.where("located"), id_col, ["legal_name", "address"]))
     joined = staged.join(identities, id_col, "left")
     complete = (F.coalesce(F.col("legal_name"), F.lit("")) != "") & (F.coalesce(F.col("address"), F.lit("")) != "")
     repeated = F.col("located") & F.coalesce(F.col("repeated"), F.lit(False))

@@ -13,7 +13,6 @@ from pricewarden.functions.addresses import display_address
 from pricewarden.functions.ids import offer_id, site_id
 from pricewarden.functions.text import link_key
 from pricewarden.operators import catalog, funnel, live, pricing, quality, reports
-from pricewarden.session import cut_lineage
 from pricewarden.sources import versions
 
 
@@ -46,13 +45,11 @@ def build_products(
     snapshot_id: str,
     names: Namespaces,
 ) -> Built:
-    """Offers and explanations of every product of every group. The feed is staged once and stored; all five read that.
+    """Offers and explanations of every product of every group. The feed is staged and stored once; all five read that.
 
     Each product is a key, so adding a group never changes what another one gets.
     """
-    staged = cut_lineage(
-        reports.attach_identities(reports.stage_reports(feed, rules, registry, points, pricing.instant_lit(cutoff_at)), raw)
-    )
+    staged = reports.attach_identities(reports.stage_reports(feed, rules, registry, points, pricing.instant_lit(cutoff_at)), raw)
     offers = staged.where("ready").select(
         "group",
         "product",

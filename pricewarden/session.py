@@ -67,3 +67,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store it names. Every other error of the store is raised."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly below a folder; none if it is not there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(entry.getPath().getName() for entry in store.listStatus(target)) if store.exists(target) else []

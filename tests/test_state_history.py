@@ -118,6 +118,32 @@ def test_stream_equals_batches_and_restarts(spark, tmp_path):
     assert as_dict(stream.load_state(spark, root)) == units
 
 
+def test_state_is_a_log_of_changes(spark, tmp_path):
+    """Batches write the units they name; snapshots, repeated batches and lost folders in between."""
+    rng, root, at = random.Random(5), str(tmp_path), datetime(2026, 9, 22)
+    units, states = {}, []
+    for i in range(9):
+        attempts = random_attempts(rng, 12)
+        run = stream.upsert(root, lambda batch: batch, at, compact=3)
+        run(spark.createDataFrame(attempts, ATTEMPT), i)
+        if i % 4 == 1:  # once more, as after a crash before the commit
+            run(spark.createDataFrame(attempts, ATTEMPT), i)
+        units = one_by_one(units, attempts)
+        states.append(units)
+        assert as_dict(stream.load_state(spark, root, compact=3)) == units
+        written = spark.read.parquet(f"{root}/state/changes/batch={i}")
+        assert {(r.district_code, r.product) for r in written.collect()} <= {(a[0], a[1]) for a in attempts}
+    assert as_dict(stream.load_state(spark, root, before=8, compact=3)) == states[7]
+    # The folders that are left are those of two snapshots.
+    assert sorted(p.name for p in (tmp_path / "state" / "changes").iterdir()) == [f"batch={n}" for n in range(3, 9)]
+    (tmp_path / "state" / "changes" / "batch=7" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError, match="batch=7"):
+        stream.load_state(spark, root, before=8, compact=3)
+    nothing = spark.createDataFrame([], ATTEMPT)
+    stream.upsert(root, lambda batch: batch, at, compact=3)(nothing, 9)
+    assert as_dict(stream.load_state(spark, root, compact=3)) == units
+
+
 def test_daily_mean_contradictions(spark):
     rows = spark.createDataFrame(
         [("1", "a", "regular", 5.0, T0, "fresh"), ("2", "a", "regular", 5.0, T0, "fresh"), ("3", "b", "regular", 6.0, T0, "fresh"),
