@@ -19,7 +19,7 @@ MIN_DOCS = 10  # documents of a language that hold a kept term
 TOP = 10  # ranks of the part `term`
 SCALE = 1_000_000_000
 CHUNK_CELLS = 1 << 18  # entries of a table of kept terms by sources that is compared at a time
-SLICE_BYTES = 16 << 20  # text counted at a time
+SLICE_BYTES = 2 << 20  # text counted at a time
 
 # Letters of ASCII and every byte of a character outside ASCII; all else separates terms.
 NO_TERM = np.ones(256, bool)

@@ -9,7 +9,7 @@ import numpy as np
 
 from pricewarden.llm.words import HASHER
 
-PART_BYTES = 4 << 20  # bytes numbered or compared at a time, so that a long text takes no more room than a short one
+PART_BYTES = 1 << 20  # bytes numbered or compared at a time, so that a long text takes no more room than a short one
 MEMO_PIECES = 400_000  # distinct pieces a worker remembers
 MEMO_IDS = 4_000_000  # ids it remembers for them
 
