@@ -53,9 +53,14 @@ def _hex_spans(text: str) -> list[tuple[str, int, int, int]]:
 
 
 def _long_runs(text: str, taken: list[tuple[str, int, int, int]]) -> Iterator[re.Match]:
-    """The runs to be judged: long ones apart from the fixed spans."""
+    """The runs to be judged: long ones apart from the fixed spans. Runs and spans are walked side by side."""
+    spans = sorted((start, end) for _, start, end, _ in taken)
+    k, reach = 0, 0
     for m in RUN.finditer(text):
-        if m.end() - m.start() >= MIN_RUN and not any(m.start() < end and start < m.end() for _, start, end, _ in taken):
+        while k < len(spans) and spans[k][0] < m.end():  # spans that begin before the run ends; the farthest decides
+            reach = max(reach, spans[k][1])
+            k += 1
+        if m.end() - m.start() >= MIN_RUN and reach <= m.start():
             yield m
 
 
