@@ -18,7 +18,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 64, 8  # a pair at the threshold shares no band with a chance of one in 100,000
 REGISTERS = BANDS * ROWS
-MARGIN = 0.06  # 3.4 standard deviations of the estimate at the threshold; pairs estimated lower aren't verified
+MARGIN = 0.1  # 5.7 standard deviations of the estimate at the threshold: loses one pair in 10^8, far less than banding
 BLOCK_MEMBERS = 1_000  # members of a bucket that meet in one task
 
 
@@ -190,6 +190,18 @@ def _verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(lambda it: _verified(it, threshold), "a long, b long")
 
 
+def _texts_of_one_id(signed: DataFrame, reps: DataFrame, wordless: int | None) -> DataFrame:
+    """Links between the texts of a doc_id that has several, by the smallest doc_id of each text."""
+    own = signed.where(F.col("doc_id").isNotNull()).select("doc_id", "h1", "h2", F.col("signature").isNotNull().alias("full"))
+    several = own.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")])
+    several = several.where("min_h1 < max_h1 OR min_h2 < max_h2").select("doc_id")
+    named = own.join(several, "doc_id", "left_semi").join(reps, ["h1", "h2"], "left")
+    rep = F.when(F.col("full"), F.col("rep")).otherwise(F.lit(wordless).cast("long"))
+    nodes = stored(named.select("doc_id", rep.alias("b")).distinct(), "texts-of-ids")
+    least = nodes.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return nodes.join(least, "doc_id").where("a < b").select("a", "b").distinct()
+
+
 def near_duplicate_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -248,23 +260,30 @@ def near_duplicate_classes(
         .mapInArrow(lambda it: _met(it, threshold - MARGIN), "a long, b long")
     )
     more = stored(_verify(stored(met, "met"), known, threshold), "more-links")
-    classes = connected_components(links.unionByName(more))
+    wordless = signed.where(F.col("signature").isNull()).agg(F.min("doc_id")).first()[0]
+    named = reps.select("h1", "h2", "rep")
+    same = _texts_of_one_id(signed, named, wordless)
+    classes = connected_components(links.unionByName(more).unionByName(same))
 
     of_text = reps.join(classes, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("class_id"))
-    wordless = signed.where(F.col("signature").isNull()).agg(F.min("doc_id")).first()[0]
     keyed = signed.select("doc_id", "h1", "h2", F.col("signature").isNotNull().alias("full"))
-    found = F.when(F.col("full"), F.col("class_id")).otherwise(F.lit(wordless).cast("long"))
+    # Texts without words have one class, which a document of several texts may have joined to another.
+    joined_to = classes.where(F.col("node") == F.lit(wordless).cast("long")).select("component").first()
+    empty = joined_to.component if joined_to is not None else wordless
+    found = F.when(F.col("full"), F.col("class_id")).otherwise(F.lit(empty).cast("long"))
     return keyed.join(stored(of_text, "text-classes"), ["h1", "h2"], "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), found).alias("class_id")
     )
 
 
 def keep_first_of_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of the smallest doc_id of each class, all columns; rows that repeat one doc_id come down to one.
+    """The rows of the smallest doc_id of each class, all columns; rows that repeat its id and text come down to one.
 
-    Rows without doc_id stay: they belong to no class.
+    A document that has several texts keeps them all. Rows without doc_id stay: they belong to no class.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, threshold=threshold)
     first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__first"), "left_semi").dropDuplicates([id_col])
-    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__first"), "left_semi")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    once = kept.withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)}).dropDuplicates([id_col, "__h1", "__h2"])
+    return once.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
