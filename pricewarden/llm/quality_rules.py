@@ -28,8 +28,10 @@ MIN_CLASS_CHARS = 200  # below: the character histogram is too thin to judge
 MIN_HISTOGRAM_WORDS = 50  # below: so is the word histogram
 MAX_CLASS_DISTANCE = 0.30  # alone enough to reject
 ODD_CLASS_DISTANCE, ODD_WORD_DISTANCE = 0.17, 0.28  # enough together
-MIN_REFERENCE_DOCS = 20  # a language of fewer documents has no reference of its own
+# Parameters of `apply_quality_rules`, which the README states.
+MIN_REFERENCE_DOCS = 20  # a language of fewer documents has no reference, so its documents meet the plain rules alone
 PSEUDO_DOC_CHARS = 2_000  # one document adds at most this weight to a reference, so no long text rules it
+MAX_LANGUAGES = 1_000  # references that become literals of the plan; more than languages are written, an error beyond
 
 
 def words_of(text: Column) -> Column:
@@ -125,15 +127,18 @@ def word_histogram() -> Column:
     return F.transform(F.concat("word_bins", F.array(F.col("n_words") - common)), lambda x: x.cast("double"))
 
 
-def learn_references(measured: DataFrame, min_docs: int = MIN_REFERENCE_DOCS) -> list[tuple[str, list[float], list[float]]]:
-    """Reference histograms (lang, classes, words) of the languages of the word lists, if enough documents pass the plain rules.
+def learn_references(
+    measured: DataFrame, min_docs: int = MIN_REFERENCE_DOCS, pseudo_chars: int = PSEUDO_DOC_CHARS
+) -> list[tuple[str, list[float], list[float]]]:
+    """Reference histograms (lang, classes, words) of every language of which enough documents pass the plain rules.
 
     All such documents count; a long one is scaled down to a bounded weight, so that it can't rule its language. Folded
-    before the shuffle to one row per language; at most as many rows as there are word lists reach the driver.
+    before the shuffle to one row per language. Character classes need no word list, so every script has its reference; in
+    languages without a list of common words the word histogram has one bin and says nothing.
     """
     n_class, n_word = len(CLASSES) + 1, len(BINS) + 1
-    good = measured.where(F.col("lang").isin(*COMMON_WORDS) & ~base_failed())
-    weight = F.least(F.lit(1.0), F.lit(float(PSEUDO_DOC_CHARS)) / F.greatest(F.get("class_bins", n_class - 1), F.lit(1)))
+    good = measured.where(F.col("lang").isNotNull() & ~base_failed())
+    weight = F.least(F.lit(1.0), F.lit(float(pseudo_chars)) / F.greatest(F.get("class_bins", n_class - 1), F.lit(1)))
     rows = good.select("lang", weight.alias("w"), class_histogram(F.col("class_bins")).alias("h"), word_histogram().alias("v"))
     sums = [F.sum(F.get("h", i) * F.col("w")).alias(f"c{i}") for i in range(n_class)]
     sums += [F.sum(F.get("v", i) * F.col("w")).alias(f"w{i}") for i in range(n_word)]
@@ -143,7 +148,10 @@ def learn_references(measured: DataFrame, min_docs: int = MIN_REFERENCE_DOCS) ->
         _shares(F.array(*[F.col(f"c{i}") for i in range(n_class)])).alias("classes"),
         _shares(F.array(*[F.col(f"w{i}") for i in range(n_word)])).alias("words"),
     )
-    return sorted((row.lang, list(row.classes), list(row.words)) for row in shared.collect())
+    found = shared.limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError("the language column holds more values than there are languages")
+    return sorted((row.lang, list(row.classes), list(row.words)) for row in found)
 
 
 def base_failed() -> Column:
@@ -163,20 +171,21 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 def judge(measured: DataFrame, references: list[tuple[str, list[float], list[float]]]) -> DataFrame:
     """Adds class_distance, word_distance, base_failed and kept.
 
-    A document is compared with the reference of its language; one of another or no language with all references, of which the
-    nearest counts. `references` holds one entry per language of the word lists and becomes literals of the plan.
+    A document is compared with the reference of its language. One without a language is compared with all references, of which
+    the nearest counts; one of a language that has none meets the plain rules alone. `references` holds one entry per language
+    and becomes literals of the plan.
     """
 
     def nearest(counts: Column, position: int) -> Column:
         if not references:
             return F.lit(None).cast("double")
         shares = _shares(counts)
-        to = lambda p, ref: jensen_shannon(p, F.array(*[F.lit(float(x)) for x in ref[position]]))
+        known = F.create_map(*[c for ref in references for c in (F.lit(ref[0]), F.array(*[F.lit(float(x)) for x in ref[position]]))])
 
         def chosen(p: Column) -> Column:
-            found = [(F.col("lang") == ref[0], to(p, ref)) for ref in references]
-            every = F.array_min(F.array(*[distance for _, distance in found]))
-            return reduce(lambda rest, one: F.when(one[0], one[1]).otherwise(rest), found, every)
+            every = F.array_min(F.transform(F.map_values(known), lambda ref: jensen_shannon(p, ref)))
+            own = let(F.try_element_at(known, F.col("lang")), lambda ref: F.when(ref.isNotNull(), jensen_shannon(p, ref)))
+            return F.when(F.col("lang").isNull(), every).otherwise(own)
 
         return let(shares, chosen)
 
@@ -192,17 +201,20 @@ def judge(measured: DataFrame, references: list[tuple[str, list[float], list[flo
     return judged.withColumn("kept", ~F.col("base_failed") & ~odd)
 
 
-def apply_quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def apply_quality_rules(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    min_docs: int = MIN_REFERENCE_DOCS, pseudo_chars: int = PSEUDO_DOC_CHARS,
+) -> DataFrame:
     """One row per input row: the counts, both distances (null under the length guards), base_failed, kept.
 
-    Null or empty text: no words, so base_failed. Null language or one without a reference: the nearest reference counts;
-    without any reference only the base rules decide. Repeated rows: each gets its own equal row. Texts of any length are
+    Null or empty text: no words, so base_failed. Null language: the nearest reference counts. A language without a reference:
+    no distances, only the base rules decide. Repeated rows: each gets its own equal row. Texts of any length are
     measured whole. Columns besides the three are not read.
     """
     measured = stored(features(docs, id_col=id_col, text_col=text_col, lang_col=lang_col), "quality")
-    first = judge(measured, learn_references(measured))
+    first = judge(measured, learn_references(measured, min_docs, pseudo_chars))
     trimmed = first.where("kept").select(*measured.columns)  # references once more, without what they reject
-    return judge(measured, learn_references(trimmed))
+    return judge(measured, learn_references(trimmed, min_docs, pseudo_chars))
 
 
 def reject_low_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -302,6 +302,59 @@ def test_hot_buckets_lose_no_link(spark):
     assert dict(rows(near_dups.near_duplicate_classes(frame))) == brute.near_classes(texts)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    """Ids with several texts join what each text is near to; all texts of the smallest id stay."""
+    near = lambda n: " ".join(f"{n}{i}" for i in range(60))
+    rows = [(7, near("a")), (7, near("b")), (9, near("a")), (8, near("b") + " more"), (1, near("c")), (3, near("c")), (3, near("d")), (2, near("d")),
+            (5, ""), (4, ""), (6, " "), (6, near("e")), (6, near("e")), (10, near("e"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {}
+    for r in near_dups.near_duplicate_classes(frame).collect():
+        classes.setdefault(r.doc_id, set()).add(r.class_id)
+    assert classes == {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {4}, 6: {4}, 10: {4}, 7: {7}, 8: {7}, 9: {7}}
+    assert sorted(map(tuple, near_dups.keep_first_of_classes(frame).collect())) == sorted([(1, near("c")), (4, ""), (7, near("a")), (7, near("b"))])
+
+
+def test_pairs_at_the_threshold_are_verified(spark):
+    """Texts of 80 of 100 shingles in common, at exactly 0.8, from many places of the text."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for d in range(60):
+        base = [f"p{d}w{i}" for i in range(94)]  # 90 shingles; another text keeps 80 of them and has 10 more
+        texts[2 * d] = " ".join(base)
+        texts[2 * d + 1] = " ".join([*base[:84], *[f"q{d}x{i}" for i in range(10 if rng.random() < 0.5 else 11)]])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(rows(near_dups.near_duplicate_classes(frame))) == brute.near_classes(texts)
+
+
+def test_languages_without_word_lists_have_their_own_references(spark):
+    """Clean text of other scripts stays, with and without enough documents for a reference; its junk goes with one."""
+    rng = np.random.default_rng(2)
+
+    def prose(letters, n=120):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n)) + "."
+
+    arabic, hindi, korean = "ابتثجحخدذرزسش", "कखगघचछजझटठडढण", "가나다라마바사아자차"
+    rows = [(i, prose(arabic), "ar") for i in range(40)] + [(100 + i, prose(hindi), "hi") for i in range(5)]
+    rows += [(200 + i, prose(korean), "ko") for i in range(30)] + [(300 + i, prose("abcdefghij"), "en") for i in range(40)]
+    rows += [(900, prose("#$%&*|<>^~"), "ar"), (901, prose("0123456789+-="), "ko")]
+    judged = {r.doc_id: r.kept for r in quality_rules.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not judged.pop(900) and not judged.pop(901)
+    assert all(judged.values())
+
+
+def test_secret_runs_take_linear_time():
+    import time
+
+    text = " ".join(f"password = hunter{i:06d} " + "ab1" * 8 + f" wordy_identifier_{i}_of_the_list" for i in range(100_000))
+    assert len(text) > 7_000_000
+    began = time.process_time()
+    ratios = np.zeros((secret_scan.STATES, secret_scan.STATES))
+    found = secret_scan._spans(pa.array([text]), ratios)[0]
+    assert time.process_time() - began < 30
+    assert sum(s["kind"] == "assign" for s in found) == 100_000
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 150)], "a long, b long")
     assert dict(rows(connected_components(links))) == {**{i: 1 for i in range(1, 41)}, 100: 100, 150: 100, 200: 100}
