@@ -21,7 +21,8 @@ MIN_IDF, MAX_IDF = math.log(8), math.log(2000)  # terms in one document of 8 to
 LEVELS, PER_LEVEL = 10, 6  # subsets of level j keep a term with probability 2^-(j+1)
 SUBSETS = LEVELS * PER_LEVEL
 HASH_BYTES = 3  # of each subset in the fingerprint
-BUCKET_BITS = 9  # neighbouring documents are met in groups of 2^9 ids
+CUT_SAMPLE = 200  # ids drawn for each stretch of the order of documents
+LOWEST, HASH_TOP = -(1 << 63), (1 << 63) - 1
 FLUSH_TERMS = 1 << 20  # distinct terms a task holds before it sends its counts
 
 
@@ -142,6 +143,7 @@ def edited_text(text: str, following: str) -> str:
 
 
 _COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in _COLUMNS.split(", ")]
 
 
 def _compared(ids: pa.Array, own: list[str], following: list[str], prints: np.ndarray, next_prints: np.ndarray, lexicon: np.ndarray) -> list[pa.Array]:
@@ -158,46 +160,94 @@ def _compared(ids: pa.Array, own: list[str], following: list[str], prints: np.nd
     ]
 
 
+def _cuts(docs: DataFrame, id_col: str, tasks: int) -> list[tuple[int, int]]:
+    """Where the descending order of ids is cut into `tasks` stretches of about as many rows: (id, hash) each stretch ends before.
+
+    Taken from a sample of the ids alone, about CUT_SAMPLE rows a stretch; it only balances the work. An id that fills several
+    stretches is cut by the hash of its texts.
+    """
+    ids = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LOWEST)).alias("id"))
+    n = ids.count()
+    share = min(1.0, CUT_SAMPLE * tasks / max(n, 1))
+    drawn = np.sort(ids.sample(share, seed=7).toArrow().column(0).to_numpy())[::-1]
+    if not len(drawn):
+        return []
+    picked = [int(drawn[k * len(drawn) // tasks]) for k in range(1, tasks)]
+    cuts = []
+    for value in sorted(set(picked), reverse=True):
+        many = picked.count(value)
+        cuts += [(value, HASH_TOP - (2 * HASH_TOP + 1) * k // many) for k in range(many)]
+    return cuts
+
+
+def _walk(batches: Iterator[pa.RecordBatch], lexicon: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of one stretch, each compared with the one after it. The first brings its text along, and so does the last, which waits for its next."""
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    held: tuple | None = None
+    part = head = None
+
+    def rows(columns: list[pa.Array], first: str | None, last: str | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        heads, tails = pa.array([first, *[None] * (n - 1)], pa.string()), pa.array([*[None] * (n - 1), last], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), *columns, heads, tails], ["part", *NAMES, "head", "tail"])
+
+    for batch in batches:
+        for some in sliced(batch, "packed"):
+            column = unpack(some.column("packed"))
+            part = some.column("part")[0].as_py()
+            prints = fingerprint(column, lexicon)
+            ids, own = some.column("doc_id"), column.to_pylist()
+            if held is None:
+                head = own[0]
+            else:
+                ids, own, prints = pa.concat_arrays([held[0], ids]), [held[1], *own], np.concatenate([held[2], prints])
+            n = len(own)
+            if n > 1:
+                yield rows(_compared(ids[: n - 1], own[: n - 1], own[1:], prints[: n - 1], prints[1:], lexicon), head, None)
+                head = None
+            held = ids[n - 1 :], own[-1], prints[n - 1 :]
+    if held is not None:
+        none = [pa.nulls(1, kind) for kind in kinds]
+        yield rows([held[0], none[1], none[2], _bytes(held[2]), *none[4:]], head, held[1])
+
+
 def edit_stability(docs: DataFrame, lexicon: np.ndarray | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every document, of its edited text, and how alike they and the next document's are.
 
-    The next document is the one before in doc_id order, after the smallest comes the largest. Documents meet in buckets of
-    neighbouring ids, so a text moves once. Within a bucket all but the smallest id find their next document; for those, the
-    first text of the next bucket below comes by a join of one row per bucket.
+    The next document is the one before in doc_id order, after the smallest comes the largest. Documents are dealt to stretches of
+    the descending order and walked there one after the other, a slice at a time, so a text moves once and no group is held,
+    however long its texts are or however often an id repeats. The last of a stretch meets the first of the next one by a join of
+    one row per stretch.
 
     Null or empty text: empty; its fingerprint is all zeros. Null doc_id: smaller than every other. Repeated ids follow
-    each other by text. A single row is its own next document. Further columns are not read.
+    each other by a hash of their texts. A single row is its own next document. Further columns are not read.
     """
     lexicon = learn_lexicon(docs, text_col=text_col) if lexicon is None else lexicon
-    lowest = F.lit(-(1 << 63))
-    source = texts(docs, id_col, text_col)
-    bucketed = source.withColumn("bucket", F.shiftright(F.coalesce("doc_id", lowest), BUCKET_BITS))
-
-    def neighbours(table: pa.Table) -> pa.Table:
-        column = unpack(table.column("packed"))
-        table = pa.table({"doc_id": table.column("doc_id"), "bucket": table.column("bucket"), "text": column}).sort_by([("text", "ascending")])
-        order = pc.sort_indices(table, [("doc_id", "descending")], null_placement="at_end")
-        table = table.take(order).combine_chunks()
-        ids, column = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
-        own, n = column.to_pylist(), table.num_rows
-        prints = fingerprint(column, lexicon)
-        done = _compared(ids[: n - 1], own[: n - 1], own[1:], prints[: n - 1], prints[1:], lexicon)
-        none = lambda kind: pa.nulls(1, kind)
-        last = [ids[n - 1 :], none(pa.int64()), none(pa.binary()), _bytes(prints[n - 1 :]), none(pa.binary()), none(pa.float64()), none(pa.float64())]
-        whole = [pa.concat_arrays([a, b]) for a, b in zip(done, last, strict=True)]
-        heads, tails = pa.array([own[0], *[None] * (n - 1)], pa.string()), pa.array([*[None] * (n - 1), own[-1]], pa.string())
-        return pa.Table.from_arrays([table.column("bucket"), *whole, heads, tails], ["bucket", *names, "head", "tail"])
-
-    names = [c.split()[0] for c in _COLUMNS.split(", ")]
-    packed = bucketed.mapInArrow(pack_text, "doc_id long, packed binary, bucket long")
-    met = stored(packed.groupBy("bucket").applyInArrow(neighbours, f"bucket long, {_COLUMNS}, head string, tail string"), "neighbours")
-    heads = met.where(F.col("head").isNotNull()).select("bucket", "head", F.col("fingerprint").alias("head_print"))
-    below = _next_bucket(heads.select("bucket"))
+    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = _cuts(docs, id_col, tasks)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The complement of a number reverses the order of numbers; cuts fall, so their complements rise.
+        bounds = np.array([(~i, ~h) for i, h in cuts], [("id", "i8"), ("h", "i8")])
+        for batch in batches:
+            keys = np.empty(batch.num_rows, bounds.dtype)
+            keys["id"] = ~pc.fill_null(batch.column("doc_id"), LOWEST).to_numpy(zero_copy_only=False)
+            keys["h"] = ~batch.column("h").to_numpy()
+            order = np.searchsorted(bounds, keys, "left")
+            yield from pack_text([batch.append_column("part", pa.array(order.astype(np.int32)))])
+
+    source = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    dealt = source.select("doc_id", "h", "text").mapInArrow(deal, "doc_id long, h long, packed binary, part int")
+    walked = dealt.repartitionById(tasks, F.col("part")).sortWithinPartitions("part", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    met = stored(walked.mapInArrow(lambda it: _walk(it, lexicon), f"part int, {_COLUMNS}, head string, tail string"), "neighbours")
+    heads = met.where(F.col("head").isNotNull()).select("part", "head", F.col("fingerprint").alias("head_print"))
+    # One row per stretch: a window without a key is bounded by the number of tasks.
+    following = heads.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy())).alias("next_part"))
     pairs = (
         met.where(F.col("tail").isNotNull())
-        .select("bucket", "doc_id", "tail", "fingerprint")
-        .join(below, "bucket")
-        .join(heads.withColumnRenamed("bucket", "next_bucket"), "next_bucket")
+        .select("part", "doc_id", "tail", "fingerprint")
+        .join(following, "part")
+        .join(heads.withColumnRenamed("part", "next_part"), "next_part")
         .select("doc_id", "tail", "fingerprint", "head", "head_print")
     )
 
@@ -208,23 +258,8 @@ def edit_stability(docs: DataFrame, lexicon: np.ndarray | None = None, *, id_col
                     part.column("doc_id"), part.column("tail").to_pylist(), part.column("head").to_pylist(),
                     _numbers(part.column("fingerprint")), _numbers(part.column("head_print")), lexicon,
                 )
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                yield pa.RecordBatch.from_arrays(arrays, NAMES)
 
-    rows = met.where(F.col("tail").isNull()).select(*names).unionByName(pairs.mapInArrow(across, _COLUMNS))
+    rows = met.where(F.col("tail").isNull()).select(*NAMES).unionByName(pairs.mapInArrow(across, _COLUMNS))
     written = {c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}
     return rows.withColumns(written)
-
-
-def _next_bucket(buckets: DataFrame) -> DataFrame:
-    """(bucket, next_bucket): the next smaller bucket that has rows, for the smallest the largest.
-
-    Found in groups of 2^12 bucket numbers; only the largest of each group, one row per two million ids, meet in one order.
-    """
-    groups = buckets.withColumn("group", F.shiftright("bucket", 12))
-    inside = groups.withColumn("found", F.lag("bucket").over(W.partitionBy("group").orderBy("bucket")))
-    tops = groups.groupBy("group").agg(F.max("bucket").alias("top"))
-    above = tops.withColumn("below", F.lag("top").over(W.orderBy("group")))
-    largest = tops.agg(F.max("top").alias("largest"))
-    linked = inside.join(above.select("group", "below"), "group")
-    top = largest.first().largest
-    return linked.select("bucket", F.coalesce("found", "below", F.lit(top).cast("long")).alias("next_bucket"))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 KINDS = ("assign", "access", "hex", "random")
 
 

@@ -135,6 +135,68 @@ def test_edits(spark, given, texts):
     assert sum(r.near_edited > r.near_next for r in found) > 0.8 * len(found)
 
 
+def plain_prints(texts: dict, lexicon: set, hashes) -> dict:
+    """doc_id -> the hash of each lexicon subset, by the sets themselves."""
+    subsets = {w: int(fingerprints._masks(np.array([h], np.uint64))[0]) for w, h in hashes.items()}
+    mixed = {w: int(fingerprints.mix(np.array([h], np.uint64), 7)[0]) for w, h in hashes.items()}
+    out = {}
+    for d, text in texts.items():
+        own = set(brute.TERM.findall(brute.low(text)))
+        kept = {w for w in own if hashes[w] in lexicon} or own
+        prints = []
+        for k in range(fingerprints.SUBSETS):
+            chosen = [mixed[w] for w in kept if subsets[w] >> k & 1]
+            value = int(fingerprints.mix(np.array([sum(chosen) % 2**64], np.uint64), 11)[0]) >> (64 - 8 * fingerprints.HASH_BYTES)
+            prints.append((value or 1) if chosen else 0)
+        out[d] = prints
+    return out
+
+
+def test_fingerprints_and_likeness(spark, given, texts):
+    """Fingerprints, near_edited and near_next of a part of the documents by sets of terms."""
+    some = dict(list(texts.items())[:40])
+    frame = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(5)
+    expected = brute.edited(some)
+    vocabulary = sorted({w for t in [*some.values(), *expected.values()] for w in brute.TERM.findall(brute.low(t))})
+    column = pa.array(vocabulary)
+    owner, found = fingerprints.terms(column)
+    hashes = {vocabulary[o]: h for o, h in zip(owner.tolist(), found.tolist(), strict=True)}
+    df = {}
+    for t in some.values():
+        for w in set(brute.TERM.findall(brute.low(t))):
+            df[w] = df.get(w, 0) + 1
+    band = {hashes[w] for w, n in df.items() if fingerprints.MIN_IDF <= np.log(len(some) / n) <= fingerprints.MAX_IDF}
+    assert set(fingerprints.learn_lexicon(frame).tolist()) == band
+    own, edited = plain_prints(some, band, hashes), plain_prints(expected, band, hashes)
+    ids = sorted(some, reverse=True)
+
+    def alike(a, b):
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    written = lambda prints: "".join(f"{x:0{2 * fingerprints.HASH_BYTES}x}" for x in prints)
+    got = {r.doc_id: r for r in fingerprints.edit_stability(frame).collect()}
+    for i, d in enumerate(ids):
+        after = own[ids[(i + 1) % len(ids)]]
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (written(own[d]), written(edited[d]))
+        assert got[d].near_edited == pytest.approx(alike(own[d], edited[d])) and got[d].near_next == pytest.approx(alike(own[d], after))
+
+
+def test_neighbours_of_sparse_repeated_and_missing_ids(spark):
+    """Ids far apart, one id many times, many rows without id, long texts: every row meets the one after it."""
+    rng = np.random.default_rng(4)
+    rows_in = [(int(i), f"text {i} " * 5) for i in rng.integers(-(2**62), 2**62, 60)] + [(2**63 - 1, "top of all"), (-(2**63), "lowest of all")]
+    rows_in += [(5, f"copy {i}") for i in range(300)] + [(None, f"nobody {i}") for i in range(300)] + [(5, "copy 1")] * 3 + [(9, "z" * 100_000)]
+    frame = spark.createDataFrame(rows_in, "doc_id long, text string").repartition(7)
+    got = fingerprints.edit_stability(frame).collect()
+    assert len(got) == len(rows_in)
+    marked = frame.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    order = sorted(marked, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.h))
+    expected = [(r.doc_id, len(r.text), brute.sha(fingerprints.edited_text(r.text, order[(i + 1) % len(order)].text))) for i, r in enumerate(order)]
+    assert sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in got), key=str) == sorted(expected, key=str)
+    assert len(fingerprints.edit_stability(frame.where("doc_id = 9")).collect()) == 1
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     scored = QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").toPandas()
