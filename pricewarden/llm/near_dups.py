@@ -18,7 +18,7 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 64, 8  # a pair at the threshold shares no band with a chance of one in 100,000
 REGISTERS = BANDS * ROWS
-MARGIN = 0.1  # 5.7 standard deviations of the estimate at the threshold: loses one pair in 10^8, far less than banding
+MARGIN = 0.08  # 4.5 standard deviations of the estimate at the threshold: loses 3 pairs in a million, fewer than banding
 BLOCK_MEMBERS = 1_000  # members of a bucket that meet in one task
 
 
