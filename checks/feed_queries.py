@@ -168,7 +168,7 @@ def version_write(spark, sf_dir):
     revision = versions.write_version(offers, root, "v-", "snap")
     if versions.write_version(offers.orderBy(F.desc("id")), root, "v-", "snap") != revision:
         raise AssertionError("the same content got another revision")
-    manifest = spark.read.parquet(f"{root}/{versions.MANIFEST}")
+    manifest = versions.read_manifest(spark, root)
     read = versions.read_version(spark, root, revision).withColumn("revision_id", F.lit(revision))
     wrong = versions.manifest_errors(read, manifest).groupBy("product").agg(F.count(F.lit(1)).alias("problems"))
     counted = manifest.groupBy("product").agg(F.max("rows").alias("rows"), F.count_distinct("revision_id").alias("revisions"))

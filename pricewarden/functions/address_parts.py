@@ -136,7 +136,11 @@ def _parts(text: Column) -> Column:
     other = tuple(w for w in (*_OPENING, "KM") if w not in _NAMING)
     naming = F.transform(F.filter(pieces, lambda p: ~opens(other)(p)), _named)
     settled = F.flatten(F.transform(F.filter(pieces, opens(LOCALITY_WORDS)), _words))
-    generic = (*GENERIC_LOCALITY_WORDS, *LOCALITY_WORDS, *GENERIC_STREET_WORDS, *EMPTY_WORDS)
+    generic = ("NRO", *GENERIC_LOCALITY_WORDS, *LOCALITY_WORDS, *GENERIC_STREET_WORDS, *EMPTY_WORDS)
+    # After a kilometre, a block or the mark for no number, only a number sign tells a door; numbers right after it are doors too.
+    beside = F.filter(pieces, opens(("KM", "SN", *BLOCK_WORDS)))
+    signed = F.flatten(F.transform(beside, lambda p: F.regexp_extract_all(p, F.lit(rf"\bNRO ((?:{_NUMBER}(?: |$))+)"), F.lit(1))))
+    numbered = F.transform(F.flatten(F.transform(signed, _words)), lambda w: F.regexp_extract(w, r"^\d+", 0))
     km = F.regexp_extract_all(head, F.lit(r"\bKM (\d+(?:\.\d+)?)\b"), F.lit(1))
     blocks = F.regexp_extract_all(
         text, F.lit(rf"\b{_any(BLOCK_WORDS)} (?!{_any((*BLOCK_WORDS, *LOT_WORDS, *LOCALITY_WORDS))}\b)([A-Z]{{1,2}} \d{{1,2}}(?= {_any(LOT_WORDS)}\b|$)|[A-Z0-9]{{1,4}}\b)"), F.lit(1)
@@ -156,7 +160,7 @@ def _parts(text: Column) -> Column:
                 )
             ).alias("generics"),
             _sorted(F.filter(settled, lambda w: (F.length(w) >= 3) & ~w.isin(*generic) & ~w.rlike(r"^\d|[_/.]"))).alias("locality"),
-            _sorted(F.filter(_unpadded(F.flatten(F.transform(streets, lambda s: s["doors"]))), lambda n: F.length(n).between(2, 5))).alias("doors"),
+            _sorted(F.filter(_unpadded(F.concat(F.flatten(F.transform(streets, lambda s: s["doors"])), numbered)), lambda n: F.length(n).between(2, 5))).alias("doors"),
             _sorted(F.transform(_unpadded(km), lambda n: F.regexp_replace(n, r"\.0+$|(\.\d*?)0+$", "$1"))).alias("km"),
             _sorted(F.transform(blocks, lambda b: F.regexp_replace(F.replace(b, F.lit(" "), F.lit("")), r"^([A-Z]*)0+(?=\d)", "$1"))).alias("blocks"),
             _sorted(_unpadded(F.filter(F.flatten(lots), lambda w: ~w.isin("NRO", "SUB")))).alias("lots"),

@@ -74,3 +74,27 @@ def children(spark: SparkSession, path: str) -> list[str]:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return sorted(entry.getPath().getName() for entry in store.listStatus(target)) if store.exists(target) else []
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, or leave the one that is there; whether this call made it. Of several writers one succeeds."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = store.create(target, False)
+    except Exception as error:  # the store's own way to say that the file exists; everything else is raised
+        if store.exists(target):
+            return False
+        raise error
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder to a name that nothing has yet; whether this call did."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    store = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not store.exists(b) and bool(store.rename(a, b))

@@ -1,12 +1,14 @@
-"""Content-addressed versions: the revision is the content, and the manifest row comes last."""
+"""Content-addressed versions: the revision is the content, and its commit comes last."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewarden.functions.ids import content_digest, row_sha256
-from pricewarden.session import cut_lineage, exists
+from pricewarden.session import cut_lineage, exists, move, put_if_absent, remove
 
 MANIFEST = "manifest"
 OFFERS = "offers"
@@ -44,32 +46,40 @@ def archive_hash(objects: DataFrame, prefix: str) -> DataFrame:
 def write_version(offers: DataFrame, root: str, prefix: str, snapshot_id: str) -> str:
     """Write a version once. The same content gives the same revision and is not written again.
 
-    Data first, manifest row last: readers go through the manifest, so a lost executor or a failed
-    job never shows half a version. A folder that a job finished is never written again: it must hold
-    exactly this content, product by product in both directions, or the write fails. A folder that no
-    job finished was never visible and is written anew.
+    Data first, the commit last. Each writer puts its rows into a folder of its own, which then takes the revision's name if no
+    other has it; a folder of that name must hold exactly this content, product by product in both directions, or the
+    write fails. The commit is one file per revision that only the first writer can create, and the manifest is what the commits
+    say: however many writers meet, a revision is there once or not at all, and a lost executor never shows half of one.
     """
     spark = offers.sparkSession
     offers = cut_lineage(offers)
     digests = cut_lineage(product_digests(offers))
     revision = revision_id(digests, prefix, snapshot_id).first()["revision_id"]
-    if exists(spark, f"{root}/{MANIFEST}"):
-        if not spark.read.parquet(f"{root}/{MANIFEST}").where(F.col("revision_id") == revision).isEmpty():
-            return revision
-    path = f"{root}/{OFFERS}/revision_id={revision}"
-    if exists(spark, f"{path}/_SUCCESS"):
-        held = product_digests(spark.read.parquet(path))
-        if not held.exceptAll(digests).isEmpty() or not digests.exceptAll(held).isEmpty():
-            raise ValueError(f"{revision} exists with other content")
-    else:
-        unfinished = exists(spark, path)
-        offers.drop("revision_id").write.mode("overwrite" if unfinished else "errorifexists").parquet(path)
-    digests.withColumn("revision_id", F.lit(revision)).withColumn("snapshot_id", F.lit(snapshot_id)).coalesce(
-        1
-    ).write.mode("append").parquet(f"{root}/{MANIFEST}")
+    commit = f"{root}/{MANIFEST}/{revision}.json"
+    if exists(spark, commit):
+        return revision
+    path, own = f"{root}/{OFFERS}/revision_id={revision}", f"{root}/{OFFERS}/_writing-{uuid.uuid4().hex}"
+    if not exists(spark, path):
+        offers.drop("revision_id").write.mode("errorifexists").parquet(own)
+        if not move(spark, own, path):
+            remove(spark, own)  # somebody else was first
+    held = product_digests(spark.read.parquet(path))
+    if not held.exceptAll(digests).isEmpty() or not digests.exceptAll(held).isEmpty():
+        raise ValueError(f"{revision} exists with other content")
+    # One line per published product, which the configuration bounds.
+    lines = digests.select(F.to_json(F.struct(F.lit(revision).alias("revision_id"), F.lit(snapshot_id).alias("snapshot_id"), *digests.columns)).alias("line"))
+    put_if_absent(spark, commit, "".join(f"{line}\n" for line in sorted(row["line"] for row in lines.collect())))
     return revision
 
 
+def read_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """Every committed product of every revision: revision_id, snapshot_id, product, rows, sha256."""
+    schema = "revision_id string, snapshot_id string, product string, rows long, sha256 string"
+    if not exists(spark, f"{root}/{MANIFEST}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(f"{root}/{MANIFEST}")
+
+
 def read_version(spark: SparkSession, root: str, revision: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{OFFERS}/revision_id={revision}")
 

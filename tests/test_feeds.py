@@ -14,6 +14,7 @@ from pricewarden.functions.parse import parse_captured_price, parse_instant, par
 from pricewarden.operators import funnel, reports
 from pricewarden.plans import publish
 from pricewarden.schemas import LIQUID, LPG
+from pricewarden import session
 from pricewarden.sources import delimited, places, reference, versions
 
 HEADER = (
@@ -102,6 +103,26 @@ def test_version_folder_with_other_content_fails(spark, tmp_path):
         assert not (tmp_path / f"held{len(held)}" / "manifest").exists()
 
 
+def test_two_writers_commit_one_revision(spark, tmp_path, monkeypatch):
+    """Both write the same content at once; each row of the manifest and of the version is there once."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    offers = spark.createDataFrame([(1, "regular", 5.0), (2, "premium", 6.0)], "id int, product string, price double")
+    with ThreadPoolExecutor(4) as pool:
+        found = set(pool.map(lambda _: versions.write_version(offers, root, "p-", "s"), range(4)))
+    assert len(found) == 1
+    revision = found.pop()
+    assert versions.read_version(spark, root, revision).count() == 2
+    manifest = versions.read_manifest(spark, root)
+    assert manifest.count() == 2 and manifest.select("product").distinct().count() == 2
+    assert [p.name for p in (tmp_path / "offers").iterdir()] == [f"revision_id={revision}"]
+    # A writer that only comes to its commit when another has made it adds nothing.
+    monkeypatch.setattr(versions, "exists", lambda spark, path: not path.endswith(".json") and session.exists(spark, path))
+    assert versions.write_version(offers, root, "p-", "s") == revision
+    assert versions.read_manifest(spark, root).count() == 2
+
+
 def test_state_after_a_lost_batch_fails(spark, tmp_path):
     from pricewarden.streaming import state
 
@@ -251,7 +272,7 @@ def test_release_is_written_once_and_checked(spark, tmp_path):
     revision, problems = publish.release(offers, built.metrics, None, root, **options)
     assert revision.startswith("glp-s1-") and problems.count() == 0
     assert publish.release(offers, built.metrics, None, root, **options)[0] == revision
-    manifest = spark.read.parquet(f"{root}/manifest")
+    manifest = versions.read_manifest(spark, root)
     assert manifest.count() == 1
     data = versions.read_version(spark, root, revision).withColumn("revision_id", F.lit(revision))
     assert versions.manifest_errors(data, manifest).count() == 0
