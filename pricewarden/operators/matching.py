@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricewarden.functions import addresses as A
 from pricewarden.functions import geo
+from pricewarden.functions.graph import pair_components
 from pricewarden.functions.skew import split_join
 from pricewarden.functions.text import fold
 from pricewarden.session import cut_lineage
@@ -212,23 +214,28 @@ def scored_pairs(places: DataFrame, sites: DataFrame) -> DataFrame:
 # --- assignment ---------------------------------------------------------------------------------
 
 
-def greedy_assign(pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment by score, as if pairs were taken one by one from the best down.
+# Rounds of mutual choices before what is left is told apart by components, and the pairs of one component that a task takes whole.
+FIRST_ROUNDS = 3
+COMPONENT_PAIRS = 200_000
 
-    Under a strict total order a pair that is the best of both its place and its site is taken by
-    the one-by-one rule too, so each round takes all of those at once and drops the pairs they
-    block. Rounds repeat until no pair is left; no candidate is ever cut off. What a round takes is
-    written once and never again.
-    """
-    rank = F.struct(
+
+def _rank() -> Column:
+    return F.struct(
         (-F.col("score")).alias("worse"),
         F.col("distance_m").alias("distance"),
         F.col("place_id").alias("place"),
         F.col("site_id").alias("site"),
     )
-    remaining = cut_lineage(pairs.select("place_id", "site_id", rank.alias("rank")))
+
+
+def _mutual_rounds(remaining: DataFrame, most: int | None = None) -> tuple[list[DataFrame], DataFrame]:
+    """What rounds of mutual choices take, and the pairs left after `most` rounds (none if there is no limit).
+
+    Under a strict total order a pair that is the best of both its place and its site is taken by the one-by-one rule too,
+    so each round takes all of those at once and drops the pairs they block. What a round takes is written once.
+    """
     rounds: list[DataFrame] = []
-    while not remaining.isEmpty():
+    while (most is None or len(rounds) < most) and not remaining.isEmpty():
         by_place = remaining.groupBy("place_id").agg(F.min("rank").alias("rank"))
         by_site = remaining.groupBy("site_id").agg(F.min("rank").alias("rank"))
         mutual = cut_lineage(
@@ -242,6 +249,42 @@ def greedy_assign(pairs: DataFrame) -> DataFrame:
                 mutual.select("site_id"), "site_id", "left_anti"
             )
         )
+    return rounds, remaining
+
+
+def _one_by_one(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one component taken from the best down, each side once."""
+    places, sites, kept = set(), set(), []
+    ordered = pairs.sort_values(["worse", "distance", "place_id", "site_id"], kind="stable")
+    for i, place, site in zip(ordered.index, ordered["place_id"], ordered["site_id"], strict=True):
+        if place not in places and site not in sites:
+            places.add(place)
+            sites.add(site)
+            kept.append(i)
+    return pairs.loc[kept, ["place_id", "site_id", "worse", "distance"]]
+
+
+def greedy_assign(pairs: DataFrame, first_rounds: int = FIRST_ROUNDS, component_pairs: int = COMPONENT_PAIRS) -> DataFrame:
+    """One-to-one assignment by score, as if pairs were taken one by one from the best down.
+
+    A few rounds of mutual choices settle most pairs. What is left falls into components that share no place and no site,
+    and each is settled by itself: one of at most `component_pairs` pairs in a grouped step, a larger one by more
+    rounds. A chain in which every choice waits for the one before takes a number of jobs that grows with its logarithm. No candidate
+    is ever cut off.
+    """
+    rounds, remaining = _mutual_rounds(cut_lineage(pairs.select("place_id", "site_id", _rank().alias("rank"))), first_rounds)
+    if not remaining.isEmpty():
+        named = cut_lineage(remaining.join(pair_components(remaining, "place_id", "site_id"), "place_id"))
+        sizes = named.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > component_pairs).select("component")
+        flat = named.select("component", "place_id", "site_id", F.col("rank.worse").alias("worse"), F.col("rank.distance").alias("distance"))
+        kinds = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
+        schema = ", ".join(f"{c} {kinds[c]}" for c in ("place_id", "site_id", "worse", "distance"))
+        settled = flat.join(large, "component", "left_anti").groupBy("component").applyInPandas(_one_by_one, schema)
+        rank = F.struct("worse", "distance", F.col("place_id").alias("place"), F.col("site_id").alias("site"))
+        rounds.append(cut_lineage(settled.select("place_id", "site_id", rank.alias("rank"))))
+        rest = cut_lineage(named.join(large, "component", "left_semi").select("place_id", "site_id", "rank"))
+        rounds += _mutual_rounds(rest)[0]
     return reduce(DataFrame.unionByName, rounds) if rounds else remaining
 
 

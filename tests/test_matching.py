@@ -122,6 +122,33 @@ def test_assignment_equals_one_by_one(spark, seed):
     assert matching.greedy_assign(frame.where("score < 0")).count() == 0
 
 
+@pytest.mark.parametrize("first, most", [(3, 200_000), (0, 200_000), (0, 3), (1, 12)])
+def test_components_and_rounds_assign_alike(spark, first, most):
+    rows, frame = pairs_frame(spark, random.Random(31), 30, 30, 0.08)
+    taken, places, sites = set(), set(), set()
+    for place, site, *_ in sorted(rows, key=lambda r: (-r[3], r[2], r[0], r[1])):
+        if place not in places and site not in sites:
+            places.add(place)
+            sites.add(site)
+            taken.add((place, site))
+    got = matching.greedy_assign(frame, first, most).select("place_id", "site_id", "rank").collect()
+    assert {(r.place_id, r.site_id) for r in got} == taken and len(got) == len(taken)
+    assert all((r["rank"]["place"], r["rank"]["site"]) == (r.place_id, r.site_id) for r in got)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """Every pair but the best waits for the one before it: a round of mutual choices settles one of them."""
+    n = 1000
+    rows = [(f"p{i:04d}", f"s{i:04d}", 5.0, 2000.0 - 2 * i) for i in range(n)] + [(f"p{i + 1:04d}", f"s{i:04d}", 5.0, 1999.0 - 2 * i) for i in range(n - 1)]
+    frame = spark.createDataFrame(rows, "place_id string, site_id string, distance_m double, score double")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {(r.place_id, r.site_id) for r in matching.greedy_assign(frame).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {(f"p{i:04d}", f"s{i:04d}") for i in range(n)}
+    assert jobs < 300
+
+
 def test_circle_box_keeps_everything_inside(spark):
     rng = random.Random(9)
     points = cloud(rng, 300, -12.1, -77.0, 0.05)
