@@ -91,21 +91,24 @@ def spatial_pairs(
     return near.withColumn("distance_m", distance).where(F.col("distance_m") <= metres).drop("_cell")
 
 
-# How often a cell that a circle cuts is quartered before its spots are looked at one by one.
-QUARTERINGS = 2
+# A cell that a circle cuts is quartered as long as it holds more spots than this, down to a depth at which cells are points.
+CELL_SPOTS = 24
+MOST_QUARTERINGS = 16
 
 
-def neighbour_counts(sites: DataFrame, metres: float, radius: float = geo.EARTH_M_ROUND) -> DataFrame:
+def neighbour_counts(
+    sites: DataFrame, metres: float, radius: float = geo.EARTH_M_ROUND, cell_spots: int = CELL_SPOTS
+) -> DataFrame:
     """Sites within `metres` of each site, itself included.
 
     Sites on the same spot are counted once and weighted. Cells that lie wholly inside the circle add their
-    total. A cell that the circle cuts is quartered, level by level, so only the narrow rim of the circle is
-    looked at spot by spot, however dense the sites lie.
+    total. A cell that the circle cuts is looked at spot by spot only if it holds few spots; else it is quartered, and so are
+    its quarters, as deep as the spots lie dense. The rim that is compared spot by spot shrinks as the density grows, so a
+    centre meets a number of cells and spots that hardly follows it.
     """
-    spots = sites.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n"))
+    spots = cut_lineage(sites.groupBy("latitude", "longitude").agg(F.count(F.lit(1)).alias("n")))
     height = geo.grid_height(metres) / 2
-    cells = {f"_c{k}": geo.grid_cell(F.col("latitude"), F.col("longitude"), height / 2**k) for k in range(QUARTERINGS + 1)}
-    placed = cut_lineage(spots.withColumns(cells))
+    cell = lambda k: geo.grid_cell(F.col("latitude"), F.col("longitude"), height / 2**k)
     centre = F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("centre")
     half = geo.grid_height(metres)
     half_lon = F.least(
@@ -122,23 +125,28 @@ def neighbour_counts(sites: DataFrame, metres: float, radius: float = geo.EARTH_
     inside = F.greatest(*corners) * (1 + 1e-9) + 1e-6 < metres
     clamp = lambda at, name: F.greatest(F.col(f"_min_{name}"), F.least(at, F.col(f"_max_{name}")))
     outside = geo.haversine(lat, lon, clamp(lat, "latitude"), clamp(lon, "longitude"), radius) > metres * 1.01 + 1
-    path, whole = ["_c0"], []
-    for k in range(QUARTERINGS + 1):
+    distance = geo.haversine(lat, lon, F.col("latitude"), F.col("longitude"), radius)
+    path, found, placed = ["_c0"], [], spots.withColumn("_c0", cell(0))
+    for k in range(MOST_QUARTERINGS + 1):
         totals = placed.groupBy(*path).agg(
             F.sum("n").alias("_cell_n"),
+            F.count(F.lit(1)).alias("_spots"),
             *[f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in ("latitude", "longitude")],
         )
-        # A cut cell meets its own quarters alone: four at most, and as many centres as it has neighbours.
+        # A dense cell meets its own quarters alone: four at most, and as many centres as it has neighbours.
         met = cut_lineage(asked.join(totals, path if k == 0 else path[:-1]).where(~outside).withColumn("_inside", inside))
-        whole.append(met.where("_inside").select("centre", F.col("_cell_n").alias("n")))
-        asked = met.where("NOT _inside").select("centre", *path)
-        if k < QUARTERINGS:
-            path = [*path, f"_c{k + 1}"]
-    rim = split_join(asked, placed.select(*path, "latitude", "longitude", "n"), path, ("centre", "latitude"))
-    distance = geo.haversine(lat, lon, F.col("latitude"), F.col("longitude"), radius)
+        found.append(met.where("_inside").select("centre", F.col("_cell_n").alias("n")))
+        cut = met.where("NOT _inside")
+        thin = cut if k == MOST_QUARTERINGS else cut.where(F.col("_spots") <= cell_spots)
+        rim = split_join(thin.select("centre", *path), placed.select(*path, "latitude", "longitude", "n"), path, ("centre", "latitude"))
+        found.append(rim.where(distance <= metres).select("centre", "n"))
+        asked = cut.where(F.col("_spots") > cell_spots).select("centre", *path)
+        if k == MOST_QUARTERINGS or asked.isEmpty():
+            break
+        path = [*path, f"_c{k + 1}"]
+        placed = placed.withColumn(path[-1], cell(k + 1))
     counted = (
-        reduce(DataFrame.unionByName, whole)
-        .unionByName(rim.where(distance <= metres).select("centre", "n"))
+        reduce(DataFrame.unionByName, found)
         .groupBy("centre")
         .agg(F.sum("n").alias("neighbours"))
         .select(F.col("centre.lat").alias("latitude"), F.col("centre.lon").alias("longitude"), "neighbours")

@@ -64,6 +64,16 @@ def test_neighbours_with_a_hot_spot(spark):
     assert got == {i: sum(metres(a, b) <= 400.0 for b in points) for i, a in enumerate(points)}
 
 
+@pytest.mark.parametrize("spots", [1, 4, 10_000])
+def test_neighbours_at_any_depth(spark, spots):
+    """Cells quartered down to single spots, and not at all, count alike."""
+    rng = random.Random(17)
+    points = cloud(rng, 150, -12.05, -77.03, 0.003) + cloud(rng, 20, -12.05, -77.03, 0.05)
+    sites = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(points)], "site_id int, latitude double, longitude double")
+    got = {r["site_id"]: r["neighbours"] for r in matching.neighbour_counts(sites, 250.0, cell_spots=spots).collect()}
+    assert got == {i: sum(metres(a, b) <= 250.0 for b in points) for i, a in enumerate(points)}
+
+
 def test_split_join_finds_every_pair_once(spark):
     left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(60)], "k int, a int")
     right = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(50)], "k int, b int")
