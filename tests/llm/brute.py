@@ -174,7 +174,7 @@ def quality_verdicts(rows: list[tuple], rules) -> dict:
 
     def learn(ids):
         found = {}
-        for lang in rules.COMMON_WORDS:
+        for lang in {m[0] for m in measured.values()} - {None}:
             own = [measured[d] for d in ids if measured[d][0] == lang and not measured[d][2]]
             if len(own) >= rules.MIN_REFERENCE_DOCS:
                 weights = [min(1.0, rules.PSEUDO_DOC_CHARS / max(m[5], 1)) for m in own]
@@ -184,7 +184,8 @@ def quality_verdicts(rows: list[tuple], rules) -> dict:
     def judge(references):
         kept = {}
         for doc_id, (lang, n, failed, by_class, by_word, length) in measured.items():
-            refs = [references[lang]] if lang in references else list(references.values())
+            # A language without a reference meets the plain rules alone; without a language the nearest reference counts.
+            refs = list(references.values()) if lang is None else [references[lang]] if lang in references else []
             near = lambda counts, k: min((distance(shares(counts), r[k]) for r in refs), default=0.0)  # noqa: E731, B023
             c = near(by_class, 0) if length >= rules.MIN_CLASS_CHARS else 0.0
             w = near(by_word, 1) if n >= rules.MIN_HISTOGRAM_WORDS else 0.0
