@@ -82,6 +82,24 @@ def test_split_join_finds_every_pair_once(spark):
     assert split == plain
 
 
+def test_split_join_broadcasts_neither_side(spark):
+    """A few rows exploded to many look small to the optimizer; the driver must not hold them."""
+    left = spark.createDataFrame([(i,) for i in range(3)], "a int").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(999))))
+    right = spark.range(1000).select(F.col("id").cast("int").alias("k"), F.col("id").alias("b"))
+    joined = split_join(left, right, ["k"], ("a", "b"))
+    last = joined._jdf.queryExecution().executedPlan().toString().split("_ls#")[0]
+    assert "SortMergeJoin [k" in last and joined.count() == 3000
+
+
+def test_split_join_has_a_task_for_every_so_many_pairs(spark):
+    """800 rows a side make 320,000 pairs; where bytes alone decide, they all meet in one task."""
+    left = spark.range(800).select((F.col("id") % 2).alias("k"), F.col("id").alias("a"))
+    right = spark.range(800).select((F.col("id") % 2).alias("k"), F.col("id").alias("b"))
+    joined = split_join(left, right, ["k"], ("a", "b"), hot_rows=100, task_pairs=20_000)
+    held = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(held) == 320_000 and len(held) >= 8 and max(held) <= 100_000
+
+
 def test_global_index_and_predecessor(spark):
     rng = random.Random(5)
     values = [(rng.randint(0, 9), i) for i in range(200)]
