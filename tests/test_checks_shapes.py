@@ -24,7 +24,10 @@ def test_summary_contract_with_a_mean_of_zero(spark, tmp_path):
     assert good, message
 
 
-def test_written_texts_are_read_by_more_than_one_task(spark):
+def test_written_texts_are_read_by_many_tasks(spark):
+    """A small table lay in one task, and a shuffle without a number was merged back into one."""
+    from pyspark.sql import functions as F
+
     from checks.stream_queries import _written
 
-    assert "Exchange hashpartitioning(c_custkey" in _written(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert _written(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() >= 16
