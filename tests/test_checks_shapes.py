@@ -31,3 +31,19 @@ def test_written_texts_are_read_by_many_tasks(spark):
     from checks.stream_queries import _written
 
     assert _written(spark, "/root/testdata/sf0.001").select(F.spark_partition_id()).distinct().count() >= 16
+
+
+def test_lookup_never_broadcasts_a_dimension_by_its_estimate(spark):
+    """A dimension exploded from few bytes was broadcast whole; now it is dealt out, folded and merged."""
+    from pyspark.sql import functions as F
+
+    from pricewarden.operators.reports import safe_lookup
+
+    dim = spark.range(500).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("code"), (F.col("id") * 2).alias("value"))
+    dim = dim.unionByName(dim.where("id = 7 AND code = 'a'"))
+    left = spark.range(600).select("id", F.lit("a").alias("code"))
+    found = safe_lookup(left, dim, ["id", "code"], ["value"], "d_")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    rows = {r["id"]: (r["d_matches"], r["d_value"]) for r in found.collect()}
+    assert rows == {i: (2, None) if i == 7 else (1, 2 * i) if i < 500 else (0, None) for i in range(600)}
