@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pricewarden.functions import addresses as A
 from pricewarden.functions import geo
 from pricewarden.functions.graph import pair_components
-from pricewarden.functions.skew import split_join
+from pricewarden.functions.skew import split_join, spread
 from pricewarden.functions.text import fold
 from pricewarden.session import cut_lineage
 
@@ -164,7 +164,7 @@ def place_features(places: DataFrame) -> DataFrame:
 
     places  place_id, place_address, place_name, place_brand, latitude, longitude
     """
-    return places.select(
+    return spread(places, "place_id").select(
         "place_id",
         "latitude",
         "longitude",
@@ -177,7 +177,7 @@ def place_features(places: DataFrame) -> DataFrame:
 
 def site_features(sites: DataFrame) -> DataFrame:
     """sites  site_id, site_address, legal_name, latitude, longitude"""
-    return sites.select(
+    return spread(sites, "site_id").select(
         "site_id",
         "latitude",
         "longitude",
