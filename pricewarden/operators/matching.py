@@ -134,7 +134,8 @@ def neighbour_counts(
             *[f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in ("latitude", "longitude")],
         )
         # A dense cell meets its own quarters alone: four at most, and as many centres as it has neighbours.
-        met = cut_lineage(asked.join(totals, path if k == 0 else path[:-1]).where(~outside).withColumn("_inside", inside))
+        # The optimizer's sizes do not see the cells that a centre was exploded to: neither side is broadcast.
+        met = cut_lineage(asked.hint("merge").join(totals, path if k == 0 else path[:-1]).where(~outside).withColumn("_inside", inside))
         found.append(met.where("_inside").select("centre", F.col("_cell_n").alias("n")))
         cut = met.where("NOT _inside")
         thin = cut if k == MOST_QUARTERINGS else cut.where(F.col("_spots") <= cell_spots)

@@ -13,6 +13,7 @@ from pricewarden.functions import geo
 from pricewarden.functions.ordering import global_index, predecessor
 from pricewarden.functions.skew import split_join
 from pricewarden.operators import matching, sampling
+from pricewarden.session import cut_lineage
 
 R = 6371000.0
 
@@ -64,6 +65,16 @@ def test_neighbours_with_a_hot_spot(spark):
     assert got == {i: sum(metres(a, b) <= 400.0 for b in points) for i, a in enumerate(points)}
 
 
+def test_neighbour_centres_are_not_broadcast(spark, monkeypatch):
+    """A centre is exploded to the cells around it, which the optimizer's sizes do not show."""
+    plans = []
+    monkeypatch.setattr(matching, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    sites = spark.createDataFrame([(i, -12.05 + i * 1e-4, -77.03) for i in range(50)], "site_id int, latitude double, longitude double")
+    assert matching.neighbour_counts(sites, 250.0).count() == 50
+    met = [p for p in plans if "_cell_n" in p]
+    assert met and all("BroadcastHashJoin" not in p and "SortMergeJoin" in p for p in met)
+
+
 @pytest.mark.parametrize("spots", [1, 4, 10_000])
 def test_neighbours_at_any_depth(spark, spots):
     """Cells quartered down to single spots, and not at all, count alike."""
