@@ -7,6 +7,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricewarden.functions import addresses as A
@@ -297,6 +298,54 @@ def greedy_assign(pairs: DataFrame, first_rounds: int = FIRST_ROUNDS, component_
     return reduce(DataFrame.unionByName, rounds) if rounds else remaining
 
 
+# Best sites a place is given at first, and how many times as many once it runs out of them.
+FIRST_CHOICES, MORE_CHOICES = 16, 8
+
+
+def assign_nearby(places: DataFrame, sites: DataFrame, choices: int = FIRST_CHOICES) -> tuple[DataFrame, DataFrame]:
+    """What `greedy_assign` takes of all scored pairs, and the scored pairs it was taken from.
+
+    places, sites  the results of `place_features` and `site_features`, materialised
+
+    Pairs are scored and folded to each place's best as they are found; all of them together are never stored, shuffled or
+    sorted, so tables grow with the places, not with the pairs. Under one order of all pairs, taking the best down is the
+    same as each place asking its sites from its best down, and a place asks no further than the site it gets. So the
+    result is that of all pairs as soon as no place has run out of a list that was cut. Those that have are given longer
+    lists and everything is taken anew, until none is left: no candidate is ever cut off.
+    """
+    best_first = W.partitionBy("place_id").orderBy(F.col("score").desc(), "distance_m", "site_id")
+    asked, known, most = places, None, choices
+    while True:
+        # The optimizer limits each place before the exchange; one row more than asked for says that the list was cut.
+        scored = corroborate(spatial_pairs(asked, sites)).withColumn("_nth", F.row_number().over(best_first))
+        found = cut_lineage(scored.where(F.col("_nth") <= most + 1))
+        longer = found.select(*found.columns, (F.max("_nth").over(W.partitionBy("place_id")) > most).alias("_cut")).where(F.col("_nth") <= most)
+        known = cut_lineage(longer if known is None else known.join(asked.select("place_id"), "place_id", "left_anti").unionByName(longer))
+        taken = cut_lineage(greedy_assign(known))
+        short = known.where("_cut").select("place_id").distinct().join(taken.select("place_id"), "place_id", "left_anti")
+        asked = cut_lineage(places.join(short, "place_id", "left_semi"))
+        if asked.isEmpty():
+            return taken, known.drop("_nth", "_cut")
+        most *= MORE_CHOICES
+
+
+def with_nearby_margin(chosen: DataFrame, taken: DataFrame, places: DataFrame, sites: DataFrame) -> DataFrame:
+    """`with_margin` for pairs of which only each place's best were kept: rivals are looked for again, and folded as they are found.
+
+    Places come with what they took and sites with who took them, so a pair is known for a rival where it is met.
+    """
+    mine = taken.select("place_id", F.col("site_id").alias("_mine"), F.col("rank").alias("_rank"))
+    theirs = taken.select("site_id", F.col("rank").alias("_their_rank"))
+    near = spatial_pairs(
+        places.select("place_id", "latitude", "longitude").join(mine, "place_id"),
+        sites.select("site_id", "latitude", "longitude").join(theirs, "site_id", "left"),
+        FIRM_M,
+    )
+    free = F.col("_their_rank").isNull() | (F.col("_their_rank") > F.col("_rank"))
+    rivals = near.where((F.col("site_id") != F.col("_mine")) & free).groupBy("place_id").agg(F.min("distance_m").alias("_rival_m"))
+    return _margined(chosen, taken, rivals)
+
+
 def with_margin(pairs: DataFrame, taken: DataFrame) -> DataFrame:
     """Taken pairs with their distance margin to the nearest rival site of the same place.
 
@@ -315,6 +364,10 @@ def with_margin(pairs: DataFrame, taken: DataFrame) -> DataFrame:
         .groupBy("place_id")
         .agg(F.min("distance_m").alias("_rival_m"))
     )
+    return _margined(pairs, taken, rivals)
+
+
+def _margined(pairs: DataFrame, taken: DataFrame, rivals: DataFrame) -> DataFrame:
     chosen = pairs.join(taken.select("place_id", "site_id"), ["place_id", "site_id"])
     return (
         chosen.join(rivals, "place_id", "left")

@@ -14,11 +14,11 @@ def match_places(places: DataFrame, sites: DataFrame) -> DataFrame:
 
     places  place_id, place_name, place_brand, place_address, latitude, longitude
     sites   site_id, legal_name, site_address, latitude, longitude
-    The scored pairs are read by every round, so they are materialised once.
+    The features are read by every search for pairs, so they are materialised once; the pairs themselves never are.
     """
-    scored = cut_lineage(matching.scored_pairs(places, sites))
-    taken = matching.greedy_assign(scored)
-    return matching.match_status(matching.with_margin(scored, taken))
+    p, s = cut_lineage(matching.place_features(places)), cut_lineage(matching.site_features(sites))
+    taken, scored = matching.assign_nearby(p, s)
+    return matching.match_status(matching.with_nearby_margin(scored, taken, p, s))
 
 
 def build_entries(

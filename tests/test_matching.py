@@ -258,3 +258,27 @@ def test_round_robin_takes_as_many_turns_as_it_needs(spark):
     frame = spark.createDataFrame(rows, "id int, site_id string, stratum string, difference double")
     got = sampling.round_robin(frame, 4).orderBy("turn").collect()
     assert [(r["site_id"], r["turn"]) for r in got] == [("x", 1), ("s0", 1001), ("s1", 1002), ("s2", 1003)]
+
+
+def test_assign_nearby_is_the_assignment_of_all_pairs(spark):
+    """Places crowd round a few sites and want the same ones, so lists cut to one or two sites run out and are made longer."""
+    rng = random.Random(31)
+    spot = lambda: (-12.1 + rng.uniform(0, 0.002), -77.0 + rng.uniform(0, 0.002))
+    places = spark.createDataFrame(
+        [(i, f"AV. LIMA {rng.choice([10, 11])}", "Grifo ALFA", rng.choice(["Repsol", None]), *spot()) for i in range(60)],
+        "place_id long, place_address string, place_name string, place_brand string, latitude double, longitude double",
+    )
+    sites = spark.createDataFrame(
+        [(i, f"AV. LIMA {rng.choice([10, 11, 12])}", rng.choice(["ALFA SAC", "REPSOL COMERCIAL"]), *spot()) for i in range(50)],
+        "site_id long, site_address string, legal_name string, latitude double, longitude double",
+    )
+    pairs = cut_lineage(matching.scored_pairs(places, sites))
+    whole = cut_lineage(matching.greedy_assign(pairs))
+    expected = sorted((r["place_id"], r["site_id"]) for r in whole.collect())
+    status = lambda margined: {r["place_id"]: (r["site_id"], r["margin_m"], r["status"]) for r in matching.match_status(margined).collect()}
+    p, s = cut_lineage(matching.place_features(places)), cut_lineage(matching.site_features(sites))
+    for choices in (1, 2, 16):
+        taken, kept = matching.assign_nearby(p, s, choices)
+        assert sorted((r["place_id"], r["site_id"]) for r in taken.collect()) == expected
+        assert status(matching.with_nearby_margin(kept, taken, p, s)) == status(matching.with_margin(pairs, whole))
+    assert kept.count() < pairs.count() and len(expected) > 30
