@@ -29,15 +29,26 @@ def build_points(points: DataFrame, layers: Sequence[str], department: str, prov
     )
 
 
-def restricted_differences(new: DataFrame, old: DataFrame, restriction: Column) -> DataFrame:
+# Rows that a task is meant to compare, and copies of a row that are written at a time.
+TASK_ROWS = 500_000
+COPIES = 1_000
+
+
+def restricted_differences(new: DataFrame, old: DataFrame, restriction: Column, task_rows: int = TASK_ROWS) -> DataFrame:
     """Rows by which the new table, restricted to what the old one covers, differs from the old one.
 
-    Empty means the new reference only adds. Both directions count repeats.
+    Empty means the new reference only adds. Both directions count repeats, and both come from one count of every row. Keys of
+    whole rows hardly fold and take far more room than their bytes in a shuffle, so there is a task for every `task_rows` rows.
     """
-    restricted = new.where(restriction)
-    added = restricted.exceptAll(old).select(F.lit("added").alias("difference"), "*")
-    lost = old.exceptAll(restricted).select(F.lit("lost").alias("difference"), "*")
-    return added.unionByName(lost)
+    columns = new.columns
+    rows = new.where(restriction).withColumn("_n", F.lit(1)).unionByName(old.select(*columns, F.lit(-1).alias("_n")))
+    tasks = rows.count() // task_rows + 1
+    counted = rows.repartition(tasks, *columns).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    # Copies are written in batches, so that a row repeated without end is no long list.
+    batches = counted.withColumn("_first", F.explode(F.sequence(F.lit(0), F.abs("_n") - 1, F.lit(COPIES))))
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.abs("_n") - F.col("_first"))))
+    difference = F.when(F.col("_n") > 0, F.lit("added")).otherwise(F.lit("lost"))
+    return batches.withColumn("_copy", copies).select(difference.alias("difference"), *columns)
 
 
 def missing_references(wanted: DataFrame, have: DataFrame, keys: Sequence[str]) -> DataFrame:

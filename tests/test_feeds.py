@@ -322,3 +322,17 @@ def test_directory_sources(spark):
     )
     entries = places.directory_entries(rows, places.DIRECTORY_SOURCES[0]).collect()
     assert [(e["entry_key"], e["latitude"], e["longitude"]) for e in entries] == [("repsol#0", -12.0, -77.0)]
+
+
+def test_restricted_differences_count_repeats_in_tasks_of_bounded_rows(spark):
+    """Both directions, repeats and missing values; 5,000 rows of few bytes are not compared in one task."""
+    new = [("A", i) for i in range(3000)] + [("A", None)] * 3 + [("A", -1)] * 2500 + [("N", 7)]
+    old = [("A", i) for i in range(5, 3010)] + [("A", None)] + [("A", -1)] * 100
+    frame = lambda rows: spark.createDataFrame(rows, "code string, id int")
+    found = reference.restricted_differences(frame(new), frame(old), F.col("code") != "N", task_rows=1000)
+    got = {(r["difference"], r["id"]): r["n"] for r in found.groupBy("difference", "id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    expected = {("added", i): 1 for i in range(5)} | {("lost", i): 1 for i in range(3000, 3010)} | {("added", None): 2, ("added", -1): 2400}
+    assert got == expected and found.columns == ["difference", "code", "id"]
+    assert found.rdd.getNumPartitions() == 9  # 8,608 rows of both
+    same = reference.restricted_differences(frame(old), frame(old), F.lit(True))
+    assert same.isEmpty()
