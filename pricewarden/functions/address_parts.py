@@ -54,19 +54,27 @@ _OPENING = (*_NAMING, *LOCALITY_WORDS, *BLOCK_WORDS, *LOT_WORDS, "SN")
 
 
 def _any(words: tuple[str, ...]) -> str:
-    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+    """A pattern for any of the words, the longest first. Words share their beginnings, so most texts fail at one letter."""
+
+    def told(rests: set[str]) -> str:
+        firsts = sorted({r[0] for r in rests if r})
+        branches = [first + told({r[1:] for r in rests if r[:1] == first}) for first in firsts]
+        found = "" if not branches else branches[0] if len(branches) == 1 and "" not in rests else "(?:" + "|".join(branches) + ")"
+        return f"{found}?" if found and "" in rests else found
+
+    return "(?=[" + "".join(sorted({w[0] for w in words})) + "])(?:" + told(set(words)) + ")"
 
 
 def spelled(col: Column) -> Column:
     """Words of an address, upper case and without accents, separated by single blanks; numbers keep their decimals."""
     text = plain_upper(col)
-    text = F.regexp_replace(text, r"(?<![A-Z0-9])([A-Z])\s*[./]\s*(?=[A-Z](?![A-Z0-9]))", "$1")  # A.H., S/N
-    text = F.regexp_replace(text, r"\bAA\W*HH\b", "AAHH")
-    text = F.regexp_replace(text, r"\b(?:NUMERO|NRO|NO|N)\b\W*(?=\d)|\bN\s*[°º]", " NRO ")
-    text = F.regexp_replace(text, r"(?<=[A-Z]{3})KM(?=[\s.\d])", " KM ")
-    text = F.regexp_replace(text, rf"\b(KM|{_any(LOT_WORDS)})\.?(?=\d)", "$1 ")
-    text = F.regexp_replace(text, r"(?<!\d)\.|\.(?!\d)|[^A-Z0-9.]", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(text, r"([A-Z])(?<![A-Z0-9][A-Z])\s*[./]\s*(?=[A-Z](?![A-Z0-9]))", "$1")  # A.H., S/N
+    text = F.regexp_replace(text, r"(?=A)\bAA\W*HH\b", "AAHH")
+    text = F.regexp_replace(text, r"(?=N)\b(?:(?:NUMERO|NRO|NO|N)\b\W*(?=\d)|N\s*[°º])", " NRO ")
+    text = F.regexp_replace(text, r"KM(?<=[A-Z]{3}KM)(?=[\s.\d])", " KM ")
+    text = F.regexp_replace(text, rf"(?=[KL])\b({_any(('KM', *LOT_WORDS))})\.?(?=\d)", "$1 ")
+    text = F.regexp_replace(text, r"(?<!\d)\.|\.(?!\d)|[^A-Z0-9. ]", " ")
+    return F.trim(F.regexp_replace(text, " {2,}", " "))
 
 
 def _unpadded(numbers: Column) -> Column:
@@ -104,7 +112,7 @@ def _named(piece: Column) -> Column:
     stands where the name should is part of it, as in CALLE 3, unless a number sign says otherwise.
     """
     number = lambda w: w.rlike(rf"^{_NUMBER}$")
-    opens = F.coalesce(F.split(piece, " ")[0].isin(*_NAMING), F.lit(False))
+    opens = F.coalesce(F.substring_index(piece, " ", 1).isin(*_NAMING), F.lit(False))
 
     def read(body: Column) -> Column:
         leads = F.coalesce(number(F.get(body, F.lit(0))), F.lit(False))
@@ -128,11 +136,16 @@ def _named(piece: Column) -> Column:
 def _parts(text: Column) -> Column:
     head = F.regexp_replace(text, rf"(?:^| ){_any(LANDMARK_WORDS)}(?: .*|$)", "")
     # Dates are names, numbers inside a building or of a stage are no doors.
-    head = F.regexp_replace(head, rf"\b0*(\d+) (?:DE )?({'|'.join(MONTHS)})\b", "$1_$2")
-    head = F.regexp_replace(head, rf"\b{_any(NUMBERED_INSIDE)}\b(?: \d\S*)?", " / ")
-    head = F.regexp_replace(head, r"\b\d+\S* (?=ETAPA\b)", "")
-    pieces = F.split(F.trim(F.regexp_replace(head, " +", " ")), rf" (?={_any((*_OPENING, 'KM'))}(?: |$))")
-    opens = lambda words: lambda p: F.split(p, " ")[0].isin(*words)
+    head = F.regexp_replace(head, rf"(?=\d)\b0*(\d+) (?:DE )?({'|'.join(MONTHS)})\b", "$1_$2")
+    head = F.regexp_replace(head, rf"(?={_any(NUMBERED_INSIDE)})\b{_any(NUMBERED_INSIDE)}\b(?: \d\S*)?", " / ")
+    head = F.regexp_replace(head, r"(?=\d)\b\d+\S* (?=ETAPA\b)", "")
+    cut = lambda h: F.split(F.trim(F.regexp_replace(h, " {2,}", " ")), rf" (?={_any((*_OPENING, 'KM'))}(?: |$))")
+    return let(head, lambda h: let(cut(h), lambda pieces: _told(text, h, pieces)))
+
+
+def _told(text: Column, head: Column, pieces: Column) -> Column:
+    """What the pieces of a head say, and the blocks and lots of the whole text; all three are read once and named."""
+    opens = lambda words: lambda p: F.substring_index(p, " ", 1).isin(*words)
     other = tuple(w for w in (*_OPENING, "KM") if w not in _NAMING)
     naming = F.transform(F.filter(pieces, lambda p: ~opens(other)(p)), _named)
     settled = F.flatten(F.transform(F.filter(pieces, opens(LOCALITY_WORDS)), _words))
@@ -143,10 +156,10 @@ def _parts(text: Column) -> Column:
     numbered = F.transform(F.flatten(F.transform(signed, _words)), lambda w: F.regexp_extract(w, r"^\d+", 0))
     km = F.regexp_extract_all(head, F.lit(r"\bKM (\d+(?:\.\d+)?)\b"), F.lit(1))
     blocks = F.regexp_extract_all(
-        text, F.lit(rf"\b{_any(BLOCK_WORDS)} (?!{_any((*BLOCK_WORDS, *LOT_WORDS, *LOCALITY_WORDS))}\b)([A-Z]{{1,2}} \d{{1,2}}(?= {_any(LOT_WORDS)}\b|$)|[A-Z0-9]{{1,4}}\b)"), F.lit(1)
+        text, F.lit(rf"(?=M)\b{_any(BLOCK_WORDS)} (?!{_any((*BLOCK_WORDS, *LOT_WORDS, *LOCALITY_WORDS))}\b)([A-Z]{{1,2}} \d{{1,2}}(?= {_any(LOT_WORDS)}\b|$)|[A-Z0-9]{{1,4}}\b)"), F.lit(1)
     )
     # Lots that Y joins stay in one piece; a piece begins with the word for lot and lists them.
-    listed = F.regexp_replace(F.regexp_replace(text, r"\b\d+\S* (?=ETAPA\b)", "/ "), r"(?<= \d{1,3}[A-Z]?) Y (?=\d{1,3}[A-Z]?(?: |$))", " ")
+    listed = F.regexp_replace(F.regexp_replace(text, r"(?=\d)\b\d+\S* (?=ETAPA\b)", "/ "), r"(?<= \d{1,3}[A-Z]?) Y (?=\d{1,3}[A-Z]?(?: |$))", " ")
     lot_pieces = F.filter(F.split(listed, rf" (?={_any(_OPENING)}(?: |$))"), opens(LOT_WORDS))
     lots = F.transform(lot_pieces, lambda p: let(F.slice(_words(p), 2, F.size(_words(p))), lambda found: _until(found, lambda w: ~w.rlike(r"^(?:NRO|SUB|\d{1,3}[A-Z]?|[A-Z])$"))))
     return let(
