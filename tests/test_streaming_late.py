@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,49 @@ def test_local_days_have_one_zone():
     assert daily._day_start() == "18000 seconds"
     with pytest.raises(ValueError, match="local days"):
         daily._day_start("Europe/Paris")
+
+
+class Calls:
+    """A handle whose states count what is asked of them and hold nothing."""
+
+    def __init__(self):
+        self.made = 0
+
+    def _state(self, *_):
+        def call(*_):
+            self.made += 1
+
+        return SimpleNamespace(get=call, update=call, getValue=call, updateValue=call, clear=call)
+
+    getValueState = getMapState = getListState = _state
+
+    def registerTimer(self, _):
+        self.made += 1
+
+
+def test_state_is_asked_by_group_not_by_site():
+    """Each call crosses between Python and the state store, so one for every site of a day takes longer than all else."""
+    handle, days = Calls(), daily._Days(6 * 3_600_000, 35 * 86_400_000)
+    days.init(handle)
+    frames = [pd.DataFrame({"site": [f"={i}" for i in range(500 * n, 500 * n + 500)], "price": 1.0}) for n in range(4)]
+    list(days.handleInputRows(("regular", date(2024, 1, 1), 0, 1_704_171_600_000), iter(frames), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert handle.made <= 4
+
+
+def test_a_group_of_many_sites_comes_out_whole(spark, tmp_path):
+    """More sites than a frame holds, counted, then late, some of them without a price or without an id."""
+    n = 2 * daily.FRAME_ROWS + 7
+    price = F.when(F.col("id") % 100 != 3, (F.col("id") % 9).cast("double"))
+    first = spark.range(n).select(F.lit("p").alias("product"), F.when(F.col("id") > 0, F.col("id")).alias("site_id"), price.alias("price"), F.lit(noon(1)).alias("observed_at"))
+    later = spark.createDataFrame([("p", 1, 5.0, noon(9))], PRICES)
+    again = first.withColumn("price", F.when(F.col("site_id") % 2 == 0, F.col("price")).otherwise(F.lit(10.0)))
+    for rows in (first.unionByName(later), again):
+        rows.write.mode("append").parquet(f"{tmp_path}/received")
+        stream = daily.site_days(spark.readStream.schema(PRICES).parquet(f"{tmp_path}/received"), parts=1)
+        spark.conf.set(daily.PROVIDER, daily.ROCKS)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/sites").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(f"{tmp_path}/sites")
+    closed = {r[0]: tuple(r)[1:] for r in stored.where("kind = 'closed' AND date = '2024-01-01'").select("site_id", "lowest", "highest").collect()}
+    said = {i or None: None if i % 100 == 3 else float(i % 9) for i in range(n)}
+    assert closed == {i: (p, p) for i, p in said.items()}
+    assert late(stored) == {("p", date(2024, 1, 1), i, 10.0 if p is None else p, 10.0, p, p) for i, p in said.items() if i is None or i % 2}
