@@ -71,6 +71,33 @@ def test_display_address(spark, raw, shown):
     assert one(spark, raw, A.display_address) == shown
 
 
+@pytest.mark.parametrize(
+    "raw, shown",
+    [
+        # Letters whose capitals are others, letters beyond U+FFFF, and marks that are letters in capitals only.
+        ("LOS OLIVOS eſq UNION", "Los Olivos"),
+        ("AV LIMA 12 İNTERSECCION 5 AſOC X", "Av. Lima 12 I\u0307nterseccion 5"),
+        ("\U00010428URB LIMA 12", "\U00010400urb Lima 12"),
+        ("LOS OLIVOS \U00010428LOTE 12", "Los Olivos \U00010400lote 12"),
+        ("ESQ \u0345 DE LIMA", "De Lima"),
+        ("FRENTEA LIMA 12", "Frentea Lima 12"),
+        ("ESQºDE LIMA", "ºde Lima"),
+        # Longer than what is shown: the end of the words kept is not the end of the text.
+        ("X " + "AV LOS " * 30 + "AV", "X" + " Av. Los" * 5 + "…"),
+        ("A" * 30 + "-" * 30 + "\x85.", "A" + "a" * 29 + "\x85"),
+        ("AV " + "B" * 20 + " - " * 20 + "C", "Av. B" + "b" * 19 + " -" * 10 + "…"),
+    ],
+)
+def test_display_address_of_odd_and_long_texts(spark, raw, shown):
+    assert one(spark, raw, A.display_address) == shown
+
+
+def test_display_address_makes_no_list_of_tokens(spark):
+    """A value for every word, mark and blank of a line is dear by the byte; only the few words shown are a list."""
+    plan = spark.range(1).select(A.display_address(F.col("id").cast("string")))._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan
+
+
 @pytest.mark.parametrize(
     "raw, backed, shown",
     [
